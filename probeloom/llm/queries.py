@@ -30,5 +30,37 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).drop("draws")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_source_mixing)}
-ORACLES: dict[str, str] = {}
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import urls
+
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import html
+
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import neardup
+
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash)}
+
+
+def _oracles() -> dict[str, str]:
+    from probeloom.llm import licenses, urls
+
+    return {"op3_url_filters": urls.oracle(), "op6_license_scans": licenses.oracle()}
+
+
+ORACLES = _oracles()
