@@ -220,7 +220,7 @@ def verify(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     )
     sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int"))
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    members = cut(clusters.join(sizes, "cluster").withColumn("tile", tile).withColumn("pivot", F.col("rep").isin("p0", "p1", "p2", "p3")), "members")
+    members = cut(clusters.join(sizes, "cluster").withColumn("tile", tile).withColumn("pivot", F.col("rep").isin(*map(F.col, ("p0", "p1", "p2", "p3")))), "members")
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
     # a pivot goes to every tile of its cluster
     first = members.select("rep", "cluster", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))).alias("x"))

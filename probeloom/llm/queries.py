@@ -54,7 +54,16 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash)}
+def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from probeloom.llm import suffixes
+
+    rows = suffixes.remove_repeated(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows)}
 
 
 def _oracles() -> dict[str, str]:
