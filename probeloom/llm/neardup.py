@@ -22,7 +22,7 @@ and stays; texts of any length are read whole; ties take the smaller id; extra c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -198,54 +198,59 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each group (cluster, x, y) of rows (..., rep, side, text); sides 1 and 2 meet each other and side 1 itself."""
-    for table in groups(batches, 3):
-        reps, side = (table.column(c).to_numpy() for c in (3, 4))
-        sets = []
-        for keys, to in distinct_sets(table.column(5)):
-            sets += [keys[a:b].copy() for a, b in zip(to[:-1], to[1:], strict=True)]
-        if len(sets) < 2:
-            continue
-        root = forest(linked(sets) & ~((side[:, None] == 2) & (side[None, :] == 2)))
-        child = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(reps[child]), pa.array(reps[root[child]])], names=["a", "b"])
+def linked_texts(texts: pa.ChunkedArray) -> np.ndarray:
+    """Which pairs of texts have shingle sets that reach the threshold."""
+    sets = []
+    for keys, to in distinct_sets(texts):
+        sets += [keys[a:b].copy() for a, b in zip(to[:-1], to[1:], strict=True)]
+    return linked(sets)
+
+
+def verify(texts: DataFrame, clusters: DataFrame, link: Callable[[pa.ChunkedArray], np.ndarray], tile_rows: int, tile_size: int) -> DataFrame:
+    """Links (a, b) that span the components of the link graph within clusters (rep, n, cluster).
+
+    texts (rep, text) has what ``link`` compares, a symmetric matrix for the texts of a tile; n is the size of
+    a text, of which a tile holds about ``tile_size``, in ``tile_rows`` rows at most (about).
+    """
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 3):  # sides 1 and 2 meet each other, and side 1 itself
+            if table.num_rows < 2:
+                continue
+            reps, side = (table.column(c).to_numpy() for c in (3, 4))
+            root = forest(link(table.column(5)) & ~((side[:, None] == 2) & (side[None, :] == 2)))
+            child = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(reps[child]), pa.array(reps[root[child]])], names=["a", "b"])
+
+    def compare(placed: DataFrame) -> DataFrame:
+        rows = placed.join(texts, "rep").select("cluster", "x", "y", "rep", "side", "text")
+        return cut(rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(found, "a long, b long"), "verified")
 
-def verify(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of the link graph within clusters (rep, n, cluster)."""
     sizes = clusters.groupBy("cluster").agg(
-        F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("rep").alias("p0"), F.max("rep").alias("p1"),
+        F.count("*").alias("rows"), F.sum("n").alias("size"), F.min("rep").alias("p0"), F.max("rep").alias("p1"),
         F.min_by("rep", F.xxhash64("rep")).alias("p2"), F.max_by("rep", F.xxhash64("rep")).alias("p3"),
     )
-    sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int"))
+    sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("rows") / tile_rows), F.ceil(F.col("size") / tile_size)).cast("int"))
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     members = cut(clusters.join(sizes, "cluster").withColumn("tile", tile).withColumn("pivot", F.col("rep").isin(*map(F.col, ("p0", "p1", "p2", "p3")))), "members")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
     # a pivot goes to every tile of its cluster
     first = members.select("rep", "cluster", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))).alias("x"))
-    first = first.select("cluster", "x", F.lit(0).alias("y"), "rep", F.lit(1).alias("side"))
-    one = cut(_compare(first, texts), "verified")
+    one = compare(first.select("cluster", "x", F.lit(0).alias("y"), "rep", F.lit(1).alias("side")))
     large = members.where("tiles > 1")
     if large.isEmpty():
         return one
-    found = components(one)
-    large = large.join(found, large["rep"] == found["node"], "left").select("rep", "cluster", "tiles", "tile", F.coalesce("component", "rep").alias("component"))
+    known = components(one)
+    large = large.join(known, large["rep"] == known["node"], "left").select("rep", "cluster", "tiles", "tile", F.coalesce("component", "rep").alias("component"))
     counts = large.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     core = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    core = core.where("n > most").withColumn("outer_tiles", F.ceil((F.col("n") - F.col("most")) / TILE_ROWS).cast("int"))
+    core = core.where("n > most").withColumn("outer_tiles", F.ceil((F.col("n") - F.col("most")) / tile_rows).cast("int"))
     large = cut(large.join(core, "cluster").withColumn("y", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("outer_tiles")).cast("int")), "outer")
     if large.isEmpty():
         return one
     outside = F.col("component") != F.col("core")
     probes = large.where(outside).select("cluster", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("x"), "y", "rep", F.lit(1).alias("side"))
     rest = large.select("cluster", F.col("tile").alias("x"), F.explode(F.sequence(F.lit(0), F.col("outer_tiles") - 1)).alias("y"), "rep", F.lit(2).alias("side"))
-    return one.union(cut(_compare(probes.union(rest), texts), "verified"))
-
-
-def _compare(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = placed.join(texts, "rep").select("cluster", "x", "y", "rep", "side", "text")
-    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verified, "a long, b long")
+    return one.union(compare(probes.union(rest)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -259,7 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tied = components(ties)
     sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
     clusters = tied.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
-    linked_reps = components(verify(docs, clusters))
+    linked_reps = components(verify(docs.select(F.col("doc_id").alias("rep"), "text"), clusters, linked_texts, TILE_ROWS, TILE_SHINGLES))
     classes = known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(linked_reps, classes["rep"] == linked_reps["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")

@@ -25,9 +25,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from probeloom.llm import mixing
 
-    return mixing.plan(_table(spark, sf_dir, "documents")).drop("draws")
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, d: total + d["words"])
+    shards = F.concat_ws(",", F.transform("draws", lambda d: d["shard"].cast("string")))
+    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +67,19 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows)}
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import vectors
+
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op4_vector_near_dedup, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows)}
 
 
 def _oracles() -> dict[str, str]:
-    from probeloom.llm import licenses, urls
+    from probeloom.llm import licenses, urls, vectors
 
-    return {"op3_url_filters": urls.oracle(), "op6_license_scans": licenses.oracle()}
+    return {"op3_url_filters": urls.oracle(), "op4_vector_near_dedup": vectors.ORACLE, "op6_license_scans": licenses.oracle()}
 
 
 ORACLES = _oracles()
