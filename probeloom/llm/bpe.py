@@ -223,11 +223,12 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids (packed), ids_sha256, decoded_sha256 of every document."""
     coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -98,12 +98,12 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (digest of the set), bands, sketch of every document."""
+    """doc_id, t (digest of the text), n (set size), k1 and k2 (digest of the set), bands, sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for keys, to in distinct_sets(batch.column(1)):
+            for keys, to in distinct_sets(batch.column(2)):
                 n, docs = np.diff(to), len(to) - 1
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([[_U(0)], np.cumsum(mix(keys ^ s), dtype=_U)]) for s in stream(0xD1, 2)]
@@ -115,12 +115,12 @@ def signed(docs: DataFrame) -> DataFrame:
                 keep = n > 0
                 lists = lambda x, w: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(keep * w)]).astype(np.int32), pa.array(x[keep].view(np.int64).ravel()))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, docs), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), lists(_band_keys(signature), BANDS), lists(sketch, 3)],
-                    names=["doc_id", "n", "k1", "k2", "bands", "sketch"],
+                    [*(batch.column(c).slice(at, docs) for c in (0, 1)), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), lists(_band_keys(signature), BANDS), lists(sketch, 3)],
+                    names=["doc_id", "t", "n", "k1", "k2", "bands", "sketch"],
                 )
                 at += docs
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +253,8 @@ def verify(texts: DataFrame, clusters: DataFrame, link: Callable[[pa.ChunkedArra
     return one.union(compare(probes.union(rest)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, t (digest of the text), n_shingles, component_id, kept of every document."""
     rows = cut(signed(docs), "signed")
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
     same = known.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
@@ -267,6 +267,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked_reps = components(verify(docs.select(F.col("doc_id").alias("rep"), "text"), clusters, linked_texts, TILE_ROWS, TILE_SHINGLES))
     classes = known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(linked_reps, classes["rep"] == linked_reps["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
+    out = rows.select("doc_id", "t", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return judged(docs).drop("t")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the smallest id of their component, one row for each id and text; all columns as they are."""
+    verdicts = judged(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_u": F.xxhash64("text")})
+    kept = rows.join(verdicts, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_u") == F.col("_t")), "left_semi")
+    if not rows.groupBy("_i", "_u").count().where("count > 1").isEmpty():  # repeated rows: rare, so only then a second look at all columns
+        kept = kept.dropDuplicates(["_i", "_u"])
+    return kept.drop("_i", "_u")

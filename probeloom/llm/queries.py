@@ -21,7 +21,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from probeloom.llm import bpe
 
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN).drop("ids")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,13 @@ def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op4_vector_near_dedup, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows)}
+def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import lines
+
+    return lines.judge(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op4_vector_near_dedup, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows, op10_line_edit_join)}
 
 
 def _oracles() -> dict[str, str]:
