@@ -136,7 +136,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
     pairs = pairs.withColumn("same", same).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("subs_a") - 1)))
     pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("same"), F.col("i")).otherwise(0), F.col("subs") - 1))).withColumn("one", F.col("same") & (F.col("i") == F.col("j")))
     pairs = cut(pairs.withColumn("p", F.xxhash64("a0", "a1", "a2", "i", *grid, "j")).drop("subs", "subs_a", "same"), "pairs")
-    left = pairs.select("label", "dims", *(F.col(f"a{k}").alias(c) for k, c in enumerate(grid)), F.col("i").alias("sub"), "p", F.lit(0).alias("side"))
+    left = pairs.select("label", "dims", *(F.col(f"a{k}").alias(c) for k, c in enumerate(grid)), F.col("i").alias("sub"), "p", F.when(F.col("one"), -1).otherwise(0).alias("side"))
     right = pairs.where("NOT one").select("label", "dims", *grid, F.col("j").alias("sub"), "p", F.lit(1).alias("side"))
     dealt = tiles.join(left.union(right), [*home, "sub"]).select("label", "dims", "p", "side", "rep", "copies", "v")
 
@@ -145,10 +145,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
         for table in groups(batches, 3):
             side, rep, copies = (table.column(c).to_numpy() for c in (3, 4, 5))
             x, split = _matrix(table.column(6), len(axes)), int(np.searchsorted(side, 1))
-            if split == len(x):
+            if side[0] < 0:  # a tile with itself
                 hit = close(x, x, axes, threshold)
                 np.fill_diagonal(hit, False)
                 hit |= hit.T
+            elif not 0 < split < len(x):  # one of the two tiles got no rows
+                continue
             else:
                 hit = np.zeros((len(x), len(x)), bool)
                 hit[:split, split:] = close(x[:split], x[split:], axes, threshold)
