@@ -15,22 +15,25 @@ from probeloom.llm.scratch import cut
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the edges (a long, b long).
 
-    Each round sends the smallest known label along all edges (minima are taken map-side first) and then
-    jumps to the label's own label, so chains shorten to a power of their length. Rounds are written to the
-    shared folder. Null ends are left out; self edges make their node a component; no edges give no rows.
+    Each round points every node to its smallest neighbour, follows the pointer once more and contracts the
+    edges to what is left between different pointers, so the edges shrink geometrically. Minima are taken
+    map-side before a shuffle, and rounds are written to the shared folder. Null ends are left out; a node
+    with self edges alone is its own component; no edges give no rows.
     """
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    both = cut(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    while True:
-        sent = both.join(state, both["a"] == state["node"]).select(F.col("b").alias("node"), "label")
-        least = sent.union(state).groupBy("node").agg(F.min("label").alias("label"))
-        least = cut(least.join(state.select("node", F.col("label").alias("was")), "node"), "least")
-        up = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = cut(least.join(up, "label", "left").select("node", F.least("label", "next").alias("label"), "was"), "labels")
-        if after.where("label <> was").isEmpty():
-            return after.select("node", F.col("label").alias("component"))
-        state = after.drop("was")
+    sound = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = cut(sound.distinct(), "links")
+    labels = cut(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component")), "labels")
+    edges = edges.where("a < b")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        to = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), "pointers")
+        up = to.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        to = cut(to.join(up, "p").select("v", F.col("q").alias("p")), "pointers")
+        labels = cut(labels.join(to, labels["component"] == to["v"], "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        one = edges.join(to.select(F.col("v").alias("a"), F.col("p").alias("x")), "a")
+        two = one.join(to.select(F.col("v").alias("b"), F.col("p").alias("y")), "b").where("x <> y")
+        edges = cut(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    return labels
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

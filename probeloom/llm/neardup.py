@@ -137,7 +137,7 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             small[: size[0]] = False
         if open_end:
             small[first[-1] :] = False
-        pairs = []
+        pairs, near = [], []
         for lag in range(1, min(RUN, len(key))):
             i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]))
             if not len(i):
@@ -145,7 +145,18 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = i[n[i] * DENOMINATOR >= n[i + lag] * NUMERATOR]
             same = SLOTS - np.bitwise_count(bits[i] ^ bits[i + lag]).sum(axis=1, dtype=np.int64)
             i = i[same >= AGREE]
-            pairs.append(np.column_stack([rep[i], rep[i + lag]]))
+            near.append((i, i + lag))
+        if near:  # of the pairs in a bucket, those that span its components are enough
+            i, j = (np.concatenate(x) for x in zip(*near, strict=True))
+            root = np.arange(len(key))
+            while True:
+                low = np.minimum(root[i], root[j])
+                if (low == root[i]).all() and (low == root[j]).all():
+                    break
+                np.minimum.at(root, i, low)
+                np.minimum.at(root, j, low)
+            i = np.flatnonzero(root != np.arange(len(key)))
+            pairs.append(np.column_stack([rep[root[i]], rep[i]]))
         i = np.flatnonzero(~small[1:] & (key[1:] == key[:-1]) & (n[:-1] * DENOMINATOR >= n[1:] * NUMERATOR))
         pairs.append(np.column_stack([rep[i], rep[i + 1]]))
         if last is not None and last[0] == key[0] and last[1] * DENOMINATOR >= n[0] * NUMERATOR:
