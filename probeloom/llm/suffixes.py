@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,17 +77,26 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hull of each text, with all places where the text has it: a periodic text has few hulls."""
     for batch in batches:
         at = 0
         for slab in slabs(batch.column(3)):
             found = anchors(slab)
+            order = np.lexsort((found["at"], found["hull"], found["key"], found["text"]))
+            found = {k: v[order] for k, v in found.items()}
+            new = np.ones(len(order), bool)
+            for_all = [found[k][1:] == found[k][:-1] for k in ("text", "key", "hull")]
+            new[1:] = ~np.logical_and.reduce(for_all)
+            first = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(np.concatenate([first, [len(order)]]).astype(np.int32), pa.array(found["at"], pa.int64()))
+            found = {k: v[first] for k, v in found.items()}
             ids = [batch.column(c).slice(at, slab.rows).take(pa.array(found["text"])) for c in range(3)]
             at += slab.rows
-            yield pa.RecordBatch.from_arrays([*(_signed(found[k]) for k in ("key", "hull")), *ids, *(_signed(found[k]) for k in ("at", "lo", "hi"))], names=["key", "hull", "d", "t1", "t2", "at", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([_signed(found["key"]), _signed(found["hull"]), *ids, places, _signed(found["lo"]), _signed(found["hi"])], names=["key", "hull", "d", "t1", "t2", "places", "lo", "hi"])
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and hull: those whose key is not alone, with ``twice`` (so the hull is not) and ``lead`` (first of its hull)."""
+    """Of rows sorted by key and hull: those whose key occurs twice, with ``twice`` (so does the hull) and ``lead`` (first of its hull)."""
     held = None
 
     def done(table: pa.Table, more: tuple[int, int] | None, less: tuple[int, int] | None) -> pa.Table:
@@ -96,8 +106,9 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same_key[0] = same_hull[0] = False
         if more is None:
             same_key[-1] = same_hull[-1] = False
-        out = table.append_column("twice", pa.array(same_hull[1:] | same_hull[:-1])).append_column("lead", pa.array(~same_hull[:-1]))
-        return out.filter(pa.array(same_key[1:] | same_key[:-1]))
+        several = pc.greater(pc.list_value_length(table.column(5)), 1).combine_chunks().to_numpy(zero_copy_only=False)
+        out = table.append_column("twice", pa.array(same_hull[1:] | same_hull[:-1] | several)).append_column("lead", pa.array(~same_hull[:-1]))
+        return out.filter(pa.array(same_key[1:] | same_key[:-1] | several))
 
     before = None
     for batch in batches:
@@ -195,13 +206,13 @@ def _large_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def repeated_spans(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
     """t1, t2 (digest of a text), spans: the byte ranges [a, b) of each text that repeated windows cover, not merged."""
     rows = docs.select(F.coalesce("d", F.lit(0)).alias("d"), "t1", "t2", "text").where(F.octet_length("text") >= WINDOW)
-    found = rows.mapInArrow(_anchor_rows, "key long, hull long, d long, t1 long, t2 long, at long, lo long, hi long")
+    found = rows.mapInArrow(_anchor_rows, "key long, hull long, d long, t1 long, t2 long, places array<long>, lo long, hi long")
     dealt = found.repartition("key").sortWithinPartitions("key", "hull")
     kept = cut(dealt.mapInArrow(_second_pass, found.schema.add("twice", "boolean").add("lead", "boolean")), "anchors")
     lead = kept.where("lead")
     many = lead.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1")
     lead = lead.join(many, "key").withColumn("many", F.col("hulls") > class_rows)
-    wanted = lead.groupBy("d", "t1", "t2").agg(F.collect_list(F.struct("key", "hull", "many", "at", "lo", "hi")).alias("found"))
+    wanted = lead.groupBy("d", "t1", "t2").agg(F.collect_list(F.struct("key", "hull", "many", F.col("places")[0].alias("at"), "lo", "hi")).alias("found"))
     around = rows.join(wanted, ["d", "t1", "t2"]).select("text", "found").mapInArrow(_contexts, "key long, hull long, many boolean, lo long, hi long, around binary")
     around = cut(around, "around")
     small = around.where("NOT many").repartition("key").sortWithinPartitions("key", "hull").mapInArrow(_small_classes, "key long, hull long, d long")
@@ -212,8 +223,8 @@ def repeated_spans(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
         twice = windows.groupBy("key", "d", "w").agg(F.min("hull").alias("x"), F.max("hull").alias("y")).where("x <> y")
         hits = hits.union(windows.join(twice, ["key", "d", "w"]).select("key", "hull", "d"))
     offsets = hits.groupBy("key", "hull").agg(F.collect_set("d").alias("ds"))
-    whole = kept.where("twice").select("t1", "t2", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + WINDOW).alias("b"))
-    part = kept.where("NOT twice").join(offsets, ["key", "hull"]).select("t1", "t2", "at", F.explode("ds").alias("ds")).select("t1", "t2", (F.col("at") - F.col("ds")).alias("a"), (F.col("at") - F.col("ds") + WINDOW).alias("b"))
+    whole = kept.where("twice").select("t1", "t2", "lo", "hi", F.explode("places").alias("at")).select("t1", "t2", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + WINDOW).alias("b"))
+    part = kept.where("NOT twice").join(offsets, ["key", "hull"]).select("t1", "t2", F.col("places")[0].alias("at"), F.explode("ds").alias("ds")).select("t1", "t2", (F.col("at") - F.col("ds")).alias("a"), (F.col("at") - F.col("ds") + WINDOW).alias("b"))
     return whole.union(part).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
