@@ -35,13 +35,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[tuple[SparkSession, str]]:
+    """What ``cut`` has written and nobody has deleted yet."""
+    return list(_made)
+
+
+def drop(some: list[tuple[SparkSession, str]]) -> None:
+    """Delete tables of ``tables()``; call it when no result that reads them is needed any more."""
+    for spark, path in some:
+        if (spark, path) in _made:
+            _made.remove((spark, path))
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release() -> None:
-    """Delete the tables that ``cut`` has written; call it when no result that reads them is needed any more."""
-    while _made:
-        spark, path = _made.pop()
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    """Delete all tables that ``cut`` has written."""
+    drop(tables())
 
 
 @atexit.register

@@ -73,14 +73,15 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "source_mixing", "byte_bpe"]
     at, seen = docs, []
     for name, stage in pipeline.STAGES[:-1]:
-        at = stage(spark, at, d).cache()
+        stage(spark, at, d).write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
         assert at.columns == docs.columns
         seen.append({r.doc_id for r in at.select("doc_id").collect()})
     assert len(seen[0]) > 150 and seen[1] == seen[0] and seen[2] < seen[1] and seen[3] <= seen[2]
