@@ -11,7 +11,7 @@ VIEWS = {
         CASE WHEN l_linenumber % 2 = 0 THEN 'knn5' ELSE 'linear' END AS method, CASE WHEN l_returnflag = 'R' THEN 'model_native' ELSE 'bandspec_zscore' END AS normalization,
         CASE WHEN l_linestatus = 'O' THEN 'rgb' ELSE 'all' END AS bands, CASE WHEN l_orderkey % 2 = 0 THEN '224' ELSE ' 224.0' END AS image_size, CAST(l_linenumber % 3 AS INT) AS seed,
         CASE WHEN l_orderkey % 3 = 0 THEN '' WHEN l_orderkey % 17 = 0 THEN NULL ELSE concat('h', CAST(l_orderkey % 11 AS STRING)) END AS config_hash, 'accuracy' AS metric_name,
-        CAST(l_discount AS DOUBLE) * 5 + CAST(l_tax AS DOUBLE) AS metric_value, CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS append_seq FROM {lineitem}""",
+        CAST(l_discount AS DOUBLE) * 5 + CAST(l_tax AS DOUBLE) AS metric_value, ((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS append_seq FROM {lineitem}""",
     "scores": """SELECT concat('m', CAST(o_custkey % 6 AS STRING)) AS model_name, CASE o_orderkey % 8 WHEN 0 THEN 'income' WHEN 1 THEN 'population' WHEN 2 THEN 'air_temp' WHEN 3 THEN 'elevation' WHEN 4 THEN 'landcover' WHEN 5 THEN 'ecoregion' WHEN 6 THEN 'odd' ELSE 'crop' END AS dataset,
         CASE o_orderkey % 3 WHEN 0 THEN 'random' WHEN 1 THEN 'spatial' ELSE 'official' END AS split, CASE WHEN o_orderkey % 8 < 4 THEN 'r2' ELSE 'accuracy' END AS metric_name,
         CASE WHEN o_orderkey % 19 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(o_totalprice AS DOUBLE) / 250000 - 1.5 END AS metric_value FROM {orders}""",
