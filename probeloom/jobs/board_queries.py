@@ -328,3 +328,10 @@ def first_metric(spark, sf_dir):
 def median_winner(spark, sf_dir):
     """AG33"""
     return L.median_winner(view(spark, sf_dir, "board"))
+
+
+@register("SELECT name, dataset, seed, metric_value, 'now' AS snapshot, append_seq FROM results WHERE method = 'linear' AND append_seq % 13 <> 0", "results")
+def explorer_rows(spark, sf_dir):
+    """PF18"""
+    rows = view(spark, sf_dir, "results").withColumn("metric_value", F.when(F.col("append_seq") % 13 == 0, "none").otherwise(F.col("metric_value").cast("string"))).withColumn("seed", F.col("seed").cast("string"))
+    return R.explorer_rows(rows, ("linear", "profile"), "now").select("name", "dataset", "seed", "metric_value", "snapshot", "append_seq")

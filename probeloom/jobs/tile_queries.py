@@ -231,3 +231,20 @@ def probe_probabilities(spark, sf_dir):
     """PR23"""
     out = P.probe_probabilities(view(spark, sf_dir, "features"), 1.0, 50)
     return out.select("split", "sample_id", "label", F.round(F.array_max("probs"), 6).alias("max_prob"))
+
+
+@register(None)
+def temperature_scaling(spark, sf_dir):
+    """PR10"""
+    from probeloom.operators.metrics import temperature
+
+    rows = view(spark, sf_dir, "features").select("label", F.transform(F.slice("features", 1, 10), lambda x: x.cast("double") * 5).alias("logits"))
+    return spark.createDataFrame([(round(temperature(rows), 6),)], "temperature double")
+
+
+@register(None)
+def multilabel_probe(spark, sf_dir):
+    """PR6"""
+    rows = view(spark, sf_dir, "features").withColumn("labels", F.array((F.col("label") > 4).cast("int"), F.col("label") % 2))
+    out = P.evaluate_multilabel(rows.where("split <> 'test'"), rows.where("split = 'test'"), 2, 1.0, 50)
+    return out.select("sample_id", "place", "y", F.round("prob", 6).alias("prob"))

@@ -50,6 +50,16 @@ def lonlat_columns(columns: Sequence[str]) -> tuple[str, str]:
     return lon, lat
 
 
+def load_config(spark, root: str, config: str) -> DataFrame:
+    """The normalised coordinate table of one configuration."""
+    return spark.read.parquet(f"{root}/{config}")
+
+
+def official_split(rows: DataFrame, column: str = "split") -> DataFrame:
+    """rows with is_test from a split column."""
+    return rows.withColumn("is_test", F.coalesce(F.col(column) == "test", F.lit(False)))
+
+
 def without_nodata(rows: DataFrame, rules: dict[str, float | int | None]) -> DataFrame:
     """Rows whose columns are not null and do not hold the given no-data value."""
     for c, value in rules.items():

@@ -146,7 +146,7 @@ def mean_delta_interval(deltas: DataFrame, by: str, resamples: int = 20_000, lev
     return deltas.where("delta IS NOT NULL").select(by, "delta").groupBy(by).applyInPandas(draw, f"{by} string, mean double, low double, high double")
 
 
-def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", rounds: int = 40) -> float:
+def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", rounds: int = 15) -> float:
     """T = exp(t) that minimises the mean negative log likelihood of softmax(logits / T); each pass sums two derivatives."""
     top = rows.agg(F.max(F.size(logits)), F.max(label)).first()
     if top[0] is None or top[1] >= top[0]:
@@ -164,6 +164,6 @@ def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", r
         slope, curve = scale * g, scale * scale * h - scale * g  # of the loss in t
         step = slope / curve if curve > 1e-12 else np.sign(slope) * 0.5
         t -= float(np.clip(step, -1, 1))
-        if abs(step) < 1e-10:
+        if abs(step) < 1e-8:
             break
     return float(np.exp(t))

@@ -120,3 +120,13 @@ def job_summary(jobs: DataFrame) -> DataFrame:
 def last_completed(events: DataFrame) -> DataFrame:
     """job_id and log of each job's last completed event."""
     return events.where("event = 'completed'").groupBy("job_id").agg(F.max_by("log", "seq").alias("log"))
+
+
+def explorer_rows(rows: DataFrame, methods: Sequence[str], snapshot: str, doubles: Sequence[str] = ("metric_value",), ints: Sequence[str] = ("seed",)) -> DataFrame:
+    """Rows of the allowed methods with a score, numeric columns cast (null where the text is no number), stamped with a snapshot."""
+    out = rows.where(F.col("method").isin(*methods))
+    for kind, columns in (("double", doubles), ("int", ints)):
+        for c in columns:
+            out = out.withColumn(c, F.col(c).try_cast(kind))
+    first = doubles[0]
+    return out.where(F.col(first).isNotNull() & ~F.isnan(first)).withColumn("snapshot", F.lit(snapshot))
