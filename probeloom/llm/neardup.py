@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from probeloom.llm.graph import components, forest, groups
 from probeloom.llm.scratch import cut
+from probeloom.llm.sieve import sieve
 from probeloom.llm.slabs import mix, shingles, slabs, stream
 
 BANDS, ROWS = 28, 6
@@ -275,7 +276,8 @@ def judged(docs: DataFrame) -> DataFrame:
     tied = components(ties)
     sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
     clusters = tied.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
-    linked_reps = components(verify(docs.select(F.col("doc_id").alias("rep"), "text"), clusters, linked_texts, TILE_ROWS, TILE_SHINGLES))
+    texts = sieve(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", tied, "node")
+    linked_reps = components(verify(texts, clusters, linked_texts, TILE_ROWS, TILE_SHINGLES))
     classes = known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(linked_reps, classes["rep"] == linked_reps["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "t", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")

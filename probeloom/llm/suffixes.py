@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from probeloom.llm.graph import groups
 from probeloom.llm.scratch import cut
+from probeloom.llm.sieve import sieve
 from probeloom.llm.slabs import _BASE, _TABLE, Slab, mix, slabs, span_hash
 
 WINDOW, GRAM = 400, 128
@@ -213,7 +214,7 @@ def repeated_spans(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
     many = lead.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1")
     lead = lead.join(many, "key").withColumn("many", F.col("hulls") > class_rows)
     wanted = lead.groupBy("d", "t1", "t2").agg(F.collect_list(F.struct("key", "hull", "many", F.col("places")[0].alias("at"), "lo", "hi")).alias("found"))
-    around = rows.join(wanted, ["d", "t1", "t2"]).select("text", "found").mapInArrow(_contexts, "key long, hull long, many boolean, lo long, hi long, around binary")
+    around = sieve(rows, "t1", lead, "t1").join(wanted, ["d", "t1", "t2"]).select("text", "found").mapInArrow(_contexts, "key long, hull long, many boolean, lo long, hi long, around binary")
     around = cut(around, "around")
     small = around.where("NOT many").repartition("key").sortWithinPartitions("key", "hull").mapInArrow(_small_classes, "key long, hull long, d long")
     large = around.where("many")

@@ -156,6 +156,14 @@ def test_repeated_windows(spark, limit):
     assert suffixes.remove_repeated(docs.limit(0)).count() == 0
 
 
+def test_sieve(spark):
+    from probeloom.llm.sieve import sieve
+
+    rows = spark.range(5000).selectExpr("id * 7 AS k", "id AS v")
+    assert {r.k for r in sieve(rows, "k", spark.range(0, 35000, 70), "id").collect()} >= set(range(0, 35000, 70))
+    assert sieve(rows, "k", spark.range(0, 35000, 70), "id").count() < 600 and sieve(rows, "k", spark.range(0), "id").count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 12))
