@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from probeloom.llm.scratch import cut
 from probeloom.llm.slabs import slabs
 
 WEIGHTS = (3, 1, 2)
@@ -84,6 +85,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     spark = docs.sparkSession
     keep = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *keep)
+    if not carry:
+        rows = cut(rows, "sizes")  # a few numbers for each document, so texts are counted once
     sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("k")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
