@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of the memo of pieces and of the memo of neighbours before they start anew.
-MEMO = 300_000
+#: Entries of the memo of pieces and of the memo of neighbours before they start anew; workers keep them between tasks.
+MEMO, FITS = 150_000, 50_000
 #: Characters of a text from which its pieces are taken in portions.
 LONG = 1 << 20
 
@@ -101,7 +101,7 @@ class Codec:
                     limit, a = a, self.halves[a][1]
                     if a == limit:
                         break
-        if len(self._fits) >= MEMO:
+        if len(self._fits) >= FITS:
             self._fits.clear()
         self._fits[key] = ok
         return ok
@@ -190,11 +190,12 @@ def _with(df: DataFrame, source: str, out: str, work) -> DataFrame:
             for part in _portions(batch, at):
                 made = pa.array(map(work, part.column(at).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], made], names=part.schema.names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return frame.mapInArrow(run, schema)
 
 
-def _portions(batch: pa.RecordBatch, at: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of a few MB each, so that outputs stay small beside long texts."""
     width = batch.column(at).nbytes / max(1, batch.num_rows)
     step = max(1, int(limit / max(1.0, width)))

@@ -1,7 +1,7 @@
 """Vectorised views of many texts at once: Arrow buffers as byte arrays, words, lines and span hashes.
 
-A slab is a run of consecutive rows of an Arrow string column whose bytes lie in one array, of a
-few MB at most (a longer text makes a slab of its own), so numpy temporaries stay bounded.
+A slab is a run of consecutive rows of an Arrow string column whose bytes lie in one array, of half a
+MB about (a longer text makes a slab of its own), so numpy temporaries stay bounded.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
