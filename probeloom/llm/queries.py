@@ -76,7 +76,7 @@ def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probeloom.llm import lines
 
-    return lines.judge(_table(spark, sf_dir, "documents"))
+    return lines.judge(_table(spark, sf_dir, "documents"), short=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op4_vector_near_dedup, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows, op10_line_edit_join)}

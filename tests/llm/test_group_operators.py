@@ -140,6 +140,43 @@ def test_line_edit_join(spark):
     assert lines.judge(docs.limit(0)).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from probeloom.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    planted = ["ok", "}", "Released under the MIT License.", " ", "", "é" * 15]
+    for n in (29, 31, 32, 33, 40, 46, 47, 48, 49, 50):
+        line = "".join(rng.choice("abcdef ghij") for _ in range(n - 1)) + "k"
+        planted += [line, line, "z" + line[1:], line + "!", line[:-1], "zz" + line[2:], line[2:], "zzz" + line[3:]]
+    rng.shuffle(planted)
+    rows = corpus(8) + [(600 + k, "\n".join(planted[k::7]), "en", "s", 1, True, 1) for k in range(7)]
+    rows += [(700 + k, "Released under the MIT License.\n \nok", "en", "s", 1, True, 1) for k in range(3)]
+    found = collections.defaultdict(list)
+    for i, t in sorted({(r[0], r[1]) for r in rows if r[1]}):
+        for k, x in enumerate(t.split("\n")):
+            if len(x.encode()) >= 48 or WORD.search(x):
+                found[x.encode()].append((i, k))
+    every = sorted(found)
+    edits = lambda n: 2 if n >= 48 else 1 if n >= 32 else 0
+    group = components(every, [(x, y) for k, x in enumerate(every) for y in every[:k] if lines.within_edits(x, y, edits(min(len(x), len(y))))])
+    lost = collections.defaultdict(set)
+    for c in set(group.values()):
+        for i, k in sorted(o for x in every if group[x] == c for o in found[x])[1:]:
+            lost[i].add(k)
+    assert lost[701] == lost[702] == {0, 2} and any(group[x] != x and len(x) < 48 for x in every)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_line_edit_join"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.removed == ",".join(map(str, sorted(lost[r.doc_id])))
+    texts = dict((r[0], r[1]) for r in rows)
+    for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect():
+        want = texts[r.doc_id]
+        assert r.text == (want and "\n".join(x for k, x in enumerate(want.split("\n")) if k not in lost[r.doc_id]))
+
+
 @pytest.mark.parametrize("limit", [8192, 2])  # 2: all classes by the shuffle
 def test_repeated_windows(spark, limit):
     rows = corpus(11) + [(900, "é" * 450, "", "", 0, True, 0), (901, "z" + "é" * 430, "", "", 0, True, 0), (902, "q" * 1000, "", "", 0, True, 0)]
