@@ -13,7 +13,8 @@ tiles. So no link between different components is lost, and a group of any size
 unless its links really are sparse. Buckets over ``RUN`` are chained whole in order of set size, without
 the sketch, which only enlarges the cluster.
 
-At the link threshold a pair shares no band with probability 2e-6 and fails the sketch with 5e-6.
+A ``Link`` is a threshold with its bands and sketch bound: ``CONTRACT`` (85/100, operator 8) and ``CORPUS`` (80/100,
+the pipeline). At either threshold a pair shares no band with probability 2e-6 and fails the sketch with 5e-6 (about).
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing, not even
 with each other; repeated rows each give a row of the same component; a row with null id has no component
@@ -23,6 +24,8 @@ and stays; texts of any length are read whole; ties take the smaller id; extra c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +37,30 @@ from probeloom.llm.scratch import cut
 from probeloom.llm.sieve import sieve
 from probeloom.llm.slabs import mix, shingles, slabs, stream
 
-BANDS, ROWS = 28, 6
-SLOTS = BANDS * ROWS
-#: Bits of the sketch that must agree; a pair at the threshold agrees in 155 of 168 on average.
-AGREE = 140
+SLOTS = 168
 #: Rows of a bucket up to which its pairs are looked at one by one.
 RUN = 16
 #: Documents and shingles of a tile at most (about).
 TILE_ROWS, TILE_SHINGLES = 256, 400_000
-NUMERATOR, DENOMINATOR = 85, 100
 _U = np.uint64
 _STEP = stream(0x5A17, SLOTS)
-_SALT = stream(0xBA2D, BANDS)
+
+
+@dataclass(frozen=True)
+class Link:
+    """From which Jaccard similarity (a fraction) sets link, and the candidates that lose next to none at it."""
+
+    numerator: int
+    denominator: int
+    bands: int
+    rows: int  #: slots of a band; bands * rows are SLOTS at most
+    agree: int  #: bits of the sketch that must agree
+
+
+#: A pair at the threshold agrees in 155 of 168 bits on average.
+CONTRACT = Link(85, 100, 28, 6, 140)
+#: A pair at the threshold agrees in 151 of 168 bits on average.
+CORPUS = Link(80, 100, 33, 5, 132)
 
 
 def distinct_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -89,16 +104,16 @@ def signatures(keys: np.ndarray, to: np.ndarray, slots: int = SLOTS) -> np.ndarr
     return out.reshape(docs, slots)
 
 
-def _band_keys(signature: np.ndarray) -> np.ndarray:
+def _band_keys(signature: np.ndarray, link: Link = CONTRACT) -> np.ndarray:
     with np.errstate(over="ignore"):
-        parts = signature.reshape(len(signature), BANDS, ROWS)
-        key = np.broadcast_to(_SALT, (len(signature), BANDS)).copy()
-        for r in range(ROWS):
+        parts = signature[:, : link.bands * link.rows].reshape(len(signature), link.bands, link.rows)
+        key = np.broadcast_to(stream(0xBA2D, link.bands), (len(signature), link.bands)).copy()
+        for r in range(link.rows):
             key = mix(key * _U(0x9E3779B97F4A7C15) + parts[:, :, r])
     return key
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     """doc_id, t (digest of the text), n (set size), k1 and k2 (digest of the set), bands, sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +131,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 keep = n > 0
                 lists = lambda x, w: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(keep * w)]).astype(np.int32), pa.array(x[keep].view(np.int64).ravel()))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(at, docs) for c in (0, 1)), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), lists(_band_keys(signature), BANDS), lists(sketch, 3)],
+                    [*(batch.column(c).slice(at, docs) for c in (0, 1)), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), lists(_band_keys(signature, link), link.bands), lists(sketch, 3)],
                     names=["doc_id", "t", "n", "k1", "k2", "bands", "sketch"],
                 )
                 at += docs
@@ -124,7 +139,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
-def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tied(batches: Iterator[pa.RecordBatch], link: Link = CONTRACT) -> Iterator[pa.RecordBatch]:
     """Candidate ties of sorted bucket rows (key, n, rep, s0, s1, s2)."""
     held, last = None, None  # the open bucket's rows; the last row of an open bucket that is already chained
 
@@ -143,9 +158,9 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]))
             if not len(i):
                 break
-            i = i[n[i] * DENOMINATOR >= n[i + lag] * NUMERATOR]
+            i = i[n[i] * link.denominator >= n[i + lag] * link.numerator]
             same = SLOTS - np.bitwise_count(bits[i] ^ bits[i + lag]).sum(axis=1, dtype=np.int64)
-            i = i[same >= AGREE]
+            i = i[same >= link.agree]
             near.append((i, i + lag))
         if near:  # of the pairs in a bucket, those that span its components are enough
             i, j = (np.concatenate(x) for x in zip(*near, strict=True))
@@ -158,9 +173,9 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum.at(root, j, low)
             i = np.flatnonzero(root != np.arange(len(key)))
             pairs.append(np.column_stack([rep[root[i]], rep[i]]))
-        i = np.flatnonzero(~small[1:] & (key[1:] == key[:-1]) & (n[:-1] * DENOMINATOR >= n[1:] * NUMERATOR))
+        i = np.flatnonzero(~small[1:] & (key[1:] == key[:-1]) & (n[:-1] * link.denominator >= n[1:] * link.numerator))
         pairs.append(np.column_stack([rep[i], rep[i + 1]]))
-        if last is not None and last[0] == key[0] and last[1] * DENOMINATOR >= n[0] * NUMERATOR:
+        if last is not None and last[0] == key[0] and last[1] * link.denominator >= n[0] * link.numerator:
             pairs.append(np.array([[last[2], rep[0]]]))
         last = rows[-1] if open_end else None
         made = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
@@ -183,7 +198,7 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ties(held, False)
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], link: Link = CONTRACT) -> np.ndarray:
     """Which pairs of sets reach the threshold, as a symmetric matrix with a false diagonal."""
     k, n = len(sets), np.array([len(s) for s in sets])
     if k == 2:
@@ -205,17 +220,17 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
             block = np.zeros((k, width), np.float32)
             block[owner[a:b], code[a:b] - at] = 1
             inter += np.rint(block @ block.T).astype(np.int64)
-    out = DENOMINATOR * inter >= NUMERATOR * (n[:, None] + n[None, :] - inter)
+    out = link.denominator * inter >= link.numerator * (n[:, None] + n[None, :] - inter)
     np.fill_diagonal(out, False)
     return out
 
 
-def linked_texts(texts: pa.ChunkedArray) -> np.ndarray:
+def linked_texts(texts: pa.ChunkedArray, link: Link = CONTRACT) -> np.ndarray:
     """Which pairs of texts have shingle sets that reach the threshold."""
     sets = []
     for keys, to in distinct_sets(texts):
         sets += [keys[a:b].copy() for a, b in zip(to[:-1], to[1:], strict=True)]
-    return linked(sets)
+    return linked(sets, link)
 
 
 def verify(texts: DataFrame, clusters: DataFrame, link: Callable[[pa.ChunkedArray], np.ndarray], tile_rows: int, tile_size: int) -> DataFrame:
@@ -265,19 +280,19 @@ def verify(texts: DataFrame, clusters: DataFrame, link: Callable[[pa.ChunkedArra
     return one.union(compare(probes.union(rest)))
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     """doc_id, t (digest of the text), n_shingles, component_id, kept of every document."""
-    rows = cut(signed(docs), "signed")
+    rows = cut(signed(docs, link), "signed")
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
     same = known.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
     reps = same.select(F.col("r.doc_id").alias("rep"), "n", "r.bands", "r.sketch")
     buckets = reps.select(F.explode("bands").alias("key"), "n", "rep", *(F.col("sketch")[i].alias(f"s{i}") for i in range(3)))
-    ties = buckets.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_tied, "a long, b long")
+    ties = buckets.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(partial(_tied, link=link), "a long, b long")
     tied = components(ties)
     sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
     clusters = tied.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
     texts = sieve(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", tied, "node")
-    linked_reps = components(verify(texts, clusters, linked_texts, TILE_ROWS, TILE_SHINGLES))
+    linked_reps = components(verify(texts, clusters, partial(linked_texts, link=link), TILE_ROWS, TILE_SHINGLES))
     classes = known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(linked_reps, classes["rep"] == linked_reps["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "t", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
@@ -285,14 +300,14 @@ def judged(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    return judged(docs).drop("t")
+    return judged(docs, link).drop("t")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     """The rows of docs that are the smallest id of their component, one row for each id and text; all columns as they are."""
-    verdicts = judged(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    verdicts = judged(docs, link).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
     rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_u": F.xxhash64("text")})
     kept = rows.join(verdicts, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_u") == F.col("_t")), "left_semi")
     if not rows.groupBy("_i", "_u").count().where("count > 1").isEmpty():  # repeated rows: rare, so only then a second look at all columns

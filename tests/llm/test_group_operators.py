@@ -75,6 +75,26 @@ def test_near_duplicates(spark, monkeypatch):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pipeline_links_from_80(spark, tmp_path):
+    import corpus_pipeline
+
+    for link in (neardup.CONTRACT, neardup.CORPUS):
+        assert (1 - (link.numerator / link.denominator) ** link.rows) ** link.bands < 2.5e-6 and link.bands * link.rows <= neardup.SLOTS
+    rng = random.Random(6)
+    rows, kept, links = [], set(), 0
+    for k in range(60):  # a text and its tail cut: similarity exactly small / large
+        large = 100
+        small = (79, 80, 82, 84, 85)[k % 5]
+        base = [f"{k}x{rng.randrange(10**6)}" for _ in range(large + 4)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: small + 4]))]
+        kept |= {2 * k} | ({2 * k + 1} if small < 80 else set())
+        links += small >= 85
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), True, 1) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(kept)
+    assert neardup.keep_one(docs).count() == len(rows) - links
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
