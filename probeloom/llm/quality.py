@@ -164,17 +164,21 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, good_lost: float = GOOD_LOST) -> Trees | None:
-    """Fit on at most ``rows`` labelled documents, the first in an order of hashes; a fifth of them sets the threshold."""
+    """Fit on at most ``rows`` labelled documents, the first in an order of hashes; a fifth of them sets the threshold.
+
+    Of documents with the same id, that with the least text digest stands for all.
+    """
     known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # bounded by rows
+    texts = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("t"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).join(texts, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(known), ["doc_id", "t"]).select("doc_id", "text", "y")  # known: bounded by rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(measure(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = sample.mapInArrow(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = sample.mapInArrow(run, "doc_id long, y double, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy()
     if len(set(y)) < 2:
         return None

@@ -60,6 +60,24 @@ def test_quality_on_held_out_rows_and_odd_tables(spark):
     assert quality.train(odd, labels.limit(0)) is None
 
 
+def test_training_takes_a_document_for_each_label(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)) or quality.Trees(*(np.zeros((1, 1)) for _ in range(3)), 0.0))
+    monkeypatch.setattr(quality.Trees, "score", lambda self, x: np.zeros(len(x)))
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["a", "bc", "def"]) for _ in range(30))) for k in range(40)]
+    labels = spark.createDataFrame([(k, float(k % 2)) for k in range(400)], "doc_id long, quality double")  # 360 without a document
+    copies = rows + [rows[7]] * 300 + [(9, f"other {k}") for k in range(300)]
+    for limit, n in ((1000, 40), (40, 40), (25, 25)):
+        seen.clear()
+        quality.train(spark.createDataFrame(copies, "doc_id long, text string"), labels, rows=limit)
+        assert len(seen[-1][1]) == n
+    seen.clear()
+    for some in (rows, rows + [rows[7]] * 300):
+        quality.train(spark.createDataFrame(some, "doc_id long, text string"), labels)
+    assert np.array_equal(seen[1][0], seen[3][0]) and np.array_equal(seen[1][1], seen[3][1])
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     P = pytest.importorskip("public_tokenizers")
