@@ -6,17 +6,25 @@ the next shorter token when the last two tokens could not stand side by side in
 Whether two tokens may be neighbours depends on those two alone, so that answer is memoised and every
 position fails at most once: the time is linear in the piece.
 
-Defined results: a null text encodes as the empty text (no ids); texts of any length are encoded whole,
-piece by piece; repeated rows give equal rows; other columns of the input pass through untouched unless
-they bear the name of an output column, which replaces them.
+The pieces of a portion of texts that are not known yet go through this together: one run of the automaton
+over all of them, then steps of the backtracking for all pieces at once as array operations. Long pieces
+are encoded one by one. Known pieces are kept in two generations, so a full memo loses only what was not
+met again; answers about neighbours are kept in a table of fixed size. ``round_trip`` encodes, decodes and
+digests in one pass of Python over the texts.
+
+Defined results: a null text encodes as the empty text (no ids); an empty table gives an empty one; texts of
+any length are encoded whole, piece by piece; repeated rows give equal rows; null ids decode to null; other
+columns of the input pass through ``encode`` and ``decode`` untouched unless they bear the name of an output
+column, which replaces them, and ``round_trip`` ignores them.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of the memo of pieces and of the memo of neighbours before they start anew; workers keep them between tasks.
-MEMO, FITS = 150_000, 50_000
+#: Pieces in a generation of the memo; workers keep two generations between tasks.
+MEMO = 120_000
+#: Slots of the table of neighbours, entries of the dictionary that single pieces use.
+SLOTS, FITS = 1 << 18, 50_000
+#: Bytes of a piece up to which it is encoded together with others, and pieces that are so at a time.
+SHORT, TOGETHER = 64, 16_384
 #: Characters of a text from which its pieces are taken in portions.
 LONG = 1 << 20
+#: Bytes of text in a portion (about).
+PORTION = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,6 +76,21 @@ class Codec:
         self.automaton.make_automaton()
         while self.apart & set(self.shorter.values()):
             self.shorter = {i: self.shorter[s] if s in self.apart else s for i, s in self.shorter.items()}
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """What the encoding of many pieces and the decoding look up, by token id."""
+        self.width = max(self.token, default=0) + 1
+        fill = lambda d: np.array([d.get(i, 0) for i in range(self.width)], np.int64)
+        self._size, self._shorter = fill(self.size), fill(self.shorter)
+        self._left, self._right = (fill({i: h[k] for i, h in self.halves.items()}) for k in (0, 1))
+        keys = np.array([a * self.width + b for a, b in self.merged], np.int64)
+        order = np.argsort(keys)
+        self._pairs = keys[order]
+        self._made = np.fromiter(self.merged.values(), np.int64, len(keys))[order]
+        self._known, self._ok = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        self._bytes = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(self.width)), np.uint8)
+        self._begin = np.cumsum(self._size) - self._size
 
     def _split(self, i: int) -> tuple[int, int]:
         """The two tokens whose merge is token i; the token itself for a single byte."""
@@ -106,6 +135,90 @@ class Codec:
         self._fits[key] = ok
         return ok
 
+    def _walk(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs at once."""
+        ok, at, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), np.int64(1) << 62)
+        while len(at):
+            key = a * self.width + b
+            place = np.minimum(np.searchsorted(self._pairs, key), max(0, len(self._pairs) - 1))
+            across = len(self._pairs) > 0
+            bad = (self._pairs[place] == key) & (self._made[place] < limit) if across else np.zeros(len(a), bool)
+            ok[at[bad]] = False
+            first, right, left = a > b, self._right[a], self._left[b]
+            end_a, end_b = right == a, left == b
+            take_a = np.where(first, ~end_a, end_b)  # a is undone where it is its turn, or where b cannot be
+            over = np.where(first, end_a & end_b, end_a & end_b)
+            limit = np.where(take_a, a, b + 1)
+            a, b = np.where(take_a, right, a), np.where(take_a, b, left)
+            go = ~bad & ~over
+            at, a, b, limit = at[go], a[go], b[go], limit[go]
+        return ok
+
+    def fits_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs, by way of the table of neighbours: a slot keeps the last pair that fell on it."""
+        key = a * self.width + b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+        out, new = self._ok[slot], np.flatnonzero(self._known[slot] != key)
+        if len(new):
+            out[new] = self._walk(a[new], b[new])
+            self._known[slot[new]], self._ok[slot[new]] = key[new], out[new]
+        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece."""
+        out: list[bytes | None] = [None] * len(pieces)
+        short = []
+        for i, p in enumerate(pieces):
+            whole = self.ranks.get(p)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(p) > SHORT:
+                out[i] = np.array(self.encode_piece(p), "<u4").tobytes()
+            else:
+                short.append(i)
+        for k in range(0, len(short), TOGETHER):
+            some = short[k : k + TOGETHER]
+            for i, packed in zip(some, self._together([pieces[i] for i in some]), strict=True):
+                out[i] = packed
+        return out
+
+    def _together(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """Packed ids of short pieces that are no tokens: the backtracking of all of them, step by step."""
+        text = "\u0100".join([p.decode("latin-1") for p in pieces])  # no token has the mark between them
+        found = np.fromiter(self.automaton.iter(text), [("end", np.int64), ("token", np.int64)])
+        longest = np.full(len(text) + 1, -1)
+        longest[found["end"] + 1 - self._size[found["token"]]] = found["token"]  # ends ascend, so the longest is the last
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = np.cumsum(lengths + 1) - lengths - 1
+        stop = at + lengths
+        failed, depth = np.zeros(len(text) + 1, bool), np.zeros(len(pieces), np.int64)
+        taken = np.zeros((len(pieces), int(lengths.max()) + 1), np.int64)
+        token, live = longest[at], np.arange(len(pieces))
+        while len(live):
+            t, end, d = token[live], at[live] + self._size[token[live]], depth[live]
+            ok = ~failed[end]
+            check = np.flatnonzero(ok & (d > 0))
+            ok[check] = self.fits_many(taken[live[check], d[check] - 1], t[check])
+            on = live[ok]
+            taken[on, depth[on]] = t[ok]
+            depth[on] += 1
+            at[on] = end[ok]
+            token[on] = longest[at[on]]
+            off = live[~ok]
+            token[off] = self._shorter[t[~ok]]
+            off = off[token[off] < 0]
+            while len(off):  # nothing shorter: the position fails, and the token before it is shortened
+                failed[at[off]] = True
+                depth[off] -= 1
+                last = taken[off, depth[off]]
+                at[off] -= self._size[last]
+                token[off] = self._shorter[last]
+                off = off[token[off] < 0]
+            live = live[at[live] < stop[live]]
+        packed = taken[np.arange(taken.shape[1]) < depth[:, None]].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(depth)).tolist()
+        return (packed[a:b] for a, b in zip([0, *ends], ends))
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -132,31 +245,40 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of packed little-endian 32-bit ids."""
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        i = np.frombuffer(ids, "<u4").astype(np.int64)
+        size = self._size[i]
+        to = np.cumsum(size)
+        return self._bytes[np.repeat(self._begin[i] - to + size, size) + np.arange(to[-1] if len(to) else 0)].tobytes()
 
 
-class _Packed(dict):
-    """Pieces and their ids, packed; starts anew when full."""
+class _Memo(dict):
+    """Pieces and their packed ids in two generations: what the older one has moves here when it is met again."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = self.old[piece]
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Makes sure that all these pieces can be looked up until the next call."""
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
-        return out
+        new = list(set(pieces).difference(self, self.old)) if len(pieces) < len(self.old) else [p for p in set(pieces) if p not in self and p not in self.old]
+        self.update(zip(new, self.codec.encode_pieces([p.encode() for p in new]), strict=True))
 
 
-_codecs: dict[str, tuple[Codec, _Packed]] = {}
+_codecs: dict[str, _Memo] = {}
 
 
-def _codec(name: str, ranks) -> tuple[Codec, _Packed]:
-    """One codec for each vocabulary in a Python worker, kept while the worker lives."""
+def _codec(name: str, ranks) -> _Memo:
+    """One codec with its memo for each vocabulary in a Python worker, kept while the worker lives."""
     if name not in _codecs:
-        codec = Codec(ranks.value)
-        _codecs[name] = codec, _Packed(codec)
+        _codecs[name] = _Memo(Codec(ranks.value))
     return _codecs[name]
 
 
@@ -167,69 +289,75 @@ def _pattern(text: str):
     return regex.compile(text)
 
 
-def _pack(text: str | None, pattern, packed: _Packed) -> bytes:
-    if not text:
-        return b""
-    if len(text) < LONG:
-        return b"".join(map(packed.__getitem__, pattern.findall(text)))
-    pieces, parts = (m.group() for m in pattern.finditer(text)), []
-    while part := b"".join(map(packed.__getitem__, islice(pieces, 100_000))):
-        parts.append(part)
-    return b"".join(parts)
+def pack(texts: list[str | None], pattern, memo: _Memo) -> list[bytes]:
+    """Packed ids of each text; texts together are a portion of a few MB at most, but for one long text alone."""
+    if len(texts) == 1 and len(texts[0] or "") >= LONG:
+        pieces, parts = (m.group() for m in pattern.finditer(texts[0])), []
+        while some := list(islice(pieces, 100_000)):
+            memo.learn(some)
+            parts.append(b"".join(map(memo.__getitem__, some)))
+        return [b"".join(parts)]
+    split = [pattern.findall(t) if t else [] for t in texts]
+    memo.learn(list(chain.from_iterable(split)))
+    return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
+
+
+def _portions(column: pa.Array, limit: int = PORTION) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes each, a longer value alone."""
+    size = np.diff(np.frombuffer(column.cast(pa.large_binary()).buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, np.int64)
+    to, at = np.cumsum(size), 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + limit, "right")))
+        yield at, end
+        at = end
 
 
 def _with(df: DataFrame, source: str, out: str, work) -> DataFrame:
-    """df with the binary column ``out`` = work(partition's values of ``source``)."""
+    """df with the binary column ``out`` = work(values of ``source`` in a portion of rows)."""
     keep = [c for c in df.columns if c != out]
-    frame = df.select(*keep, F.col(source).alias(out))
+    frame = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{source}`").alias(out))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.num_columns - 1
-            for part in _portions(batch, at):
-                made = pa.array(map(work, part.column(at).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], made], names=part.schema.names)
-        pa.default_memory_pool().release_unused()  # the worker lives on
+            last = batch.num_columns - 1
+            for a, b in _portions(batch.column(last)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(work(part.column(last).to_pylist()), pa.binary())], names=part.schema.names)
 
     return frame.mapInArrow(run, schema)
 
 
-def _portions(batch: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of a few MB each, so that outputs stay small beside long texts."""
-    width = batch.column(at).nbytes / max(1, batch.num_rows)
-    step = max(1, int(limit / max(1.0, width)))
-    for k in range(0, batch.num_rows, step):
-        yield batch.slice(k, step)
+def _shared(df: DataFrame, ranks: dict[bytes, int]):
+    """The vocabulary (a few MB, whatever the corpus) for all tasks, and a name for it."""
+    return df.sparkSession.sparkContext.broadcast(ranks), str(hash(frozenset(ranks.items())))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a binary column of packed little-endian 32-bit token ids for each text; one row for each row."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), str(hash(frozenset(ranks.items())))
-
-    def work(value: str | None) -> bytes:
-        return _pack(value, _pattern(pattern), _codec(name, shared)[1])
-
-    return _with(docs, text, ids, work)
+    shared, name = _shared(docs, ranks)
+    return _with(docs, text, ids, lambda values: pack(values, _pattern(pattern), _codec(name, shared)))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with a binary column of the bytes that the packed ids stand for; null ids give null."""
-    shared, name = rows.sparkSession.sparkContext.broadcast(ranks), str(hash(frozenset(ranks.items())))
+    shared, name = _shared(rows, ranks)
+    return _with(rows, ids, out, lambda values: [None if v is None else _codec(name, shared).codec.decode(v) for v in values])
 
-    def work(value: bytes | None) -> bytes | None:
-        return None if value is None else _codec(name, shared)[0].decode(value)
 
-    return _with(rows, ids, out, work)
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (packed; left out without ``ids``), ids_sha256, decoded_sha256 of every document."""
+    shared, name = _shared(docs, ranks)
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    names = ["doc_id", "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _codec(name, shared)
+        for batch in batches:
+            for a, b in _portions(batch.column(1)):
+                packed = pack(batch.column(1).slice(a, b - a).to_pylist(), _pattern(pattern), memo)
+                columns = [pa.array([len(p) // 4 for p in packed], pa.int64()), *[pa.array(packed, pa.binary())] * ids, pa.array(map(digest, packed)), pa.array([digest(memo.codec.decode(p)) for p in packed])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=names)
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (packed), ids_sha256, decoded_sha256 of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
-    return coded.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(f"n_tokens long, {'ids binary, ' * ids}ids_sha256 string, decoded_sha256 string").fields])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
