@@ -251,7 +251,7 @@ class Codec:
         return self._bytes[np.repeat(self._begin[i] - to + size, size) + np.arange(to[-1] if len(to) else 0)].tobytes()
 
 
-class _Memo(dict):
+class _Packed(dict):
     """Pieces and their packed ids in two generations: what the older one has moves here when it is met again."""
 
     def __init__(self, codec: Codec):
@@ -272,13 +272,13 @@ class _Memo(dict):
         self.update(zip(new, self.codec.encode_pieces([p.encode() for p in new]), strict=True))
 
 
-_codecs: dict[str, _Memo] = {}
+_codecs: dict[str, _Packed] = {}
 
 
-def _codec(name: str, ranks) -> _Memo:
+def _codec(name: str, ranks) -> _Packed:
     """One codec with its memo for each vocabulary in a Python worker, kept while the worker lives."""
     if name not in _codecs:
-        _codecs[name] = _Memo(Codec(ranks.value))
+        _codecs[name] = _Packed(Codec(ranks.value))
     return _codecs[name]
 
 
@@ -289,7 +289,7 @@ def _pattern(text: str):
     return regex.compile(text)
 
 
-def pack(texts: list[str | None], pattern, memo: _Memo) -> list[bytes]:
+def pack(texts: list[str | None], pattern, memo: _Packed) -> list[bytes]:
     """Packed ids of each text; texts together are a portion of a few MB at most, but for one long text alone."""
     if len(texts) == 1 and len(texts[0] or "") >= LONG:
         pieces, parts = (m.group() for m in pattern.finditer(texts[0])), []
@@ -302,6 +302,11 @@ def pack(texts: list[str | None], pattern, memo: _Memo) -> list[bytes]:
     return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
 
 
+def _pack(text: str | None, pattern, memo: _Packed) -> bytes:
+    """Packed ids of one text."""
+    return pack([text], pattern, memo)[0]
+
+
 def _portions(column: pa.Array, limit: int = PORTION) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``limit`` bytes each, a longer value alone."""
     size = np.diff(np.frombuffer(column.cast(pa.large_binary()).buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, np.int64)

@@ -21,7 +21,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from probeloom.llm import bpe
 
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN).drop("ids")
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, ids=False)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
