@@ -28,11 +28,14 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces in a generation of the memo; workers keep two generations between tasks.
+from probeloom.llm.slabs import tidied
+
+#: Pieces in a generation of the memo.
 MEMO = 120_000
 #: Slots of the table of neighbours, entries of the dictionary that single pieces use.
 SLOTS, FITS = 1 << 18, 50_000
@@ -51,40 +54,64 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Exact BPE of one vocabulary: the pair with the lowest rank merges first, the leftmost of equals."""
+    """Exact BPE of one vocabulary: the pair with the lowest rank merges first, the leftmost of equals.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        import ahocorasick
+    The driver finds how the tokens are made of each other; ``state`` has that as arrays of a few MB for the tasks,
+    from which ``restore`` builds the lookups and the automaton.
+    """
 
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.size = {i: len(t) for t, i in ranks.items()}
-        self.shorter: dict[int, int] = {}
+        self.width = max(self.token, default=0) + 1
+        self.size = [len(self.token.get(i, b"")) for i in range(self.width)]
+        self.shorter = [-1] * self.width
         for t, i in ranks.items():
             self.shorter[i] = next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), -1)
-        self.merged: dict[tuple[int, int], int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
+        self.merged: dict[int, int] = {}  # by left * width + right
+        self.left, self.right = list(range(self.width)), list(range(self.width))
         self._fits: dict[tuple[int, int], bool] = {}
         self.apart: set[int] = set()  # tokens that no sequence of merges makes; they stand for whole pieces only
         for i in sorted(self.token):
-            self.halves[i] = self._split(i)
-        self._fits.clear()
+            self.left[i], self.right[i] = self._split(i)
+        while self.apart & set(self.shorter):
+            self.shorter = [self.shorter[s] if s in self.apart else s for s in self.shorter]
+        self._ready()
+
+    def state(self) -> dict:
+        order = sorted(self.token)
+        number = lambda x: np.array(x, np.int32)
+        return {
+            "bytes": b"".join(self.token[i] for i in order), "ids": number(order), "size": number(self.size), "shorter": number(self.shorter), "left": number(self.left), "right": number(self.right),
+            "pairs": np.fromiter(self.merged, np.int64, len(self.merged)), "made": np.fromiter(self.merged.values(), np.int32, len(self.merged)), "apart": number(sorted(self.apart)),
+        }
+
+    @classmethod
+    def restore(cls, state: dict) -> Codec:
+        self = cls.__new__(cls)
+        self.size, self.shorter, self.left, self.right = (state[k].tolist() for k in ("size", "shorter", "left", "right"))
+        self.width, self.apart = len(self.size), set(state["apart"].tolist())
+        self.token, at = {}, 0
+        for i in state["ids"].tolist():
+            self.token[i] = state["bytes"][at : at + self.size[i]]
+            at += self.size[i]
+        self.ranks = {t: i for i, t in self.token.items()}
+        self.merged = dict(zip(state["pairs"].tolist(), state["made"].tolist(), strict=True))
+        self._ready()
+        return self
+
+    def _ready(self) -> None:
+        """The automaton, and by token id the arrays that the encoding of many pieces and the decoding look up."""
+        import ahocorasick
+
+        self._fits = {}
         self.automaton = ahocorasick.Automaton()
-        for t, i in ranks.items():
+        for t, i in self.ranks.items():
             if i not in self.apart:
                 self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
-        while self.apart & set(self.shorter.values()):
-            self.shorter = {i: self.shorter[s] if s in self.apart else s for i, s in self.shorter.items()}
-        self._arrays()
-
-    def _arrays(self) -> None:
-        """What the encoding of many pieces and the decoding look up, by token id."""
-        self.width = max(self.token, default=0) + 1
-        fill = lambda d: np.array([d.get(i, 0) for i in range(self.width)], np.int64)
-        self._size, self._shorter = fill(self.size), fill(self.shorter)
-        self._left, self._right = (fill({i: h[k] for i, h in self.halves.items()}) for k in (0, 1))
-        keys = np.array([a * self.width + b for a, b in self.merged], np.int64)
+        self._size, self._shorter, self._left, self._right = (np.array(x, np.int64) for x in (self.size, self.shorter, self.left, self.right))
+        keys = np.fromiter(self.merged, np.int64, len(self.merged))
         order = np.argsort(keys)
         self._pairs = keys[order]
         self._made = np.fromiter(self.merged.values(), np.int64, len(keys))[order]
@@ -100,7 +127,7 @@ class Codec:
         while left != -1:
             right = self.ranks.get(whole[self.size[left] :])
             if right is not None and left < i and right < i and left not in self.apart and right not in self.apart and self.fits(left, right):
-                self.merged[left, right] = i
+                self.merged[left * self.width + right] = i
                 return left, right
             left = self.shorter[left]
         self.apart.add(i)
@@ -114,20 +141,20 @@ class Codec:
             return known
         limit, ok = 1 << 62, True
         while True:
-            across = self.merged.get((a, b))
+            across = self.merged.get(a * self.width + b)
             if across is not None and across < limit:
                 ok = False
                 break
             if a > b:  # undo the later of the two merges; of equals, the right one was later
-                limit, a = a, self.halves[a][1]
+                limit, a = a, self.right[a]
                 if a == limit:
-                    limit, b = b + 1, self.halves[b][0]
+                    limit, b = b + 1, self.left[b]
                     if b + 1 == limit:
                         break
             else:
-                limit, b = b + 1, self.halves[b][0]
+                limit, b = b + 1, self.left[b]
                 if b + 1 == limit:
-                    limit, a = a, self.halves[a][1]
+                    limit, a = a, self.right[a]
                     if a == limit:
                         break
         if len(self._fits) >= FITS:
@@ -272,16 +299,6 @@ class _Packed(dict):
         self.update(zip(new, self.codec.encode_pieces([p.encode() for p in new]), strict=True))
 
 
-_codecs: dict[str, _Packed] = {}
-
-
-def _codec(name: str, ranks) -> _Packed:
-    """One codec with its memo for each vocabulary in a Python worker, kept while the worker lives."""
-    if name not in _codecs:
-        _codecs[name] = _Packed(Codec(ranks.value))
-    return _codecs[name]
-
-
 @lru_cache(4)
 def _pattern(text: str):
     import regex
@@ -317,52 +334,58 @@ def _portions(column: pa.Array, limit: int = PORTION) -> Iterator[tuple[int, int
         at = end
 
 
-def _with(df: DataFrame, source: str, out: str, work) -> DataFrame:
-    """df with the binary column ``out`` = work(values of ``source`` in a portion of rows)."""
+def _with(df: DataFrame, source: str, out: str, begin, work) -> DataFrame:
+    """df with the binary column ``out`` = work(begin() of the task, values of ``source`` in a portion of rows)."""
     keep = [c for c in df.columns if c != out]
     frame = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{source}`").alias(out))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
+            held = held or begin()
             last = batch.num_columns - 1
             for a, b in _portions(batch.column(last)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(work(part.column(last).to_pylist()), pa.binary())], names=part.schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(work(held, part.column(last).to_pylist()), pa.binary())], names=part.schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tidied(run), schema)
 
 
-def _shared(df: DataFrame, ranks: dict[bytes, int]):
-    """The vocabulary (a few MB, whatever the corpus) for all tasks, and a name for it."""
-    return df.sparkSession.sparkContext.broadcast(ranks), str(hash(frozenset(ranks.items())))
+def _shared(df: DataFrame, ranks: dict[bytes, int]) -> Broadcast:
+    """What tasks need of the vocabulary (a few MB, whatever the corpus)."""
+    return df.sparkSession.sparkContext.broadcast(Codec(ranks).state())
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a binary column of packed little-endian 32-bit token ids for each text; one row for each row."""
-    shared, name = _shared(docs, ranks)
-    return _with(docs, text, ids, lambda values: pack(values, _pattern(pattern), _codec(name, shared)))
+    shared = _shared(docs, ranks)
+    return _with(docs, text, ids, lambda: (_Packed(Codec.restore(shared.value)),), lambda held, values: pack(values, _pattern(pattern), held[0]))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with a binary column of the bytes that the packed ids stand for; null ids give null."""
-    shared, name = _shared(rows, ranks)
-    return _with(rows, ids, out, lambda values: [None if v is None else _codec(name, shared).codec.decode(v) for v in values])
+    shared = _shared(rows, ranks)
+    return _with(rows, ids, out, lambda: (Codec.restore(shared.value),), lambda held, values: [None if v is None else held[0].decode(v) for v in values])
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (packed; left out without ``ids``), ids_sha256, decoded_sha256 of every document."""
-    shared, name = _shared(docs, ranks)
+    """doc_id, n_tokens, ids (packed; left out without ``ids``), ids_sha256, decoded_sha256 of every document.
+
+    A task builds its codec and memo and drops them at its end, so they do not stay in workers that go on to other work.
+    """
+    shared = _shared(docs, ranks)
     digest = lambda x: hashlib.sha256(x).hexdigest()
     names = ["doc_id", "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _codec(name, shared)
+        memo = None
         for batch in batches:
+            memo = _Packed(Codec.restore(shared.value)) if memo is None else memo
             for a, b in _portions(batch.column(1)):
                 packed = pack(batch.column(1).slice(a, b - a).to_pylist(), _pattern(pattern), memo)
                 columns = [pa.array([len(p) // 4 for p in packed], pa.int64()), *[pa.array(packed, pa.binary())] * ids, pa.array(map(digest, packed)), pa.array([digest(memo.codec.decode(p)) for p in packed])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=names)
 
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(f"n_tokens long, {'ids binary, ' * ids}ids_sha256 string, decoded_sha256 string").fields])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
