@@ -92,3 +92,62 @@ def test_pipeline(spark, tmp_path):
     texts = sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in at.collect())
     assert sorted((r.doc_id, r.decoded_sha256) for r in last) == texts
     assert pipeline.run(spark, d).count() == len(texts)
+
+
+def test_differencing_is_brute_force(spark, monkeypatch):
+    import random
+
+    def common(a, b):  # positions of a in one longest common subsequence, by the plain table
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+        return size[0][0]
+
+    rng = random.Random(5)
+    parts = ["Home of the site", "Terms", "Contact us", "All rights", "Share this"]
+    pages = []
+    for k in range(120):
+        host = f"h{k % 4}.example"
+        lines = sorted(rng.sample(range(5), rng.randrange(5)))
+        own = [f"own line {k} {i}" for i in range(rng.randrange(6))]
+        blocks = [parts[i] for i in lines[:2]] + own + [parts[i] for i in lines[2:]]
+        article = f"<article>{'teaser' * (k % 3)} {k}</article>" if k % 5 == 0 else ""
+        pages.append((k, f"http://{host}/{rng.choice('abc')}/{rng.randrange(40)}/{k}", "<body><nav>menu</nav>" + article + "".join(f"<div>{b}</div>" for b in blocks) + "<footer>foot</footer></body>"))
+    monkeypatch.setattr(html, "SAMPLE", 2)
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    place = lambda url: url.split("://")[1].partition("/")
+    removed = 0
+    for k, url, text in pages:
+        lines = html.lines_of(text)
+        kept = [t for t, kind in lines if kind]
+        host, _, path = place(url)
+        same = sorted((place(u)[2], p, t) for p, u, t in pages if place(u)[0] == host)
+        at = [p for _, p, _ in same].index(k)
+        agree = lambda other: next((i for i, (x, y) in enumerate(zip(path, other)) if x != y), min(len(path), len(other)))  # noqa: E731, B023
+        near = [same[i] for i in (at - 1, at + 1) if 0 <= i < len(same)]
+        near.sort(key=lambda s: -agree(s[0]))
+        free = sum(kind == html.OPEN for _, kind in lines)
+        if not free:
+            assert got[k].text == "\n".join(kept) and got[k].paired is None
+            continue
+        assert got[k].paired == near[0][1]
+        gone = len(kept) - len(got[k].text.split("\n") if got[k].text else [])
+        other = [t for t, _ in html.lines_of(near[0][2])]
+        # the subsequence is as long as the longest; what is gone is open and shared, unless the page is a copy
+        shared = html.shared_lines([t for t, _ in lines], other)
+        assert len(shared) == common([t for t, _ in lines], other)
+        want = {i for i in shared if lines[i][1] == html.OPEN}
+        want = set() if len(want) >= html.COPY * free else want
+        assert got[k].text == "\n".join(t for i, (t, kind) in enumerate(lines) if kind and i not in want)
+        removed += gone
+    assert removed > 50
+
+
+def test_articles_repeat_lines_of_each_other(spark):
+    """On the given pages structure decides every page, and deleting what neighbours share would take text of articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    lines = {r.page_id: html.lines_of(r.html) for r in pages}
+    assert all(kind != html.OPEN for some in lines.values() for _, kind in some)
+    text = {r.page_id: r.text for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert all(text[k] == "\n".join(t for t, kind in some if kind == html.MAIN) for k, some in lines.items())
