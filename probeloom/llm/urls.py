@@ -6,11 +6,15 @@ distrust from hosts with blocked pages against the links; a host whose distrust
 wholly blocked host has by itself, and exceeds its trust, is blocked.
 
 Only urls and aggregated host edges are shuffled; edges are counted map-side before the shuffle. Each
-round of the propagation is written to the shared folder, so a lost executor costs one round.
+round of the propagation is written to the shared folder, so a lost executor costs one round. Scores only grow
+from round to round, and what the rounds left can add is bounded: trust by the sum, distrust by the largest of
+the last changes, times damping / (1 - damping). The rounds end as soon as that cannot alter any verdict.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is allowed;
 null html has no links; repeated rows are judged alike and each counts for its host; of rules of equal
-length the first in the list wins; links within a host are left out; an empty table gives an empty result.
+length the first in the list wins; links within a host are left out; an empty table gives an empty result;
+extra columns are ignored. What is undecided when the bounds fall under ``TOLERANCE`` is a tie; the scores so far
+decide it.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Rules at most: each is tried on each url.
 MAX_RULES = 1000
 DAMPING = 0.85
-ROUNDS = 10
+#: Bound of what is left of the scores at which the rounds end, and rounds after which they must have (an error else).
+TOLERANCE, ROUNDS = 1e-9, 1000
 #: Share of a wholly blocked host's own distrust from which a host is blocked.
 THRESHOLD = 0.5
 LINK = r"""(?i)<a\s[^>]*href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -64,26 +69,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counts.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = 1e-9) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from seeds (host, allowed, blocked as shares of the host's pages) over edges.
 
-    Linked hosts without pages of their own take part. Ends after ``rounds`` rounds, or when nothing changes.
+    Linked hosts without pages of their own take part. The scores are exact enough to tell every host with a
+    distrust of ``threshold`` times (1 - damping) or more that exceeds its trust.
     """
     edges = cut(edges, "edges")
     every = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     seeds = cut(every.join(seeds, "host", "left").na.fill(0.0, ["allowed", "blocked"]), "seeds")
     own = seeds.select("host", ((1 - damping) * F.col("allowed")).alias("trust"), ((1 - damping) * F.col("blocked")).alias("distrust"))
-    state = own
-    for _ in range(rounds):
+    state, least, left = own, threshold * (1 - damping), damping / (1 - damping)
+    for _ in range(ROUNDS):
         forth = edges.join(state, edges["src"] == state["host"]).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("trust")).alias("trust"), F.lit(0.0).alias("distrust"))
         back = edges.join(state, edges["dst"] == state["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("share") * F.col("distrust")).alias("distrust"))
         sent = own.union(forth).union(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         after = cut(sent, "scores")
-        moved = after.alias("a").join(state.alias("b"), "host").agg(F.max(F.abs(F.col("a.trust") - F.col("b.trust")) + F.abs(F.col("a.distrust") - F.col("b.distrust")))).first()[0]
+        change = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
+        moved = after.alias("a").join(state.alias("b"), "host").agg(F.sum(change("trust")), F.max(change("distrust"))).first()
         state = after
-        if (moved or 0.0) < tolerance:
-            break
-    return state
+        more_trust, more_distrust = (left * (m or 0.0) for m in moved)
+        if max(more_trust, more_distrust) < tolerance:
+            return state
+        bad = (F.col("distrust") >= least) & (F.col("distrust") > F.col("trust") + more_trust)
+        fine = (F.col("distrust") + more_distrust < least) | (F.col("distrust") + more_distrust <= F.col("trust"))
+        if state.where(~bad & ~fine).isEmpty():
+            return state
+    raise ValueError(f"no convergence in {ROUNDS} rounds")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,18 +103,18 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, dam
     rows = parsed(pages, rules)
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
-    scores = propagate(seeds, host_edges(pages), damping)
+    scores = propagate(seeds, host_edges(pages), damping, threshold)
     bad = scores.where((F.col("distrust") >= threshold * (1 - damping)) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("scored"))
     return rows.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "scored", F.lit("allow")).alias("verdict"))
 
 
-def oracle(rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for ``judge``, the rounds unrolled."""
+def oracle(rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = DAMPING, rounds: int = 130, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for ``judge``, with as many rounds as leave less than 1e-9 of a score."""
     ranked = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     fit = lambda r: f"(host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}')"
     case = lambda f: "CASE " + " ".join(f"WHEN {fit(r)} THEN '{f(r)}'" for r in ranked) + " END"
     link = LINK.replace("'", "''")
-    out = f"""WITH u AS (SELECT page_id, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    out = f"""WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 p AS (SELECT page_id, html, host, path, {case(lambda r: r[0] + r[1])} AS rule, {case(lambda r: r[2])} AS ruled FROM h),
 l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM p WHERE host <> ''),
@@ -111,12 +123,11 @@ e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM c),
 s AS (SELECT host, sum(a) AS a, sum(b) AS b FROM (
   SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS b FROM p WHERE host <> '' GROUP BY host
   UNION ALL SELECT src, 0.0, 0.0 FROM e UNION ALL SELECT dst, 0.0, 0.0 FROM e) GROUP BY host),
-r0 AS (SELECT host, {1 - damping} * a AS t, {1 - damping} * b AS d FROM s)"""
-    for k in range(rounds):
-        out += f""",
-r{k + 1} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT * FROM r0
-  UNION ALL SELECT dst, {damping} * share * t, 0.0 FROM e JOIN r{k} ON src = host
-  UNION ALL SELECT src, 0.0, {damping} * share * d FROM e JOIN r{k} ON dst = host) GROUP BY host)"""
+own AS MATERIALIZED (SELECT host, {1 - damping} * a AS t, {1 - damping} * b AS d FROM s), l2 AS MATERIALIZED (SELECT * FROM e),
+r(k, host, t, d) AS (SELECT 0, host, t, d FROM own UNION ALL SELECT k + 1, host, sum(t) AS t, sum(d) AS d FROM (
+  SELECT z.k, own.host, own.t, own.d FROM own, (SELECT max(k) AS k FROM r WHERE k < {rounds}) z WHERE z.k IS NOT NULL
+  UNION ALL SELECT k, dst, {damping} * share * t, 0.0 FROM l2 JOIN r ON src = host WHERE k < {rounds}
+  UNION ALL SELECT k, src, 0.0, {damping} * share * d FROM l2 JOIN r ON dst = host WHERE k < {rounds}) GROUP BY k, host)"""
     return out + f"""
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN d >= {threshold * (1 - damping)} AND d > t THEN 'block' END, 'allow') AS verdict
-FROM p LEFT JOIN r{rounds} USING (host)"""
+FROM p LEFT JOIN (SELECT host, t, d FROM r WHERE k = {rounds}) USING (host)"""
