@@ -7,16 +7,21 @@ source go left. So every shard gets an exact number of blocks of every source, t
 disjoint runs of the permuted stream, and each shard is shuffled by itself.
 
 Positions in the streams come from sums over hash buckets and then within a bucket, so no task and no
-window holds a whole source. Only one row for each source reaches the driver (``MAX_SOURCES``).
+window holds a whole source: buckets and the documents of a bucket grow with the root of a source. Blocks
+and shards follow from the words of the mix. Only one row for each source reaches the driver (``MAX_SOURCES``).
 
 Defined results: null text has size 0 and takes 0 words; a null source is a source, ordered last; targets
 stop at twice the source's size; repeated rows are separate documents of equal size; the same rows, seed
-and parameters give the same mix in every run; an empty table gives an empty mix.
+and parameters give the same mix in every run; texts of any length are counted whole, and a document at which
+a quota ends is cut there, or with ``whole`` taken wholly or not at all; documents of equal hash are ordered by
+size; an empty table gives an empty mix; extra columns are ignored by ``plan`` and kept by ``materialise``,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from probeloom.llm.scratch import cut
-from probeloom.llm.slabs import slabs
+from probeloom.llm.slabs import slabs, tidied
 
 WEIGHTS = (3, 1, 2)
-BLOCK_WORDS = 16_384
-SHARDS = 64
-#: Documents that a hash bucket of a source holds about.
+#: Words of a block at least; larger mixes have larger blocks, so there are ``MAX_BLOCKS`` at most (about).
+BLOCK_WORDS, MAX_BLOCKS = 16_384, 500_000_000
+#: Words of a shard (about), and shards at least and at most.
+SHARD_WORDS, SHARDS, MAX_SHARDS = 32_000_000, 64, 1 << 20
+#: Entries of the table of blocks by source and shard at most (8 bytes each, shipped to the tasks).
+MAX_ENTRIES = 20_000_000
+#: Documents that a hash bucket of a source holds about, at least.
 BUCKET_ROWS = 4096
 #: Sources at most; their sizes and quotas are handled on the driver.
 MAX_SOURCES = 100_000
@@ -57,8 +66,6 @@ def targets(sizes: list[int], weights: list[float], share: float, cap: float = 2
 def split_blocks(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     """Blocks of each source (columns) in each shard (rows); column sums are ``blocks``, row sums even to one."""
     out = np.zeros((shards, len(blocks)), np.int64)
-    if sum(blocks) >= 10**9:
-        raise ValueError("over 1e9 blocks: raise block_words")
     todo = [(0, shards, np.array(blocks, np.int64))]
     while todo:
         low, high, count = todo.pop()
@@ -75,11 +82,17 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, seed: int = 17, block_words: int = BLOCK_WORDS, shards: int = SHARDS, carry: bool = False) -> DataFrame:
+def shard_count(words: int, sources: int) -> int:
+    """Shards for a mix of so many words, as many as the table of blocks by source and shard has room for."""
+    return max(SHARDS, min(-(-words // SHARD_WORDS), MAX_SHARDS, MAX_ENTRIES // max(1, sources)))
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, seed: int = 17, block_words: int = BLOCK_WORDS, shards: int | None = None, carry: bool = False, whole: bool = False) -> DataFrame:
     """One row for each document: its id, ``size``, ``source_size``, ``target``, ``taken`` and ``draws``.
 
     ``draws`` has, for each time that the mix takes the document (none, once or twice), the shard, the order
-    in it and the words taken, all from the beginning unless the quota ends within the document.
+    in it and the words taken, all from the beginning unless the quota ends within the document. With ``whole``
+    such a document is taken whole if at least half of it lies within the quota, else not at all.
     ``carry`` keeps the whole input row in a struct ``row``, for ``materialise``.
     """
     spark = docs.sparkSession
@@ -93,9 +106,11 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     sums = sorted(sums, key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r.n for r in sums], [weights[i % len(weights)] for i in range(len(sums))], share)
     quota = [min(round(t), 2 * r.n) for t, r in zip(wanted, sums, strict=True)]
+    shards = shards or shard_count(sum(quota), len(sums))
+    block_words = max(block_words, -(-sum(quota) // MAX_BLOCKS))
     ends = np.cumsum(split_blocks([-(-q // block_words) for q in quota], shards, seed), axis=0).T.copy() if sums else np.zeros((0, shards), np.int64)
     about = spark.createDataFrame(
-        [(r.source, i, r.n, t, q, max(1, r.k // BUCKET_ROWS)) for i, (r, t, q) in enumerate(zip(sums, wanted, quota, strict=True))],
+        [(r.source, i, r.n, t, q, max(1, r.k // max(BUCKET_ROWS, isqrt(r.k)))) for i, (r, t, q) in enumerate(zip(sums, wanted, quota, strict=True))],
         "source string, sid int, source_size long, target double, quota long, buckets long",
     )
     rows = rows.join(F.broadcast(about), rows["source"].eqNullSafe(about["source"])).drop("source")  # MAX_SOURCES rows at most
@@ -107,7 +122,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     at = F.col("before") + F.col("inside")
     rows = rows.withColumn("at", at)
     for e in (0, 1):
-        rows = rows.withColumn(f"t{e}", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("at") - e * F.col("source_size"))).cast("long"))
+        within = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("at") - e * F.col("source_size")))
+        rows = rows.withColumn(f"t{e}", (F.when(2 * within >= F.col("size"), F.col("size")).otherwise(0) if whole else within).cast("long"))
 
     @F.pandas_udf("int")
     def shard(sid, block):  # noqa: ANN001, ANN202
@@ -137,20 +153,25 @@ def _cut(text: str | None, words: int) -> str:
 def materialise(planned: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: a row of the input's columns for each draw, shard after shard, each shard in its drawn order.
 
-    A document at which a quota ends is cut after the last word taken.
+    A document of which not all words are taken is cut after the last one taken. A shard lies in one partition.
     """
-    names = planned.schema["row"].dataType.names
     schema = planned.schema["row"].dataType
-    drawn = planned.select("row", "size", F.explode("draws").alias("d")).select("row.*", F.col("d.shard").alias("_shard"), F.col("d.turn").alias("_turn"), F.when(F.col("d.words") < F.col("size"), F.col("d.words")).alias("_cut"))
-    at = names.index(text)
+    names, at = schema.names, schema.names.index(text)
+    inner = [f"c{i}" for i in range(len(names))]  # no name of the input can meet those of the draw
+    drawn = planned.select("row", "size", F.explode("draws").alias("d"))
+    cut_at = F.when(F.col("d.words") < F.col("size"), F.col("d.words"))
+    drawn = drawn.select(*(F.col("row").getField(n).alias(c) for n, c in zip(names, inner, strict=True)), F.col("d.shard").alias("shard"), F.col("d.turn").alias("turn"), cut_at.alias("cut"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = batch.column(len(names) + 2).to_pylist()
             column = batch.column(at)
             if any(c is not None for c in cuts):
                 column = pa.array([t if c is None else _cut(t, c) for t, c in zip(column.to_pylist(), cuts, strict=True)], column.type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 : len(names)]], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 : len(names)]], names=inner)
 
-    mixed = drawn.repartition("_shard").sortWithinPartitions("_shard", "_turn").mapInArrow(run, T.StructType(schema.fields))
+    parts = max(SHARDS, int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = drawn.repartitionById(parts, "shard").sortWithinPartitions("shard", "turn")  # shard modulo parts
+    mixed = dealt.mapInArrow(run, T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, schema.fields, strict=True)])).toDF(*names)
     return mixed.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in names else mixed
