@@ -18,7 +18,8 @@ the pipeline). At either threshold a pair shares no band with probability 2e-6 a
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing, not even
 with each other; repeated rows each give a row of the same component; a row with null id has no component
-and stays; texts of any length are read whole; ties take the smaller id; extra columns are ignored.
+and stays; texts of any length are read whole; ties take the smaller id; an empty table gives an empty result;
+``near_duplicates`` ignores extra columns, ``keep_one`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from probeloom.llm.graph import components, forest, groups
 from probeloom.llm.scratch import cut
 from probeloom.llm.sieve import sieve
-from probeloom.llm.slabs import mix, shingles, slabs, stream
+from probeloom.llm.slabs import mix, shingles, slabs, stream, tidied
 
 SLOTS = 168
 #: Rows of a bucket up to which its pairs are looked at one by one.
@@ -136,7 +137,7 @@ def signed(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
                 )
                 at += docs
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(tidied(run), "doc_id long, t long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def _tied(batches: Iterator[pa.RecordBatch], link: Link = CONTRACT) -> Iterator[pa.RecordBatch]:
@@ -251,13 +252,14 @@ def verify(texts: DataFrame, clusters: DataFrame, link: Callable[[pa.ChunkedArra
 
     def compare(placed: DataFrame) -> DataFrame:
         rows = placed.join(texts, "rep").select("cluster", "x", "y", "rep", "side", "text")
-        return cut(rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(found, "a long, b long"), "verified")
+        return cut(rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(tidied(found), "a long, b long"), "verified")
 
     sizes = clusters.groupBy("cluster").agg(
         F.count("*").alias("rows"), F.sum("n").alias("size"), F.min("rep").alias("p0"), F.max("rep").alias("p1"),
         F.min_by("rep", F.xxhash64("rep")).alias("p2"), F.max_by("rep", F.xxhash64("rep")).alias("p3"),
     )
-    sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("rows") / tile_rows), F.ceil(F.col("size") / tile_size)).cast("int"))
+    # written, so that a join with it has nothing but exchanges below and Spark can split a large cluster
+    sizes = cut(sizes.withColumn("tiles", F.greatest(F.ceil(F.col("rows") / tile_rows), F.ceil(F.col("size") / tile_size)).cast("int")), "sizes")
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     members = cut(clusters.join(sizes, "cluster").withColumn("tile", tile).withColumn("pivot", F.col("rep").isin(*map(F.col, ("p0", "p1", "p2", "p3")))), "members")
     # a pivot goes to every tile of its cluster
@@ -270,7 +272,7 @@ def verify(texts: DataFrame, clusters: DataFrame, link: Callable[[pa.ChunkedArra
     large = large.join(known, large["rep"] == known["node"], "left").select("rep", "cluster", "tiles", "tile", F.coalesce("component", "rep").alias("component"))
     counts = large.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     core = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    core = core.where("n > most").withColumn("outer_tiles", F.ceil((F.col("n") - F.col("most")) / tile_rows).cast("int"))
+    core = cut(core.where("n > most").withColumn("outer_tiles", F.ceil((F.col("n") - F.col("most")) / tile_rows).cast("int")), "core")
     large = cut(large.join(core, "cluster").withColumn("y", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("outer_tiles")).cast("int")), "outer")
     if large.isEmpty():
         return one
@@ -287,7 +289,7 @@ def judged(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     same = known.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
     reps = same.select(F.col("r.doc_id").alias("rep"), "n", "r.bands", "r.sketch")
     buckets = reps.select(F.explode("bands").alias("key"), "n", "rep", *(F.col("sketch")[i].alias(f"s{i}") for i in range(3)))
-    ties = buckets.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(partial(_tied, link=link), "a long, b long")
+    ties = buckets.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(tidied(lambda batches: _tied(batches, link)), "a long, b long")
     tied = components(ties)
     sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
     clusters = tied.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
@@ -295,7 +297,7 @@ def judged(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     linked_reps = components(verify(texts, clusters, partial(linked_texts, link=link), TILE_ROWS, TILE_SHINGLES))
     classes = known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(linked_reps, classes["rep"] == linked_reps["node"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "t", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
+    out = rows.select("doc_id", "t", "n", "k1", "k2").join(cut(classes, "classes"), ["k1", "k2", "n"], "left")  # written, so that Spark can split a large class
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -307,9 +309,9 @@ def near_duplicates(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
 
 def keep_one(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     """The rows of docs that are the smallest id of their component, one row for each id and text; all columns as they are."""
-    verdicts = judged(docs, link).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_u": F.xxhash64("text")})
-    kept = rows.join(verdicts, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_u") == F.col("_t")), "left_semi")
-    if not rows.groupBy("_i", "_u").count().where("count > 1").isEmpty():  # repeated rows: rare, so only then a second look at all columns
-        kept = kept.dropDuplicates(["_i", "_u"])
-    return kept.drop("_i", "_u")
+    verdicts = judged(docs, link).where("kept").select(F.col("doc_id").alias("id"), F.col("t").alias("digest")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("u"))
+    kept = rows.join(verdicts, F.col("i").eqNullSafe(F.col("id")) & (F.col("u") == F.col("digest")), "left_semi")
+    if not rows.groupBy("i", "u").count().where("count > 1").isEmpty():  # repeated rows: rare, so only then a second look at all columns
+        kept = kept.dropDuplicates(["i", "u"])
+    return kept.select("row.*")

@@ -6,7 +6,8 @@ monotone. The trees are flattened into node arrays, shipped with the tasks, and
 
 Defined results: a null or empty text has zero in all statistics and fails the base rules; texts of any
 length are read whole; repeated rows are judged alike; without labels of both kinds there is no model and
-the base rules alone decide; a null id stays null; ties with the threshold are kept.
+the base rules alone decide; a null id stays null; ties with the threshold are kept; an empty table gives an
+empty result; ``judge`` ignores extra columns, ``keep_good`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probeloom.llm.slabs import WHITE, Slab, per_text, repeated, slabs, span_hash, windows, within
+from probeloom.llm.slabs import WHITE, Slab, per_text, repeated, slabs, span_hash, tidied, windows, within
 
 #: Labelled documents at most that train the model: its cost and the driver's memory do not grow with the corpus.
 TRAIN_ROWS = 20_000
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, good_lost:
             x = features(measure(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = sample.mapInArrow(run, "doc_id long, y double, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", kind="stable")
+    got = sample.mapInArrow(tidied(run), "doc_id long, y double, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy()
     if len(set(y)) < 2:
         return None
@@ -208,7 +209,7 @@ def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k], pa.int64()) for k in STATS), pa.array(failed), pa.array(score), pa.array(kept)], names=["doc_id", *STATS, "base_failed", "score", "kept"])
 
     schema = f"doc_id long, {', '.join(f'{k} long' for k in STATS)}, base_failed boolean, score double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Trees | None, text: str = "text") -> DataFrame:
@@ -219,4 +220,4 @@ def keep_good(docs: DataFrame, model: Trees | None, text: str = "text") -> DataF
         for batch in batches:
             yield batch.filter(pa.array(_verdict(measure(batch.column(at)), model)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

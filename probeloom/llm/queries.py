@@ -64,7 +64,7 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probeloom.llm import suffixes
 
     rows = suffixes.remove_repeated(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shared_passage")
 
 
 def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,14 @@ refine groups of anchors, and what stands alone after a pass leaves:
 3. the digits are the bytes left and right of the gram: for each offset of the window from the anchor, the
    distinct hulls of a gram are grouped by the bytes that the window has on either side.
 
-Groups of the third pass hold distinct hulls of one gram. Up to ``CLASS`` of them are one sort in memory;
+A gram that holds many anchors is dealt over several tasks by hull, and a hull that does by document; such keys
+come from a sample of documents. Groups of the third pass hold distinct hulls of one gram. Up to ``CLASS`` of them are one sort in memory;
 the windows of larger groups are counted by a shuffle on their digests, with map-side combining.
 
 Defined results: null text is empty; texts shorter than the window lose nothing; repeated rows are
 documents of their own, so all windows of theirs are repeated; matches never cross documents; a null id is
-returned as it is; extra columns are ignored.
+returned as it is; texts of any length are read whole; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeloom.llm.graph import groups
+from probeloom.llm.hot import SALTS, among, hot_keys, sampled
 from probeloom.llm.scratch import cut
 from probeloom.llm.sieve import sieve
-from probeloom.llm.slabs import _BASE, _TABLE, Slab, mix, slabs, span_hash
+from probeloom.llm.slabs import _BASE, _TABLE, Slab, mix, slabs, span_hash, tidied, windows
 
 WINDOW, GRAM = 400, 128
 REACH = WINDOW - GRAM
 #: Distinct hulls of a gram that are compared in one task at most.
 CLASS = 8192
+#: Words of a passage that counts as shared between documents, and of the runs that are compared.
+PASSAGE, SHINGLE = 50, 30
 _U = np.uint64
 
 
@@ -97,7 +102,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and hull: those whose key occurs twice, with ``twice`` (so does the hull) and ``lead`` (first of its hull)."""
+    """Of rows sorted by key and hull: those whose key occurs twice, with ``twice`` (so does the hull) and ``lead`` (first of its hull).
+
+    A task has one part of a hot key (hot 1: whole hulls; 2: some rows of one hull), which occurs elsewhere too.
+    """
     held = None
 
     def done(table: pa.Table, more: tuple[int, int] | None, less: tuple[int, int] | None) -> pa.Table:
@@ -108,8 +116,9 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if more is None:
             same_key[-1] = same_hull[-1] = False
         several = pc.greater(pc.list_value_length(table.column(5)), 1).combine_chunks().to_numpy(zero_copy_only=False)
-        out = table.append_column("twice", pa.array(same_hull[1:] | same_hull[:-1] | several)).append_column("lead", pa.array(~same_hull[:-1]))
-        return out.filter(pa.array(same_key[1:] | same_key[:-1] | several))
+        hot = table.column(8).to_numpy()
+        out = table.drop_columns(["hot"]).append_column("twice", pa.array(same_hull[1:] | same_hull[:-1] | several | (hot == 2))).append_column("lead", pa.array(~same_hull[:-1]))
+        return out.filter(pa.array(same_key[1:] | same_key[:-1] | several | (hot > 0)))
 
     before = None
     for batch in batches:
@@ -207,21 +216,26 @@ def _large_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def repeated_spans(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
     """t1, t2 (digest of a text), spans: the byte ranges [a, b) of each text that repeated windows cover, not merged."""
     rows = docs.select(F.coalesce("d", F.lit(0)).alias("d"), "t1", "t2", "text").where(F.octet_length("text") >= WINDOW)
-    found = rows.mapInArrow(_anchor_rows, "key long, hull long, d long, t1 long, t2 long, places array<long>, lo long, hi long")
-    dealt = found.repartition("key").sortWithinPartitions("key", "hull")
-    kept = cut(dealt.mapInArrow(_second_pass, found.schema.add("twice", "boolean").add("lead", "boolean")), "anchors")
+    schema = "key long, hull long, d long, t1 long, t2 long, places array<long>, lo long, hi long"
+    found = rows.mapInArrow(tidied(_anchor_rows), schema)
+    sample = sampled(rows).mapInArrow(tidied(_anchor_rows), schema).select("key", "hull")
+    hot = F.when(among(hot_keys(sample, "key", "hull"), "key", "hull"), 2).when(among(hot_keys(sample, "key"), "key"), 1).otherwise(0)
+    part = F.when(F.col("hot") == 2, F.pmod(F.xxhash64("t1", "t2", "d"), F.lit(SALTS))).when(F.col("hot") == 1, F.pmod("hull", F.lit(SALTS))).otherwise(0)
+    dealt = found.withColumn("hot", hot).repartition("key", part).sortWithinPartitions("key", "hull")
+    kept = cut(dealt.mapInArrow(tidied(_second_pass), found.schema.add("twice", "boolean").add("lead", "boolean")), "anchors")
     lead = kept.where("lead")
-    many = lead.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1")
+    many = cut(lead.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1"), "hulls")  # written, so that Spark can split a large key in the join
     lead = lead.join(many, "key").withColumn("many", F.col("hulls") > class_rows)
     wanted = lead.groupBy("d", "t1", "t2").agg(F.collect_list(F.struct("key", "hull", "many", F.col("places")[0].alias("at"), "lo", "hi")).alias("found"))
-    around = sieve(rows, "t1", lead, "t1").join(wanted, ["d", "t1", "t2"]).select("text", "found").mapInArrow(_contexts, "key long, hull long, many boolean, lo long, hi long, around binary")
+    around = sieve(rows, "t1", lead, "t1").join(wanted, ["d", "t1", "t2"]).select("text", "found").mapInArrow(tidied(_contexts), "key long, hull long, many boolean, lo long, hi long, around binary")
     around = cut(around, "around")
-    small = around.where("NOT many").repartition("key").sortWithinPartitions("key", "hull").mapInArrow(_small_classes, "key long, hull long, d long")
+    small = around.where("NOT many").repartition("key").sortWithinPartitions("key", "hull").mapInArrow(tidied(_small_classes), "key long, hull long, d long")
     large = around.where("many")
     hits = small
     if not large.isEmpty():
-        windows = large.mapInArrow(_large_classes, "key long, hull long, d long, w long")
+        windows = large.mapInArrow(tidied(_large_classes), "key long, hull long, d long, w long")
         twice = windows.groupBy("key", "d", "w").agg(F.min("hull").alias("x"), F.max("hull").alias("y")).where("x <> y")
+        twice = cut(twice, "windows")
         hits = hits.union(windows.join(twice, ["key", "d", "w"]).select("key", "hull", "d"))
     offsets = hits.groupBy("key", "hull").agg(F.collect_set("d").alias("ds"))
     whole = kept.where("twice").select("t1", "t2", "lo", "hi", F.explode("places").alias("at")).select("t1", "t2", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + WINDOW).alias("b"))
@@ -229,6 +243,77 @@ def repeated_spans(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
     return whole.union(part).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """f, t1: of every run of PASSAGE words, the least hash among its runs of SHINGLE words, each once for a text."""
+    width = PASSAGE - SHINGLE + 1
+    for batch in batches:
+        at = 0
+        for slab in slabs(batch.column(1)):
+            first, last, base = slab.words()
+            key, _, to = windows(span_hash(slab.prefix(), first, last), base, SHINGLE, False)
+            text = np.repeat(np.arange(slab.rows), np.diff(to))
+            least = np.zeros(0, np.int64)
+            if len(key) >= width:
+                least = np.lib.stride_tricks.sliding_window_view(key, width).argmin(axis=1) + np.arange(len(key) - width + 1)
+                least = least[text[: len(least)] == text[width - 1 :]]
+            least = np.unique(least)
+            order = least[np.lexsort((key[least], text[least]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (text[order][1:] != text[order][:-1])
+            order = order[new]
+            yield pa.RecordBatch.from_arrays([_signed(key[order]), batch.column(0).slice(at, slab.rows).take(pa.array(text[order]))], names=["f", "t1"])
+            at += slab.rows
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """t1 of rows sorted by f whose f occurs twice."""
+    held = before = None
+
+    def done(table: pa.RecordBatch, less: int | None, more: int | None) -> pa.RecordBatch:
+        f = table.column(0).to_numpy()
+        same = np.concatenate([[less is not None and f[0] == less], f[1:] == f[:-1], [more is not None and f[-1] == more]])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(table.column(1).to_numpy()[same[1:] | same[:-1]]))], names=["t1"])
+
+    for batch in batches:
+        if batch.num_rows:
+            if held is not None:
+                yield done(held, before, batch.column(0)[0].as_py())
+                before = held.column(0)[-1].as_py()
+            held = batch
+    if held is not None:
+        yield done(held, before, None)
+
+
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """t1 (digest) of every text that has a passage of ``PASSAGE`` words in common with another row of docs (d, t1, text).
+
+    Two texts with such a passage have one of its fingerprints in common, a run of ``SHINGLE`` words, and texts
+    that have one in common count. Fingerprints that hold many rows are found in a sample and not shuffled.
+    """
+    rows = docs.select("d", "t1", "text").where(F.octet_length("text") >= 2 * PASSAGE - 1)
+    schema = "f long, t1 long"
+    prints = rows.select("t1", "text").mapInArrow(tidied(_fingerprints), schema)
+    hot = among(hot_keys(sampled(rows).select("t1", "text").mapInArrow(tidied(_fingerprints), schema), "f"), "f")
+    dealt = prints.withColumn("hot", hot).repartition("f", F.when(F.col("hot"), F.pmod("t1", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("f")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often: list[pa.RecordBatch] = []
+
+        def rare() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mark = batch.column(2)
+                often.append(pa.RecordBatch.from_arrays([batch.column(1).filter(mark).unique()], names=["t1"]))
+                yield pa.RecordBatch.from_arrays([c.filter(pc.invert(mark)) for c in batch.columns[:2]], names=["f", "t1"])
+
+        for met in _met(rare()):
+            yield from often
+            often.clear()
+            yield met
+        yield from often
+
+    return dealt.mapInArrow(tidied(run), "t1 long").distinct()
+
+
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Maximal runs that the spans cover."""
     out: list[list[int]] = []
@@ -241,9 +326,15 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeated(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
-    """doc_id, kept (the text's bytes without repeated windows), n_bytes, n_removed, n_spans of every document."""
+    """doc_id, kept (the text's bytes without repeated windows), n_bytes, n_removed, n_spans of every document.
+
+    shared_passage says whether the document also has a passage of ``PASSAGE`` words in common with another one
+    (``shared_passages``), which may have fewer bytes than a window and then stays.
+    """
     named = docs.select("doc_id", "text", F.col("doc_id").alias("d"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t2"), "text").alias("t2"))
     spans = repeated_spans(named, class_rows)
+    marks = named.select("t1", "t2").distinct().join(shared_passages(named), "t1").withColumn("shared", F.lit(True))
+    found = cut(spans.join(marks, ["t1", "t2"], "full_outer"), "spans")  # written, so that Spark can split a large group of copies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -260,10 +351,10 @@ def remove_repeated(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
                     sizes.append(len(data))
                     removed.append(len(data) - len(kept[-1]))
                     counts.append(len(runs))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), batch.column(3)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "shared_passage"])
 
-    joined = named.join(spans, ["t1", "t2"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    joined = named.join(found, ["t1", "t2"], "left").select(F.col("doc_id").cast("long"), "text", "spans", F.coalesce("shared", F.lit(False)).alias("shared"))
+    return joined.mapInArrow(tidied(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, shared_passage boolean")
 
 
 def brute(texts: list[bytes], window: int = WINDOW) -> list[list[bool]]:

@@ -237,3 +237,48 @@ def test_vectors(spark):
         got = vectors.near_vectors(docs, tile=tile).collect()
         assert collections.Counter(map(tuple, got)) == want
     assert vectors.near_vectors(docs.limit(0)).count() == 0
+
+
+def test_shared_passages(spark, monkeypatch):
+    from probeloom.llm import hot
+
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+    words = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    passages = [words(n) for n in (20, 29, 49, 50, 51, 60, 90)]
+    rows = [(k, " ".join([*words(rng.randrange(40)), *passages[k % 7], *words(rng.randrange(40))])) for k in range(56)]
+    rows += [(100, " ".join(words(300))), (101, None), (102, ""), (103, " ".join(passages[5])), (104, " ".join(passages[5])), (105, "w " * 400)]
+    tokens = [WORD.findall(t or "") for _, t in rows]
+    runs = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in tokens]
+    short = [{tuple(w[i : i + 30]) for i in range(len(w) - 29)} for w in tokens]
+    must = {rows[i][0] for i in range(len(rows)) if any(runs[i] & runs[j] for j in range(len(rows)) if i != j)}
+    may = {rows[i][0] for i in range(len(rows)) if any(short[i] & short[j] for j in range(len(rows)) if i != j)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (hot.SHARE, 0.0):  # 0: every fingerprint that occurs twice in the sample is hot
+        monkeypatch.setattr(hot, "SHARE", share)
+        got = {r.doc_id for r in suffixes.remove_repeated(docs).where("shared_passage").collect()}
+        assert must <= got <= may and must and 100 not in got and 105 not in got
+
+
+def test_hot_keys_give_the_same_result(spark, monkeypatch):
+    from probeloom.llm import hot
+
+    rows = corpus(13)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda got: sorted(map(str, got.collect()))
+    want = key(suffixes.remove_repeated(docs)), key(lines.judge(docs, short=True))
+    monkeypatch.setattr(hot, "SHARE", 0.0)
+    assert (key(suffixes.remove_repeated(docs)), key(lines.judge(docs, short=True))) == want
+
+
+def test_clashing_names(spark):
+    from probeloom.llm import mixing
+
+    names = ["doc_id", "text", "source", "_shard", "_turn", "_cut", "_i", "_u", "lines", "row", "shard", "size", "n_chars"]
+    rows = [(k, f"line {k % 3} of some text that is long enough to count as one\nown {k} words here", "s", *(str(k) for _ in range(9)), k) for k in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    mixed = mixing.materialise(mixing.plan(docs, carry=True, whole=True))
+    assert mixed.columns == names and mixed.count() == 18
+    assert neardup.keep_one(docs).columns == names and neardup.keep_one(docs).count() == 12
+    out = lines.remove_lines(docs)
+    assert out.columns == names and sorted(r._i for r in out.collect()) == sorted(map(str, range(12)))
