@@ -164,6 +164,21 @@ b AS (SELECT s.*, coalesce(family, 'other') AS family FROM s LEFT JOIN families
 """
 
 
+@register("""WITH e AS (SELECT event_id, user_id AS job_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), j AS (SELECT DISTINCT job_id FROM e),
+c AS (SELECT job_id, 'done_' || max(event_id) AS log FROM e WHERE event_type = 'purchase' AND job_id % 3 = 0 GROUP BY 1), a AS (SELECT job_id, min(job_id || '.attempt' || k) AS log FROM e WHERE k = 2 OR k = 3 AND job_id % 2 = 1 GROUP BY 1 HAVING count(*) = 1)
+SELECT job_id, coalesce(c.log, a.log) AS log FROM j LEFT JOIN c USING (job_id) LEFT JOIN a USING (job_id)""")
+def job_logs(spark, sf_dir):
+    """J20"""
+    from pyspark.sql.window import Window
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.col("user_id").alias("job_id"), "event_type")
+    events = rows.where("job_id % 3 = 0").select("seq", "job_id", F.when(F.col("event_type") == "purchase", "completed").otherwise("started").alias("event"), F.concat(F.lit("done_"), F.col("seq").cast("string")).alias("log"))
+    tries = rows.withColumn("k", F.row_number().over(Window.partitionBy("job_id").orderBy("seq")))
+    done = (F.col("k") == 2) | (F.col("k") == 3) & (F.col("job_id") % 2 == 1)  # odd jobs have two logs with the success text
+    attempts = tries.select("job_id", F.concat_ws(".attempt", F.col("job_id").cast("string"), F.col("k").cast("string")).alias("log"), F.when(done, "a\nBenchmark complete.\n").otherwise("failed").alias("text"))
+    return R.job_logs(rows.select("job_id").distinct(), events, attempts, "Benchmark complete.")
+
+
 @register(_SCORES + "SELECT * FROM b", "scores", "families")
 def bench_scores(spark, sf_dir):
     """AG1, PF7, PF8"""
@@ -235,10 +250,18 @@ def pair_wins(spark, sf_dir):
     return L.wins(view(spark, sf_dir, "board"))
 
 
-@register(None)
+@register("""WITH RECURSIVE p AS (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT dataset FROM board)),
+d AS (SELECT dataset, 0 AS r, 1 AS w FROM p UNION ALL SELECT dataset, r, count(*) FROM (SELECT r, CAST('0x' || substr(md5('0:' || r || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT DISTINCT n FROM p), range(1, 1001) t(r), range(0, 64) v(j) WHERE j < n) JOIN p USING (i) GROUP BY 1, 2),
+g AS (SELECT r, a.model AS a, b.model AS b, sum(w * CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) + 0.5 AS won, sum(w) + 1.0 AS games FROM board a JOIN board b ON a.dataset = b.dataset AND a.model <> b.model JOIN d ON d.dataset = a.dataset GROUP BY 1, 2, 3),
+h AS (SELECT r, a, sum(won) AS won, f.games AS games FROM (SELECT r, a, sum(won) AS won FROM g GROUP BY 1, 2) q JOIN (SELECT r, a, list(games ORDER BY b) AS games FROM (SELECT r, a, b, games FROM g UNION ALL SELECT DISTINCT r, a, a, 0.0 FROM g) GROUP BY 1, 2) f USING (r, a) GROUP BY ALL),
+m AS MATERIALIZED (SELECT r, list(a ORDER BY a) AS names, list(won ORDER BY a) AS won, list(games ORDER BY a) AS games FROM h GROUP BY 1),
+s(k, r, s) AS (SELECT 0, r, list_transform(won, lambda x: 1.0::DOUBLE) FROM m UNION ALL SELECT k + 1, r, list_transform(s, lambda x: x / exp(list_avg(list_transform(s, lambda y: ln(y))))) FROM (
+  SELECT k, r, list_transform(won, lambda x, i: (x / list_sum(list_transform(games[i], lambda y, j: y / (z.s[i] + z.s[j]))))::DOUBLE) AS s FROM s z JOIN m USING (r) WHERE k < 150)),
+e AS (SELECT r, unnest(names) AS model, unnest(list_transform(s, lambda x: 1000 + 400 * log10(x))) AS rating FROM s JOIN m USING (r) WHERE k = 150)
+SELECT model, round(max(rating) FILTER (r = 0), 4) AS rating, round(quantile_cont(rating, 0.025) FILTER (r > 0), 4) AS low, round(quantile_cont(rating, 0.975) FILTER (r > 0), 4) AS high FROM e GROUP BY 1""", "board")
 def elo_ratings(spark, sf_dir):
     """AG6"""
-    return L.elo(view(spark, sf_dir, "board"), resamples=100)
+    return L.elo(view(spark, sf_dir, "board"), resamples=1000).select("model", *(F.round(c, 4).alias(c) for c in ("rating", "low", "high")))
 
 
 @register("SELECT model, avg(CASE WHEN score = b THEN 0.0 ELSE 100 * (b - score) / (1 - score) END) AS improvability FROM (SELECT *, max(score) OVER (PARTITION BY dataset) AS b FROM board) GROUP BY 1", "board")

@@ -132,18 +132,77 @@ def _probe(spark, sf_dir):
     return rows.select("row_id", "fold", C.fourier(F.col("lat"), F.col("lon"), 3).alias("features"), F.col("y_num").alias("y"), "y_cls")
 
 
-@register(None)
+def _ridge_sql(targets: str, n_targets: int, score: str) -> str:
+    """Ridge with each of five random folds held out, for the whole grid: Gauss and Jordan on the twelve Fourier features."""
+    waves = ", ".join(f"{f}(radians({x}) * {2**i})" for i in range(3) for x in ("lat", "lon") for f in ("sin", "cos"))
+    alphas = ", ".join(f"({a!r}::DOUBLE)" for a in C.ALPHAS)
+    step = "list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1]) ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)"
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT row_id, y_num AS y, y_cls, (row_number() OVER (ORDER BY md5(row_id || ':0'), row_id) - 1) % 5 AS fold, [{waves}]::DOUBLE[] AS x FROM points), cl AS (SELECT list(DISTINCT y_cls ORDER BY y_cls) AS classes FROM points),
+q AS MATERIALIZED (SELECT row_id, fold, x, y, y_cls, {targets} AS t FROM o, cl), tr AS MATERIALIZED (SELECT f AS out, x, t FROM range(0, 5) r(f) JOIN q ON q.fold <> f),
+u AS MATERIALIZED (SELECT out, i, v FROM (SELECT out, unnest(range(1, 13)) AS i, unnest(x) AS v FROM tr)), mo AS MATERIALIZED (SELECT out, i, avg(v) AS m, greatest(stddev_samp(v), 1e-6) AS s FROM u GROUP BY 1, 2),
+ml AS (SELECT out, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM mo GROUP BY 1), mt AS (SELECT out, list(v ORDER BY j) AS mt FROM (SELECT out, j, avg(t[j]) AS v FROM tr, range(1, {n_targets + 1}) a(j) GROUP BY 1, 2) GROUP BY 1),
+z AS MATERIALIZED (SELECT out, list_transform(x, lambda v, i: (v - m[i]) / s[i]) AS x, list_transform(t, lambda v, j: v - mt[j]) AS t FROM tr JOIN ml USING (out) JOIN mt USING (out)),
+g AS (SELECT out, i, list(v ORDER BY j) AS r FROM (SELECT out, i, j, sum(x[i] * CASE WHEN j <= 12 THEN x[least(j, 12)] ELSE t[greatest(j - 12, 1)] END) AS v FROM z, range(1, 13) a(i), range(1, {13 + n_targets}) b(j) GROUP BY ALL) GROUP BY 1, 2),
+gm AS MATERIALIZED (SELECT out, list(r ORDER BY i) AS m FROM g GROUP BY 1), al(alpha) AS (VALUES {alphas}),
+gj(k, out, alpha, m) AS (SELECT 0, out, alpha, list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = j THEN v + alpha ELSE v END)) FROM gm, al UNION ALL SELECT k + 1, out, alpha, {step} FROM gj WHERE k < 12),
+w AS MATERIALIZED (SELECT out, alpha, list_transform(range(0, {n_targets}), lambda j: list_transform(gj.m, lambda r: r[13 + j])) AS w FROM gj WHERE k = 12),
+p AS (SELECT q.fold, alpha, y, y_cls, list_transform(w, lambda c, j: mt[j] + list_inner_product(c, list_transform(x, lambda v, i: (v - ml.m[i]) / ml.s[i]))) AS p FROM q JOIN w ON w.out = q.fold JOIN ml ON ml.out = q.fold JOIN mt ON mt.out = q.fold),
+sc AS (SELECT fold, alpha, {score} AS score FROM p, cl GROUP BY fold, alpha), me AS (SELECT alpha, avg(score) AS mean, stddev_pop(score) AS std FROM sc GROUP BY 1)
+SELECT alpha, round(mean, 6) AS mean, round(std, 6) AS std, alpha IN ({C.ALPHAS[0]!r}::DOUBLE, {C.ALPHAS[-1]!r}::DOUBLE) AS at_edge FROM me ORDER BY round(mean, 12) DESC, alpha LIMIT 1"""
+
+
+def _best(scores, name):
+    return C.best_alpha(scores, name).select("alpha", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "at_edge")
+
+
+@register(_ridge_sql("[y]", 1, "1 - sum((y - p[1]) ** 2) / (var_pop(y) * count(*))"), "points")
 def ridge_regression(spark, sf_dir):
     """PR11, PR13"""
-    return C.best_alpha(C.ridge_r2(_probe(spark, sf_dir)), "r2")
+    return _best(C.ridge_r2(_probe(spark, sf_dir)), "r2")
 
 
-@register(None)
+@register(_ridge_sql("list_transform(classes, lambda c: CASE WHEN c = y_cls THEN 1.0 ELSE 0.0 END)", 5, "avg(CASE WHEN any_value(classes)[list_position(p, list_max(p))] = y_cls THEN 1.0 ELSE 0.0 END)").replace("any_value(classes)", "classes"), "points")
 def ridge_classification(spark, sf_dir):
     """PR12, PR13"""
     rows = _probe(spark, sf_dir)
     classes = sorted(r.y_cls for r in rows.select("y_cls").distinct().collect())
-    return C.best_alpha(C.ridge_accuracy(rows, classes), "accuracy")
+    return _best(C.ridge_accuracy(rows, classes), "accuracy")
+
+
+_DIRTY = "SELECT row_id, CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE y_num END AS y, CASE WHEN row_id % 3 = 0 THEN NULL ELSE y_cls END AS c, [CASE WHEN row_id % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE lon END, CASE WHEN row_id % 13 = 0 THEN NULL ELSE lat END] AS x FROM points"
+
+
+@register(f"SELECT row_id, row_id % 11 <> 0 AND row_id % 13 <> 0 AND row_id % 5 <> 0 AND row_id % 7 <> 0 AS for_regression, row_id % 11 <> 0 AND row_id % 13 <> 0 AND row_id % 3 <> 0 AS for_classes FROM ({_DIRTY})", "points")
+def valid_rows(spark, sf_dir):
+    """PF17"""
+    k = F.col("row_id")
+    rows = view(spark, sf_dir, "points").select(
+        "row_id", F.when(k % 5 == 0, None).when(k % 7 == 0, float("nan")).otherwise(F.col("y_num")).alias("y"), F.when(k % 3 != 0, F.col("y_cls")).alias("c"),
+        F.array(F.when(k % 11 == 0, float("inf")).otherwise(F.col("lon")), F.when(k % 13 != 0, F.col("lat"))).alias("x"),
+    )
+    return rows.select("row_id", C.valid(F.col("y"), F.col("x"), False).alias("for_regression"), C.valid(F.col("c"), F.col("x"), True).alias("for_classes"))
+
+
+@register("SELECT row_id, lon, lat, y_num AS air, country * 1.0 AS fallback FROM points", "points")
+def discovered_columns(spark, sf_dir):
+    """PF10"""
+    table = view(spark, sf_dir, "points").select("row_id", F.col("country").alias("Price"), F.col("y_num").alias("MeanTemp"), F.col("lat").alias("LAT"), F.col("lon").alias("Longitude"), F.col("y_cls").alias("temp_name"))
+    lon, lat = C.lonlat_columns(table.columns)
+    air, fallback = C.label_column(table.schema, "temp", ("row_id",)), C.label_column(table.drop("MeanTemp").schema, "snow", ("row_id",))
+    return table.select("row_id", F.col(lon).alias("lon"), F.col(lat).alias("lat"), F.col(air).alias("air"), F.col(fallback).cast("double").alias("fallback"))
+
+
+@register("SELECT 'points' AS config, row_id, lon, lat, y_num FROM points UNION ALL SELECT 'north', row_id, lon, lat, y_num FROM points WHERE lat > 0", "points")
+def coordinate_configs(spark, sf_dir):
+    """IO5"""
+    from probeloom.sources.place import shared_folder
+
+    root, rows, out = shared_folder(spark, "configs"), view(spark, sf_dir, "points").select("row_id", "lon", "lat", "y_num"), None
+    for name, part in (("points", rows), ("north", rows.where("lat > 0"))):
+        part.write.parquet(f"{root}/{name}")
+        read = C.load_config(spark, root, name).select(F.lit(name).alias("config"), "row_id", "lon", "lat", "y_num")
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 @register("WITH f AS (SELECT source AS class, doc_id || '.jpg' AS name FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5(name || ':0'), name) AS k, count(*) OVER (PARTITION BY class) AS n FROM f) SELECT class, name, CASE WHEN k <= round_even(n * 0.6, 0) THEN 'train' WHEN k <= round_even(n * 0.6, 0) + round_even(n * 0.2, 0) THEN 'val' ELSE 'test' END AS split FROM k")
@@ -159,10 +218,13 @@ def subsample(spark, sf_dir):
     return C.subsample(view(spark, sf_dir, "features"), 100).select("sample_id")
 
 
-@register("SELECT count(*) FILTER (NOT isnan(y_num)) AS n FROM points", "points")
+@register("SELECT unnest(['official', 'regression', 'classification']) AS kind, unnest([count(*) FILTER (country = 3), count(*) FILTER (row_id % 6 <> 0), count(*)]) AS n FROM points", "points")
 def test_sample_count(spark, sf_dir):
     """AG34"""
-    return C.test_sample_count(view(spark, sf_dir, "points"), "regression", False)
+    gap = F.when(F.col("row_id") % 6 == 0, F.when(F.col("row_id") % 12 == 0, float("nan"))).otherwise(F.col("y_num"))
+    rows = view(spark, sf_dir, "points").withColumn("y_num", gap).withColumn("is_test", F.col("country") == 3)
+    parts = [C.test_sample_count(rows, task, official).select(F.lit(kind).alias("kind"), "n") for kind, task, official in (("official", "regression", True), ("regression", "regression", False), ("classification", "classification", False))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("SELECT CAST(floor((lon + 180) / 0.25) AS INTEGER) AS x, CAST(floor((lat + 90) / 0.25) AS INTEGER) AS y, count(*) AS n FROM points GROUP BY 1, 2", "points")
@@ -219,7 +281,7 @@ def coordinate_run(spark, sf_dir):
 
     points = view(spark, sf_dir, "points").select("row_id", "lon", "lat", "year", F.col("y_num").alias("y"), "y_cls", F.lit(False).alias("is_test")).cache()
     benchmarks = spark.createDataFrame([("customers", "balance", "regression", False), ("customers", "segment", "classification", False)], "name string, task string, task_type string, has_official boolean")
-    return run(benchmarks, lambda name, task: points, C.fourier(F.col("lat"), F.col("lon"), 3), "fourier3", folds=2, alphas=(0.1, 10.0, 1000.0))
+    return run(benchmarks, lambda name, task: points, C.fourier(F.col("lat"), F.col("lon"), 3), "fourier3")
 
 
 @register("SELECT sample_id, split = 'test' AS is_test FROM features", "features")

@@ -47,12 +47,19 @@ def run(benchmarks: DataFrame, points: Callable[[str, str], DataFrame], encoder:
     plan = C.plan_evaluations(benchmarks).select(F.col("name").alias("dataset"), "task", "task_type", "method", F.lit(model).alias("model"), "split")
     if stored is not None:
         plan = pending_runs(plan, stored, KEYS)
-    out = []
+    planned: dict[tuple, list] = {}
     for p in plan.orderBy(*KEYS).collect():  # the planned evaluations
-        rows = points(p.dataset, p.task)
-        rows = rows.where(C.valid(F.col("y") if p.task_type == "regression" else F.col("y_cls"), encoder, p.task_type != "regression"))
-        placed = folded(rows, p.split, folds, seed).select("row_id", "fold", encoder.alias("features"), "y", "y_cls").cache()
-        mean, std = score(placed, p.task_type, p.method, 2 if p.split == "official" else folds, alphas)
-        placed.unpersist()
-        out.append((p.dataset, p.task, p.task_type, p.method, p.model, p.split, "r2" if p.task_type == "regression" else "accuracy", float(mean), float(std), folds))
+        planned.setdefault((p.dataset, p.task, p.task_type), []).append(p)
+    out = []
+    for (dataset, task, task_type), runs in planned.items():
+        rows = points(dataset, task)
+        target = F.col("y") if task_type == "regression" else F.col("y_cls")
+        encoded = rows.withColumn("features", encoder).where(C.valid(target, F.col("features"), task_type != "regression")).cache()  # once for all methods and splits
+        for split, some in {s: [p for p in runs if p.split == s] for s in dict.fromkeys(p.split for p in runs)}.items():
+            placed = folded(encoded, split, folds, seed).select("row_id", "fold", "features", "y", "y_cls").cache()
+            for p in some:
+                mean, std = score(placed, task_type, p.method, 2 if split == "official" else folds, alphas)
+                out.append((dataset, task, task_type, p.method, p.model, split, "r2" if task_type == "regression" else "accuracy", float(mean), float(std), folds))
+            placed.unpersist()
+        encoded.unpersist()
     return spark.createDataFrame(out, "dataset string, task string, task_type string, method string, model string, split string, metric_name string, metric_value double, std double, n_folds int")

@@ -40,4 +40,6 @@ def oracle(sql: str, *names: str) -> str:
     if not names:
         return sql
     views = ", ".join(f"{n} AS ({_TABLE.sub(r'\1', VIEWS[n])})" for n in names)
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql[15:]}"
     return f"WITH {views}{', ' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from probeloom.functions.draws import poisson_thresholds
 from probeloom.jobs.fixtures import oracle, view
 from probeloom.operators import audit as A
 from probeloom.operators import knn as N
@@ -43,16 +44,29 @@ def class_average_precision(spark, sf_dir):
     return M.average_precision(view(spark, sf_dir, "judged"), "class")
 
 
-@register(None)
+_U32 = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) + 0.5) / 4294967296"
+#: The draws that poisson_weights makes for a unit: r and w.
+_POISSON = "SELECT {cols}, b * 8 + i + 1 AS r, (" + " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in poisson_thresholds()) + ") AS w FROM (SELECT {cols}, b, i, (CAST('0x' || substr(md5('0:' || {unit} || ':' || b), 4 * i + 1, 4) AS BIGINT) + 0.5) / 65536 AS u FROM {table}, range(0, 13) t(b), range(0, 8) v(i) WHERE b * 8 + i < 100)"
+
+
+@register("""WITH a AS (SELECT class, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n, count(*) FILTER (pred = label) AS h FROM judged GROUP BY 1),
+k AS (SELECT class, n, h, unnest(range(greatest(0, CAST(trunc(h - s) AS BIGINT)), least(n, CAST(trunc(h + s) AS BIGINT) + 1) + 1)) AS k FROM (SELECT *, CASE WHEN h IN (0, n) THEN 0 ELSE 12 * sqrt(n * (h / n) * (1 - h / n)) + 12 END AS s FROM a)),
+l AS (SELECT *, coalesce(sum(CASE WHEN h IN (0, n) THEN -1000 WHEN k < n THEN ln((n - k) / (k + 1)) + ln(h / n) - ln(1 - h / n) END) OVER (PARTITION BY class ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM (SELECT * FROM k WHERE k <= n)),
+m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY class)) AS q FROM l), c AS (SELECT class, k, sum(q) OVER (PARTITION BY class ORDER BY k) / sum(q) OVER (PARTITION BY class) AS c FROM m),
+d AS (SELECT class, r, min(k) AS k FROM (SELECT class, r, """ + _U32.format("'0:' || n || ':' || h || ':' || r") + """ AS u FROM a, range(1, 201) t(r)) JOIN c USING (class) WHERE c >= u GROUP BY 1, 2)
+SELECT class, accuracy, n, avg(k / n) AS mean, quantile_cont(k / n, 0.025) AS low, quantile_cont(k / n, 0.975) AS high FROM d JOIN a USING (class) GROUP BY ALL""", "judged")
 def bootstrap_accuracy(spark, sf_dir):
     """AG16"""
     return M.bootstrap_accuracy(view(spark, sf_dir, "judged"), "class")
 
 
-@register(None)
+@register("WITH d AS (" + _POISSON.format(cols="score, positive", unit="sample_id", table="judged") + """), s AS (SELECT r, score, sum(w * positive) AS tp, sum(w) AS n FROM d WHERE w > 0 GROUP BY 1, 2),
+a AS (SELECT r, tp, sum(tp) OVER w AS atp, sum(n) OVER w AS an FROM s WINDOW w AS (PARTITION BY r ORDER BY score DESC)), e AS (SELECT r, sum(tp * atp / an) / nullif(sum(tp), 0) AS ap FROM a GROUP BY 1)
+SELECT round(avg(ap), 9) AS mean, round(quantile_cont(ap, 0.025), 9) AS low, round(quantile_cont(ap, 0.975), 9) AS high FROM e""", "judged")
 def bootstrap_average_precision(spark, sf_dir):
     """AG17"""
-    return M.bootstrap_ap(view(spark, sf_dir, "judged"), "sample_id", resamples=20)
+    out = M.bootstrap_ap(view(spark, sf_dir, "judged"), "sample_id")
+    return out.select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 _PROBS = "WITH e AS (SELECT vec_id AS sample_id, label, list_transform(embedding[1:10], lambda x: exp(CAST(x AS DOUBLE) * 3)) AS e FROM embeddings), p AS (SELECT sample_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM e), q AS (SELECT *, probs[label + 1] AS quality, list_max(probs) AS max_prob, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS guess FROM p) "
@@ -79,10 +93,12 @@ def segmentation_scores(spark, sf_dir):
     return M.segmentation_scores(view(spark, sf_dir, "confusions"))
 
 
-@register(None)
+@register("WITH d AS (" + _POISSON.format(cols="t, p, n", unit="image_id", table="confusions") + """), z AS (SELECT r, t, p, sum(w * n) AS n FROM d WHERE w > 0 GROUP BY ALL),
+x AS (SELECT r, t AS c, n AS l, 0 AS p, CASE WHEN t = p THEN n ELSE 0 END AS h FROM z UNION ALL SELECT r, p, 0, n, 0 FROM z), c AS (SELECT r, c, sum(h) AS tp, sum(l) + sum(p) - sum(h) AS u FROM x GROUP BY 1, 2), e AS (SELECT r, avg(tp / u) AS m FROM c WHERE u > 0 GROUP BY 1)
+SELECT round(avg(m), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM e""", "confusions")
 def bootstrap_miou(spark, sf_dir):
     """AG18"""
-    return M.bootstrap_miou(view(spark, sf_dir, "confusions"), resamples=20)
+    return M.bootstrap_miou(view(spark, sf_dir, "confusions")).select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 @register("""WITH m AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x, i: CASE WHEN i % 16 = 0 THEN 255 ELSE least(3, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 1) * 2) AS INTEGER))) END) AS mask, list_transform(embedding, lambda x, i: least(3, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 1.1) * 2) AS INTEGER)))) AS pred FROM embeddings),
@@ -94,11 +110,13 @@ def image_confusions(spark, sf_dir):
     return M.confusions(df.select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda x, i: F.when((i + 1) % 16 == 0, 255).otherwise(level(x, 1))).alias("mask"), F.transform("embedding", lambda x: level(x, 1.1)).alias("pred")), 4)
 
 
-@register(None)
+@register("""WITH d AS (SELECT model AS variant, score - 0.5 AS delta, row_number() OVER (PARTITION BY model ORDER BY score - 0.5) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM board),
+g AS (SELECT n, r, CAST('0x' || substr(md5('0:' || r || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT DISTINCT n FROM d), range(1, 20001) t(r), range(0, 64) v(j) WHERE j < n), m AS (SELECT variant, r, avg(delta) AS m FROM d JOIN g USING (n, i) GROUP BY 1, 2)
+SELECT variant, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM (SELECT variant, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) JOIN (SELECT variant, avg(delta) AS mean FROM d GROUP BY 1) USING (variant)""", "board")
 def mean_delta_intervals(spark, sf_dir):
     """AG19"""
     rows = view(spark, sf_dir, "board").select(F.col("model").alias("variant"), (F.col("score") - 0.5).alias("delta"))
-    return M.mean_delta_interval(rows, "variant", resamples=2000)
+    return M.mean_delta_interval(rows, "variant").select("variant", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 _NEAR = """WITH f AS (SELECT sample_id, features::DOUBLE[] AS x, label, split FROM features), n AS (SELECT q.sample_id, q.label, t.sample_id AS train_id, t.label AS tl, list_distance(q.x, t.x) AS distance, row_number() OVER (PARTITION BY q.sample_id ORDER BY list_distance(q.x, t.x), t.sample_id) AS rank FROM f q JOIN f t ON q.split = 'test' AND t.split = 'train') """
@@ -144,7 +162,12 @@ def two_nearest(spark, sf_dir):
     return N.nonzero_two(view(spark, sf_dir, "features")).select("sample_id", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
 
 
-@register(None)
+@register("""WITH f AS (SELECT sample_id, label, features::DOUBLE[] AS x, sample_id % 3 AS fold FROM features), u AS (SELECT fold, unnest(range(1, 65)) AS i, unnest(x) AS x FROM f),
+s AS (SELECT t.fold, i, avg(x) AS m, stddev_pop(x) AS s FROM range(0, 3) t(fold) JOIN u ON u.fold <> t.fold GROUP BY 1, 2), l AS (SELECT fold, list(m ORDER BY i) AS m, list(CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY i) AS s FROM s GROUP BY 1),
+z AS MATERIALIZED (SELECT l.fold, f.fold AS own, sample_id, label, list_transform(x, lambda v, i: (v - m[i]) / s[i]) AS x FROM f, l),
+n AS (SELECT q.fold, q.sample_id, q.label, t.label AS tl, row_number() OVER (PARTITION BY q.sample_id ORDER BY list_distance(q.x, t.x), t.sample_id) AS k FROM z q JOIN z t ON q.fold = t.fold AND q.own = q.fold AND t.own <> t.fold),
+v AS (SELECT fold, sample_id, any_value(label) AS label, tl, count(*) AS c FROM n WHERE k <= 5 GROUP BY 1, 2, 4), p AS (SELECT fold, arg_max(tl, c * 1000 - tl) AS pred, any_value(label) AS label FROM v GROUP BY fold, sample_id)
+SELECT avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n, CAST(fold AS INTEGER) AS fold FROM p GROUP BY fold""", "features")
 def knn_folds(spark, sf_dir):
     """PR4"""
     rows = view(spark, sf_dir, "features")
@@ -208,7 +231,31 @@ def _multi(spark, sf_dir):
     return df.select(F.col("vec_id").alias("sample_id"), marks.alias("labels"), F.transform(F.slice("embedding", 1, 3), lambda x: 1 / (1 + F.exp(-5 * x.cast("double")))).alias("probs"))
 
 
-@register(_MULTI + ", g AS (SELECT *, CASE WHEN y = 1 THEN p < 0.2 ELSE p > 0.8 END AS f FROM u) SELECT place, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (p > 0.5) AS n_pred_pos, count(*) FILTER (f) AS n_flagged, count(*) FILTER (f AND y = 1) / greatest(count(*) FILTER (y = 1), 1) AS flag_rate_pos, count(*) FILTER (f AND y = 0) / greatest(count(*) FILTER (y = 0), 1) AS flag_rate_neg FROM g GROUP BY 1")
+_FLAGS = _MULTI + """, q AS (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS q FROM u), lim AS (SELECT place, y AS c, avg(q) AS lim, count(*) AS n FROM q GROUP BY 1, 2),
+s AS (SELECT sample_id, place, any_value(y) AS y, arg_max(c, z * 10 - c) AS sure FROM (SELECT sample_id, q.place, y, c, CASE WHEN c = 1 THEN p ELSE 1 - p END AS z, lim FROM q JOIN lim ON q.place = lim.place) WHERE z >= lim GROUP BY 1, 2),
+jt AS (SELECT place, y, count(*) AS t, count(*) FILTER (sure <> y) AS c FROM s GROUP BY 1, 2), qu AS (SELECT jt.place, y, round(jt.c / t * n) AS quota FROM jt JOIN lim ON jt.place = lim.place AND jt.y = lim.c),
+rk AS (SELECT sample_id, q.place, quota, row_number() OVER (PARTITION BY q.place, q.y ORDER BY q, sample_id) AS k FROM q JOIN qu ON q.place = qu.place AND q.y = qu.y WHERE q < 0.5),
+g AS (SELECT q.sample_id, q.place, q.y, q.p, q.q, coalesce(k <= quota, false) AS f FROM q LEFT JOIN rk ON q.sample_id = rk.sample_id AND q.place = rk.place) """
+_JACCARD = """, a AS (SELECT place, count(*) AS n FROM u WHERE y = 1 GROUP BY 1), b AS (SELECT x.place, z.place AS other, count(*) AS c FROM u x JOIN u z ON x.sample_id = z.sample_id AND x.place <> z.place AND x.y = 1 AND z.y = 1 GROUP BY 1, 2),
+j AS (SELECT b.place, other, b.c / (a.n + o.n - b.c) AS jac FROM b JOIN a ON a.place = b.place JOIN a o ON o.place = other), nl AS (SELECT p.place, coalesce(arg_max(other, jac * 1000 - other / 1e6), -1) AS nearest, coalesce(max(jac), 0) AS jaccard FROM (VALUES (0), (1), (2)) p(place) LEFT JOIN j USING (place) GROUP BY 1),
+st AS (SELECT place, p, sum(y) AS tp, count(*) AS n FROM u GROUP BY 1, 2), rn AS (SELECT place, tp, sum(tp) OVER w AS atp, sum(n) OVER w AS an FROM st WINDOW w AS (PARTITION BY place ORDER BY p DESC)), ap AS (SELECT place, sum(tp * atp / an) / sum(tp) AS ap FROM rn GROUP BY 1)"""
+
+
+@register(_FLAGS + "SELECT sample_id, place, y, f AS is_issue FROM g")
+def multilabel_issues(spark, sf_dir):
+    """PR22"""
+    return A.multilabel_issues(_multi(spark, sf_dir)).select("sample_id", "place", "y", "is_issue")
+
+
+@register(_FLAGS + """, o AS (SELECT sample_id, list(q ORDER BY q DESC) AS q, bool_or(f) AS is_issue, CAST(sum(y) AS INTEGER) AS n_pos_given, CAST(count(*) FILTER (p > 0.5) AS INTEGER) AS n_pos_pred FROM g GROUP BY 1)
+SELECT sample_id, n_pos_given, n_pos_pred, round(1 - (0.8 * q[3] + 0.2 * (0.8 * q[2] + 0.2 * q[1])), 9) AS issue_score, is_issue FROM o""")
+def multilabel_samples(spark, sf_dir):
+    """PR22"""
+    rows = _multi(spark, sf_dir)
+    return A.multilabel_samples(rows, A.multilabel_issues(rows)).withColumn("issue_score", F.round("issue_score", 9))
+
+
+@register(_FLAGS + _JACCARD + " SELECT g.place, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (p > 0.5) AS n_pred_pos, any_value(ap) AS ap, count(*) FILTER (f) AS n_flagged, avg(CASE WHEN f THEN 1.0 ELSE 0.0 END) AS flag_rate, count(*) FILTER (f AND y = 1) / greatest(count(*) FILTER (y = 1), 1) AS flag_rate_pos, count(*) FILTER (f AND y = 0) / greatest(count(*) FILTER (y = 0), 1) AS flag_rate_neg, any_value(nearest) AS nearest, any_value(jaccard) AS jaccard FROM g JOIN ap USING (place) JOIN nl USING (place) GROUP BY g.place")
 def multilabel_report(spark, sf_dir):
     """AG24, PR22"""
     return A.multilabel_report(_multi(spark, sf_dir))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probeloom.operators.metrics import average_precision
+
 
 def label_quality(rows: DataFrame) -> DataFrame:
     """Rows with self-confidence, issue score, guessed label and its probability (of equals the first class)."""
@@ -48,14 +50,55 @@ def class_report(rows: DataFrame) -> DataFrame:
     return out.select("label", "n", "acc", "n_flagged", "flag_rate", "mean_quality", F.coalesce("top_confused", F.lit(0)).alias("top_confused"), F.coalesce(F.col("m") / F.col("t"), F.lit(0.0)).alias("confused_share"))
 
 
+def _places(rows: DataFrame, *keep: str) -> DataFrame:
+    """place, y, p (probability of the label) of every label of every row."""
+    each = rows.select(*keep, F.posexplode(F.arrays_zip("labels", "probs")).alias("place", "x"))
+    return each.select(*keep, "place", F.col("x.labels").cast("int").alias("y"), F.col("x.probs").cast("double").alias("p"))
+
+
+def multilabel_issues(rows: DataFrame) -> DataFrame:
+    """sample_id, place, y, p, is_issue: confident learning of ``label_issues`` for each label as a problem of two classes.
+
+    Thresholds and quotas are a few numbers for each label and travel by broadcast; only rows that lean to the
+    other class are shuffled for the ranking.
+    """
+    each = _places(rows, "sample_id").withColumn("quality", F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    limits = each.groupBy("place").agg(*(F.avg(F.when(F.col("y") == k, F.col("quality"))).alias(f"t{k}") for k in (0, 1)), *(F.count_if(F.col("y") == k).alias(f"n{k}") for k in (0, 1)))
+    placed = each.join(F.broadcast(limits), "place")  # a row for each label
+    no, yes = F.coalesce(1 - F.col("p") >= F.col("t0"), F.lit(False)), F.coalesce(F.col("p") >= F.col("t1"), F.lit(False))
+    sure = F.when(no & yes, (F.col("p") > 0.5).cast("int")).when(yes, 1).when(no, 0)
+    joint = placed.withColumn("sure", sure).where("sure IS NOT NULL").groupBy("place", "y").agg(F.count("*").alias("t"), F.count_if(F.col("sure") != F.col("y")).alias("c"), F.first("n0").alias("n0"), F.first("n1").alias("n1"))
+    n = F.when(F.col("y") == 1, F.col("n1")).otherwise(F.col("n0"))
+    quota = joint.select("place", "y", F.round(F.col("c") / F.col("t") * n).cast("int").alias("quota"))
+    lean = each.where("quality < 0.5").join(F.broadcast(quota), ["place", "y"])  # two rows for each label
+    ranked = lean.withColumn("k", F.row_number().over(Window.partitionBy("place", "y").orderBy("quality", "sample_id"))).where("k <= quota")
+    flags = ranked.select("sample_id", "place", F.lit(True).alias("is_issue"))
+    return each.join(flags, ["sample_id", "place"], "left").select("sample_id", "place", "y", "p", F.coalesce("is_issue", F.lit(False)).alias("is_issue"))
+
+
+def multilabel_samples(rows: DataFrame, issues: DataFrame, alpha: float = 0.8) -> DataFrame:
+    """sample_id, n_pos_given, n_pos_pred, issue_score, is_issue (any label is one).
+
+    The score is 1 less the labels' self-confidences, averaged exponentially from the best to the worst, the worst with weight ``alpha``.
+    """
+    own = F.transform(F.arrays_zip("labels", "probs"), lambda x: F.when(x["labels"] == 1, x["probs"].cast("double")).otherwise(1 - x["probs"].cast("double")))
+    best = F.reverse(F.array_sort(own))
+    quality = F.aggregate(F.slice(best, 2, F.greatest(F.size(best) - 1, F.lit(0))), best[0], lambda a, x: alpha * x + (1 - alpha) * a)
+    flagged = issues.where("is_issue").select("sample_id").distinct().withColumn("is_issue", F.lit(True))
+    count = lambda c, f: F.size(F.filter(c, f)).cast("int")
+    out = rows.select("sample_id", count("labels", lambda y: y == 1).alias("n_pos_given"), count("probs", lambda p: p > 0.5).alias("n_pos_pred"), (1 - quality).alias("issue_score"))
+    return out.join(flagged, "sample_id", "left").withColumn("is_issue", F.coalesce("is_issue", F.lit(False)))
+
+
 def multilabel_report(rows: DataFrame) -> DataFrame:
-    """Per label place of label vectors: positives, predicted positives, flagged rows, flag rates among positives and negatives."""
-    each = rows.select("sample_id", F.posexplode(F.arrays_zip("labels", "probs")).alias("place", "x")).select("place", F.col("x.labels").alias("y"), F.col("x.probs").alias("p"))
-    flag = F.when(F.col("y") == 1, F.col("p") < 0.2).otherwise(F.col("p") > 0.8)
-    return each.groupBy("place").agg(
-        F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("p") > 0.5).alias("n_pred_pos"), F.count_if(flag).alias("n_flagged"),
-        (F.count_if(flag & (F.col("y") == 1)) / F.greatest(F.count_if(F.col("y") == 1), F.lit(1))).alias("flag_rate_pos"), (F.count_if(flag & (F.col("y") == 0)) / F.greatest(F.count_if(F.col("y") == 0), F.lit(1))).alias("flag_rate_neg"),
+    """Per label place of label vectors: positives, predicted positives, average precision, flagged rows and their share, flag rates among positives and negatives, and the nearest other label by Jaccard index."""
+    y = F.col("y") == 1
+    counts = multilabel_issues(rows).groupBy("place").agg(
+        F.count_if(y).alias("n_pos"), F.count_if(F.col("p") > 0.5).alias("n_pred_pos"), F.count_if("is_issue").alias("n_flagged"), F.avg(F.col("is_issue").cast("double")).alias("flag_rate"),
+        (F.count_if(F.col("is_issue") & y) / F.greatest(F.count_if(y), F.lit(1))).alias("flag_rate_pos"), (F.count_if(F.col("is_issue") & ~y) / F.greatest(F.count_if(~y), F.lit(1))).alias("flag_rate_neg"),
     )
+    ap = average_precision(_places(rows), "place", score="p", positive="y").select("place", "ap")
+    return counts.join(ap, "place").join(nearest_label(rows), "place")
 
 
 def nearest_label(rows: DataFrame) -> DataFrame:

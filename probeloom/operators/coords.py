@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DEFAULT_YEAR = 2021
@@ -50,6 +51,19 @@ def lonlat_columns(columns: Sequence[str]) -> tuple[str, str]:
     return lon, lat
 
 
+def task_columns(schema: T.StructType, exclude: Sequence[str] = ()) -> list[str]:
+    """Numeric columns that are no coordinates and not excluded, in the order of the table."""
+    skip = {c.lower() for c in (*exclude, *lonlat_columns(schema.names))}
+    return [f.name for f in schema.fields if f.name.lower() not in skip and isinstance(f.dataType, T.NumericType)]
+
+
+def label_column(schema: T.StructType, word: str, exclude: Sequence[str] = (), prefix: str = "mean", fallback: str = "price") -> str | None:
+    """Of the task columns: the first whose name contains the word, else begins with the prefix, else is the fallback, else the first; null if there is none."""
+    columns = task_columns(schema, exclude)
+    rules = (lambda c: word.lower() in c, lambda c: c.startswith(prefix), lambda c: c == fallback, lambda c: True)
+    return next((c for rule in rules for c in columns if rule(c.lower())), None)
+
+
 def load_config(spark, root: str, config: str) -> DataFrame:
     """The normalised coordinate table of one configuration."""
     return spark.read.parquet(f"{root}/{config}")
@@ -241,7 +255,7 @@ def best_alpha(scores: DataFrame, score: str) -> DataFrame:
     """alpha, mean, std (population) over folds of the first alpha with the best mean score, and whether it lies at an end of the grid."""
     means = scores.groupBy("alpha").agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
     ends = scores.agg(F.min("alpha").alias("a"), F.max("alpha").alias("b"))
-    top = means.orderBy(F.col("mean").desc(), "alpha").limit(1)
+    top = means.orderBy(F.round("mean", 12).desc(), "alpha").limit(1)  # sums in another order do not break a tie
     return top.join(F.broadcast(ends)).select("alpha", "mean", "std", F.col("alpha").isin(F.col("a"), F.col("b")).alias("at_edge"))
 
 

@@ -47,27 +47,67 @@ def inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return out
 
 
-def attribute_polygons(points: DataFrame, polygons: DataFrame, degrees: float = 5.0) -> DataFrame:
+#: Corners of all polygons together up to which they are shipped to the tasks (16 bytes each and their list of cells).
+SHIPPED = 1_000_000
+
+
+def _corner_range(ring: str) -> tuple[Column, Column]:
+    return F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
+
+
+def attribute_polygons(points: DataFrame, polygons: DataFrame, degrees: float = 5.0, shipped: int = SHIPPED) -> DataFrame:
     """points (row_id, lon, lat) with the name of one polygon (name, ring as array of [lon, lat]) that holds each, of several the first by name.
 
-    Points and polygons meet by grid cell: polygons list the cells of their bounding box, points have one cell.
+    Polygons with ``shipped`` corners at most travel to the tasks, sorted into grid cells, and points are not
+    shuffled. More polygons meet the points in a join by grid cell, split where a cell is crowded.
     """
-    x, y = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    if (polygons.agg(F.sum(F.size("ring"))).first()[0] or 0) <= shipped:
+        return _attribute_shipped(points, polygons, degrees)
+    x, y = _corner_range("ring")
     cells = lambda low, high: F.sequence(F.floor(low / degrees), F.floor(high / degrees))
     cover = polygons.select("name", "ring", F.explode(cells(F.array_min(x), F.array_max(x))).alias("cx"), cells(F.array_min(y), F.array_max(y)).alias("ys")).select("name", "ring", "cx", F.explode("ys").alias("cy"))
     placed = points.select("row_id", "lon", "lat", F.floor(F.col("lon") / degrees).alias("cx"), F.floor(F.col("lat") / degrees).alias("cy"))
+    crowd = placed.groupBy("cx", "cy").agg(F.ceil(F.count("*") / 1_000_000).cast("int").alias("salts"))
+    cover = cover.join(crowd, ["cx", "cy"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    placed = placed.join(crowd, ["cx", "cy"]).withColumn("salt", F.pmod(F.xxhash64("row_id"), "salts").cast("int")).drop("salts")
 
     @F.pandas_udf("boolean")
-    def hit(lon: pd.Series, lat: pd.Series, ring: pd.Series) -> pd.Series:
-        out = np.zeros(len(lon), bool)
-        for key, rows in pd.Series(np.arange(len(lon))).groupby(ring.map(lambda r: tuple(map(tuple, r)))):
-            out[rows] = inside(lon.to_numpy()[rows], lat.to_numpy()[rows], np.array(key))
+    def hit(lon: pd.Series, lat: pd.Series, name: pd.Series, ring: pd.Series) -> pd.Series:
+        out, x, y = np.zeros(len(lon), bool), lon.to_numpy(), lat.to_numpy()
+        for rows in name.groupby(name).indices.values():  # a polygon's rows share its ring
+            out[rows] = inside(x[rows], y[rows], np.array([list(p) for p in ring.iloc[rows[0]]]))
         return pd.Series(out)
 
-    found = placed.join(cover, ["cx", "cy"]).where(hit("lon", "lat", "ring")).groupBy("row_id").agg(F.min("name").alias("name"))
+    found = placed.join(cover, ["cx", "cy", "salt"]).where(hit("lon", "lat", "name", "ring")).groupBy("row_id").agg(F.min("name").alias("name"))
     return points.join(found, "row_id", "left").withColumn("continent", F.coalesce("name", F.lit(OCEAN))).drop("name")
 
 
+def _attribute_shipped(points: DataFrame, polygons: DataFrame, degrees: float) -> DataFrame:
+    rings = [(r.name, np.array([list(p) for p in r.ring])) for r in polygons.orderBy("name").collect()]  # SHIPPED corners at most
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k, (_, ring) in enumerate(rings):
+        (x1, y1), (x2, y2) = (np.floor(f(ring, axis=0) / degrees).astype(int) for f in (np.min, np.max))
+        for cell in ((x, y) for x in range(x1, x2 + 1) for y in range(y1, y2 + 1)):
+            cells.setdefault(cell, []).append(k)
+    shared = points.sparkSession.sparkContext.broadcast((rings, cells))
+
+    @F.pandas_udf("string")
+    def holder(lon: pd.Series, lat: pd.Series) -> pd.Series:
+        rings, cells = shared.value
+        x, y = lon.to_numpy(float), lat.to_numpy(float)
+        out, fine = np.full(len(x), OCEAN, object), np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+        place = pd.DataFrame({"x": np.floor(x[fine] / degrees).astype(int), "y": np.floor(y[fine] / degrees).astype(int)})
+        for cell, at in place.groupby(["x", "y"]).indices.items():
+            left = fine[at]
+            for k in cells.get(tuple(map(int, cell)), ()):
+                hit = inside(x[left], y[left], rings[k][1])
+                out[left[hit]] = rings[k][0]
+                left = left[~hit]
+        return pd.Series(out)
+
+    return points.withColumn("continent", holder(F.col("lon").cast("double"), F.col("lat").cast("double")))
+
+
 def thin(points: DataFrame, cap: int) -> DataFrame:
     """row_id, lon, lat (3 decimals) of ``cap`` evenly spaced points in row order, the first and last among them; all if there are fewer."""
     from probeloom.operators.coords import _dealt

@@ -1,8 +1,9 @@
 """k-nearest-neighbour joins by Euclidean distance and the probes on top of them.
 
-Training rows are packed into blocks of a bounded number of rows. A query block meets every training block
-in a task of its own (blocks, not rows, are joined), keeps its k best there, and the best of all blocks are
-merged by query. Training sets of up to ``ONE_BLOCK`` rows make a single block.
+Training sets of up to ``BLOCK`` rows are shipped to the tasks, and the queries are not shuffled. Larger ones are
+packed into blocks: a query block meets every training block in a task of its own (blocks, not rows, are joined),
+keeps its k best there, and the best of all blocks are merged by query. Query blocks hold ``WIDE`` times as many rows,
+so training rows are copied less often.
 """
 
 from __future__ import annotations
@@ -15,7 +16,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, ONE_BLOCK = 4096, 4096
+BLOCK, WIDE = 4096, 4
+
+
+def _nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """sample_id, train_id, distance of the k rows of y (ids ascending) nearest to each row of x."""
+    out = []
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        d = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * part @ y.T, 0)
+        if exclude_self:
+            d[own[at : at + 512, None] == ids[None, :]] = np.inf
+        m = min(k + 8, len(ids))
+        near = np.argpartition(d, m - 1, axis=1)[:, :m]
+        exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(axis=2))
+        exact[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
+        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
+        near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+        out.append(pd.DataFrame({"sample_id": np.repeat(own[at : at + 512], near.shape[1]), "train_id": ids[near].ravel(), "distance": exact.ravel()}))
+    found = pd.concat(out) if out else pd.DataFrame({"sample_id": [], "train_id": [], "distance": []})
+    return found[np.isfinite(found["distance"])]
+
+
+def _shipped(q: DataFrame, t: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The k nearest of a training set of one block."""
+    table = t.toPandas().sort_values("id")  # BLOCK rows at most
+    sets = {g: (np.stack(part["x"].to_numpy()), part["id"].to_numpy()) for g, part in table.groupby("g")}
+    shared = q.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for g, part in df.groupby("g"):
+                if g in shared.value:
+                    y, ids = shared.value[g]
+                    yield _nearest(np.stack(part["x"].to_numpy()), part["id"].to_numpy(), y, ids, k, exclude_self)
+
+    return q.mapInPandas(run, "sample_id long, train_id long, distance double")
 
 
 def neighbours(queries: DataFrame, train: DataFrame, k: int, by: str | None = None, exclude_self: bool = False) -> DataFrame:
@@ -24,36 +60,23 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, by: str | None = No
     ``by`` names a column that must agree (a fold); k is clamped to the training rows; ids may be excluded.
     """
     group = F.col(by).cast("string") if by else F.lit("")
+    side = lambda df: df.select(group.alias("g"), F.col("sample_id").alias("id"), F.col("features").cast("array<double>").alias("x"))
+    order = Window.partitionBy("sample_id").orderBy("distance", "train_id")
     n = train.count()
-    blocks = max(1, -(-n // BLOCK))
-    q_blocks = max(1, -(-queries.count() // BLOCK))
-    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    q = queries.select(group.alias("g"), F.col("sample_id").alias("id"), F.col("features").cast("array<double>").alias("x"), F.lit(0).alias("side"), block("sample_id", q_blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    t = train.select(group.alias("g"), F.col("sample_id").alias("id"), F.col("features").cast("array<double>").alias("x"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("i"), block("sample_id", blocks).alias("j"))
+    if n <= BLOCK:
+        return _shipped(side(queries), side(train), k, exclude_self).withColumn("rank", F.row_number().over(order))
+    blocks, q_blocks = -(-n // BLOCK), max(1, -(-queries.count() // (WIDE * BLOCK)))
+    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    q = side(queries).select("*", F.lit(0).alias("side"), block(q_blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    t = side(train).select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("i"), block(blocks).alias("j"))
 
     def best(df: pd.DataFrame) -> pd.DataFrame:
         a, b = df[df["side"] == 0], df[df["side"] == 1].sort_values("id")
         if not len(a) or not len(b):
             return pd.DataFrame({"sample_id": [], "train_id": [], "distance": []})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        out, ids, own = [], b["id"].to_numpy(), a["id"].to_numpy()
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            d = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * part @ y.T, 0)
-            if exclude_self:
-                d[own[at : at + 512, None] == ids[None, :]] = np.inf
-            m = min(k + 8, len(ids))
-            near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(axis=2))
-            exact[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
-            order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            out.append(pd.DataFrame({"sample_id": np.repeat(own[at : at + 512], near.shape[1]), "train_id": ids[near].ravel(), "distance": exact.ravel()}))
-        out = pd.concat(out)
-        return out[np.isfinite(out["distance"])]
+        return _nearest(np.stack(a["x"].to_numpy()), a["id"].to_numpy(), np.stack(b["x"].to_numpy()), b["id"].to_numpy(), k, exclude_self)
 
     found = q.unionByName(t).groupBy("g", "i", "j").applyInPandas(best, "sample_id long, train_id long, distance double")
-    order = Window.partitionBy("sample_id").orderBy("distance", "train_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

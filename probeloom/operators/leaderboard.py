@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probeloom.functions.draws import index_draws
 from probeloom.functions.keys import clean, floored
 
 
@@ -81,55 +83,67 @@ def mean_rank(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", average_rank("score", "dataset")).groupBy("model").agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("n"))
 
 
-def wins(scores: DataFrame) -> DataFrame:
-    """a, b, wins of a over b (ties count half) and datasets in common, of every ordered pair of models."""
+def won_pairs(scores: DataFrame) -> DataFrame:
+    """dataset, a, b, won (1, 0 or, for equal scores, one half) of every ordered pair of models on every dataset."""
     a, b = scores.select("dataset", F.col("model").alias("a"), F.col("score").alias("x")), scores.select("dataset", F.col("model").alias("b"), F.col("score").alias("y"))
     won = F.when(F.col("x") > F.col("y"), 1.0).when(F.col("x") == F.col("y"), 0.5).otherwise(0.0)
-    return a.join(b, "dataset").where("a <> b").groupBy("a", "b").agg(F.sum(won).alias("wins"), F.count("*").alias("n"))
+    return a.join(b, "dataset").where("a <> b").select("dataset", "a", "b", won.alias("won"))
+
+
+def wins(scores: DataFrame) -> DataFrame:
+    """a, b, wins of a over b (ties count half) and datasets in common, of every ordered pair of models."""
+    return won_pairs(scores).groupBy("a", "b").agg(F.sum("won").alias("wins"), F.count("*").alias("n"))
+
+
+def fit_ratings(won: np.ndarray, rounds: int = 500, tolerance: float = 1e-12) -> np.ndarray:
+    """Bradley-Terry strengths of win tables (..., models, models) on a scale of 400 log10, mean 1000; half a win smooths each pair that met."""
+    won = won + 0.5 * (won + np.swapaxes(won, -1, -2) > 0)
+    games, strength = won + np.swapaxes(won, -1, -2), np.ones(won.shape[:-1])
+    for _ in range(rounds):
+        before = strength
+        strength = won.sum(-1) / np.maximum((games / (before[..., :, None] + before[..., None, :])).sum(-1), 1e-300)
+        strength = strength / np.exp(np.log(strength).mean(-1, keepdims=True))
+        if np.abs(strength - before).max(initial=0) < tolerance:
+            break
+    return 1000 + 400 * np.log10(strength)
 
 
 def ratings(table: list[tuple[str, str, float]], rounds: int = 500) -> dict[str, float]:
-    """Bradley-Terry strengths of (a, b, wins of a over b) on a scale of 400 log10, mean 1000; half a win smooths each pair."""
+    """Ratings of one table of (a, b, wins of a over b)."""
     names = sorted({x for a, b, _ in table for x in (a, b)})
     at = {n: i for i, n in enumerate(names)}
     won = np.zeros((len(names), len(names)))
     for a, b, w in table:
         won[at[a], at[b]] += w
-    met = won + won.T > 0
-    won = won + 0.5 * met
-    games, strength = won + won.T, np.ones(len(names))
-    for _ in range(rounds):
-        strength = won.sum(axis=1) / np.maximum((games / (strength[:, None] + strength[None, :])).sum(axis=1), 1e-300)
-        strength /= np.exp(np.log(strength).mean())
-    return dict(zip(names, 1000 + 400 * np.log10(strength), strict=True))
+    return dict(zip(names, map(float, fit_ratings(won, rounds)), strict=True))
 
 
-def elo(scores: DataFrame, resamples: int = 0, seed: int = 0) -> DataFrame:
-    """model, rating, and the 2.5 and 97.5 percentiles over resampled datasets.
+def elo(scores: DataFrame, resamples: int = 0, seed: int = 0, rounds: int = 500) -> DataFrame:
+    """model, rating, and the 2.5 and 97.5 percentiles over resamples of as many datasets, drawn with replacement.
 
-    Resampling draws Poisson(1) weights for datasets from hashes; wins are summed per resample before the fit,
-    so only models squared rows for each resample reach the driver.
+    Wins are summed per resample before the fit; the tables of many resamples (models squared each) are fitted
+    together in a task.
     """
-    spark = scores.sparkSession
-    base = {0: [(r.a, r.b, r.wins) for r in wins(scores).collect()]}
-    point = ratings(base[0])
-    spread: dict[str, list[float]] = {m: [] for m in point}
+    places = scores.select("dataset").distinct().withColumn("i", F.row_number().over(Window.orderBy("dataset")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))  # a row for each dataset
+    drawn = places.select("dataset", F.lit(0).alias("r"), F.lit(1).alias("w"))
     if resamples:
-        u = (F.pmod(F.xxhash64(F.lit(seed), "dataset", "r"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        cdf, weight, total = np.exp(-1), F.lit(0), np.exp(-1)
-        for k in range(1, 8):
-            weight = F.when(u >= total, k).otherwise(weight)
-            cdf /= k
-            total += cdf
-        drawn = scores.select("dataset").distinct().withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight).where("w > 0")
-        a, b = scores.select("dataset", F.col("model").alias("a"), F.col("score").alias("x")), scores.select("dataset", F.col("model").alias("b"), F.col("score").alias("y"))
-        won = F.when(F.col("x") > F.col("y"), 1.0).when(F.col("x") == F.col("y"), 0.5).otherwise(0.0)
-        sums = a.join(b, "dataset").where("a <> b").withColumn("won", won).join(drawn, "dataset").groupBy("r", "a", "b").agg(F.sum(F.col("won") * F.col("w")).alias("wins"))
-        for part in sums.groupBy("r").agg(F.collect_list(F.struct("a", "b", "wins")).alias("t")).collect():
-            for m, v in ratings([(x.a, x.b, x.wins) for x in part.t]).items():
-                spread[m].append(v)
-    rows = [(m, float(v), *(map(float, np.percentile(spread[m], [2.5, 97.5])) if spread[m] else (None, None))) for m, v in point.items()]
-    return spark.createDataFrame(rows, "model string, rating double, low double, high double")
+        drawn = drawn.union(index_draws(places, resamples, seed).join(places, ["n", "i"]).groupBy("dataset", "r").agg(F.count("*").alias("w")).select("dataset", "r", "w"))
+    sums = won_pairs(scores).join(drawn, "dataset").groupBy("r", "a", "b").agg(F.sum(F.col("won") * F.col("w")).alias("wins"))
+
+    def fit(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        same = df.groupby("r")["a"].agg(lambda x: tuple(sorted(set(x))))  # models of a resample; those that met nobody are not rated
+        for names, rs in same.groupby(same).groups.items():
+            part = df[df["r"].isin(rs)]
+            number, at = {r: i for i, r in enumerate(rs)}, {n: i for i, n in enumerate(names)}
+            won = np.zeros((len(rs), len(names), len(names)))
+            won[part["r"].map(number), part["a"].map(at), part["b"].map(at)] = part["wins"]
+            out.append(pd.DataFrame({"r": np.repeat(list(rs), len(names)), "model": list(names) * len(rs), "rating": fit_ratings(won, rounds).ravel()}))
+        return pd.concat(out)
+
+    each = sums.withColumn("block", F.floor(F.col("r") / 64)).groupBy("block").applyInPandas(fit, "r int, model string, rating double")
+    again = F.when(F.col("r") > 0, F.col("rating"))
+    return each.groupBy("model").agg(F.max(F.when(F.col("r") == 0, F.col("rating"))).alias("rating"), F.percentile(again, 0.025).alias("low"), F.percentile(again, 0.975).alias("high"))
 
 
 def improvability(scores: DataFrame) -> DataFrame:

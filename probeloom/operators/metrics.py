@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probeloom.functions.draws import index_draws, poisson_weights
+
 
 def accuracy(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
@@ -23,53 +26,65 @@ def average_precision(rows: DataFrame, *by: str, score: str = "score", positive:
     """
     steps = rows.groupBy(*by, score).agg(F.sum(F.col(positive).cast("double")).alias("tp"), F.count("*").alias("n"))
     if not by:
-        steps = steps.withColumn("_part", F.ntile(1).over(Window.partitionBy(score).orderBy(score)))
-        return _global_precision(steps.drop("_part"), score)
+        return _global_precision(steps, score)
     order = Window.partitionBy(*by).orderBy(F.col(score).desc())
     run = steps.withColumn("all_tp", F.sum("tp").over(order)).withColumn("all_n", F.sum("n").over(order))
     total = F.sum("tp")
     return run.groupBy(*by).agg(F.when(total > 0, F.sum(F.col("tp") * F.col("all_tp") / F.col("all_n")) / total).alias("ap"), total.cast("long").alias("n_positive"))
 
 
-def _global_precision(steps: DataFrame, score: str, parts: int = 64) -> DataFrame:
-    """One-row result: distinct scores dealt over ranges, totals of ranges summed first."""
-    bounds = steps.approxQuantile(score, [k / parts for k in range(1, parts)], 0.001)
-    ranged = steps.withColumn("part", sum((F.col(score) <= F.lit(b)).cast("int") for b in sorted(set(bounds))) if bounds else F.lit(0))
-    totals = ranged.groupBy("part").agg(F.sum("tp").alias("t"), F.sum("n").alias("m"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    totals = totals.select("part", F.coalesce(F.sum("t").over(ahead), F.lit(0.0)).alias("t"), F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("m"))
-    order = Window.partitionBy("part").orderBy(F.col(score).desc())
-    run = ranged.join(F.broadcast(totals), "part").withColumn("all_tp", F.sum("tp").over(order) + F.col("t")).withColumn("all_n", F.sum("n").over(order) + F.col("m"))
-    total = F.sum("tp")
-    return run.agg(F.when(total > 0, F.sum(F.col("tp") * F.col("all_tp") / F.col("all_n")) / total).alias("ap"), total.cast("long").alias("n_positive"))
+def _global_precision(steps: DataFrame, score: str) -> DataFrame:
+    """One-row result: distinct scores dealt over ranges once, totals of ranges summed ahead of the running sums."""
+    parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = steps.repartitionByRange(parts, F.col(score).desc()).withColumn("part", F.spark_partition_id()).persist()
+    try:
+        totals = ranged.groupBy("part").agg(F.sum("tp").alias("t"), F.sum("n").alias("m")).orderBy("part").collect()  # a row for each range
+        ahead, t, m = [], 0.0, 0
+        for r in totals:
+            ahead.append((r.part, t, m))
+            t, m = t + r.t, m + r.m
+        table = F.broadcast(steps.sparkSession.createDataFrame(ahead, "part int, t double, m long"))
+        order = Window.partitionBy("part").orderBy(F.col(score).desc())
+        run = ranged.join(table, "part").withColumn("all_tp", F.sum("tp").over(order) + F.col("t")).withColumn("all_n", F.sum("n").over(order) + F.col("m"))
+        total = F.sum("tp")
+        found = run.agg(F.when(total > 0, F.sum(F.col("tp") * F.col("all_tp") / F.col("all_n")) / total).alias("ap"), F.coalesce(total.cast("long"), F.lit(0)).alias("n_positive"))
+        return steps.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
+    finally:
+        ranged.unpersist()
+
+
+def binomial_draws(n: int, hits: int, resamples: int, seed: int = 0) -> np.ndarray:
+    """Draws from the binomial law of n trials with share hits / n: the inverse of its distribution at hashed numbers.
+
+    Twelve deviations on either side of the mean are tabulated, so the table grows with the root of n.
+    """
+    if not 0 < hits < n:
+        return np.full(resamples, hits)
+    share = hits / n
+    reach = 12 * np.sqrt(n * share * (1 - share)) + 12
+    low, high = max(0, int(hits - reach)), min(n, int(hits + reach) + 1)
+    k = np.arange(low, high)
+    steps = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1)) + np.log(share / (1 - share)))])
+    law = np.cumsum(np.exp(steps - steps.max()))
+    u = [(int(hashlib.md5(f"{seed}:{n}:{hits}:{r}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for r in range(1, resamples + 1)]
+    return low + np.minimum(np.searchsorted(law / law[-1], u, "left"), high - low)
 
 
 def bootstrap_accuracy(rows: DataFrame, *by: str, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """accuracy with its bootstrap mean and percentile interval; resampling 0/1 outcomes is a binomial draw."""
+    """accuracy with its bootstrap mean and percentile interval; resampling 0/1 outcomes is a binomial draw, so only counts are needed."""
     found = accuracy(rows, *by)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = [np.random.default_rng([seed, int(n), int(round(a * n))]).binomial(int(n), a, resamples) / n for a, n in zip(df["accuracy"], df["n"], strict=True)]
+            out = [binomial_draws(int(n), int(round(a * n)), resamples, seed) / n for a, n in zip(df["accuracy"], df["n"], strict=True)]
             yield df.assign(mean=[x.mean() for x in out], low=[np.quantile(x, (1 - level) / 2) for x in out], high=[np.quantile(x, (1 + level) / 2) for x in out])
 
     return found.mapInPandas(draw, ", ".join([*(f"{c} {found.schema[c].dataType.simpleString()}" for c in found.columns), "mean double, low double, high double"]))
 
 
-def poisson_weight(unit: Column, replicate: Column, seed: int) -> Column:
-    """A Poisson(1) weight for a unit in a replicate, from a hash: the same in every run."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), unit, replicate), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    out, term, total = F.lit(0), float(np.exp(-1)), float(np.exp(-1))
-    for k in range(1, 9):
-        out = F.when(u >= total, k).otherwise(out)
-        term /= k
-        total += term
-    return out
-
-
 def bootstrap_ap(rows: DataFrame, unit: str, resamples: int = 100, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Interval of micro average precision when units (samples) are resampled; draws without positives are left out."""
-    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", poisson_weight(F.col(unit), F.col("r"), seed)).where("w > 0")
+    drawn = poisson_weights(rows.select(unit, "score", "positive"), unit, resamples, seed)
     steps = drawn.groupBy("r", "score").agg(F.sum(F.col("w") * F.col("positive")).cast("double").alias("tp"), F.sum("w").alias("n"))
     order = Window.partitionBy("r").orderBy(F.col("score").desc())
     run = steps.withColumn("all_tp", F.sum("tp").over(order)).withColumn("all_n", F.sum("n").over(order))
@@ -125,8 +140,10 @@ def segmentation_scores(cells: DataFrame) -> DataFrame:
 
 
 def bootstrap_miou(cells: DataFrame, resamples: int = 100, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Interval of the mean IoU when images are resampled; replicate weights are summed per cell before the next shuffle."""
-    drawn = cells.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", poisson_weight(F.col("image_id"), F.col("r"), seed)).where("w > 0")
+    """Interval of the mean IoU when images are resampled; replicate weights are summed per cell before the next shuffle. Under one resample: NaN."""
+    if resamples < 1:
+        return cells.sparkSession.createDataFrame([(float("nan"),) * 3], "mean double, low double, high double")
+    drawn = poisson_weights(cells.select("image_id", "t", "p", "n"), "image_id", resamples, seed)
     summed = drawn.groupBy("r", "t", "p").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
     c = class_counts(summed, "r")
     union = F.col("labelled") + F.col("predicted") - F.col("tp")
@@ -135,15 +152,12 @@ def bootstrap_miou(cells: DataFrame, resamples: int = 100, level: float = 0.95,
 
 
 def mean_delta_interval(deltas: DataFrame, by: str, resamples: int = 20_000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Per group: mean delta and its bootstrap interval (groups of deltas are comparisons of a study: few rows each)."""
-
-    def draw(df: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(df["delta"].to_numpy())
-        rng = np.random.default_rng([seed, len(x)])
-        means = np.concatenate([x[rng.integers(0, len(x), (min(2000, resamples - k), len(x)))].mean(axis=1) for k in range(0, resamples, 2000)])
-        return pd.DataFrame({by: [df[by].iloc[0]], "mean": [x.mean()], "low": [np.quantile(means, (1 - level) / 2)], "high": [np.quantile(means, (1 + level) / 2)]})
-
-    return deltas.where("delta IS NOT NULL").select(by, "delta").groupBy(by).applyInPandas(draw, f"{by} string, mean double, low double, high double")
+    """Per group: mean delta and its bootstrap interval. Groups of deltas are the comparisons of a study; those of equal size share their draws."""
+    order = Window.partitionBy(by).orderBy("delta")
+    known = deltas.where("delta IS NOT NULL").select(by, "delta", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
+    means = known.join(index_draws(known, resamples, seed), ["n", "i"]).groupBy(by, "r").agg(F.avg("delta").alias("m"))
+    spread = means.groupBy(by).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
+    return known.groupBy(by).agg(F.avg("delta").alias("mean")).join(spread, by)
 
 
 def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", rounds: int = 15) -> float:

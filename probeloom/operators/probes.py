@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,12 +25,12 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_x", array_to_vector(F.col("features").cast("array<double>")))
 
 
-def fit_logistic(train: DataFrame, c: float, iterations: int = 200, label: str = "label"):
-    """Multinomial logistic regression of mean cross-entropy + |W|^2 / (2 C n), intercepts free."""
+def fit_logistic(train: DataFrame, c: float, iterations: int = 200, label: str = "label", family: str = "multinomial"):
+    """Logistic regression of mean cross-entropy + |W|^2 / (2 C n), intercepts free; ``binomial`` has one weight vector for two classes."""
     from pyspark.ml.classification import LogisticRegression
 
     n = train.count()
-    return LogisticRegression(featuresCol="_x", labelCol=label, family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(_vectors(train))
+    return LogisticRegression(featuresCol="_x", labelCol=label, family=family, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(_vectors(train))
 
 
 def predict_logistic(model, rows: DataFrame) -> DataFrame:
@@ -42,16 +44,23 @@ def _score(model, rows: DataFrame) -> float:
     return predict_logistic(model, rows).agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
 
 
-def sweep(train: DataFrame, others: dict[str, DataFrame], grid: Sequence[float] = GRID, iterations: int = 200) -> DataFrame:
-    """c and the accuracy on train and each other table, for every C of the grid; the tables are cached for the fits."""
+def sweep(train: DataFrame, others: dict[str, DataFrame], grid: Sequence[float] = GRID, iterations: int = 200, parallel: int = 8) -> DataFrame:
+    """c and the accuracy on train and each other table, for every C of the grid; the tables are cached, and ``parallel`` fits share the cluster."""
     train = train.cache()
     kept = {k: v.cache() for k, v in others.items()}
-    out = []
-    for c in grid:
-        model = fit_logistic(train, c, iterations)
-        out.append((float(c), _score(model, train), *(_score(model, v) for v in kept.values())))
     for t in (train, *kept.values()):
-        t.unpersist()
+        t.count()
+
+    def one(c: float) -> tuple:
+        model = fit_logistic(train, c, iterations)
+        return (float(c), _score(model, train), *(_score(model, v) for v in kept.values()))
+
+    try:
+        with ThreadPool(parallel) as pool:
+            out = pool.map(inheritable_thread_target(train.sparkSession)(one), grid)
+    finally:
+        for t in (train, *kept.values()):
+            t.unpersist()
     return train.sparkSession.createDataFrame(out, "c double, train double" + "".join(f", {k} double" for k in others))
 
 
@@ -73,11 +82,11 @@ def evaluate_logistic(rows: DataFrame, grid: Sequence[float] = GRID, iterations:
 
 
 def evaluate_multilabel(train: DataFrame, test: DataFrame, places: int, c: float, iterations: int = 200) -> DataFrame:
-    """sample_id, place, y, prob of one binary logistic probe for each place of the label vectors."""
+    """sample_id, place, y, prob of one binary logistic probe for each place of the label vectors: mean cross-entropy + |w|^2 / (2 C n) each."""
     out = None
     for k in range(places):
         pick = lambda df: df.withColumn("label", F.col("labels")[k].cast("int"))  # noqa: E731, B023
-        part = predict_logistic(fit_logistic(pick(train), c, iterations), pick(test)).select("sample_id", F.lit(k).alias("place"), F.col("label").alias("y"), F.col("probs")[1].alias("prob"))
+        part = predict_logistic(fit_logistic(pick(train), c, iterations, family="binomial"), pick(test)).select("sample_id", F.lit(k).alias("place"), F.col("label").alias("y"), F.col("probs")[1].alias("prob"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -145,20 +154,19 @@ def pca_dimension(rows: DataFrame, ratio: float = 0.05) -> DataFrame:
     return rows.sparkSession.createDataFrame([(int((values > ratio * values.max()).sum()),)], "lpca long")
 
 
+ESTIMATORS = ("two_nn", "mle", "lpca")
+SPECTRUM = ("effective_rank", "participation_ratio", "pc1", "pc10", "anisotropy")
+
+
 def diagnostic_rows(rows: DataFrame, splits: Sequence[str], cap: int = 10_000) -> DataFrame:
     """metric_name, metric_value: ``spectrum_<m>_<split>`` and ``id_<m>_<split>`` of each split; NaN where a split has no variance."""
-    out = None
+    kinds, out = [("spectrum", m) for m in SPECTRUM] + [("id", m) for m in ESTIMATORS], None
     for s in splits:
         part = subsample(rows.where(F.col("split") == s), cap).cache()
         try:
-            wide = spectrum(part)
-            kinds = [("spectrum", c) for c in wide.columns]
-            table = wide.join(two_nn(part)).join(mle_dimension(part))  # one row each
-            kinds += [("id", "two_nn"), ("id", "mle")]
+            table = spectrum(part).join(two_nn(part)).join(mle_dimension(part)).join(pca_dimension(part))  # one row each
         except ValueError:
-            names = ("effective_rank", "participation_ratio", "pc1", "pc10", "anisotropy", "two_nn", "mle")
-            table = rows.sparkSession.createDataFrame([(float("nan"),) * len(names)], ", ".join(f"{n} double" for n in names))
-            kinds = [("id" if n in ("two_nn", "mle") else "spectrum", n) for n in names]
-        made = table.select(F.explode(F.array(*(F.struct(F.lit(f"{k}_{c}_{s}").alias("metric_name"), F.col(c).cast("double").alias("metric_value")) for k, c in kinds))).alias("m")).select("m.*")
+            table = rows.sparkSession.createDataFrame([(float("nan"),) * len(kinds)], ", ".join(f"{m} double" for _, m in kinds))
+        made = table.select(F.explode(F.array(*(F.struct(F.lit(f"{k}_{m}_{s}").alias("metric_name"), F.col(m).cast("double").alias("metric_value")) for k, m in kinds))).alias("m")).select("m.*")
         out = made if out is None else out.unionByName(made)
     return out

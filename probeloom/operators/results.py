@@ -122,6 +122,13 @@ def last_completed(events: DataFrame) -> DataFrame:
     return events.where("event = 'completed'").groupBy("job_id").agg(F.max_by("log", "seq").alias("log"))
 
 
+def job_logs(jobs: DataFrame, events: DataFrame, attempts: DataFrame, marker: str) -> DataFrame:
+    """job_id, log: that of the job's last completed event, else the only one of its attempts (job_id, log, text) whose text has the marker; null if none or several have."""
+    done = attempts.where(F.col("text").contains(marker)).groupBy("job_id").agg(F.count("*").alias("n"), F.min("log").alias("only"))
+    found = jobs.select("job_id").join(last_completed(events), "job_id", "left").join(done, "job_id", "left")
+    return found.select("job_id", F.coalesce("log", F.when(F.col("n") == 1, F.col("only"))).alias("log"))
+
+
 def explorer_rows(rows: DataFrame, methods: Sequence[str], snapshot: str, doubles: Sequence[str] = ("metric_value",), ints: Sequence[str] = ("seed",)) -> DataFrame:
     """Rows of the allowed methods with a score, numeric columns cast (null where the text is no number), stamped with a snapshot."""
     out = rows.where(F.col("method").isin(*methods))

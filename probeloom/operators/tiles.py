@@ -16,7 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 EPSILON = 1e-8
-#: Value for a nodata pixel is applied after scaling.
+#: Least denominator of shares, spans and ratios in hand-made features.
+GUARD = 1e-6
+#: Pixels of the tiles that are computed on together (about).
+TOGETHER = 1 << 21
 LEVELS = ("dn", "reflectance", "uint8")
 
 
@@ -114,6 +117,51 @@ def normalise_valid(tiles: DataFrame, stats: Sequence[dict[str, float]], nodata:
     return tiles.withColumn("bands", _each("bands", scaled))
 
 
+def normalise_native(tiles: DataFrame, old: str, new: str, stats: Sequence[dict[str, float]]) -> DataFrame:
+    """Bands in the unit that a model was trained on, scaled by the model's own mean and deviation."""
+    return normalise(convert_unit(tiles, old, new), "zscore", stats)
+
+
+def _policy_band(band: dict, policy: str, model: dict | None) -> tuple[float, float, float]:
+    """Factor, shift and divisor of a band under a policy."""
+    if policy == "none":
+        return 1.0, 0.0, 1.0
+    if policy == "model":
+        factor = unit_scale(band["unit"], model["unit"])
+        return (factor, model["mean"], model["std"]) if model.get("mean") is not None else (factor, 0.0, 1.0)
+    low, high = (band.get("mean"), band.get("std")) if policy == "dataset" else (band.get("lower"), band.get("upper"))
+    if low is None or high is None or not np.isfinite([low, high]).all():
+        raise ValueError(f"{band['name']}: no numbers for the policy {policy}")
+    if policy == "minmax" and high <= low:
+        raise ValueError(f"{band['name']}: the upper bound must exceed the lower")
+    return 1.0, low, high if policy == "dataset" else high - low
+
+
+def normalise_policy(tiles: DataFrame, bands: Sequence[dict], policy: str = "dataset", model: Sequence[dict] | None = None, clip: bool = False, fill: float = 0.0) -> DataFrame:
+    """Bands under a declared policy; what is null, not finite or the band's ``nodata`` gets ``fill`` after the scaling.
+
+    Bands are dicts with name, unit, mean, std, lower, upper and nodata, as far as the policy needs them:
+    ``dataset`` scales by mean and std, ``minmax`` by the bounds (``clip``: to 0 .. 1), ``model`` converts the unit
+    and scales by the model's bands, ``none`` leaves the values.
+    """
+    if policy not in ("dataset", "model", "minmax", "none"):
+        raise ValueError(f"unknown policy {policy}")
+    if clip and policy != "minmax":
+        raise ValueError("clip goes with minmax alone")
+    if (policy == "model") != (model is not None) or model is not None and [b["name"] for b in bands] != [b["name"] for b in model]:
+        raise ValueError("the policy model, and it alone, needs the model's bands in the order of the tiles' bands")
+    table = [_policy_band(b, policy, m) for b, m in zip(bands, model or bands, strict=True)]
+    factor, shift, divisor = (F.array(*(F.lit(float(v)) for v in column)) for column in zip(*table, strict=True))
+    empty = F.array(*(F.lit(None if b.get("nodata") is None else float(b["nodata"])).cast("double") for b in bands))
+
+    def scaled(x: Column, i: Column) -> Column:
+        z = x if policy == "none" else (x * F.get(factor, i) - F.get(shift, i)) / F.get(divisor, i)
+        z = F.greatest(F.lit(0.0), F.least(F.lit(1.0), z)) if clip else z
+        return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | F.coalesce(x == F.get(empty, i), F.lit(False)), fill).otherwise(z)
+
+    return tiles.withColumn("bands", _each("bands", scaled))
+
+
 def image_stats(tiles: DataFrame) -> DataFrame:
     """sample_id, features: for every band the mean, population deviation, largest and least value (four blocks)."""
     n = lambda b: F.size(b)
@@ -166,8 +214,8 @@ def pool_tokens(tokens: str, mode: str) -> Column:
 
 
 def normalized_difference(a: Column, b: Column) -> Column:
-    """(a - b) / (a + b) pixel by pixel, 0 where the sum is next to nothing."""
-    return F.zip_with(a, b, lambda x, y: F.when(F.abs(x + y) > EPSILON, (x - y) / (x + y)).otherwise(0.0))
+    """(a - b) / (a + b) pixel by pixel, 0 where the terms cancel or nearly so."""
+    return F.zip_with(a, b, lambda x, y: F.when(F.abs(x + y) > GUARD * (F.abs(x) + F.abs(y)), (x - y) / (x + y)).otherwise(0.0))
 
 
 #: Spectral indices: name, and the two bands of the normalised difference.
@@ -183,67 +231,153 @@ def index_maps(tiles: DataFrame, names: Sequence[str]) -> DataFrame:
     return tiles.withColumn("maps", F.array(*maps))
 
 
+def statistics_of(x: np.ndarray) -> np.ndarray:
+    """(..., H, W) -> (..., 9): mean, population deviation, least and largest value, percentiles 10, 25, 50, 75, 90."""
+    flat = x.reshape(*x.shape[:-2], -1)
+    basic = np.stack([flat.mean(-1), flat.std(-1), flat.min(-1), flat.max(-1)], -1)
+    return np.concatenate([basic, np.moveaxis(np.percentile(flat, [10, 25, 50, 75, 90], axis=-1), 0, -1)], -1)
+
+
+def _slopes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences along columns and rows: central, one-sided at the edges, zero along an axis of one pixel."""
+    across, down = (np.gradient(x, axis=k) if x.shape[k] > 1 else np.zeros_like(x) for k in (-1, -2))
+    return across, down
+
+
+def _entropy(weights: np.ndarray) -> np.ndarray:
+    """Entropy of the last axis as a part of the largest possible one; no weight at all gives 0."""
+    share = weights / np.maximum(weights.sum(-1, keepdims=True), GUARD)
+    return -(share * np.log(np.maximum(share, GUARD))).sum(-1) / np.log(weights.shape[-1])
+
+
+def _cells(x: np.ndarray, k: int) -> np.ndarray:
+    """Means over k x k cells; cells at the lower and right edge may be smaller."""
+    for axis in (-2, -1):
+        starts = np.arange(0, x.shape[axis], k)
+        size = np.diff([*starts, x.shape[axis]])
+        x = np.add.reduceat(x, starts, axis=axis) / (size[:, None] if axis == -2 else size)
+    return x
+
+
+def texture_of(x: np.ndarray) -> np.ndarray:
+    """(..., H, W) -> (..., 12): at cells of 1, 2 and 4 pixels, mean and deviation of the slope, its coherence, and the entropy of its direction in eight sectors of a half turn."""
+    both, out = (-2, -1), []
+    for k in (1, 2, 4):
+        gx, gy = _slopes(_cells(x, k))
+        size = np.hypot(gx, gy)
+        top = np.maximum(size.max(both, keepdims=True), GUARD)
+        gx, gy = gx / top, gy / top
+        a, b, c = (gx * gx).mean(both), (gy * gy).mean(both), (gx * gy).mean(both)
+        sector = np.minimum((np.mod(np.arctan2(gy, gx), np.pi) * (8 / np.pi)).astype(int), 7)
+        shares = np.stack([(np.hypot(gx, gy) * (sector == i)).sum(both) for i in range(8)], -1)
+        out += [size.mean(both), size.std(both), np.hypot(a - b, 2 * c) / np.maximum(a + b, GUARD), _entropy(shares)]
+    return np.stack(out, -1)
+
+
+#: Neighbours of a pixel clockwise from the upper left, as (row, column) in its 3 x 3 window; bit k of a pattern is neighbour k.
+RING = ((0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0))
+
+
+def _patterns(x: np.ndarray) -> np.ndarray:
+    """Entropy of the local binary patterns (neighbour above the centre) and the share of those with two turns at most."""
+    h, w = x.shape[-2] - 2, x.shape[-1] - 2
+    if min(h, w) < 1:
+        return np.zeros((*x.shape[:-2], 2))
+    above = np.stack([x[..., i : i + h, j : j + w] > x[..., 1:-1, 1:-1] for i, j in RING], -1).reshape(-1, h * w, 8)
+    code = (above << np.arange(8)).sum(-1) + 256 * np.arange(len(above))[:, None]
+    counts = np.bincount(code.ravel(), minlength=256 * len(above)).reshape(-1, 256)
+    turns = (above != np.roll(above, 1, axis=-1)).sum(-1)
+    return np.stack([_entropy(counts), (turns <= 2).mean(-1)], -1).reshape(*x.shape[:-2], 2)
+
+
+def _around(x: np.ndarray, fill: float) -> np.ndarray:
+    """The 3 x 3 window of every pixel on two more axes; beyond the edges stands ``fill``."""
+    return np.lib.stride_tricks.sliding_window_view(np.pad(x, [(0, 0)] * (x.ndim - 2) + [(1, 1), (1, 1)], constant_values=fill), (3, 3), axis=(-2, -1))
+
+
+def _corners(unit: np.ndarray) -> np.ndarray:
+    """Share of pixels that are peaks of the positive Harris response (over a hundredth of the largest), and its mean."""
+    gx, gy = _slopes(unit)
+    beside = _around(np.ones(unit.shape[-2:]), 0).sum((-2, -1))
+    a, b, c = (_around(v, 0).sum((-2, -1)) / beside for v in (gx * gx, gy * gy, gx * gy))
+    response = np.maximum(a * b - c * c - 0.04 * (a + b) ** 2, 0)
+    peak = (response > 0.01 * response.max((-2, -1), keepdims=True)) & (response == _around(response, -np.inf).max((-2, -1)))
+    return np.stack([peak.mean((-2, -1)), response.mean((-2, -1))], -1)
+
+
+def _quadrants(x: np.ndarray) -> np.ndarray:
+    """Mean and deviation of the four quarters; an odd row or column belongs to the upper or left one; an empty quarter gives 0."""
+    h, w = -(-x.shape[-2] // 2), -(-x.shape[-1] // 2)
+    parts = (x[..., :h, :w], x[..., :h, w:], x[..., h:, :w], x[..., h:, w:])
+    return np.stack([f((-2, -1)) if q.size else np.zeros(x.shape[:-2]) for q in parts for f in (q.mean, q.std)], -1)
+
+
+def _spread(weights: np.ndarray) -> np.ndarray:
+    """Anisotropy and root mean square radius of weights over a tile whose axes go from -1 to 1."""
+    y, x = (np.linspace(-1, 1, n) if n > 1 else np.zeros(1) for n in weights.shape[-2:])
+    y = y[:, None]
+    share = weights / np.maximum(weights.sum((-2, -1), keepdims=True), GUARD)
+    mean = lambda v: (share * v).sum((-2, -1))
+    a, b, c = np.maximum(mean(x * x) - mean(x) ** 2, 0), np.maximum(mean(y * y) - mean(y) ** 2, 0), mean(x * y) - mean(x) * mean(y)
+    return np.stack([np.clip(np.hypot(a - b, 2 * c) / np.maximum(a + b, GUARD), 0, 1), np.sqrt(a + b)], -1)
+
+
+def structure_of(x: np.ndarray) -> np.ndarray:
+    """(..., H, W) -> (..., 16): patterns, corners, quarters, and where the values under the first and over the third quartile lie."""
+    low, high = x.min((-2, -1), keepdims=True), x.max((-2, -1), keepdims=True)
+    span = np.maximum(high - low, GUARD)
+    unit = (x - low) / span
+    first, third = (np.percentile(x, q, axis=(-2, -1), keepdims=True) for q in (25, 75))
+    tails = (np.maximum((first - low) / span - unit, 0), np.maximum(unit - (third - low) / span, 0))
+    return np.concatenate([_patterns(x), _corners(unit), _quadrants(x), *map(_spread, tails)], -1)
+
+
 def _statistics(m: np.ndarray) -> list[float]:
-    return [m.mean(), m.std(), m.min(), m.max(), *np.percentile(m, [10, 25, 50, 75, 90])]
+    return statistics_of(m).tolist()
 
 
 def _texture(m: np.ndarray) -> list[float]:
-    out: list[float] = []
-    for scale in (1, 2, 4):
-        h, w = -(-m.shape[0] // scale), -(-m.shape[1] // scale)
-        rows, cols = np.arange(m.shape[0]) // scale, np.arange(m.shape[1]) // scale
-        cell = (rows[:, None] * w + cols[None, :]).ravel()
-        s = (np.bincount(cell, m.ravel(), h * w) / np.bincount(cell, minlength=h * w)).reshape(h, w)
-        gy, gx = np.gradient(s) if min(s.shape) > 1 else (np.zeros_like(s), np.zeros_like(s))
-        size = np.hypot(gx, gy)
-        a, b, c = (gx * gx).mean(), (gy * gy).mean(), (gx * gy).mean()
-        share = np.bincount(np.minimum((np.mod(np.arctan2(gy, gx), np.pi) / np.pi * 8).astype(int).ravel(), 7), size.ravel(), 8)
-        share = share / share.sum() if share.sum() > 0 else share
-        out += [size.mean(), size.std(), np.hypot(a - b, 2 * c) / max(a + b, 1e-12), -sum(p * np.log(p) for p in share if p > 0) / np.log(8)]
-    return out
+    return texture_of(m).tolist()
 
 
 def _structure(m: np.ndarray) -> list[float]:
-    if min(m.shape) < 3:
-        local = np.zeros(1, int)
-    else:
-        ring = ((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))
-        core = m[1:-1, 1:-1]
-        local = sum((m[1 + y : m.shape[0] - 1 + y, 1 + x : m.shape[1] - 1 + x] >= core).astype(int) << k for k, (y, x) in enumerate(ring)).ravel()
-    share = np.bincount(local, minlength=256) / len(local)
-    bits = (local[:, None] >> np.arange(8)) & 1
-    uniform = (np.abs(bits - np.roll(bits, -1, axis=1)).sum(axis=1) <= 2).mean()
-    gy, gx = np.gradient(m) if min(m.shape) > 1 else (np.zeros_like(m), np.zeros_like(m))
-    box = lambda z: sum(np.roll(np.roll(z, y, 0), x, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)) / 9
-    a, b, c = box(gx * gx), box(gy * gy), box(gx * gy)
-    corner = a * b - c * c - 0.05 * (a + b) ** 2
-    out = [-sum(p * np.log2(p) for p in share if p > 0) / 8, uniform, (corner > 0.01 * max(corner.max(), 1e-12)).mean(), max(corner.max(), 0.0)]
-    h, w = m.shape[0] // 2 or 1, m.shape[1] // 2 or 1
-    out += [f(q) for q in (m[:h, :w], m[:h, w:], m[h:, :w], m[h:, w:]) for f in ((lambda z: z.mean() if z.size else 0.0), (lambda z: z.std() if z.size else 0.0))]
-    for cut in (m <= np.percentile(m, 10), m >= np.percentile(m, 90)):
-        y, x = np.nonzero(cut)
-        cov = np.cov(np.vstack([y, x]), bias=True) if len(y) > 1 else np.zeros((2, 2))
-        low, high = np.linalg.eigvalsh(cov)
-        out += [(high - low) / max(high + low, 1e-12), np.sqrt(max(high + low, 0.0)) / np.hypot(*m.shape)]
-    return out
+    return structure_of(m).tolist()
 
 
 LEVEL_COLUMNS = {1: 9, 2: 21, 3: 37}
 
 
+def stacked(df: pd.DataFrame, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one size and number of layers together: their places in df, and their pixels as (rows, layers, height, width)."""
+    layers = df[column].map(len)
+    for (h, w, n), part in df.groupby([df["height"], df["width"], layers]).indices.items():
+        step = max(1, TOGETHER // max(1, h * w * n))
+        for at in range(0, len(part), step):
+            some = part[at : at + step]
+            yield some, np.array([np.stack(x) if n else np.zeros((0, h * w)) for x in df[column].iloc[some]], float).reshape(len(some), n, h, w)
+
+
+def _per_tile(df: pd.DataFrame, column: str, f: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """f of each tile's layers, computed for many tiles at once."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(df)
+    for places, x in stacked(df, column):
+        for i, v in zip(places, f(x), strict=True):
+            out[i] = v
+    return out
+
+
 def handmade(tiles: DataFrame, level: int = 3) -> DataFrame:
     """sample_id, features from the maps of a tile: 9, 21 or 37 columns a map for levels 1 to 3, a level's columns before the next's."""
 
+    def features(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([f(x).reshape(len(x), -1) for f in (statistics_of, texture_of, structure_of)[:level]], axis=1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = []
-            for h, w, maps in zip(df["height"], df["width"], df["maps"], strict=True):
-                px = [np.asarray(m["px"], float).reshape(h, w) for m in maps]
-                steps = (_statistics, _texture, _structure)[:level]
-                out.append(np.concatenate([np.concatenate([f(m) for m in px]) for f in steps]).tolist())
-            yield pd.DataFrame({"sample_id": df["sample_id"], "features": out})
+            yield pd.DataFrame({"sample_id": df["sample_id"], "features": _per_tile(df, "px", features)})
 
-    return tiles.select("sample_id", "height", "width", "maps").mapInPandas(run, "sample_id long, features array<double>")
+    px = F.transform("maps", lambda m: m["px"])
+    return tiles.select("sample_id", "height", "width", px.alias("px")).mapInPandas(run, "sample_id long, features array<double>")
 
 
 def feature_manifest(names: Sequence[str], level: int = 3) -> list[str]:
@@ -317,6 +451,7 @@ def perceptual_hash(tiles: DataFrame, side: int = 16) -> DataFrame:
                 grey = np.mean([np.asarray(b, float) for b in bands], axis=0).reshape(h, w)
                 grey = _weights(h, 2 * side, "area") @ grey @ _weights(w, 2 * side, "area").T
                 c = dct @ grey @ dct.T
+                c = np.round(c / max(np.abs(c).max(), 1e-300), 9)  # what is zero but for rounding has no sign of its own
                 out.append(np.packbits(c.ravel() > np.median(c)).tobytes().hex())
             yield pd.DataFrame({"sample_id": df["sample_id"], "hash": out})
 
@@ -327,33 +462,48 @@ def random_filters(bands: int, size: int, n: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, bands * size * size))
 
 
-def whitened_filters(tiles: DataFrame, size: int, n: int, sample: int = 1000, seed: int = 0) -> np.ndarray:
-    """Filters from ``sample`` patches (the first tiles by md5(id:seed), one patch each), centred and ZCA-whitened."""
-    rows = tiles.orderBy(F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}"))), "sample_id").limit(sample).toPandas()
+def whiten(patches: np.ndarray, least: float = 1e-8, ridge: float = 1e-3) -> np.ndarray:
+    """Patches (rows) centred, scaled to length one, and whitened twice by the inverse root of their second moments plus a ridge."""
+    p = patches - patches.mean(axis=1, keepdims=True)
+    length = np.linalg.norm(p, axis=1, keepdims=True)
+    p = p / np.where(length < least, 1, length)
+    values, axes = np.linalg.eigh(p.T @ p / len(p))
+    return p @ (axes / (values + ridge)) @ axes.T
+
+
+def whitened_filters(tiles: DataFrame, size: int, n: int, seed: int = 0) -> np.ndarray:
+    """n whitened filters from patches of the first n tiles by md5(id:seed) (again from the first if there are fewer), one random place each."""
+    rows = tiles.orderBy(F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}"))), "sample_id").limit(n).select("height", "width", "bands").toPandas()  # n tiles
     rng, out = np.random.default_rng(seed), []
-    for h, w, bands in zip(rows["height"], rows["width"], rows["bands"], strict=True):
-        x = np.stack([np.asarray(b, float).reshape(h, w) for b in bands])
+    for k in range(n):
+        h, w, bands = rows.iloc[k % len(rows)]
         y, z = rng.integers(0, h - size + 1), rng.integers(0, w - size + 1)
-        out.append(x[:, y : y + size, z : z + size].ravel())
-    p = np.array(out)
-    p = (p - p.mean(axis=1, keepdims=True)) / np.maximum(p.std(axis=1, ddof=1, keepdims=True), 1e-8)
-    values, vectors = np.linalg.eigh(np.cov(p.T))
-    white = (p - p.mean(axis=0)) @ vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0) + 1e-3)) @ vectors.T
-    return white[rng.integers(0, len(white), n)]
+        out.append(np.stack(bands).astype(float).reshape(len(bands), h, w)[:, y : y + size, z : z + size].ravel())
+    return whiten(np.array(out))
+
+
+#: What is pooled of each response, by mode.
+POOLS = {"mean": ("mean",), "stdev": ("mean", "std"), "all": ("mean", "std", "max", "min")}
 
 
-def convolution_features(tiles: DataFrame, filters: np.ndarray, size: int) -> DataFrame:
-    """sample_id, features: mean of the positive and of the negative part of each filter's response over the tile."""
+def convolution_features(tiles: DataFrame, filters: np.ndarray, size: int, pool: str = "mean", bias: float = -1.0) -> DataFrame:
+    """sample_id, features: for the positive and the negative part of each filter's response plus bias, the mean over the tile; ``stdev`` adds the sample deviation, ``all`` also the largest and least value."""
+    kinds = {"mean": lambda r: r.mean(1), "std": lambda r: r.std(1, ddof=1), "max": lambda r: r.max(1), "min": lambda r: r.min(1)}
+
+    def features(x: np.ndarray) -> np.ndarray:
+        n, c, h, w = x.shape
+        spots = (h - size + 1) * (w - size + 1)
+        out = []
+        for at in range(0, n, step := max(1, TOGETHER // (spots * c * size * size))):
+            part = np.lib.stride_tricks.sliding_window_view(x[at : at + step], (size, size), axis=(2, 3))
+            r = part.transpose(0, 2, 3, 1, 4, 5).reshape(-1, spots, filters.shape[1]) @ filters.T + bias
+            r = np.concatenate([np.maximum(r, 0), np.maximum(-r, 0)], axis=2)
+            out.append(np.concatenate([kinds[k](r) for k in POOLS[pool]], axis=1))
+        return np.concatenate(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = []
-            for h, w, bands in zip(df["height"], df["width"], df["bands"], strict=True):
-                x = np.stack([np.asarray(b, float).reshape(h, w) for b in bands])
-                patches = np.lib.stride_tricks.sliding_window_view(x, (size, size), axis=(1, 2)).transpose(1, 2, 0, 3, 4).reshape(-1, filters.shape[1])
-                r = patches @ filters.T
-                out.append(np.concatenate([np.maximum(r, 0).mean(axis=0), np.maximum(-r, 0).mean(axis=0)]).tolist())
-            yield pd.DataFrame({"sample_id": df["sample_id"], "features": out})
+            yield pd.DataFrame({"sample_id": df["sample_id"], "features": _per_tile(df, "bands", features)})
 
     return tiles.select("sample_id", "height", "width", "bands").mapInPandas(run, "sample_id long, features array<double>")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +33,7 @@ def _sample(name: str) -> tuple[str, str]:
 
 
 def read_samples(spark: SparkSession, root: str) -> DataFrame:
-    """sample_id, height, width, names, bands, meta of every sample of the shards; a task reads one shard at a time."""
+    """sample_id, height, width, names, bands, meta of every sample of the shards; a task holds the shards of one Arrow batch, and one sample's arrays at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -89,6 +90,34 @@ def write_shards(planned: DataFrame, root: str) -> None:
     planned.repartition("shard").sortWithinPartitions("shard", "row_id").write.mode("overwrite").partitionBy("shard").parquet(root)
 
 
+def write_tars(samples: DataFrame, root: str) -> DataFrame:
+    """shard, n of the tars written to ``root`` (a folder that tasks reach by its URI): a sample (sample_id, shard, height, width, names, bands, meta) is a .bands.npz and a .meta.json, samples in the order of their ids.
+
+    A shard is written under a name of its own and then renamed, so a repeated task leaves one whole file.
+    """
+
+    def write(df: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder)
+        name = f"{folder}/shard-{int(df['shard'].iloc[0]):06}"
+        part = f"{name}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out, tarfile.open(fileobj=out, mode="w|") as tar:
+            for r in df.sort_values("sample_id").itertuples():
+                arrays = io.BytesIO()
+                np.savez(arrays, **{n: np.asarray(b, np.float32).reshape(r.height, r.width) for n, b in zip(r.names, r.bands, strict=True)})
+                for end, body in ((BANDS, arrays.getvalue()), (META, r.meta.encode())):
+                    member = tarfile.TarInfo(f"{r.sample_id}{end}")
+                    member.size = len(body)
+                    tar.addfile(member, io.BytesIO(body))
+        store.move(part, f"{name}.tar")
+        return pd.DataFrame({"shard": [df["shard"].iloc[0]], "n": [len(df)]})
+
+    return samples.groupBy("shard").applyInPandas(write, "shard int, n long")
+
+
 def differing(source: DataFrame, copy: DataFrame, id_col: str, value: str, n: int = 50, seed: int = 0) -> DataFrame:
     """Of ``n`` samples of the source (the first by md5(id:seed)): ids that the copy lacks or whose value differs."""
     some = source.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))), id_col).limit(n).select(id_col, F.col(value).alias("a"))

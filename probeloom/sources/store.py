@@ -17,21 +17,29 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def _headers(spark: SparkSession, root: str, names: Sequence[str] | None) -> dict[str, list[str]]:
+    """Header line -> paths of the CSV files of a folder that are not empty; of each file the first line alone is read."""
+    jvm = spark.sparkContext._jvm
+    fs, place = _fs(spark, root)
+    out: dict[str, list[str]] = {}
+    for status in fs.listStatus(place):
+        path = status.getPath()
+        if status.isFile() and status.getLen() and path.getName().endswith(".csv") and (names is None or path.getName()[:-4] in names):
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
+            out.setdefault(reader.readLine(), []).append(path.toString())
+            reader.close()
+    return out
+
+
 def load_results(spark: SparkSession, root: str, names: Sequence[str] | None = None) -> DataFrame:
     """Every CSV file of a folder (or the files of some safe names) as one table of text columns; files' schemas are united.
 
     Files that share a header are read together, so the number of reads is that of the different headers.
     Empty files add nothing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(root).where("length > 0").select("path")
-    if names is not None:
-        files = files.where(F.regexp_extract("path", r"([^/]+)\.csv$", 1).isin(*names))
-    heads = spark.read.text(root, pathGlobFilter="*.csv").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
-    first = heads.join(files, "path").groupBy("path").agg(F.min_by("value", F.struct("at", "i")).alias("head"))
-    groups = first.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()  # file names, not rows
     out = None
-    for g in sorted(groups, key=lambda g: g["head"]):
-        part = spark.read.option("header", True).csv(sorted(g["paths"])).withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+    for _, paths in sorted(_headers(spark, root, names).items()):
+        part = spark.read.option("header", True).csv(sorted(paths)).withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "source_file string")
 
@@ -96,6 +104,12 @@ def write_record(spark: SparkSession, root: str, name: str, record: dict) -> Non
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}")
 
 
+def write_records(records: DataFrame, root: str) -> None:
+    """One canonical JSON text (keys sorted) for each row, in a folder of its name."""
+    text = F.to_json(F.struct(*sorted(records.columns)))
+    records.select(F.col("name").alias("record"), text.alias("value")).repartition("record").write.mode("overwrite").partitionBy("record").text(root)
+
+
 def read_records(spark: SparkSession, root: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).json(root)
 
@@ -105,6 +119,22 @@ def missing_records(registry: DataFrame, records: DataFrame) -> DataFrame:
     return registry.join(records.select("name"), "name", "left_anti")
 
 
+PROBABILITY_KEYS = ("dataset", "model", "split")
+
+
+def write_probabilities(rows: DataFrame, root: str) -> None:
+    """Tables of sample_id, label and probs (as floats), one folder for each dataset, model and split."""
+    rows.select(*PROBABILITY_KEYS, "sample_id", "label", F.col("probs").cast("array<float>").alias("probs")).write.mode("overwrite").partitionBy(*PROBABILITY_KEYS).parquet(root)
+
+
+def read_probabilities(spark: SparkSession, root: str, **wanted: str) -> DataFrame:
+    """The tables back, those of the wanted dataset, model or split alone (by their folders)."""
+    rows = spark.read.schema("sample_id long, label int, probs array<float>, dataset string, model string, split string").parquet(root)
+    for key, value in wanted.items():
+        rows = rows.where(F.col(key) == value)
+    return rows
+
+
 def read_partitions(spark: SparkSession, root: str) -> DataFrame:
     """part, split, sample_id of partition files, each one JSON object of split -> ids."""
     text = spark.read.option("wholetext", True).text(root, pathGlobFilter="*_partition.json").withColumn("part", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_partition\.json$", 1))

@@ -226,3 +226,133 @@ def test_shards(spark, tmp_path):
     assert place.a == 1 and place.b is None
     index = shards.index_members(spark, str(tmp_path)).collect()
     assert len(index) == 3 and all(r.meta_size == 12 and r.bands_offset > 0 for r in index)
+
+
+def test_handmade_features_are_direct(spark):
+    """Texture and structure against loops over pixels."""
+    rng = np.random.default_rng(8)
+    eps = 1e-6
+
+    def direct(m):
+        h, w = m.shape
+        low, high = m.min(), m.max()
+        unit = (m - low) / max(high - low, eps)
+
+        def slope(z, y, x, dy, dx):
+            n = (h, w)[dx]
+            if n == 1:
+                return 0.0
+            a, b = (min(max((y, x)[dx] + s, 0), n - 1) for s in (-1, 1))
+            at = lambda k: z[y, k] if dx else z[k, x]
+            return (at(b) - at(a)) / (b - a)
+
+        codes = []
+        for y in range(1, h - 1):
+            for x in range(1, w - 1):
+                ring = [m[y - 1, x - 1], m[y - 1, x], m[y - 1, x + 1], m[y, x + 1], m[y + 1, x + 1], m[y + 1, x], m[y + 1, x - 1], m[y, x - 1]]
+                codes.append([bool(v > m[y, x]) for v in ring])
+        if codes:
+            names = [tuple(c) for c in codes]
+            share = np.array([names.count(c) for c in set(names)]) / len(names)
+            out = [-(share * np.log(share)).sum() / np.log(256), np.mean([sum(c[i] != c[i - 1] for i in range(8)) <= 2 for c in codes])]
+        else:
+            out = [0.0, 0.0]
+        g = np.array([[(slope(unit, y, x, 0, 1), slope(unit, y, x, 1, 0)) for x in range(w)] for y in range(h)])
+        near = lambda y, x: [(i, j) for i in range(max(y - 1, 0), min(y + 2, h)) for j in range(max(x - 1, 0), min(x + 2, w))]
+        r = np.zeros((h, w))
+        for y in range(h):
+            for x in range(w):
+                v = np.array([g[i, j] for i, j in near(y, x)])
+                a, b, c = (v[:, 0] ** 2).mean(), (v[:, 1] ** 2).mean(), (v[:, 0] * v[:, 1]).mean()
+                r[y, x] = max(a * b - c * c - 0.04 * (a + b) ** 2, 0)
+        peak = [[r[y, x] > 0.01 * r.max() and r[y, x] >= max(r[i, j] for i, j in near(y, x)) for x in range(w)] for y in range(h)]
+        out += [np.mean(peak), r.mean()]
+        i, j = (h + 1) // 2, (w + 1) // 2
+        for q in (m[:i, :j], m[:i, j:], m[i:, :j], m[i:, j:]):
+            out += [q.mean(), q.std()] if q.size else [0.0, 0.0]
+        ys, xs = np.linspace(-1, 1, h) if h > 1 else [0], np.linspace(-1, 1, w) if w > 1 else [0]
+        for weight in (np.maximum(np.percentile(m, 25) - m, 0), np.maximum(m - np.percentile(m, 75), 0)):
+            p = weight / max(weight.sum(), eps * max(high - low, eps)) if weight.sum() else weight
+            pts = np.array([(x, y) for y in ys for x in xs])
+            mean = (p.ravel()[:, None] * pts).sum(0)
+            cov = (p.ravel()[:, None, None] * (pts[:, :, None] * pts[:, None, :])).sum(0) - np.outer(mean, mean) if weight.sum() else np.zeros((2, 2))
+            lo, hi = np.linalg.eigvalsh(cov)
+            out += [(hi - lo) / max(hi + lo, eps), np.sqrt(max(hi + lo, 0))]
+        return out
+
+    for shape in ((4, 4), (5, 3), (7, 8), (1, 6), (2, 2)):
+        x = rng.random((3, 2, *shape))
+        got = tiles.structure_of(x)
+        for a in range(3):
+            for b in range(2):
+                assert np.allclose(got[a, b], direct(x[a, b]), atol=1e-9), (shape, got[a, b], direct(x[a, b]))
+    ramp = np.tile(np.arange(5.0), (5, 1))
+    assert np.allclose(tiles._cells(ramp, 2), [[0.5, 2.5, 4]] * 3) and np.allclose(tiles._texture(ramp)[4:6], [1.75, np.sqrt(1 / 24)])
+    mixed = spark.createDataFrame([(1, 2, 2, [[1.0, 2.0, 3.0, 4.0]]), (2, 1, 3, [[1.0, 5.0, 2.0]]), (3, 2, 2, [[0.0, 0.0, 0.0, 1.0]])], "sample_id long, height int, width int, px array<array<double>>")
+    made = tiles.handmade(mixed.select("sample_id", "height", "width", F.transform("px", lambda p: F.struct(F.lit("a").alias("name"), p.alias("px"))).alias("maps"))).collect()
+    assert {r.sample_id: len(r.features) for r in made} == {1: 37, 2: 37, 3: 37} and made[0].features[0] == 2.5
+
+
+def test_policies_and_filters():
+    bands = [{"name": "a", "unit": "dn", "mean": 1.0, "std": 2.0, "lower": 0.0, "upper": 4.0}]
+    assert tiles._policy_band(bands[0], "model", {"unit": "reflectance", "mean": None}) == (1e-4, 0.0, 1.0)
+    for bad in ({"policy": "x"}, {"policy": "dataset", "clip": True}, {"policy": "model"}, {"policy": "none", "model": bands}, {"policy": "model", "model": [{"name": "b", "unit": "dn"}]}):
+        with pytest.raises(ValueError):
+            tiles.normalise_policy(None, bands, **bad)
+    for numbers, policy in (({"mean": None, "std": 1.0}, "dataset"), ({"lower": 1.0, "upper": 1.0}, "minmax"), ({"lower": 0.0, "upper": float("inf")}, "minmax")):
+        with pytest.raises(ValueError):
+            tiles._policy_band({"name": "a"} | numbers, policy, None)
+    patches = np.random.default_rng(9).standard_normal((50, 6))
+    white = tiles.whiten(patches, ridge=1e-9)
+    p = patches - patches.mean(1, keepdims=True)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    values, axes = np.linalg.eigh(p.T @ p / 50)
+    assert np.allclose(white @ axes[:, 1:], p @ axes[:, 1:] / (values[1:] + 1e-9))
+
+
+def test_multilabel_flips_are_found(spark):
+    rng = np.random.default_rng(10)
+    rows, flipped = [], set()
+    for i in range(500):
+        y = rng.random(3) < (0.5, 0.2, 0.8)
+        p = np.clip(np.where(y, 0.93, 0.07) + 0.05 * rng.standard_normal(3), 0.01, 0.99)
+        labels = y.astype(int).tolist()
+        if i % 25 == 0:
+            k = int(rng.integers(3))
+            labels[k] = 1 - labels[k]
+            flipped.add((i, k))
+        rows.append((i, labels, p.tolist()))
+    df = spark.createDataFrame(rows, "sample_id long, labels array<int>, probs array<double>")
+    issues = audit.multilabel_issues(df)
+    found = {(r.sample_id, r.place) for r in issues.where("is_issue").collect()}
+    assert found <= flipped and len(found) >= 0.7 * len(flipped)  # the quota follows the confident rows alone
+    samples = {r.sample_id: r for r in audit.multilabel_samples(df, issues).collect()}
+    assert {i for i, r in samples.items() if r.is_issue} == {i for i, _ in found}
+    own = sorted((p if y else 1 - p for y, p in zip(rows[0][1], rows[0][2])), reverse=True)
+    assert abs(samples[0].issue_score - (1 - (0.8 * own[2] + 0.2 * (0.8 * own[1] + 0.2 * own[0])))) < 1e-12
+
+
+def test_polygons_shipped_or_joined(spark):
+    rng = np.random.default_rng(11)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-30, 30, (300, 2)))] + [(300, None, 1.0), (301, float("nan"), 1.0)], "row_id long, lon double, lat double")
+    polygons = spark.createDataFrame([("b", [[-20.0, -20.0], [5.0, -20.0], [5.0, 10.0]]), ("a", [[0.0, -5.0], [25.0, -5.0], [12.0, 25.0]]), ("c", [[-29.0, 0.0], [-10.0, 0.0], [-10.0, 29.0], [-29.0, 29.0]])], "name string, ring array<array<double>>")
+    one, two = ({r.row_id: r.continent for r in geo.attribute_polygons(points, polygons, 5.0, limit).collect()} for limit in (1000, 0))
+    assert one == two and set(one.values()) == {"a", "b", "c", geo.OCEAN}
+
+
+def test_binomial_draws():
+    x = metrics.binomial_draws(1000, 300, 4000)
+    assert abs(x.mean() - 300) < 1 and abs(x.std() - np.sqrt(210)) < 0.6
+    assert (metrics.binomial_draws(10, 0, 5) == 0).all() and (metrics.binomial_draws(10, 10, 5) == 10).all()
+    big = metrics.binomial_draws(10**9, 4 * 10**8, 500)
+    assert abs(big.mean() / 10**9 - 0.4) < 1e-5
+
+
+def test_columns_and_logs(spark):
+    schema = spark.createDataFrame([], "id long, Lat double, LON double, name string, MeanT double, Price int").schema
+    assert coords.task_columns(schema, ("id",)) == ["MeanT", "Price"]
+    assert coords.label_column(schema, "income", ("id",)) == "MeanT" and coords.label_column(schema, "price", ("id",)) == "Price" and coords.label_column(schema, "x", ("id", "MeanT", "Price")) is None
+    jobs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "job_id long")
+    events = spark.createDataFrame([(1, 1, "completed", "old"), (2, 1, "completed", "new"), (3, 2, "failed", "x")], "seq long, job_id long, event string, log string")
+    attempts = spark.createDataFrame([(1, "a1", "done"), (2, "a2", "all done"), (2, "b2", "no"), (3, "a3", "done"), (3, "b3", "done")], "job_id long, log string, text string")
+    assert {r.job_id: r.log for r in results.job_logs(jobs, events, attempts, "done").collect()} == {1: "new", 2: "a2", 3: None, 4: None}
