@@ -3,8 +3,9 @@
 Vectors with the same label and length are compared by cosine. Equal vectors form a class with one
 representative. Unit vectors are rotated to their principal components (second moments summed over all
 rows). Vectors that reach the threshold lie within sqrt(2 - 2 t) of each other in every component, so a
-grid of that width over the first components leaves only neighbouring cells to compare; cells are cut
-into tiles of bounded size, and a task compares two tiles. It adds up the products of leading components
+grid of that width over the first components leaves only neighbouring cells to compare. The grid spans as many
+components as it takes for cells to hold about a tile (``GRIDS``); cells are cut into tiles of bounded size, and
+a task compares two tiles. It adds up the products of leading components
 first, bounds what the rest can add by the product of the suffix norms, and stops for rows and columns
 that cannot reach the threshold; what is left is decided by the cosine of the original vectors.
 
@@ -19,6 +20,9 @@ vectors that link with each other; an empty table gives an empty result; extra c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,13 @@ from pyspark.sql import types as T
 
 from probeloom.llm.graph import components, forest, groups
 from probeloom.llm.scratch import cut
+from probeloom.llm.slabs import tidied
 
 THRESHOLD = 0.98
-#: Rows of a tile (about), components that span the grid, components added between two looks at the bound.
-TILE, GRID, STEP = 768, 3, 16
+#: Rows of a tile (about), components added between two looks at the bound.
+TILE, STEP = 768, 16
+#: Numbers of components that may span the grid: the first with which cells have two tiles at most on average, else the last.
+GRIDS = (3, 4, 5, 6)
 #: Longest vectors: the second moments are a square of this side.
 MAX_DIMENSIONS = 4096
 _SLACK = 1e-9
@@ -71,7 +78,7 @@ def principal(vectors: DataFrame) -> np.ndarray:
         for i in range(width):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i].tolist()], pa.list_(pa.float64()))], names=["i", "row"])
 
-    sums = vectors.select("v").mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    sums = vectors.select("v").mapInArrow(tidied(run), "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
     moments = np.zeros((width, width))
     for r in sums.collect():  # width squared rows
         moments[r.i, r.j] = r.x
@@ -110,32 +117,37 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
     axes = principal(classes)
     shared = spark.sparkContext.broadcast(axes)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    grid = [f"c{k}" for k in range(GRID)]
+    every = [f"c{k}" for k in range(GRIDS[-1])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                lead = _unit(_matrix(part.column(3), len(axes))) @ axes[:, :GRID]
-                cells = np.zeros((part.num_rows, GRID), np.int32)
+                lead = _unit(_matrix(part.column(3), len(axes))) @ axes[:, : len(every)]
+                cells = np.zeros((part.num_rows, len(every)), np.int32)
                 cells[:, : lead.shape[1]] = np.floor(lead / reach)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(cells[:, k]) for k in range(GRID))], names=[*part.schema.names, *grid])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(cells[:, k]) for k in range(len(every)))], names=[*part.schema.names, *every])
 
     placed = classes.select("rep", "copies", "label", "v", F.size("v").alias("dims"))
-    placed = placed.mapInArrow(place, T.StructType([*placed.schema, *(T.StructField(c, T.IntegerType()) for c in grid)]))
+    placed = placed.mapInArrow(tidied(place), T.StructType([*placed.schema, *(T.StructField(c, T.IntegerType()) for c in every)]))
+    spans = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *((F.col(c) if i < k else F.lit(None).cast("int")).alias(c) for i, c in enumerate(every))) for k in GRIDS))).alias("s")
+    counts = placed.select("label", "dims", spans).groupBy("label", "dims", "s").agg(F.count("*").alias("n"))
+    counts = cut(counts.select("label", "dims", "s.*", "n", F.ceil(F.col("n") / tile).cast("int").alias("subs")), "counts")
+    work = {r.k: (r.meets, r.n) for r in counts.groupBy("k").agg(F.sum(F.col("n") * F.col("subs")).alias("meets"), F.sum("n").alias("n")).collect()}  # a row for each of GRIDS
+    span = next((k for k in GRIDS if k in work and work[k][0] <= 2 * work[k][1]), GRIDS[-1])
+    grid = every[:span]
     home = ["label", "dims", *grid]
-    cells = placed.groupBy(*home).agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / tile).cast("int")).drop("n")
-    cells = cut(cells, "cells")
-    tiles = cut(placed.join(cells, home).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")).drop("subs"), "tiles")
-    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    cells = counts.where(F.col("k") == span).select(*home, "subs")
+    tiles = cut(placed.select("rep", "copies", "v", *home).join(cells, home).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")).drop("subs"), "tiles")
+    steps = [step for step in product((-1, 0, 1), repeat=span) if step >= (0,) * span]
     moves = F.explode(F.array(*(F.struct(*(F.lit(s).alias(f"d{k}") for k, s in enumerate(step))) for step in steps))).alias("m")
     first = cells.select("*", moves).select("label", "dims", *(F.col(c).alias(f"a{k}") for k, c in enumerate(grid)), F.col("subs").alias("subs_a"), *((F.col(c) + F.col(f"m.d{k}")).alias(c) for k, c in enumerate(grid)))
     pairs = first.join(cells, home)
-    same = F.col("a0").eqNullSafe(F.col("c0")) & (F.col("a1") == F.col("c1")) & (F.col("a2") == F.col("c2"))
+    same = reduce(and_, (F.col(f"a{k}") == F.col(c) for k, c in enumerate(grid)))
     pairs = pairs.withColumn("same", same).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("subs_a") - 1)))
     pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("same"), F.col("i")).otherwise(0), F.col("subs") - 1))).withColumn("one", F.col("same") & (F.col("i") == F.col("j")))
-    pairs = cut(pairs.withColumn("p", F.xxhash64("a0", "a1", "a2", "i", *grid, "j")).drop("subs", "subs_a", "same"), "pairs")
+    pairs = cut(pairs.withColumn("p", F.xxhash64(*(f"a{k}" for k in range(span)), "i", *grid, "j")).drop("subs", "subs_a", "same"), "pairs")
     left = pairs.select("label", "dims", *(F.col(f"a{k}").alias(c) for k, c in enumerate(grid)), F.col("i").alias("sub"), "p", F.when(F.col("one"), -1).otherwise(0).alias("side"))
     right = pairs.where("NOT one").select("label", "dims", *grid, F.col("j").alias("sub"), "p", F.lit(1).alias("side"))
     dealt = tiles.join(left.union(right), [*home, "sub"]).select("label", "dims", "p", "side", "rep", "copies", "v")
@@ -163,7 +175,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(rep[root[some]])], names=["rep", "links", "root"])
 
     dealt = dealt.repartition("label", "dims", "p").sortWithinPartitions("label", "dims", "p", "side")
-    found = cut(dealt.mapInArrow(compare, "rep long, links long, root long"), "found")
+    found = cut(dealt.mapInArrow(tidied(compare), "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     about = classes.select("label", "k1", "k2", "rep", "copies").join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")

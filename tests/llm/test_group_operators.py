@@ -233,7 +233,7 @@ def test_vectors(spark):
     links = [(i, j) for i, a in sound for j, b in sound if i != j and a[2] == b[2] and len(a[1]) == len(b[1]) and unit[i] @ unit[j] >= 0.98]
     group = components({r[0] for r in rows if r[0] is not None}, [(rows[i][0], rows[j][0]) for i, j in links])
     want = collections.Counter((r[0], sum(i == k for i, _ in links), group.get(r[0]), group.get(r[0]) in (r[0], None)) for k, r in enumerate(rows))
-    for tile in (768, 4):
+    for tile in (768, 4, 1):  # 4 and 1: a grid over more components
         got = vectors.near_vectors(docs, tile=tile).collect()
         assert collections.Counter(map(tuple, got)) == want
     assert vectors.near_vectors(docs.limit(0)).count() == 0
