@@ -4,10 +4,14 @@ A text is made canonical line by line (ASCII case folded, copyright lines droppe
 unified, all that is neither letter nor digit one space), and the digest of the whole is hash-joined to
 the digests of known licence texts. The digests of single lines find one-line licence notices the same way.
 
-Nothing is shuffled: the known digests (``MAX_KNOWN`` at most) are broadcast, documents stay where they are.
+Up to ``MAX_KNOWN`` known digests are broadcast, and documents stay where they are; a larger table of digests is
+joined by a shuffle of the documents' digests. The listed texts are those of MIT, BSD-2-Clause, BSD-3-Clause, ISC
+and 0BSD and the header of Apache-2.0, besides one-line notices; further licences come as a table of digests, which
+``digests_of`` makes from their texts.
 
 Defined results: a null text counts as empty; a text without letters and digits has the digest of the
-empty string and no licence; repeated rows are scanned alike; other columns pass untouched by the query.
+empty string and no licence; texts of any length are scanned whole; repeated rows are scanned alike; of several
+licences with one text the first by name counts; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,9 +64,11 @@ def notices() -> list[tuple[str, str]]:
 def canonical_line(line: Column) -> Column:
     folded = F.translate(line, _UPPER, _LOWER)
     plain = F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))  # a space on either side of each word
+    unified = plain
     for a, b in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.when(folded.rlike(COPYRIGHT), "").otherwise(F.trim(F.replace(plain, F.lit("  "), F.lit(" "))))
+        unified = F.replace(unified, F.lit(f" {a} "), F.lit(f" {b} "))
+    unified = F.when(plain.rlike(f" (?:{'|'.join(a for a, _ in SPELLINGS)}) "), unified).otherwise(plain)  # few lines have any
+    return F.when(folded.rlike(COPYRIGHT), "").otherwise(F.trim(F.replace(unified, F.lit("  "), F.lit(" "))))
 
 
 def canonical(text: str) -> tuple[Column, Column]:
@@ -71,18 +77,24 @@ def canonical(text: str) -> tuple[Column, Column]:
     return lines, F.array_join(lines, " ")
 
 
+def digests_of(texts: DataFrame) -> DataFrame:
+    """digest, license_id, size of known texts (license_id, text), one row for each digest."""
+    rows = texts.select("license_id", canonical("text")[1].alias("known"))
+    return rows.groupBy(F.sha2("known", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("known")).alias("size"))
+
+
 def _listed(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     if len(texts) > MAX_KNOWN:
-        raise ValueError(f"over {MAX_KNOWN} known texts")
-    rows = spark.createDataFrame(texts, "license_id string, text string").select("license_id", canonical("text")[1].alias("known"))
-    return rows.groupBy(F.sha2("known", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("known")).alias("size"))
+        raise ValueError(f"over {MAX_KNOWN} texts in the code: give them as a table of digests")
+    return digests_of(spark.createDataFrame(texts, "license_id string, text string"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, lines: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, lines: list[tuple[str, str]] | None = None, digests: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the whole text, else null), n_notices and notices of every document.
 
-    ``texts`` are known whole texts (TEXTS and the notices by default), ``lines`` known notices of one line.
-    n_notices counts the lines that are known notices; notices lists their licences, each once, by comma.
+    ``texts`` are known whole texts (TEXTS and the notices by default), ``lines`` known notices of one line, and
+    ``digests`` a table (digest, license_id) of more whole texts. n_notices counts the lines that are known notices;
+    notices lists their licences, each once, by comma.
     """
     spark = docs.sparkSession
     lines = notices() if lines is None else lines
@@ -93,7 +105,11 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, lines: lis
     rows = docs.select("doc_id", canonical("text")[0].alias("lines"))
     found = F.filter(F.transform(F.filter("lines", lambda x: F.length(x) <= longest), lambda x: F.try_element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull())
     rows = rows.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), (found if short else F.array().cast("array<string>")).alias("found"))
-    rows = rows.join(F.broadcast(listed.drop("size")), "digest", "left")  # MAX_KNOWN rows at most
+    known = listed.select("digest", "license_id")
+    if digests is not None:
+        known = known.union(digests.select("digest", "license_id")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    small = digests is None or digests.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN
+    rows = rows.join(F.broadcast(known) if small else known, "digest", "left")  # broadcast: 2 * MAX_KNOWN rows at most
     return rows.select("doc_id", "digest", "license_id", F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))
 
 

@@ -74,6 +74,16 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_from_a_table(spark, monkeypatch):
+    text = "The Sample Public Licence\n\nYou may do as you like."
+    docs = spark.createDataFrame([(1, "copyright 2020 me\nthe sample public license, you may do as you like"), (2, "other"), (3, text)], "doc_id long, text string")
+    table = licenses.digests_of(spark.createDataFrame([("SPL-1.0", text), ("X", "other words")], "license_id string, text string"))
+    for limit in (licenses.MAX_KNOWN, 1):  # 1: joined by a shuffle
+        monkeypatch.setattr(licenses, "MAX_KNOWN", limit)
+        got = licenses.scan(docs, texts=[], lines=[], digests=table).collect()
+        assert {r.doc_id: r.license_id for r in got} == {1: "SPL-1.0", 2: None, 3: "SPL-1.0"}
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
