@@ -11,7 +11,7 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,2})?$"
 def canonical_cell(value: Column | str) -> Column:
     """Trimmed text in which numbers with integral values are written as integers; null is the empty text."""
     text = F.trim((F.col(value) if isinstance(value, str) else value).cast("string"))
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    number = F.when((F.ascii(text) < 58) & text.rlike(NUMBER), text.try_cast("double"))  # signs, the point and digits come before 58
     whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
     return F.coalesce(F.when(whole, number.cast("decimal(38,0)").cast("string")), text, F.lit(""))
 

@@ -22,15 +22,17 @@ def _canonical(df: DataFrame, keys: Sequence[str]) -> list[Column]:
 def dedup(rows: DataFrame, keys: Sequence[str] = RUN_KEYS, seq: str = "append_seq") -> DataFrame:
     """One row for each measurement: a row with a config hash beats one without, then the last appended.
 
-    The key leaves the hash out and takes metric name and seed in. One shuffle on the canonical key. Tables
+    The key leaves the hash out and takes metric name and seed in. One shuffle on the canonical key, made once. Tables
     without the key columns pass unchanged.
     """
     named = [k for k in (*keys, "metric_name", "seed") if k != "config_hash"]
     if not {"metric_name", *[k for k in named if k in keys][:1]} <= set(rows.columns):
         return rows
-    hashed = canonical_cell("config_hash") != "" if "config_hash" in rows.columns else F.lit(False)
-    order = Window.partitionBy(*_canonical(rows, named)).orderBy(hashed.desc(), F.col(seq).desc())
-    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    hashed = F.coalesce(F.trim("config_hash"), F.lit("")) != "" if "config_hash" in rows.columns else F.lit(False)
+    # rows that cannot be first leave before the shuffle; the digest ahead of the key makes the sort one of numbers
+    order = Window.partitionBy("_digest", "_key").orderBy(hashed.desc(), F.col(seq).desc())
+    keyed = _keyed(rows, named).withColumn("_digest", F.xxhash64("_key"))
+    return keyed.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "_key", "_digest")
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
