@@ -29,10 +29,15 @@ def poisson_weights(rows: DataFrame, unit: str, replicates: int, seed: int = 0)
     """
     block = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8)))
     hashed = rows.withColumn("_b", block).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string"), F.col("_b").cast("string"))))
-    u = lambda i: (F.conv(F.substring("_h", 4 * i + 1, 4), 16, 10).cast("int") + 0.5) / 65536
-    weight = lambda i: sum((u(i) >= t).cast("int") for t in poisson_thresholds())
-    drawn = hashed.withColumn("_d", F.explode(F.array(*(F.struct((F.col("_b") * 8 + i + 1).alias("r"), weight(i).alias("w")) for i in range(8)))))
-    return drawn.select(*rows.columns, F.col("_d.r").alias("r"), F.col("_d.w").alias("w")).where((F.col("w") > 0) & (F.col("r") <= replicates))
+    number = lambda at, n: F.conv(F.substring("_h", at, n), 16, 10).cast("long")
+    wide = hashed.select(*rows.columns, "_b", number(1, 12).alias("_x"), number(13, 12).alias("_y"), number(25, 8).alias("_z"))
+    parts = [F.shiftright(c, s).bitwiseAND(65535) for c, shifts in (("_x", (32, 16, 0)), ("_y", (32, 16, 0)), ("_z", (16, 0))) for s in shifts]
+    drawn = wide.select(*rows.columns, "_b", F.posexplode(F.array(*parts)).alias("_i", "_v"))
+    u, limits = (F.col("_v") + 0.5) / 65536, poisson_thresholds()
+    weight = F.lit(len(limits))
+    for k in range(len(limits) - 1, -1, -1):  # the smallest weights are tried first
+        weight = F.when(u < limits[k], k).otherwise(weight)
+    return drawn.select(*rows.columns, (F.col("_b") * 8 + F.col("_i") + 1).alias("r"), weight.alias("w")).where((F.col("w") > 0) & (F.col("r") <= replicates))
 
 
 def index_draws(sizes: DataFrame, replicates: int, seed: int = 0) -> DataFrame:

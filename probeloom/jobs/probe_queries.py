@@ -232,7 +232,7 @@ def _multi(spark, sf_dir):
 
 
 _FLAGS = _MULTI + """, q AS (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS q FROM u), lim AS (SELECT place, y AS c, avg(q) AS lim, count(*) AS n FROM q GROUP BY 1, 2),
-s AS (SELECT sample_id, place, any_value(y) AS y, arg_max(c, z * 10 - c) AS sure FROM (SELECT sample_id, q.place, y, c, CASE WHEN c = 1 THEN p ELSE 1 - p END AS z, lim FROM q JOIN lim ON q.place = lim.place) WHERE z >= lim GROUP BY 1, 2),
+s AS (SELECT sample_id, place, any_value(y) AS y, arg_max(c, z - c / 1e12) AS sure FROM (SELECT sample_id, q.place, y, c, CASE WHEN c = 1 THEN p ELSE 1 - p END AS z, lim FROM q JOIN lim ON q.place = lim.place) WHERE z >= lim GROUP BY 1, 2),
 jt AS (SELECT place, y, count(*) AS t, count(*) FILTER (sure <> y) AS c FROM s GROUP BY 1, 2), qu AS (SELECT jt.place, y, round(jt.c / t * n) AS quota FROM jt JOIN lim ON jt.place = lim.place AND jt.y = lim.c),
 rk AS (SELECT sample_id, q.place, quota, row_number() OVER (PARTITION BY q.place, q.y ORDER BY q, sample_id) AS k FROM q JOIN qu ON q.place = qu.place AND q.y = qu.y WHERE q < 0.5),
 g AS (SELECT q.sample_id, q.place, q.y, q.p, q.q, coalesce(k <= quota, false) AS f FROM q LEFT JOIN rk ON q.sample_id = rk.sample_id AND q.place = rk.place) """
