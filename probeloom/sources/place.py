@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in ``spark.checkpoint.dir``; a temporary one only for a local session without that setting."""
+    """A new folder's path (deleted at the program's end) in ``spark.checkpoint.dir``; a temporary one only for a local session without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/probeloom-{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/probeloom-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def release() -> None:
+    """Delete all these folders; at the program's end at the latest, if the session still lives."""
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # else the cluster's own cleaning of the folder remains
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
