@@ -79,13 +79,31 @@ def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(_table(spark, sf_dir, "documents"), short=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op4_vector_near_dedup, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows, op10_line_edit_join)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import postings
+
+    return postings.digest(postings.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import ranked
+
+    return ranked.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeloom.llm import runs
+
+    return runs.digest(runs.find(runs.with_loops(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filters, op4_vector_near_dedup, op5_source_mixing, op6_license_scans, op7_html_extraction, op8_superminhash, op9_repeated_windows, op10_line_edit_join, op11_decontamination, op12_ranked_search, op13_periodic_runs)}
 
 
 def _oracles() -> dict[str, str]:
-    from probeloom.llm import licenses, urls, vectors
+    from probeloom.llm import licenses, postings, ranked, urls, vectors
 
-    return {"op3_url_filters": urls.oracle(), "op4_vector_near_dedup": vectors.ORACLE, "op6_license_scans": licenses.oracle()}
+    return {"op3_url_filters": urls.oracle(), "op4_vector_near_dedup": vectors.ORACLE, "op6_license_scans": licenses.oracle(), "op11_decontamination": postings.ORACLE, "op12_ranked_search": ranked.ORACLE}
 
 
 ORACLES = _oracles()

@@ -88,10 +88,10 @@ class Slab:
             np.cumsum(_TABLE[self.data if table is None else table[self.data]] * up[: len(self.data)], out=out[1:])
         return out
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the maximal runs without ASCII white space; per text, the index of its first word."""
+    def words(self, gaps: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the maximal runs without gaps (bytes, ASCII white space by default); per text, the index of its first word."""
         inside = np.zeros(len(self.data) + 2, bool)
-        inside[1:-1] = ~WHITE[self.data]
+        inside[1:-1] = ~gaps[self.data]
         first = np.zeros(len(self.data) + 1, bool)
         first[self.offs] = True
         starts = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
