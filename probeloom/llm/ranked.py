@@ -95,7 +95,9 @@ def cut_blocks(impact: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     nth = np.arange(base[-1]) - base[list_of]
     begin = offs[list_of] + nth * UNIT
     top = np.maximum.reduceat(impact, begin).astype(np.float64) if len(begin) else np.zeros(0)
-    fixed = COST * np.maximum.reduceat(top, base[:-1]) if len(begin) else np.zeros(0)
+    some = units > 0
+    fixed = np.zeros(len(sizes))
+    fixed[some] = COST * np.maximum.reduceat(top, base[:-1][some]) if len(begin) else 0
     held = np.minimum(offs[list_of + 1] - begin, UNIT)
     order = np.argsort(-units, kind="stable")  # the lists that are still going on stand in front
     going = np.searchsorted(-units[order], -np.arange(1, units.max(initial=0) + 1), "right")
@@ -117,7 +119,7 @@ def cut_blocks(impact: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
         best[:n] = cost[np.arange(n), pick] + fixed[rows]
         back[at] = pick + 1
     ends = np.zeros(base[-1], bool)
-    at = base[1:] - 1
+    at = base[1:][some] - 1
     while len(at):
         ends[at] = True
         to = at - back[at]
