@@ -132,13 +132,23 @@ def _probe(spark, sf_dir):
     return rows.select("row_id", "fold", C.fourier(F.col("lat"), F.col("lon"), 3).alias("features"), F.col("y_num").alias("y"), "y_cls")
 
 
-def _ridge_sql(targets: str, n_targets: int, score: str) -> str:
-    """Ridge with each of five random folds held out, for the whole grid: Gauss and Jordan on the twelve Fourier features."""
+#: How points get their fold in SQL, from 0 to 4; -1 is held out of all training.
+_RANDOM = "(row_number() OVER (ORDER BY md5(row_id || ':0'), row_id) - 1) % 5"
+_SPATIAL = "(dense_rank() OVER (ORDER BY md5(CAST(floor(lat / 10) * 100003 + floor(lon / 10) AS BIGINT) || ':0')) - 1) % 5"
+_OFFICIAL = "CASE WHEN country % 4 = 1 THEN -1 ELSE (row_number() OVER (PARTITION BY country % 4 = 1 ORDER BY row_id) - 1) % 5 END"
+_Y, _R2 = "[y]", "1 - sum((y - p[1]) ** 2) / (var_pop(y) * count(*))"
+_HOT, _HITS = "list_transform(classes, lambda c: CASE WHEN c = y_cls THEN 1.0 ELSE 0.0 END)", "avg(CASE WHEN classes[list_position(p, list_max(p))] = y_cls THEN 1.0 ELSE 0.0 END)"
+_FOLDED = """SELECT alpha, round(mean, 6) AS mean, round(std, 6) AS std, alpha IN ({a!r}::DOUBLE, {b!r}::DOUBLE) AS at_edge FROM me ORDER BY round(mean, 12) DESC, alpha LIMIT 1""".format(a=C.ALPHAS[0], b=C.ALPHAS[-1])
+_HELD = """SELECT b.alpha, round(score, 6) AS score, b.alpha IN ({a!r}::DOUBLE, {b!r}::DOUBLE) AS at_edge FROM (SELECT alpha FROM me ORDER BY round(mean, 12) DESC, alpha LIMIT 1) b JOIN sc ON sc.alpha = b.alpha AND fold = -1""".format(a=C.ALPHAS[0], b=C.ALPHAS[-1])
+
+
+def _ridge_sql(targets: str, n_targets: int, score: str, fold: str = _RANDOM, result: str = _FOLDED) -> str:
+    """Ridge with each fold held out, for the whole grid: Gauss and Jordan on the twelve Fourier features."""
     waves = ", ".join(f"{f}(radians({x}) * {2**i})" for i in range(3) for x in ("lat", "lon") for f in ("sin", "cos"))
     alphas = ", ".join(f"({a!r}::DOUBLE)" for a in C.ALPHAS)
     step = "list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1]) ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)"
-    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT row_id, y_num AS y, y_cls, (row_number() OVER (ORDER BY md5(row_id || ':0'), row_id) - 1) % 5 AS fold, [{waves}]::DOUBLE[] AS x FROM points), cl AS (SELECT list(DISTINCT y_cls ORDER BY y_cls) AS classes FROM points),
-q AS MATERIALIZED (SELECT row_id, fold, x, y, y_cls, {targets} AS t FROM o, cl), tr AS MATERIALIZED (SELECT f AS out, x, t FROM range(0, 5) r(f) JOIN q ON q.fold <> f),
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT row_id, y_num AS y, y_cls, {fold} AS fold, [{waves}]::DOUBLE[] AS x FROM points), cl AS (SELECT list(DISTINCT y_cls ORDER BY y_cls) AS classes FROM points),
+q AS MATERIALIZED (SELECT row_id, fold, x, y, y_cls, {targets} AS t FROM o, cl), tr AS MATERIALIZED (SELECT f AS out, x, t FROM (SELECT DISTINCT fold AS f FROM o) JOIN q ON q.fold >= 0 AND q.fold <> f),
 u AS MATERIALIZED (SELECT out, i, v FROM (SELECT out, unnest(range(1, 13)) AS i, unnest(x) AS v FROM tr)), mo AS MATERIALIZED (SELECT out, i, avg(v) AS m, greatest(stddev_samp(v), 1e-6) AS s FROM u GROUP BY 1, 2),
 ml AS (SELECT out, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM mo GROUP BY 1), mt AS (SELECT out, list(v ORDER BY j) AS mt FROM (SELECT out, j, avg(t[j]) AS v FROM tr, range(1, {n_targets + 1}) a(j) GROUP BY 1, 2) GROUP BY 1),
 z AS MATERIALIZED (SELECT out, list_transform(x, lambda v, i: (v - m[i]) / s[i]) AS x, list_transform(t, lambda v, j: v - mt[j]) AS t FROM tr JOIN ml USING (out) JOIN mt USING (out)),
@@ -147,21 +157,21 @@ gm AS MATERIALIZED (SELECT out, list(r ORDER BY i) AS m FROM g GROUP BY 1), al(a
 gj(k, out, alpha, m) AS (SELECT 0, out, alpha, list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = j THEN v + alpha ELSE v END)) FROM gm, al UNION ALL SELECT k + 1, out, alpha, {step} FROM gj WHERE k < 12),
 w AS MATERIALIZED (SELECT out, alpha, list_transform(range(0, {n_targets}), lambda j: list_transform(gj.m, lambda r: r[13 + j])) AS w FROM gj WHERE k = 12),
 p AS (SELECT q.fold, alpha, y, y_cls, list_transform(w, lambda c, j: mt[j] + list_inner_product(c, list_transform(x, lambda v, i: (v - ml.m[i]) / ml.s[i]))) AS p FROM q JOIN w ON w.out = q.fold JOIN ml ON ml.out = q.fold JOIN mt ON mt.out = q.fold),
-sc AS (SELECT fold, alpha, {score} AS score FROM p, cl GROUP BY fold, alpha), me AS (SELECT alpha, avg(score) AS mean, stddev_pop(score) AS std FROM sc GROUP BY 1)
-SELECT alpha, round(mean, 6) AS mean, round(std, 6) AS std, alpha IN ({C.ALPHAS[0]!r}::DOUBLE, {C.ALPHAS[-1]!r}::DOUBLE) AS at_edge FROM me ORDER BY round(mean, 12) DESC, alpha LIMIT 1"""
+sc AS (SELECT fold, alpha, {score} AS score FROM p, cl GROUP BY fold, alpha), me AS (SELECT alpha, avg(score) AS mean, stddev_pop(score) AS std FROM sc WHERE fold >= 0 GROUP BY 1)
+{result}"""
 
 
 def _best(scores, name):
     return C.best_alpha(scores, name).select("alpha", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "at_edge")
 
 
-@register(_ridge_sql("[y]", 1, "1 - sum((y - p[1]) ** 2) / (var_pop(y) * count(*))"), "points")
+@register(_ridge_sql(_Y, 1, _R2), "points")
 def ridge_regression(spark, sf_dir):
     """PR11, PR13"""
     return _best(C.ridge_r2(_probe(spark, sf_dir)), "r2")
 
 
-@register(_ridge_sql("list_transform(classes, lambda c: CASE WHEN c = y_cls THEN 1.0 ELSE 0.0 END)", 5, "avg(CASE WHEN any_value(classes)[list_position(p, list_max(p))] = y_cls THEN 1.0 ELSE 0.0 END)").replace("any_value(classes)", "classes"), "points")
+@register(_ridge_sql(_HOT, 5, _HITS), "points")
 def ridge_classification(spark, sf_dir):
     """PR12, PR13"""
     rows = _probe(spark, sf_dir)
@@ -169,6 +179,53 @@ def ridge_classification(spark, sf_dir):
     return _best(C.ridge_accuracy(rows, classes), "accuracy")
 
 
+def _official(spark, sf_dir):
+    rows = C.nested_folds(view(spark, sf_dir, "points").withColumn("is_test", F.col("country") % 4 == 1), 5)
+    return rows.select("row_id", "fold", C.fourier(F.col("lat"), F.col("lon"), 3).alias("features"), F.col("y_num").alias("y"), "y_cls")
+
+
+@register(_ridge_sql(_Y, 1, _R2, _OFFICIAL, _HELD), "points")
+def official_regression(spark, sf_dir):
+    """PR13: the penalty is chosen on folds of the pool, and the held-out rows are scored once"""
+    return C.official_score(C.ridge_r2(_official(spark, sf_dir)), "r2").withColumn("score", F.round("score", 6))
+
+
+@register(_ridge_sql(_HOT, 5, _HITS, _OFFICIAL, _HELD), "points")
+def official_classification(spark, sf_dir):
+    """PR13"""
+    rows = _official(spark, sf_dir)
+    classes = sorted(r.y_cls for r in rows.select("y_cls").distinct().collect())
+    return C.official_score(C.ridge_accuracy(rows, classes), "accuracy").withColumn("score", F.round("score", 6))
+
+
+def _knn_sql(fold: str, result: str) -> str:
+    """Five neighbours on features scaled by each fold's training rows."""
+    waves = ", ".join(f"{f}(radians({x}) * {2**i})" for i in range(3) for x in ("lat", "lon") for f in ("sin", "cos"))
+    return f"""WITH o AS MATERIALIZED (SELECT row_id, y_cls, {fold} AS fold, [{waves}]::DOUBLE[] AS x FROM points), cl AS (SELECT list(DISTINCT y_cls ORDER BY y_cls) AS classes FROM points), fs AS (SELECT DISTINCT fold AS f FROM o WHERE {'fold = -1' if result.startswith('-') else 'true'}),
+u AS (SELECT f, i, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT f, unnest(range(1, 13)) AS i, unnest(x) AS v FROM fs JOIN o ON fold >= 0 AND fold <> f) GROUP BY 1, 2), l AS (SELECT f, list(m ORDER BY i) AS m, list(CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY i) AS s FROM u GROUP BY 1),
+z AS MATERIALIZED (SELECT f, fold, row_id, list_position(classes, y_cls) AS c, list_transform(x, lambda v, i: (v - m[i]) / s[i]) AS x FROM l, o, cl),
+n AS (SELECT q.f, q.row_id, q.c, t.c AS tc, row_number() OVER (PARTITION BY q.f, q.row_id ORDER BY list_distance(q.x, t.x), t.row_id) AS k FROM z q JOIN z t ON q.f = t.f AND q.fold = q.f AND t.fold <> t.f AND t.fold >= 0),
+v AS (SELECT f, row_id, c, tc, count(*) AS v FROM n WHERE k <= 5 GROUP BY ALL), p AS (SELECT f, arg_max(tc, v * 1000 - tc) AS p, any_value(c) AS c FROM v GROUP BY f, row_id), sc AS (SELECT f, avg(CASE WHEN p = c THEN 1.0 ELSE 0.0 END) AS a FROM p GROUP BY 1)
+SELECT avg(a) AS mean, stddev_pop(a) AS std FROM sc"""
+
+
+def _run_sql() -> str:
+    """All evaluations of ``coordinate_run``."""
+    out = []
+    for dataset, task, kind, folds in (("customers", "balance", "regression", ("random", "spatial")), ("customers", "segment", "classification", ("random", "spatial")), ("held", "balance", "regression", ("official",)), ("held", "segment", "classification", ("official",))):
+        for split in folds:
+            fold = {"random": _RANDOM, "spatial": _SPATIAL, "official": _OFFICIAL}[split]
+            held = split == "official"
+            end = "SELECT score AS mean, 0.0 AS std FROM (SELECT alpha FROM me ORDER BY round(mean, 12) DESC, alpha LIMIT 1) b JOIN sc ON sc.alpha = b.alpha AND fold = -1" if held else "SELECT mean, std FROM me ORDER BY round(mean, 12) DESC, alpha LIMIT 1"
+            made = [("linear", _ridge_sql(*((_Y, 1, _R2) if kind == "regression" else (_HOT, 5, _HITS)), fold, end))]
+            if kind == "classification":
+                made.append(("knn5", _knn_sql(fold, "-1" if held else "all")))
+            n_test = "(SELECT count(*) FILTER (country % 4 = 1) FROM points)" if held else "(SELECT count(*) FROM points)"
+            for method, sql in made:
+                out.append(f"SELECT '{dataset}' AS dataset, '{task}' AS task, '{kind}' AS task_type, '{method}' AS method, 'fourier3' AS model, '{split}' AS split, '{'r2' if kind == 'regression' else 'accuracy'}' AS metric_name, round(mean, 6) AS metric_value, round(mean - std, 6) AS ci_lower, round(mean + std, 6) AS ci_upper, CAST({1 if held else 5} AS INTEGER) AS n_folds, CAST(10 AS DOUBLE) AS cell_deg, CAST(12 AS INTEGER) AS feature_dim, (SELECT count(*) FROM points) AS n_samples, {n_test} AS n_test, CAST(0 AS INTEGER) AS seed FROM ({sql})")
+    return "WITH all_runs AS (" + " UNION ALL ".join(out) + ") SELECT * FROM all_runs"
+
+
 _DIRTY = "SELECT row_id, CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE y_num END AS y, CASE WHEN row_id % 3 = 0 THEN NULL ELSE y_cls END AS c, [CASE WHEN row_id % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE lon END, CASE WHEN row_id % 13 = 0 THEN NULL ELSE lat END] AS x FROM points"
 
 
@@ -274,14 +331,16 @@ def thinned_points(spark, sf_dir):
     return G.thin(view(spark, sf_dir, "points"), 50)
 
 
-@register(None)
+@register(_run_sql(), "points")
 def coordinate_run(spark, sf_dir):
-    """PR14"""
+    """PR14, PR4: benchmarks with folds of their own and with an official split"""
     from probeloom.jobs.coordinate_run import run
 
-    points = view(spark, sf_dir, "points").select("row_id", "lon", "lat", "year", F.col("y_num").alias("y"), "y_cls", F.lit(False).alias("is_test")).cache()
-    benchmarks = spark.createDataFrame([("customers", "balance", "regression", False), ("customers", "segment", "classification", False)], "name string, task string, task_type string, has_official boolean")
-    return run(benchmarks, lambda name, task: points, C.fourier(F.col("lat"), F.col("lon"), 3), "fourier3")
+    points = view(spark, sf_dir, "points").select("row_id", "lon", "lat", "year", F.col("y_num").alias("y"), "y_cls", (F.col("country") % 4 == 1).alias("is_test"))
+    tasks = [(name, task, kind, name == "held") for name in ("customers", "held") for task, kind in (("balance", "regression"), ("segment", "classification"))]
+    benchmarks = spark.createDataFrame(tasks, "name string, task string, task_type string, has_official boolean")
+    out = run(benchmarks, lambda name, task: points, C.fourier(F.col("lat"), F.col("lon"), 3), "fourier3")
+    return out.withColumns({c: F.round(c, 6) for c in ("metric_value", "ci_lower", "ci_upper")})
 
 
 @register("SELECT sample_id, split = 'test' AS is_test FROM features", "features")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probeloom.operators.metrics import average_precision
+from probeloom.operators.ranges import placed
 
 
 def label_quality(rows: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def label_issues(rows: DataFrame) -> DataFrame:
     A class's threshold is the mean self-confidence of its rows. A row counts for the class with the largest
     probability among those at or over their thresholds. The joint counts, scaled to the rows of each given
     class, set how many rows go from a given class to another, those with the largest margin first. Only
-    rows that lean to another class are shuffled for the ranking.
+    rows that lean to another class are ranked, in ranges, so that no task holds all of a pair of classes.
     """
     known = rows.withColumn("quality", F.element_at("probs", (F.col("label") + 1).cast("int")))
     limits = known.groupBy("label").agg(F.avg("quality").alias("limit"), F.count("*").alias("n"))
@@ -37,7 +38,7 @@ def label_issues(rows: DataFrame) -> DataFrame:
     pairs = known.join(F.broadcast(quota), "label")  # classes squared rows
     margin = F.element_at("probs", (F.col("to") + 1).cast("int")) - F.col("quality")
     lean = pairs.withColumn("margin", margin).where("margin > 0")
-    ranked = lean.withColumn("k", F.row_number().over(Window.partitionBy("label", "to").orderBy(F.col("margin").desc(), "sample_id"))).where("k <= quota")
+    ranked = placed(lean.where("quota > 0").select("label", "to", "margin", "sample_id", "quota"), ("label", "to"), (("margin", True), "sample_id"), "k").where("k <= quota")
     return known.join(ranked.select("sample_id").distinct().withColumn("is_issue", F.lit(True)), "sample_id", "left").withColumn("is_issue", F.coalesce("is_issue", F.lit(False)))
 
 
@@ -60,18 +61,18 @@ def multilabel_issues(rows: DataFrame) -> DataFrame:
     """sample_id, place, y, p, is_issue: confident learning of ``label_issues`` for each label as a problem of two classes.
 
     Thresholds and quotas are a few numbers for each label and travel by broadcast; only rows that lean to the
-    other class are shuffled for the ranking.
+    other class are ranked, in ranges.
     """
     each = _places(rows, "sample_id").withColumn("quality", F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
     limits = each.groupBy("place").agg(*(F.avg(F.when(F.col("y") == k, F.col("quality"))).alias(f"t{k}") for k in (0, 1)), *(F.count_if(F.col("y") == k).alias(f"n{k}") for k in (0, 1)))
-    placed = each.join(F.broadcast(limits), "place")  # a row for each label
+    limited = each.join(F.broadcast(limits), "place")  # a row for each label
     no, yes = F.coalesce(1 - F.col("p") >= F.col("t0"), F.lit(False)), F.coalesce(F.col("p") >= F.col("t1"), F.lit(False))
     sure = F.when(no & yes, (F.col("p") > 0.5).cast("int")).when(yes, 1).when(no, 0)
-    joint = placed.withColumn("sure", sure).where("sure IS NOT NULL").groupBy("place", "y").agg(F.count("*").alias("t"), F.count_if(F.col("sure") != F.col("y")).alias("c"), F.first("n0").alias("n0"), F.first("n1").alias("n1"))
+    joint = limited.withColumn("sure", sure).where("sure IS NOT NULL").groupBy("place", "y").agg(F.count("*").alias("t"), F.count_if(F.col("sure") != F.col("y")).alias("c"), F.first("n0").alias("n0"), F.first("n1").alias("n1"))
     n = F.when(F.col("y") == 1, F.col("n1")).otherwise(F.col("n0"))
     quota = joint.select("place", "y", F.round(F.col("c") / F.col("t") * n).cast("int").alias("quota"))
     lean = each.where("quality < 0.5").join(F.broadcast(quota), ["place", "y"])  # two rows for each label
-    ranked = lean.withColumn("k", F.row_number().over(Window.partitionBy("place", "y").orderBy("quality", "sample_id"))).where("k <= quota")
+    ranked = placed(lean.where("quota > 0").select("place", "y", "quality", "sample_id", "quota"), ("place", "y"), ("quality", "sample_id"), "k").where("k <= quota")
     flags = ranked.select("sample_id", "place", F.lit(True).alias("is_issue"))
     return each.join(flags, ["sample_id", "place"], "left").select("sample_id", "place", "y", "p", F.coalesce("is_issue", F.lit(False)).alias("is_issue"))
 

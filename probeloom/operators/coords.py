@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from probeloom.operators.ranges import placed
+
 DEFAULT_YEAR = 2021
 ALPHAS = tuple(10.0 ** (k / 2) for k in range(-8, 13))
 
@@ -111,17 +113,9 @@ def test_sample_count(rows: DataFrame, task_type: str, official: bool) -> DataFr
     return rows.agg((F.count_if(~F.isnan("y_num") & F.col("y_num").isNotNull()) if task_type == "regression" else F.count("*")).alias("n"))
 
 
-def _dealt(rows: DataFrame, order: Column, k: int, out: str, digits: int = 3) -> DataFrame:
-    """Rows dealt in turn over k folds in a total order of text.
-
-    Buckets of the order's first digits are counted, and rows are numbered within buckets from their offsets,
-    so no window holds all rows.
-    """
-    rows = rows.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, digits))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("n"))  # a row for each bucket
-    counts = counts.select("_b", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
-    number = F.row_number().over(Window.partitionBy("_b").orderBy("_o", "row_id")) - 1 + F.col("_at")
-    return rows.join(counts, "_b").withColumn(out, F.pmod(number, F.lit(k)).cast("int")).drop("_o", "_b", "_at")
+def _dealt(rows: DataFrame, order: Column, k: int, out: str) -> DataFrame:
+    """Rows dealt in turn over k folds in an order, of equal ones by row_id."""
+    return placed(rows, (), (order, "row_id"), "_n").withColumn(out, F.pmod(F.col("_n") - 1, F.lit(k)).cast("int")).drop("_n")
 
 
 def random_folds(rows: DataFrame, folds: int, seed: int = 0) -> DataFrame:
@@ -131,7 +125,16 @@ def random_folds(rows: DataFrame, folds: int, seed: int = 0) -> DataFrame:
 
 def strided_folds(rows: DataFrame, folds: int) -> DataFrame:
     """Rows in row order, dealt in turn."""
-    return _dealt(rows, F.lpad(F.col("row_id").cast("string"), 18, "0"), folds, "fold", 14)  # 10 000 ids a bucket
+    return _dealt(rows, F.col("row_id"), folds, "fold")
+
+
+#: The fold of rows that an official split holds out.
+HELD = -1
+
+
+def nested_folds(rows: DataFrame, folds: int) -> DataFrame:
+    """An official split: ``is_test`` rows have the fold HELD, the others (the pool) are dealt in turn in row order, to choose a penalty on."""
+    return strided_folds(rows.where("NOT is_test"), folds).unionByName(rows.where("is_test").withColumn("fold", F.lit(HELD)))
 
 
 def cell_of(lat: Column, lon: Column, degrees: float) -> Column:
@@ -217,14 +220,20 @@ def ridge_weights(g: np.ndarray, targets: int, alpha: float) -> np.ndarray:
     return np.vstack([my - mx @ w, w])
 
 
+def training_grams(grams: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each fold the Gram matrix of the rows that it is scored with: the other folds, but never the rows HELD out."""
+    pool = sum(g for f, g in grams.items() if f != HELD)
+    return {f: pool - (g if f != HELD else 0) for f, g in grams.items()}
+
+
 def ridge_r2(rows: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """fold, alpha, r2 of regression (y) with each fold held out; one pass over the rows for all folds and alphas."""
     grams = gram(rows.withColumn("targets", F.array("y")), 1)
-    total = sum(grams.values())
+    train = training_grams(grams)
     out = []
     for f, g in sorted(grams.items()):
         for a in alphas:
-            w = np.append(-ridge_weights(total - g, 1, a)[:, 0], 1.0)
+            w = np.append(-ridge_weights(train[f], 1, a)[:, 0], 1.0)
             sse, n = float(w @ g @ w), g[0, 0]
             sst = g[-1, -1] - g[0, -1] ** 2 / n
             out.append((int(f), float(a), float(1 - sse / sst) if sst > 0 else None))
@@ -235,9 +244,7 @@ def ridge_accuracy(rows: DataFrame, classes: Sequence, alphas: Sequence[float] =
     """fold, alpha, accuracy of one-hot ridge with each fold held out; weights of all folds are shipped with the scoring pass."""
     hot = F.array(*(F.when(F.col("y_cls") == c, 1.0).otherwise(0.0) for c in classes))
     rows = rows.withColumn("targets", hot).withColumn("label", (F.array_position(F.array(*map(F.lit, classes)), F.col("y_cls")) - 1).cast("int"))
-    grams = gram(rows, len(classes))
-    total = sum(grams.values())
-    weights = {int(f): [ridge_weights(total - g, len(classes), a) for a in alphas] for f, g in grams.items()}
+    weights = {int(f): [ridge_weights(g, len(classes), a) for a in alphas] for f, g in training_grams(gram(rows, len(classes))).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -259,12 +266,19 @@ def best_alpha(scores: DataFrame, score: str) -> DataFrame:
     return top.join(F.broadcast(ends)).select("alpha", "mean", "std", F.col("alpha").isin(F.col("a"), F.col("b")).alias("at_edge"))
 
 
+def official_score(scores: DataFrame, score: str) -> DataFrame:
+    """alpha, score, at_edge: the penalty with the best mean over the pool's folds, and the score with it on the rows HELD out."""
+    best = best_alpha(scores.where(F.col("fold") != HELD), score).select("alpha", "at_edge")
+    return scores.where(F.col("fold") == HELD).join(F.broadcast(best), "alpha").select("alpha", F.col(score).alias("score"), "at_edge")
+
+
 def stratified_split(files: DataFrame, seed: int = 0) -> DataFrame:
     """class, name, split: 60/20/20 in each class by the order of md5(name:seed), sizes rounded half to even."""
-    order = Window.partitionBy("class").orderBy(F.md5(F.concat("name", F.lit(f":{seed}"))), "name")
-    n = F.count("*").over(Window.partitionBy("class"))
-    k, a, b = F.row_number().over(order), F.bround(n * F.lit(0.6)), F.bround(n * F.lit(0.2))
-    return files.select("class", "name", F.when(k <= a, "train").when(k <= a + b, "val").otherwise("test").alias("split"))
+    ranked = placed(files.select("class", "name"), ("class",), (F.md5(F.concat("name", F.lit(f":{seed}"))), "name"), "k")
+    sizes = files.groupBy("class").agg(F.count("*").alias("n"))
+    a, b = F.bround(F.col("n") * F.lit(0.6)), F.bround(F.col("n") * F.lit(0.2))
+    split = F.when(F.col("k") <= a, "train").when(F.col("k") <= a + b, "val").otherwise("test")
+    return ranked.join(sizes, ranked["class"].eqNullSafe(sizes["class"])).select(ranked["class"], "name", split.alias("split"))
 
 
 def subsample(rows: DataFrame, cap: int, seed: int = 0, id_col: str = "sample_id") -> DataFrame:

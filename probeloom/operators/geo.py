@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probeloom.operators.ranges import placed
+
 OCEAN = "Ocean / unmatched"
 
 
@@ -110,14 +112,12 @@ def _attribute_shipped(points: DataFrame, polygons: DataFrame, degrees: float) -
 
 def thin(points: DataFrame, cap: int) -> DataFrame:
     """row_id, lon, lat (3 decimals) of ``cap`` evenly spaced points in row order, the first and last among them; all if there are fewer."""
-    from probeloom.operators.coords import _dealt
-
     n = points.count()
-    numbered = _dealt(points, F.lpad(F.col("row_id").cast("string"), 18, "0"), max(n, 1), "i", 14)
+    numbered = placed(points, (), ("row_id",), "i")
     if n > cap:
-        wanted = [k * (n - 1) // (cap - 1) for k in range(cap)]
+        wanted = [k * (n - 1) // (cap - 1) + 1 for k in range(cap)]
         spark = points.sparkSession
-        numbered = numbered.join(F.broadcast(spark.createDataFrame([(int(k),) for k in wanted], "i int")), "i", "left_semi")  # cap rows
+        numbered = numbered.join(F.broadcast(spark.createDataFrame([(int(k),) for k in wanted], "i long")), "i", "left_semi")  # cap rows
     return numbered.select("row_id", F.bround("lon", 3).alias("lon"), F.bround("lat", 3).alias("lat"))
 
 

@@ -106,13 +106,18 @@ def evaluate(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     return queries.join(pred, "sample_id").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def held_out_accuracy(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """accuracy, n of test rows as queries on training rows, both scaled by the training rows' statistics."""
+    return evaluate(standardise(test, train), standardise(train, train), k)
+
+
 def fold_accuracy(rows: DataFrame, folds: DataFrame, k: int, n_folds: int) -> DataFrame:
     """fold, accuracy: each fold's rows as queries on the others, scaled by the others' statistics."""
     out = None
     placed = rows.join(folds, "sample_id")
     for f in range(n_folds):
         train, test = placed.where(F.col("fold") != f), placed.where(F.col("fold") == f)
-        part = evaluate(standardise(test, train), standardise(train, train), k).withColumn("fold", F.lit(f))
+        part = held_out_accuracy(train, test, k).withColumn("fold", F.lit(f))
         out = part if out is None else out.unionByName(part)
     return out
 

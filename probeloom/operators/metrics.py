@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probeloom.functions.draws import index_draws, poisson_weights
+from probeloom.operators.ranges import running
 
 
 def accuracy(rows: DataFrame, *by: str) -> DataFrame:
@@ -21,36 +22,18 @@ def accuracy(rows: DataFrame, *by: str) -> DataFrame:
 def average_precision(rows: DataFrame, *by: str, score: str = "score", positive: str = "positive") -> DataFrame:
     """Average precision per group; equal scores are one threshold; null where nothing is positive.
 
-    Rows are first added up per distinct score. Without groups that is a global order, so running sums are
-    taken within ranges of scores whose totals go ahead of them, not in one window over all rows.
+    Rows are first added up per distinct score; running sums over these are taken in ranges, not in a window over a group.
     """
     steps = rows.groupBy(*by, score).agg(F.sum(F.col(positive).cast("double")).alias("tp"), F.count("*").alias("n"))
-    if not by:
-        return _global_precision(steps, score)
-    order = Window.partitionBy(*by).orderBy(F.col(score).desc())
-    run = steps.withColumn("all_tp", F.sum("tp").over(order)).withColumn("all_n", F.sum("n").over(order))
     total = F.sum("tp")
-    return run.groupBy(*by).agg(F.when(total > 0, F.sum(F.col("tp") * F.col("all_tp") / F.col("all_n")) / total).alias("ap"), total.cast("long").alias("n_positive"))
-
-
-def _global_precision(steps: DataFrame, score: str) -> DataFrame:
-    """One-row result: distinct scores dealt over ranges once, totals of ranges summed ahead of the running sums."""
-    parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = steps.repartitionByRange(parts, F.col(score).desc()).withColumn("part", F.spark_partition_id()).persist()
-    try:
-        totals = ranged.groupBy("part").agg(F.sum("tp").alias("t"), F.sum("n").alias("m")).orderBy("part").collect()  # a row for each range
-        ahead, t, m = [], 0.0, 0
-        for r in totals:
-            ahead.append((r.part, t, m))
-            t, m = t + r.t, m + r.m
-        table = F.broadcast(steps.sparkSession.createDataFrame(ahead, "part int, t double, m long"))
-        order = Window.partitionBy("part").orderBy(F.col(score).desc())
-        run = ranged.join(table, "part").withColumn("all_tp", F.sum("tp").over(order) + F.col("t")).withColumn("all_n", F.sum("n").over(order) + F.col("m"))
-        total = F.sum("tp")
-        found = run.agg(F.when(total > 0, F.sum(F.col("tp") * F.col("all_tp") / F.col("all_n")) / total).alias("ap"), F.coalesce(total.cast("long"), F.lit(0)).alias("n_positive"))
-        return steps.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
-    finally:
-        ranged.unpersist()
+    found = precision_steps(steps, by, score).groupBy(*by).agg(F.when(total > 0, F.sum("part") / total).alias("ap"), F.coalesce(total.cast("long"), F.lit(0)).alias("n_positive"))
+    return found
+
+
+def precision_steps(steps: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    """steps (by, score, tp, n: one row for each score of a group) with part: the score's positives times the precision from it up."""
+    run = running(steps, by, ((score, True),), all_tp=F.col("tp"), all_n=F.col("n"))
+    return run.withColumn("part", F.col("tp") * F.col("all_tp") / F.col("all_n")).drop("all_tp", "all_n")
 
 
 def binomial_draws(n: int, hits: int, resamples: int, seed: int = 0) -> np.ndarray:
@@ -86,9 +69,7 @@ def bootstrap_ap(rows: DataFrame, unit: str, resamples: int = 100, level: float
     """Interval of micro average precision when units (samples) are resampled; draws without positives are left out."""
     drawn = poisson_weights(rows.select(unit, "score", "positive"), unit, resamples, seed)
     steps = drawn.groupBy("r", "score").agg(F.sum(F.col("w") * F.col("positive")).cast("double").alias("tp"), F.sum("w").alias("n"))
-    order = Window.partitionBy("r").orderBy(F.col("score").desc())
-    run = steps.withColumn("all_tp", F.sum("tp").over(order)).withColumn("all_n", F.sum("n").over(order))
-    each = run.groupBy("r").agg((F.sum(F.col("tp") * F.col("all_tp") / F.col("all_n")) / F.nullif(F.sum("tp"), F.lit(0.0))).alias("ap")).where("ap IS NOT NULL")
+    each = precision_steps(steps, ("r",), "score").groupBy("r").agg((F.sum("part") / F.nullif(F.sum("tp"), F.lit(0.0))).alias("ap")).where("ap IS NOT NULL")
     return each.agg(F.avg("ap").alias("mean"), F.percentile("ap", (1 - level) / 2).alias("low"), F.percentile("ap", (1 + level) / 2).alias("high"))
 
 

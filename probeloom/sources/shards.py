@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeloom.operators.coords import _dealt
+from probeloom.operators.ranges import placed
 
 BANDS, META = ".bands.npz", ".meta.json"
 
@@ -80,9 +80,7 @@ def index_members(spark: SparkSession, root: str) -> DataFrame:
 
 def plan_shards(samples: DataFrame, size: int = 1000) -> DataFrame:
     """row_id, shard: samples in the order of their ids in shards of ``size``, without one window over all."""
-    n = max(samples.count(), 1)
-    numbered = _dealt(samples, F.lpad(F.col("row_id").cast("string"), 18, "0"), n, "i", 14)
-    return numbered.withColumn("shard", F.floor(F.col("i") / size).cast("int")).drop("i")
+    return placed(samples, (), ("row_id",), "i").withColumn("shard", F.floor((F.col("i") - 1) / size).cast("int")).drop("i")
 
 
 def write_shards(planned: DataFrame, root: str) -> None:
