@@ -84,6 +84,16 @@ def calibration_errors(spark, sf_dir):
     return M.calibration(_probs(spark, sf_dir), 15)
 
 
+@register("""WITH m AS (SELECT vec_id, unnest([CAST(label > 4 AS INTEGER), label % 2, CAST(label % 3 = 0 AS INTEGER), 1]) AS y, unnest(list_transform(embedding[1:4], lambda x: 1 / (1 + exp(-5 * CAST(x AS DOUBLE))))) AS p, unnest([0, 1, 2, 3]) AS place FROM embeddings),
+b AS (SELECT place, floor(p * 15) AS b, count(*) AS n, avg(p) AS c, avg(y) AS a FROM m GROUP BY 1, 2), e AS (SELECT place, sum(n * abs(c - a)) / sum(n) AS ece, sqrt(sum(n * abs(c - a) ** 2) / sum(n)) AS rms, max(abs(c - a)) AS mce FROM b GROUP BY 1)
+SELECT avg(ece) AS ece, avg(rms) AS rms, avg(mce) AS mce FROM e WHERE place IN (SELECT place FROM m GROUP BY 1 HAVING min(y) < max(y))""")
+def calibration_of_labels(spark, sf_dir):
+    """AG20: the mean over labels with both outcomes; the last label has one only"""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    marks = F.array((F.col("label") > 4).cast("int"), F.col("label") % 2, (F.col("label") % 3 == 0).cast("int"), F.lit(1))
+    return M.calibration_labels(df.select(marks.alias("labels"), F.transform(F.slice("embedding", 1, 4), lambda x: 1 / (1 + F.exp(-5 * x.cast("double")))).alias("probs")), 15)
+
+
 _COUNTS = "WITH x AS (SELECT t AS c, n AS l, 0 AS p, CASE WHEN t = p THEN n ELSE 0 END AS h FROM confusions UNION ALL SELECT p, 0, n, 0 FROM confusions), c AS (SELECT c, sum(h) AS tp, sum(l) AS l, sum(p) AS p FROM x GROUP BY 1) "
 
 
@@ -141,10 +151,32 @@ def knn_vote(spark, sf_dir):
     return N.vote(N.neighbours(test, train, 5), train)
 
 
-@register(_VOTE + "SELECT avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM p", "features")
+_BINOMIAL = """k AS (SELECT n, h, unnest(range(greatest(0, CAST(trunc(h - s) AS BIGINT)), least(n, CAST(trunc(h + s) AS BIGINT) + 1) + 1)) AS k FROM (SELECT *, CASE WHEN h IN (0, n) THEN 0 ELSE 12 * sqrt(n * (h / n) * (1 - h / n)) + 12 END AS s FROM a)),
+l AS (SELECT *, coalesce(sum(CASE WHEN h IN (0, n) THEN -1000 WHEN k < n THEN ln((n - k) / (k + 1)) + ln(h / n) - ln(1 - h / n) END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM (SELECT * FROM k WHERE k <= n)),
+mm AS (SELECT *, exp(l - max(l) OVER ()) AS q FROM l), cc AS (SELECT k, sum(q) OVER (ORDER BY k) / sum(q) OVER () AS c FROM mm),
+dr AS (SELECT r, min(k) AS k FROM (SELECT r, """ + _U32.format("'0:' || n || ':' || h || ':' || r") + """ AS u FROM a, range(1, 201) t(r)) JOIN cc ON c >= u GROUP BY 1)"""
+
+
+@register(_VOTE + """, a AS (SELECT count(*) AS n, count(*) FILTER (pred = label) AS h FROM p), """ + _BINOMIAL + """, b AS (SELECT floor(share * 6) AS b, count(*) AS n, avg(share) AS c, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY 1)
+SELECT h / n AS metric, (SELECT avg(k / n) FROM dr, a) AS mean, (SELECT quantile_cont(k / n, 0.025) FROM dr, a) AS low, (SELECT quantile_cont(k / n, 0.975) FROM dr, a) AS high, n, (SELECT sum(n * abs(c - acc)) / sum(n) FROM b) AS ece, (SELECT sqrt(sum(n * abs(c - acc) ** 2) / sum(n)) FROM b) AS rms, (SELECT max(abs(c - acc)) FROM b) AS mce, CAST(6 AS INTEGER) AS bins FROM a""", "features")
 def knn_evaluate(spark, sf_dir):
-    """PR3"""
-    return N.evaluate(*_split(spark, sf_dir), 5)
+    """PR3: accuracy, its interval and calibration with a bin more than neighbours"""
+    return N.report(*_split(spark, sf_dir), 5)
+
+
+_KNN_LABELS = _NEAR + """, y AS (SELECT sample_id, label, unnest([CAST(tl > 4 AS INTEGER), tl % 2, CAST(tl % 3 = 0 AS INTEGER)]) AS s, unnest([0, 1, 2]) AS place FROM n WHERE rank <= 5),
+m AS MATERIALIZED (SELECT sample_id, place, avg(s) AS score, any_value(CASE place WHEN 0 THEN CAST(label > 4 AS INTEGER) WHEN 1 THEN label % 2 ELSE CAST(label % 3 = 0 AS INTEGER) END) AS positive FROM y GROUP BY 1, 2), """
+
+
+@register(_KNN_LABELS + "d AS (" + _POISSON.format(cols="score, positive", unit="sample_id", table="m") + """), st AS (SELECT r, score, sum(w * positive) AS tp, sum(w) AS n FROM (SELECT *  FROM d WHERE w > 0 UNION ALL SELECT score, positive, 0, 1 FROM m) GROUP BY 1, 2),
+ra AS (SELECT r, tp, sum(tp) OVER o AS atp, sum(n) OVER o AS an FROM st WINDOW o AS (PARTITION BY r ORDER BY score DESC)), e AS (SELECT r, sum(tp * atp / an) / nullif(sum(tp), 0) AS ap FROM ra GROUP BY 1),
+b AS (SELECT place, floor(score * 6) AS b, count(*) AS n, avg(score) AS c, avg(positive) AS acc FROM m GROUP BY 1, 2), g AS (SELECT sum(n * abs(c - acc)) / sum(n) AS ece, sqrt(sum(n * abs(c - acc) ** 2) / sum(n)) AS rms, max(abs(c - acc)) AS mce FROM b GROUP BY place)
+SELECT (SELECT ap FROM e WHERE r = 0) AS metric, (SELECT avg(ap) FROM e WHERE r > 0) AS mean, (SELECT quantile_cont(ap, 0.025) FROM e WHERE r > 0) AS low, (SELECT quantile_cont(ap, 0.975) FROM e WHERE r > 0) AS high, (SELECT count(DISTINCT sample_id) FROM m) AS n, (SELECT avg(ece) FROM g) AS ece, (SELECT avg(rms) FROM g) AS rms, (SELECT avg(mce) FROM g) AS mce, CAST(6 AS INTEGER) AS bins""", "features")
+def knn_evaluate_labels(spark, sf_dir):
+    """PR3, PR2: micro average precision of label vectors, its interval and the labels' mean calibration"""
+    marks = F.array((F.col("label") > 4).cast("int"), F.col("label") % 2, (F.col("label") % 3 == 0).cast("int"))
+    test, train = (df.withColumn("labels", marks) for df in _split(spark, sf_dir))
+    return N.report(test, train, 5, resamples=100)
 
 
 @register(_NEAR + ", y AS (SELECT sample_id, unnest([CAST(tl > 4 AS INTEGER), tl % 2, CAST(tl % 3 = 0 AS INTEGER)]) AS y, unnest([0, 1, 2]) AS place FROM n WHERE rank <= 5) SELECT sample_id, place, avg(y) AS prob, CAST(avg(y) > 0.5 AS INTEGER) AS pred FROM y GROUP BY 1, 2", "features")
@@ -197,8 +229,11 @@ def label_issues(spark, sf_dir):
     return A.label_issues(_probs(spark, sf_dir)).select("sample_id", "is_issue")
 
 
-@register(_ISSUES + """, w AS (SELECT label, guess, count(*) AS c FROM f WHERE label <> guess GROUP BY 1, 2), t AS (SELECT label, arg_max(guess, c * 1000 - guess) AS g, max(c) AS m, sum(c) AS t FROM w GROUP BY 1)
-SELECT f.label, count(*) AS n, avg(CASE WHEN f.label = guess THEN 1.0 ELSE 0.0 END) AS acc, count(*) FILTER (is_issue) AS n_flagged, avg(CASE WHEN is_issue THEN 1.0 ELSE 0.0 END) AS flag_rate, avg(quality) AS mean_quality, coalesce(any_value(g), 0) AS top_confused, coalesce(any_value(m / t), 0) AS confused_share FROM f LEFT JOIN t USING (label) GROUP BY 1""")
+@register(_ISSUES + """, w AS (SELECT label, arg_max(guess, c * 1000 - guess) AS g, max(c) AS m FROM (SELECT label, guess, count(*) AS c FROM f WHERE label <> guess GROUP BY 1, 2) GROUP BY 1),
+fl AS (SELECT label, arg_max(guess, c * 1000 - guess) AS g, max(c) AS m FROM (SELECT label, guess, count(*) AS c FROM f WHERE is_issue GROUP BY 1, 2) GROUP BY 1),
+st AS (SELECT c, p, count(*) AS n, count(*) FILTER (label = c) AS tp FROM u GROUP BY 1, 2), rn AS (SELECT c, tp, sum(tp) OVER o AS atp, sum(n) OVER o AS an FROM st WINDOW o AS (PARTITION BY c ORDER BY p DESC)), av AS (SELECT c AS label, sum(tp * atp / an) / sum(tp) AS ap FROM rn GROUP BY 1)
+SELECT f.label, count(*) AS n, avg(CASE WHEN f.label = guess THEN 1.0 ELSE 0.0 END) AS acc, any_value(ap) AS ap, count(*) FILTER (is_issue) AS n_flagged, avg(CASE WHEN is_issue THEN 1.0 ELSE 0.0 END) AS flag_rate, coalesce(any_value(fl.g), -1) AS top_flagged, coalesce(any_value(fl.m), 0) AS top_flagged_n, coalesce(any_value(w.g), 0) AS top_confused, coalesce(any_value(w.m), 0) / count(*) AS confused_share, avg(quality) AS mean_quality
+FROM f LEFT JOIN w USING (label) LEFT JOIN fl USING (label) JOIN av USING (label) GROUP BY 1""")
 def class_report(spark, sf_dir):
     """AG23"""
     return A.class_report(_judged(spark, sf_dir))

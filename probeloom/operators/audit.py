@@ -43,12 +43,21 @@ def label_issues(rows: DataFrame) -> DataFrame:
 
 
 def class_report(rows: DataFrame) -> DataFrame:
-    """Per given class: rows, accuracy, flagged rows and their share, mean quality, the other class most often predicted and its share of the errors (0, 0 without errors)."""
-    wrong = rows.where("label <> guess").groupBy("label", "guess").agg(F.count("*").alias("c"))
-    top = wrong.groupBy("label").agg(F.min(F.struct(-F.col("c"), "guess"))["guess"].alias("top_confused"), F.max("c").alias("m"), F.sum("c").alias("t"))
+    """Per given class: rows, accuracy, average precision of its probability against all other rows, flagged rows and their
+    share, the class most often guessed for flagged rows and how often (-1, 0 without any), the other class most often
+    guessed for its rows and its share of them (0, 0 without errors), mean quality. Of equally frequent classes the lowest.
+    """
+    pairs = rows.groupBy("label", "guess").agg(F.count("*").alias("c"), F.count_if("is_issue").alias("f"))  # classes squared
+    most = lambda c, keep: F.min(F.when(keep, F.struct((-F.col(c)).alias("c"), "guess")))
+    tops = pairs.groupBy("label").agg(most("c", F.col("label") != F.col("guess")).alias("wrong"), most("f", F.col("f") > 0).alias("flagged"))
     base = rows.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("guess")).cast("double")).alias("acc"), F.count_if("is_issue").alias("n_flagged"), F.avg(F.col("is_issue").cast("double")).alias("flag_rate"), F.avg("quality").alias("mean_quality"))
-    out = base.join(top, "label", "left")
-    return out.select("label", "n", "acc", "n_flagged", "flag_rate", "mean_quality", F.coalesce("top_confused", F.lit(0)).alias("top_confused"), F.coalesce(F.col("m") / F.col("t"), F.lit(0.0)).alias("confused_share"))
+    marks = rows.select("label", F.posexplode("probs").alias("class", "p")).withColumn("y", F.col("label") == F.col("class"))
+    ap = average_precision(marks, "class", score="p", positive="y").select(F.col("class").alias("label"), "ap")
+    out = base.join(tops, "label").join(ap, "label")
+    return out.select(
+        "label", "n", "acc", "ap", "n_flagged", "flag_rate", F.coalesce("flagged.guess", F.lit(-1)).alias("top_flagged"), F.coalesce(-F.col("flagged.c"), F.lit(0)).alias("top_flagged_n"),
+        F.coalesce("wrong.guess", F.lit(0)).alias("top_confused"), F.coalesce(-F.col("wrong.c") / F.col("n"), F.lit(0.0)).alias("confused_share"), "mean_quality",
+    )
 
 
 def _places(rows: DataFrame, *keep: str) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probeloom.operators import metrics as M
+from probeloom.sources.place import written
+
 BLOCK, WIDE = 4096, 4
 
 
@@ -106,6 +109,37 @@ def evaluate(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     return queries.join(pred, "sample_id").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def class_shares(near: DataFrame, train: DataFrame, classes: int) -> DataFrame:
+    """sample_id, probs: the part of each query's neighbours that each class from 0 on has."""
+    votes = near.join(train.select(F.col("sample_id").alias("train_id"), "label"), "train_id").groupBy("sample_id", "label").agg(F.count("*").alias("v"))
+    found = votes.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "v"))).alias("m"), F.sum("v").alias("n"))
+    return found.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0)) / F.col("n")).alias("probs"))
+
+
+def report(queries: DataFrame, train: DataFrame, k: int, bins: int | None = None, resamples: int = 200, seed: int = 0) -> DataFrame:
+    """metric, mean, low, high (bootstrap), n, ece, rms, mce and bins (k + 1 by default) of the k-nearest-neighbour vote.
+
+    Rows with ``label`` are judged by accuracy, rows with label vectors (``labels``) by micro average precision.
+    """
+    bins = bins or k + 1
+    near = neighbours(queries, train, k)
+    if "labels" in queries.columns:
+        shares = vote_many(near, train)
+        flat = shares.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("place", "prob"))).alias("p"))  # a row's labels
+        rows = written(queries.join(flat, "sample_id").select("sample_id", "labels", F.transform("p", lambda x: x["prob"]).alias("probs")), "shares")
+        marks = rows.select("sample_id", F.explode(F.arrays_zip(F.col("probs").alias("p"), F.col("labels").alias("y"))).alias("x")).select("sample_id", F.col("x.p").alias("score"), F.col("x.y").cast("int").alias("positive"))
+        score = M.average_precision(marks).select(F.col("ap").alias("metric"))
+        found = score.join(M.bootstrap_ap(marks, "sample_id", resamples, seed=seed)).join(rows.agg(F.count("*").alias("n")))
+        gaps = M.calibration_labels(rows, bins)
+    else:
+        classes = int(train.agg(F.max("label")).first()[0]) + 1
+        shares = class_shares(near, train, classes)
+        rows = written(queries.join(shares, "sample_id").select("sample_id", "label", "probs", (F.array_position("probs", F.array_max("probs")) - 1).alias("pred")), "shares")
+        found = M.bootstrap_accuracy(rows, resamples=resamples, seed=seed).select(F.col("accuracy").alias("metric"), "mean", "low", "high", "n")
+        gaps = M.calibration(rows, bins)
+    return found.join(gaps).select("metric", "mean", "low", "high", "n", "ece", "rms", "mce", F.lit(bins).alias("bins"))  # one row each
+
+
 def held_out_accuracy(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
     """accuracy, n of test rows as queries on training rows, both scaled by the training rows' statistics."""
     return evaluate(standardise(test, train), standardise(train, train), k)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,6 +87,15 @@ def calibration(rows: DataFrame, n_bins: int, probs: str = "probs", label: str =
     return bins.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.sqrt(F.sum(F.col("n") * gap * gap) / F.sum("n")).alias("rms"), F.max(gap).alias("mce"))
 
 
+def calibration_labels(rows: DataFrame, n_bins: int, probs: str = "probs", labels: str = "labels") -> DataFrame:
+    """The same three gaps for label vectors: of each label's probability against the label, averaged over the labels that have both outcomes (NaN without any)."""
+    each = rows.select(F.posexplode(F.arrays_zip(F.col(probs).alias("p"), F.col(labels).alias("y"))).alias("place", "x")).select("place", F.least(F.greatest(F.col("x.p").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("p"), F.col("x.y").cast("double").alias("y"))
+    bins = each.groupBy("place", F.floor(F.col("p") * n_bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("conf"), F.avg("y").alias("acc"), F.min("y").alias("low"), F.max("y").alias("high"))
+    gap = F.abs(F.col("conf") - F.col("acc"))
+    places = bins.groupBy("place").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.sqrt(F.sum(F.col("n") * gap * gap) / F.sum("n")).alias("rms"), F.max(gap).alias("mce"), (F.min("low") < F.max("high")).alias("both"))
+    return places.where("both").agg(*(F.coalesce(F.avg(c), F.lit(float("nan"))).alias(c) for c in ("ece", "rms", "mce")))
+
+
 def confusions(masks: DataFrame, n_classes: int, ignore: int = 255) -> DataFrame:
     """image_id, t, p, n from pixel arrays ``mask`` and ``pred``: counted within each row, cells alone are shuffled on."""
 
@@ -146,16 +155,38 @@ def temperature(rows: DataFrame, logits: str = "logits", label: str = "label", r
     top = rows.agg(F.max(F.size(logits)), F.max(label)).first()
     if top[0] is None or top[1] >= top[0]:
         raise ValueError("no rows, or a label that the logits do not have")
+    high = F.array_repeat(F.array_max(logits), F.size(logits))  # outside the lambda, so that it is taken once for a row
+    shifted = F.zip_with(logits, high, lambda x, h: x - h)
+    own = F.element_at(logits, (F.col(label) + 1).cast("int"))
+
+    def derivatives(scale: float) -> tuple[Column, Column]:
+        e = F.transform(shifted, lambda x: F.exp(x * scale))
+        sums = F.aggregate(F.zip_with(e, logits, lambda p, x: F.struct(p.alias("z"), (p * x).alias("a"), (p * x * x).alias("b"))), F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, x: F.struct((s["z"] + x["z"]).alias("z"), (s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b")))
+        mean, square = sums["a"] / sums["z"], sums["b"] / sums["z"]
+        return own - mean, square - mean * mean
+
+    return _scaled(rows, derivatives, rounds)
+
+
+def temperature_labels(rows: DataFrame, logits: str = "logits", labels: str = "labels", rounds: int = 15) -> float:
+    """T = exp(t) that minimises the mean binary cross-entropy of sigmoid(logits / T) over all labels of all rows."""
+    each = rows.select(F.explode(F.arrays_zip(F.col(logits).alias("z"), F.col(labels).alias("y"))).alias("x")).select(F.col("x.z").cast("double").alias("z"), F.col("x.y").cast("double").alias("y"))
+    if each.isEmpty():
+        raise ValueError("no labels")
+
+    def derivatives(scale: float) -> tuple[Column, Column]:
+        p = 1 / (1 + F.exp(-F.col("z") * scale))
+        return F.col("z") * (F.col("y") - p), F.col("z") * F.col("z") * p * (1 - p)
+
+    return _scaled(each, derivatives, rounds)
+
+
+def _scaled(rows: DataFrame, derivatives: Callable[[float], tuple[Column, Column]], rounds: int) -> float:
+    """exp(t) by Newton steps of one at most on a loss of exp(-t), whose first (negative) and second derivatives are means over rows; a pass for each step."""
     t = 0.0
     for _ in range(rounds):
         scale = float(np.exp(-t))
-        high = F.array_max(logits)
-        e = F.transform(logits, lambda x: F.exp((x - high) * scale))
-        z = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        mean = F.aggregate(F.zip_with(e, logits, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x) / z
-        square = F.aggregate(F.zip_with(e, logits, lambda p, x: p * x * x), F.lit(0.0), lambda a, x: a + x) / z
-        own = F.element_at(logits, (F.col(label) + 1).cast("int"))
-        g, h = rows.agg(F.avg(own - mean), F.avg(square - mean * mean)).first()
+        g, h = rows.agg(*map(F.avg, derivatives(scale))).first()
         slope, curve = scale * g, scale * scale * h - scale * g  # of the loss in t
         step = slope / curve if curve > 1e-12 else np.sign(slope) * 0.5
         t -= float(np.clip(step, -1, 1))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probeloom.operators import metrics as M
+from probeloom.operators import stacked as S
 from probeloom.operators.coords import subsample
 from probeloom.operators.knn import neighbours, nonzero_two
+from probeloom.sources.place import written
 
 #: The grid of C: 40 values from 1e-6 to 1e4, evenly spaced in logarithm.
 GRID = tuple(10 ** (-6 + 10 * k / 39) for k in range(40))
@@ -33,35 +34,10 @@ def fit_logistic(train: DataFrame, c: float, iterations: int = 200, label: str =
     return LogisticRegression(featuresCol="_x", labelCol=label, family=family, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(_vectors(train))
 
 
-def predict_logistic(model, rows: DataFrame) -> DataFrame:
-    """rows with probs and pred."""
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(_vectors(rows)).withColumn("probs", vector_to_array("probability")).withColumn("pred", F.col("prediction").cast("int")).drop("_x", "rawPrediction", "probability", "prediction")
-
-
-def _score(model, rows: DataFrame) -> float:
-    return predict_logistic(model, rows).agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
-
-
-def sweep(train: DataFrame, others: dict[str, DataFrame], grid: Sequence[float] = GRID, iterations: int = 200, parallel: int = 8) -> DataFrame:
-    """c and the accuracy on train and each other table, for every C of the grid; the tables are cached, and ``parallel`` fits share the cluster."""
-    train = train.cache()
-    kept = {k: v.cache() for k, v in others.items()}
-    for t in (train, *kept.values()):
-        t.count()
-
-    def one(c: float) -> tuple:
-        model = fit_logistic(train, c, iterations)
-        return (float(c), _score(model, train), *(_score(model, v) for v in kept.values()))
-
-    try:
-        with ThreadPool(parallel) as pool:
-            out = pool.map(inheritable_thread_target(train.sparkSession)(one), grid)
-    finally:
-        for t in (train, *kept.values()):
-            t.unpersist()
-    return train.sparkSession.createDataFrame(out, "c double, train double" + "".join(f", {k} double" for k in others))
+def sweep(rows: DataFrame, grid: Sequence[float] = GRID, splits: Sequence[str] = ("train", "val", "test"), passes: int = 400) -> DataFrame:
+    """c and the score on each split of probes fitted on ``train``: accuracy, or micro average precision of rows with label vectors (``labels``)."""
+    many = "labels" in rows.columns
+    return S.sweep(S.pack(rows, "labels" if many else "label"), grid, splits, not many, passes)
 
 
 def select_c(swept: DataFrame, on: str = "val") -> float:
@@ -72,29 +48,47 @@ def select_c(swept: DataFrame, on: str = "val") -> float:
     return best[0]
 
 
-def evaluate_logistic(rows: DataFrame, grid: Sequence[float] = GRID, iterations: int = 200) -> DataFrame:
-    """best_c, accuracy, n: C chosen on val, refit on train and val, scored on test."""
-    part = {s: rows.where(F.col("split") == s) for s in ("train", "val", "test")}
-    c = select_c(sweep(part["train"], {"val": part["val"]}, grid, iterations))
-    model = fit_logistic(rows.where("split IN ('train', 'val')"), c, 2 * iterations)
-    pred = predict_logistic(model, part["test"])
-    return pred.agg(F.lit(c).alias("best_c"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
-
-
-def evaluate_multilabel(train: DataFrame, test: DataFrame, places: int, c: float, iterations: int = 200) -> DataFrame:
-    """sample_id, place, y, prob of one binary logistic probe for each place of the label vectors: mean cross-entropy + |w|^2 / (2 C n) each."""
-    out = None
-    for k in range(places):
-        pick = lambda df: df.withColumn("label", F.col("labels")[k].cast("int"))  # noqa: E731, B023
-        part = predict_logistic(fit_logistic(pick(train), c, iterations, family="binomial"), pick(test)).select("sample_id", F.lit(k).alias("place"), F.col("label").alias("y"), F.col("probs")[1].alias("prob"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def probe_probabilities(rows: DataFrame, c: float, iterations: int = 200) -> DataFrame:
+def evaluate_logistic(rows: DataFrame, grid: Sequence[float] = GRID, merge_val: bool = True, bins: int = 15, resamples: int = 200, seed: int = 0, passes: int = 400) -> DataFrame:
+    """best_c, metric, mean, low, high (bootstrap), n, ece, rms, mce on test: C chosen on val, refit on train and val.
+
+    Rows with ``label`` are judged by accuracy, rows with label vectors (``labels``) by micro average precision. Without
+    ``merge_val`` the probe stays that of train, and temperature, ece_ts, rms_ts and mce_ts are added, with the temperature fitted on val.
+    """
+    many = "labels" in rows.columns
+    blocks = S.pack(rows, "labels" if many else "label")
+    w = S.fit(blocks, grid, ("train",), not many, passes)
+    val = S.scores(blocks.where("split = 'val'"), w, grid, not many)
+    c = select_c(val.select("c", F.col("score").alias("val")))
+    best = S.fit(blocks, [c], ("train", "val"), not many, 2 * passes)[0] if merge_val else w[list(grid).index(c)]
+    judged = written(S.predict(rows.where("split = 'test'"), best, not many).drop("features"), "judged")
+    gaps = M.calibration_labels(judged, bins) if many else M.calibration(judged, bins)
+    if many:
+        marks = judged.select("sample_id", F.explode(F.arrays_zip(F.col("probs").alias("p"), F.col("labels").alias("y"))).alias("x")).select("sample_id", F.col("x.p").alias("score"), F.col("x.y").cast("int").alias("positive"))
+        found = M.average_precision(marks).select(F.col("ap").alias("metric")).join(M.bootstrap_ap(marks, "sample_id", resamples, seed=seed)).join(judged.agg(F.count("*").alias("n")))
+    else:
+        found = M.bootstrap_accuracy(judged, resamples=resamples, seed=seed).select(F.col("accuracy").alias("metric"), "mean", "low", "high", "n")
+    out = found.join(gaps).select(F.lit(c).alias("best_c"), "metric", "mean", "low", "high", "n", "ece", "rms", "mce")  # one row each
+    if merge_val:
+        return out
+    held = S.predict(rows.where("split = 'val'"), best, not many)
+    t = (M.temperature_labels if many else M.temperature)(held)
+    cooled = S.predict(rows.where("split = 'test'"), best / t, not many)
+    again = M.calibration_labels(cooled, bins) if many else M.calibration(cooled, bins)
+    return out.withColumn("temperature", F.lit(t)).join(again.select(*(F.col(x).alias(f"{x}_ts") for x in ("ece", "rms", "mce"))))
+
+
+def evaluate_multilabel(train: DataFrame, test: DataFrame, places: int, c: float, passes: int = 400) -> DataFrame:
+    """sample_id, place, y, prob of one sigmoid probe for each place of the label vectors: mean cross-entropy + |w|^2 / (2 C n) each."""
+    marks = lambda df: df.withColumn("split", F.lit("train")).withColumn("labels", F.slice("labels", 1, places))
+    w = S.fit(S.pack(marks(train), "labels"), [c], ("train",), False, passes)[0]
+    out = S.predict(marks(test), w, False)
+    return out.select("sample_id", F.posexplode(F.arrays_zip(F.col("labels").alias("y"), F.col("probs").alias("p"))).alias("place", "x")).select("sample_id", "place", F.col("x.y").cast("int").alias("y"), F.col("x.p").alias("prob"))
+
+
+def probe_probabilities(rows: DataFrame, c: float, passes: int = 400) -> DataFrame:
     """split, sample_id, label, probs of train and test rows, from a probe fitted on train and val."""
-    model = fit_logistic(rows.where("split IN ('train', 'val')"), c, iterations)
-    return predict_logistic(model, rows.where("split IN ('train', 'test')")).select("split", "sample_id", "label", "probs")
+    w = S.fit(S.pack(rows), [c], ("train", "val"), True, passes)[0]
+    return S.predict(rows.where("split IN ('train', 'test')"), w).select("split", "sample_id", "label", "probs")
 
 
 def second_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
