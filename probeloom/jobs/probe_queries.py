@@ -151,13 +151,14 @@ def knn_vote(spark, sf_dir):
     return N.vote(N.neighbours(test, train, 5), train)
 
 
-_BINOMIAL = """k AS (SELECT n, h, unnest(range(greatest(0, CAST(trunc(h - s) AS BIGINT)), least(n, CAST(trunc(h + s) AS BIGINT) + 1) + 1)) AS k FROM (SELECT *, CASE WHEN h IN (0, n) THEN 0 ELSE 12 * sqrt(n * (h / n) * (1 - h / n)) + 12 END AS s FROM a)),
+#: The 200 draws that bootstrap_accuracy makes for the counts (n, h) of a table a: dr (r, k).
+BINOMIAL = """k AS (SELECT n, h, unnest(range(greatest(0, CAST(trunc(h - s) AS BIGINT)), least(n, CAST(trunc(h + s) AS BIGINT) + 1) + 1)) AS k FROM (SELECT *, CASE WHEN h IN (0, n) THEN 0 ELSE 12 * sqrt(n * (h / n) * (1 - h / n)) + 12 END AS s FROM a)),
 l AS (SELECT *, coalesce(sum(CASE WHEN h IN (0, n) THEN -1000 WHEN k < n THEN ln((n - k) / (k + 1)) + ln(h / n) - ln(1 - h / n) END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM (SELECT * FROM k WHERE k <= n)),
 mm AS (SELECT *, exp(l - max(l) OVER ()) AS q FROM l), cc AS (SELECT k, sum(q) OVER (ORDER BY k) / sum(q) OVER () AS c FROM mm),
 dr AS (SELECT r, min(k) AS k FROM (SELECT r, """ + _U32.format("'0:' || n || ':' || h || ':' || r") + """ AS u FROM a, range(1, 201) t(r)) JOIN cc ON c >= u GROUP BY 1)"""
 
 
-@register(_VOTE + """, a AS (SELECT count(*) AS n, count(*) FILTER (pred = label) AS h FROM p), """ + _BINOMIAL + """, b AS (SELECT floor(share * 6) AS b, count(*) AS n, avg(share) AS c, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY 1)
+@register(_VOTE + """, a AS (SELECT count(*) AS n, count(*) FILTER (pred = label) AS h FROM p), """ + BINOMIAL + """, b AS (SELECT floor(share * 6) AS b, count(*) AS n, avg(share) AS c, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY 1)
 SELECT h / n AS metric, (SELECT avg(k / n) FROM dr, a) AS mean, (SELECT quantile_cont(k / n, 0.025) FROM dr, a) AS low, (SELECT quantile_cont(k / n, 0.975) FROM dr, a) AS high, n, (SELECT sum(n * abs(c - acc)) / sum(n) FROM b) AS ece, (SELECT sqrt(sum(n * abs(c - acc) ** 2) / sum(n)) FROM b) AS rms, (SELECT max(abs(c - acc)) FROM b) AS mce, CAST(6 AS INTEGER) AS bins FROM a""", "features")
 def knn_evaluate(spark, sf_dir):
     """PR3: accuracy, its interval and calibration with a bin more than neighbours"""

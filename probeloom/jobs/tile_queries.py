@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeloom.jobs.fixtures import oracle, view
+from probeloom.jobs.probe_queries import BINOMIAL
 from probeloom.operators import probes as P
 from probeloom.operators import tiles as X
 
@@ -395,10 +396,34 @@ def diagnostic_metrics(spark, sf_dir):
 
 @register(None)
 def logistic_probe(spark, sf_dir):
-    """PR5, PR7, PR8, PR9, SO3"""
+    """PR5, PR7, PR9, SO3"""
     return P.evaluate_logistic(view(spark, sf_dir, "features"))
 
 
+@register(None)
+def logistic_probe_cooled(spark, sf_dir):
+    """PR9, PR10: the probe of train alone, with the temperature fitted on val"""
+    return P.evaluate_logistic(view(spark, sf_dir, "features"), merge_val=False)
+
+
+@register(None)
+def multilabel_logistic_probe(spark, sf_dir):
+    """PR7, PR9: C chosen by micro average precision of label vectors"""
+    return P.evaluate_logistic(_two_labels(view(spark, sf_dir, "features")))
+
+
+@register(None)
+def c_sweep(spark, sf_dir):
+    """PR8"""
+    return P.sweep_report(view(spark, sf_dir, "features"))
+
+
+@register(None)
+def multilabel_c_sweep(spark, sf_dir):
+    """PR7, PR8"""
+    return P.sweep_report(_two_labels(view(spark, sf_dir, "features")))
+
+
 def _shortened(spark, sf_dir) -> DataFrame:
     """The feature rows with their first three numbers, of which SQL can fit a probe."""
     return view(spark, sf_dir, "features").withColumn("features", F.slice("features", 1, 3))
@@ -432,6 +457,45 @@ def probe_predictions(spark, sf_dir):
     return out.select("split", "sample_id", "label", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("pred"))
 
 
+def _fits_sql(name: str, grid: str, rows: str, classes: int = 10, steps: int = 130) -> str:
+    """``fit_<name>`` (ci, c, w): the weights of ``_probe_sql`` on some rows of d for every C of a table (ci, c), all in one recursion."""
+    zero = "[" + ", ".join(["[0.0::DOUBLE, 0.0, 0.0, 0.0]"] * classes) + "]"
+    turn = "list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1]) ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)"
+    unit = "list_transform(list(r ORDER BY i), lambda r, i: list_concat(r, list_transform(range(0, 4), lambda j: CASE WHEN j + 1 = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)))"
+    return f"""tr_{name} AS MATERIALIZED (SELECT y, z FROM d WHERE {rows}),
+h_{name} AS (SELECT ci, i, list(v ORDER BY j) AS r FROM (SELECT ci, i, j, sum(z[i] * z[j]) / 2 + CASE WHEN i = j AND i > 1 THEN 1 / c ELSE 0 END AS v FROM tr_{name}, {grid}, range(1, 5) a(i), range(1, 5) b(j) GROUP BY ci, c, i, j) GROUP BY 1, 2),
+g_{name}(k, ci, m) AS (SELECT 0, ci, {unit} FROM h_{name} GROUP BY ci UNION ALL SELECT k + 1, ci, {turn} FROM g_{name} WHERE k < 4), inv_{name} AS MATERIALIZED (SELECT ci, c, list_transform(m, lambda r: r[5:]) AS m FROM g_{name} JOIN {grid} USING (ci) WHERE k = 4),
+w_{name}(k, ci, w) AS (SELECT 0, ci, {zero} FROM {grid} UNION ALL SELECT k + 1, ci, list(nw ORDER BY cl) FROM (
+  SELECT k, ci, cl, list_transform(m, lambda r, i: w[cl + 1][i] - list_sum(list_transform(r, lambda v, j: v * (gz[j] + CASE WHEN j > 1 THEN w[cl + 1][j] / c ELSE 0 END)))) AS nw FROM (
+    SELECT k, ci, cl, any_value(w) AS w, [sum(q * z[1]), sum(q * z[2]), sum(q * z[3]), sum(q * z[4])] AS gz FROM (
+      SELECT k, ci, w, cl, z, e[cl + 1] / list_sum(e) - CASE WHEN y = cl THEN 1 ELSE 0 END AS q FROM (SELECT k, ci, w, y, z, list_transform(w, lambda r: exp(list_inner_product(r, z))) AS e FROM w_{name}, tr_{name} WHERE k < {steps}), range(0, {classes}) t(cl)) GROUP BY k, ci, cl) JOIN inv_{name} USING (ci))
+  GROUP BY k, ci),
+fit_{name} AS MATERIALIZED (SELECT ci, c, w FROM w_{name} JOIN {grid} USING (ci) WHERE k = {steps})"""
+
+
+def _sweep_sql() -> str:
+    grid = ", ".join(f"({k}, {c!r}::DOUBLE)" for k, c in enumerate(P.GRID))
+    return f"""WITH RECURSIVE gr(ci, c) AS (VALUES {grid}), d AS MATERIALIZED (SELECT split, sample_id, label AS y, [1.0::DOUBLE, features[1], features[2], features[3]] AS z FROM features),
+{_fits_sql('one', 'gr', "split = 'train'")},
+hit AS MATERIALIZED (SELECT c, split, avg(CASE WHEN list_position(o, list_max(o)) - 1 = y THEN 1.0 ELSE 0.0 END) AS a FROM (SELECT c, split, y, list_transform(w, lambda r: list_inner_product(r, z)) AS o FROM fit_one, d) GROUP BY 1, 2)"""
+
+
+@register(_sweep_sql() + " SELECT c, log10(c) AS log10_c, max(a) FILTER (split = 'train') AS train_score, max(a) FILTER (split = 'val') AS val_score, max(a) FILTER (split = 'test') AS test_score, CAST(3 AS INTEGER) AS feature_dim, (SELECT count(*) FROM d WHERE split = 'train') AS n_train, (SELECT count(*) FROM d WHERE split = 'val') AS n_val, (SELECT count(*) FROM d WHERE split = 'test') AS n_test FROM hit GROUP BY c", "features")
+def c_sweep_short(spark, sf_dir):
+    """PR7, PR8: the sweep on the first three features, which SQL can fit for all 40 C"""
+    return P.sweep_report(_shortened(spark, sf_dir))
+
+
+@register(_sweep_sql() + f""", top AS MATERIALIZED (SELECT 0 AS ci, c FROM hit WHERE split = 'val' ORDER BY a DESC, c LIMIT 1),
+{_fits_sql('two', 'top', "split <> 'test'")},
+o AS (SELECT sample_id, y, list_transform(w, lambda r: exp(list_inner_product(r, z))) AS e FROM fit_two, d WHERE split = 'test'), p AS (SELECT y, list_max(e) / list_sum(e) AS conf, list_position(e, list_max(e)) - 1 = y AS ok FROM o),
+a AS (SELECT count(*) AS n, count(*) FILTER (ok) AS h FROM p), {BINOMIAL}, b AS (SELECT floor(conf * 15) AS b, count(*) AS n, avg(conf) AS c, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY 1)
+SELECT (SELECT c FROM top) AS best_c, h / n AS metric, (SELECT avg(k / n) FROM dr, a) AS mean, (SELECT quantile_cont(k / n, 0.025) FROM dr, a) AS low, (SELECT quantile_cont(k / n, 0.975) FROM dr, a) AS high, n, round((SELECT sum(n * abs(c - acc)) / sum(n) FROM b), 5) AS ece, round((SELECT sqrt(sum(n * abs(c - acc) ** 2) / sum(n)) FROM b), 5) AS rms, round((SELECT max(abs(c - acc)) FROM b), 5) AS mce FROM a""", "features")
+def logistic_probe_short(spark, sf_dir):
+    """PR9: C chosen on val, refit, interval and calibration, on the first three features"""
+    return P.evaluate_logistic(_shortened(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in ("ece", "rms", "mce")})
+
+
 @register(None)
 def probe_probabilities(spark, sf_dir):
     """PR23"""

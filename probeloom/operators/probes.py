@@ -40,6 +40,13 @@ def sweep(rows: DataFrame, grid: Sequence[float] = GRID, splits: Sequence[str] =
     return S.sweep(S.pack(rows, "labels" if many else "label"), grid, splits, not many, passes)
 
 
+def sweep_report(rows: DataFrame, grid: Sequence[float] = GRID, passes: int = 400) -> DataFrame:
+    """c, log10_c, train_score, val_score, test_score, feature_dim, n_train, n_val, n_test of ``sweep``."""
+    sizes = rows.agg(F.max(F.size("features")).alias("feature_dim"), *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")))
+    swept = sweep(rows, grid, passes=passes).select("c", F.log10("c").alias("log10_c"), *(F.col(s).alias(f"{s}_score") for s in ("train", "val", "test")))
+    return swept.join(F.broadcast(sizes))
+
+
 def select_c(swept: DataFrame, on: str = "val") -> float:
     """The first C with the best score; a sweep without any finite score is an error."""
     best = swept.where(F.col(on).isNotNull() & ~F.isnan(on)).orderBy(F.col(on).desc(), "c").select("c").first()

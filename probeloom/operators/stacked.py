@@ -96,7 +96,7 @@ def minimise(call: _Call, w: np.ndarray, passes: int, tol: float) -> np.ndarray:
         points = w[ids] + step[ids, None] * d[ids]
         values, slopes = call(ids, points)
         for i, point, value, slope in zip(ids, points, values, slopes, strict=True):
-            if not value <= f[i] + 1e-4 * step[i] * (g[i] @ d[i]):
+            if not value <= f[i] + 1e-4 * step[i] * (g[i] @ d[i]) + 1e-15 * abs(f[i]):  # near the end a fall is lost in rounding
                 step[i] /= 2
                 live[i] = step[i] > 1e-12
                 continue
@@ -143,7 +143,7 @@ def _search(call: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarra
     return plain(u, np.arange(len(ridge)))
 
 
-def fit(blocks: DataFrame, grid: Sequence[float], splits: Sequence[str] = ("train",), classes: bool = True, passes: int = 400, tol: float = 1e-7, shipped: int = SHIPPED) -> np.ndarray:
+def fit(blocks: DataFrame, grid: Sequence[float], splits: Sequence[str] = ("train",), classes: bool = True, passes: int = 400, tol: float = 1e-9, shipped: int = SHIPPED) -> np.ndarray:
     """Weights (len(grid), d + 1, k) that make mean cross-entropy + |W|^2 / (2 C n) least for each C, intercepts (first) free.
 
     Label vectors have a probe for each label, with the same C. No rows: an error.
