@@ -1,9 +1,10 @@
 """k-nearest-neighbour joins by Euclidean distance and the probes on top of them.
 
-Training sets of up to ``BLOCK`` rows are shipped to the tasks, and the queries are not shuffled. Larger ones are
-packed into blocks: a query block meets every training block in a task of its own (blocks, not rows, are joined),
-keeps its k best there, and the best of all blocks are merged by query. Query blocks hold ``WIDE`` times as many rows,
-so training rows are copied less often.
+Training sets of up to ``BLOCK`` rows are shipped to the tasks, and the queries are not shuffled. Larger ones are dealt to
+cells, each row to the nearest of some training rows (pivots), of which the radius is known. A query first meets the
+cell of its nearest pivot; the k-th distance found there bounds what is still to be found, and by the triangle inequality
+it then meets only cells that reach into that distance. Cells meet in blocks (a block of queries and one of training
+rows in a task), and the best of all blocks are merged by query.
 """
 
 from __future__ import annotations
@@ -35,7 +36,14 @@ def _nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k:
         exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(axis=2))
         exact[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
         order = np.lexsort((ids[near], exact), axis=1)[:, :k]
+        edge = np.take_along_axis(d, near, 1).max(axis=1, keepdims=True)
+        tied = (d <= edge * (1 + 1e-9) + 1e-9) & np.isfinite(d)
         near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+        for r in np.flatnonzero(tied.sum(axis=1) > m):  # more rows tie with the last candidate: all of them are looked at
+            some = np.flatnonzero(tied[r])
+            away = np.sqrt(((part[r] - y[some]) ** 2).sum(axis=1))
+            best = np.lexsort((ids[some], away))[: near.shape[1]]
+            near[r], exact[r] = some[best], away[best]
         out.append(pd.DataFrame({"sample_id": np.repeat(own[at : at + 512], near.shape[1]), "train_id": ids[near].ravel(), "distance": exact.ravel()}))
     found = pd.concat(out) if out else pd.DataFrame({"sample_id": [], "train_id": [], "distance": []})
     return found[np.isfinite(found["distance"])]
@@ -57,10 +65,11 @@ def _shipped(q: DataFrame, t: DataFrame, k: int, exclude_self: bool) -> DataFram
     return q.mapInPandas(run, "sample_id long, train_id long, distance double")
 
 
-def neighbours(queries: DataFrame, train: DataFrame, k: int, by: str | None = None, exclude_self: bool = False) -> DataFrame:
+def neighbours(queries: DataFrame, train: DataFrame, k: int, by: str | None = None, exclude_self: bool = False, stats: dict | None = None) -> DataFrame:
     """sample_id, train_id, distance, rank (from 1) of each query's k nearest training rows (ties: smaller id).
 
-    ``by`` names a column that must agree (a fold); k is clamped to the training rows; ids may be excluded.
+    ``by`` names a column that must agree (a fold); k is clamped to the training rows; ids may be excluded. ``stats`` gets
+    how often a query met a block of training rows (``met``), and how often it would without bounds (``all``).
     """
     group = F.col(by).cast("string") if by else F.lit("")
     side = lambda df: df.select(group.alias("g"), F.col("sample_id").alias("id"), F.col("features").cast("array<double>").alias("x"))
@@ -68,19 +77,80 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, by: str | None = No
     n = train.count()
     if n <= BLOCK:
         return _shipped(side(queries), side(train), k, exclude_self).withColumn("rank", F.row_number().over(order))
-    blocks, q_blocks = -(-n // BLOCK), max(1, -(-queries.count() // (WIDE * BLOCK)))
-    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    q = side(queries).select("*", F.lit(0).alias("side"), block(q_blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    t = side(train).select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("i"), block(blocks).alias("j"))
-
-    def best(df: pd.DataFrame) -> pd.DataFrame:
-        a, b = df[df["side"] == 0], df[df["side"] == 1].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"sample_id": [], "train_id": [], "distance": []})
-        return _nearest(np.stack(a["x"].to_numpy()), a["id"].to_numpy(), np.stack(b["x"].to_numpy()), b["id"].to_numpy(), k, exclude_self)
-
-    found = q.unionByName(t).groupBy("g", "i", "j").applyInPandas(best, "sample_id long, train_id long, distance double")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _by_cells(side(queries), side(train), n, k, exclude_self, stats).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Pivots at most, and bytes of them that are shipped.
+PIVOTS, PIVOT_BYTES = 4096, 32 << 20
+
+
+def _spread(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0))
+
+
+def _by_cells(q: DataFrame, t: DataFrame, n: int, k: int, exclude_self: bool, stats: dict | None) -> DataFrame:
+    """sample_id, train_id, distance: k or more candidates of each query, its k nearest among them; q and t have g, id and x."""
+    spark = q.sparkSession
+    width = t.select(F.size("x")).first()[0]
+    most = max(1, min(PIVOTS, -(-n // BLOCK), PIVOT_BYTES // (8 * max(width, 1))))
+    pivots = np.array([r.x for r in t.orderBy(F.xxhash64("id"), "id").select("x").limit(most).collect()])
+    shared = spark.sparkContext.broadcast(pivots)
+    # a distance by its square loses half of the digits near zero; bounds are moved by as much
+    slack = 1e-6 * (1 + float(np.abs(pivots).max(initial=0)) * np.sqrt(width))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            if len(df):
+                d = _spread(np.stack(df["x"].to_numpy()), shared.value)
+                yield df.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+
+    schema = "g string, id long, x array<double>, cell int, far double"
+    train, rows = written(t.mapInPandas(deal, schema), "cells"), written(q.mapInPandas(deal, schema), "queries")
+    known = {r.cell: r for r in train.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row for each pivot
+    radius = np.full(len(pivots), -np.inf)
+    for c, r in known.items():
+        radius[c] = r.far
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """The k nearest of each query (g, id, x, cell) in its cell, by blocks."""
+        asked = {r.cell: r.n for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
+        parts = [(c, -(-known[c].n // BLOCK), -(-asked[c] // (WIDE * BLOCK))) for c in asked if c in known]
+        if stats is not None:
+            stats["met"] = stats.get("met", 0) + sum(asked[c] * a for c, a, _ in parts)
+            stats["all"] = rows.count() * sum(-(-r.n // BLOCK) for r in known.values())
+        table = F.broadcast(spark.createDataFrame(parts, "cell int, tp int, qp int"))
+        part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        a = pairs.select("g", "id", "x", "cell").join(table, "cell").select("g", "id", "x", "cell", F.lit(0).alias("side"), part("qp").alias("i"), "tp").withColumn("j", every("tp")).drop("tp")
+        b = train.select("g", "id", "x", "cell").join(table, "cell").select("g", "id", "x", "cell", F.lit(1).alias("side"), "qp", part("tp").alias("j")).withColumn("i", every("qp")).drop("qp")
+
+        def best(df: pd.DataFrame) -> pd.DataFrame:
+            a, b = df[df["side"] == 0], df[df["side"] == 1].sort_values("id")
+            if not len(a) or not len(b):
+                return pd.DataFrame({"sample_id": [], "train_id": [], "distance": []})
+            return _nearest(np.stack(a["x"].to_numpy()), a["id"].to_numpy(), np.stack(b["x"].to_numpy()), b["id"].to_numpy(), k, exclude_self)
+
+        return a.unionByName(b).groupBy("g", "cell", "i", "j").applyInPandas(best, "sample_id long, train_id long, distance double")
+
+    near = written(met(rows), "near")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("distance", "train_id"))).where(F.col("rank") == k)
+    limits = ranked.select(F.col("sample_id").alias("id"), F.col("distance").alias("limit"))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for at in range(0, len(df), 1024):
+                some = df.iloc[at : at + 1024]
+                if len(some):
+                    low = _spread(np.stack(some["x"].to_numpy()), shared.value) - radius[None]
+                    due = low <= some["limit"].to_numpy()[:, None] * (1 + 1e-9) + slack
+                    due[np.arange(len(some)), some["cell"]] = False  # met already
+                    row, cell = np.nonzero(due & np.isfinite(low))
+                    yield some.iloc[row][["g", "id", "x"]].assign(cell=cell.astype(np.int32))
+
+    wide = rows.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).select("g", "id", "x", "cell", "limit")
+    more = written(wide.mapInPandas(reach, "g string, id long, x array<double>, cell int"), "reach")
+    return near.union(met(more))
 
 
 def vote(near: DataFrame, train: DataFrame) -> DataFrame:

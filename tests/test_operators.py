@@ -356,3 +356,24 @@ def test_columns_and_logs(spark):
     events = spark.createDataFrame([(1, 1, "completed", "old"), (2, 1, "completed", "new"), (3, 2, "failed", "x")], "seq long, job_id long, event string, log string")
     attempts = spark.createDataFrame([(1, "a1", "done"), (2, "a2", "all done"), (2, "b2", "no"), (3, "a3", "done"), (3, "b3", "done")], "job_id long, log string, text string")
     assert {r.job_id: r.log for r in results.job_logs(jobs, events, attempts, "done").collect()} == {1: "new", 2: "a2", 3: None, 4: None}
+
+
+def test_knn_cells_prune_and_lose_nothing(spark, monkeypatch):
+    """Clusters far apart, copies beyond a block, ties and folds: equal to brute force, and far from all blocks met."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((12, 5)) * 100
+    data = np.concatenate([c + rng.standard_normal((30, 5)) for c in centres] + [np.repeat(centres[:1], 90, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(data)], "sample_id long, features array<double>, fold int")
+    monkeypatch.setattr(knn, "BLOCK", 20)
+    d = np.sqrt(((data[:, None] - data[None]) ** 2).sum(2))
+    for by, own in ((None, True), ("fold", False), ("fold", True)):
+        stats = {}
+        got = {(r.sample_id, r["rank"]): r.train_id for r in knn.neighbours(df, df, 6, by, own, stats).collect()}
+        e = d.copy()
+        if own:
+            np.fill_diagonal(e, np.inf)
+        if by:
+            e[(np.arange(len(data))[:, None] - np.arange(len(data))) % 2 == 1] = np.inf
+        near = np.argsort(e, axis=1, kind="stable")[:, :6]
+        assert got == {(i, k + 1): near[i, k] for i in range(len(data)) for k in range(6)}
+        assert stats["met"] < 0.6 * stats["all"], stats
