@@ -13,10 +13,10 @@ SHARE, SALTS = 0.005, 64
 SAMPLE = 5000
 
 
-def sampled(docs: DataFrame) -> DataFrame:
-    """About ``SAMPLE`` rows of docs by a hash of all columns but the text."""
+def sampled(docs: DataFrame, key: str = "text") -> DataFrame:
+    """About ``SAMPLE`` rows of docs by a hash of all columns but ``key``; written, so that it costs one read of docs."""
     every = max(1, docs.count() // SAMPLE)
-    return docs.where(F.pmod(F.xxhash64(F.lit("sample"), *(c for c in docs.columns if c != "text")), F.lit(every)) == 0)
+    return cut(docs.where(F.pmod(F.xxhash64(F.lit("sample"), *(c for c in docs.columns if c != key)), F.lit(every)) == 0), "sampled")
 
 
 def hot_keys(rows: DataFrame, *keys: str) -> list[tuple]:

@@ -140,7 +140,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
         return F.struct(shard("sid", block).alias("shard"), F.xxhash64(F.lit(seed + e), "sid", "h").alias("turn"), F.col(f"t{e}").alias("words"))
 
     draws = F.filter(F.array(draw(0), draw(1)), lambda d: d["words"] > 0)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("t0") + F.col("t1")).alias("taken"), draws.alias("draws"), *(["row"] if carry else []))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("t0") + F.col("t1")).alias("taken"), draws.alias("draws", metadata={"shards": shards}), *(["row"] if carry else []))
 
 
 def _cut(text: str | None, words: int) -> str:
@@ -171,7 +171,7 @@ def materialise(planned: DataFrame, text: str = "text") -> DataFrame:
                 column = pa.array([t if c is None else _cut(t, c) for t, c in zip(column.to_pylist(), cuts, strict=True)], column.type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 : len(names)]], names=inner)
 
-    parts = max(SHARDS, int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = drawn.repartitionById(parts, "shard").sortWithinPartitions("shard", "turn")  # shard modulo parts
+    parts = planned.schema["draws"].metadata["shards"]
+    dealt = drawn.repartitionById(parts, "shard").sortWithinPartitions("shard", "turn")  # a partition for each shard
     mixed = dealt.mapInArrow(run, T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, schema.fields, strict=True)])).toDF(*names)
     return mixed.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in names else mixed

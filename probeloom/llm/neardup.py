@@ -11,7 +11,7 @@ A cluster of one tile is one comparison. A larger one is first compared tile by
 pivots that every tile gets; then all documents outside the largest component found are compared with all
 tiles. So no link between different components is lost, and a group of any size costs about its own size
 unless its links really are sparse. Buckets over ``RUN`` are chained whole in order of set size, without
-the sketch, which only enlarges the cluster.
+the sketch, which only enlarges the cluster. A bucket that holds many rows of a sample is dealt over several tasks.
 
 A ``Link`` is a threshold with its bands and sketch bound: ``CONTRACT`` (85/100, operator 8) and ``CORPUS`` (80/100,
 the pipeline). At either threshold a pair shares no band with probability 2e-6 and fails the sketch with 5e-6 (about).
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeloom.llm.graph import components, forest, groups
+from probeloom.llm.hot import SALTS, among, hot_keys, sampled
 from probeloom.llm.scratch import cut
 from probeloom.llm.sieve import sieve
 from probeloom.llm.slabs import mix, shingles, slabs, stream, tidied
@@ -289,8 +290,11 @@ def judged(docs: DataFrame, link: Link = CONTRACT) -> DataFrame:
     same = known.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
     reps = same.select(F.col("r.doc_id").alias("rep"), "n", "r.bands", "r.sketch")
     buckets = reps.select(F.explode("bands").alias("key"), "n", "rep", *(F.col("sketch")[i].alias(f"s{i}") for i in range(3)))
-    ties = buckets.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(tidied(lambda batches: _tied(batches, link)), "a long, b long")
-    tied = components(ties)
+    hot = among(hot_keys(sampled(reps, "bands").select(F.explode("bands").alias("key")), "key"), "key")
+    salt = F.when(hot, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0)
+    ties = buckets.repartition("key", salt).sortWithinPartitions("key", "n", "rep").mapInArrow(tidied(lambda batches: _tied(batches, link)), "a long, b long")
+    # the parts of a hot key don't know of each other: their rows are tied to the key itself as well, which can only enlarge a cluster
+    tied = components(ties.union(buckets.where(hot).select(F.col("rep").alias("a"), F.col("key").alias("b"))))
     sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
     clusters = tied.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
     texts = sieve(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", tied, "node")

@@ -72,7 +72,8 @@ def lists(postings: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
     """w (number), phrase, size and slots (frequency, offset, id of each word, rarest first) of the phrases whose words all occur."""
     numbered = cut(found.select("phrase").distinct().withColumn("w", F.monotonically_increasing_id()), "phrases")
     counts = postings.where("id >= 0").groupBy("id").agg(F.count("*").alias("n"))
-    slots = numbered.select("w", "phrase", F.posexplode(F.split("phrase", " ")).alias("off", "term")).join(terms, "term").join(counts, "id", "left")
+    known = cut(terms.join(counts, "id", "left"), "counts")
+    slots = numbered.select("w", "phrase", F.posexplode(F.split("phrase", " ")).alias("off", "term")).join(small(known, MAX_TERMS), "term")
     rows = slots.groupBy("w", "phrase").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "id"))).alias("slots"))
     return cut(rows.where(F.col("slots")[0]["n"] > 0).select("w", "phrase", F.size("slots").alias("size"), "slots"), "lists")
 

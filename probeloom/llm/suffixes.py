@@ -213,13 +213,17 @@ def _large_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(hull[here]), pa.array(np.full(len(here), d)), _signed(digest)], names=["key", "hull", "d", "w"])
 
 
-def repeated_spans(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
+def _long(docs: DataFrame, least: int) -> DataFrame:
+    return docs.select(F.coalesce("d", F.lit(0)).alias("d"), "t1", "t2", "text").where(F.octet_length("text") >= least)
+
+
+def repeated_spans(docs: DataFrame, class_rows: int = CLASS, sample: DataFrame | None = None) -> DataFrame:
     """t1, t2 (digest of a text), spans: the byte ranges [a, b) of each text that repeated windows cover, not merged."""
-    rows = docs.select(F.coalesce("d", F.lit(0)).alias("d"), "t1", "t2", "text").where(F.octet_length("text") >= WINDOW)
+    rows = _long(docs, WINDOW)
     schema = "key long, hull long, d long, t1 long, t2 long, places array<long>, lo long, hi long"
     found = rows.mapInArrow(tidied(_anchor_rows), schema)
-    sample = sampled(rows).mapInArrow(tidied(_anchor_rows), schema).select("key", "hull")
-    hot = F.when(among(hot_keys(sample, "key", "hull"), "key", "hull"), 2).when(among(hot_keys(sample, "key"), "key"), 1).otherwise(0)
+    some = cut(_long(sampled(docs) if sample is None else sample, WINDOW).mapInArrow(tidied(_anchor_rows), schema).select("key", "hull"), "sample")
+    hot = F.when(among(hot_keys(some, "key", "hull"), "key", "hull"), 2).when(among(hot_keys(some, "key"), "key"), 1).otherwise(0)
     part = F.when(F.col("hot") == 2, F.pmod(F.xxhash64("t1", "t2", "d"), F.lit(SALTS))).when(F.col("hot") == 1, F.pmod("hull", F.lit(SALTS))).otherwise(0)
     dealt = found.withColumn("hot", hot).repartition("key", part).sortWithinPartitions("key", "hull")
     kept = cut(dealt.mapInArrow(tidied(_second_pass), found.schema.add("twice", "boolean").add("lead", "boolean")), "anchors")
@@ -284,16 +288,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held, before, None)
 
 
-def shared_passages(docs: DataFrame) -> DataFrame:
+def shared_passages(docs: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """t1 (digest) of every text that has a passage of ``PASSAGE`` words in common with another row of docs (d, t1, text).
 
     Two texts with such a passage have one of its fingerprints in common, a run of ``SHINGLE`` words, and texts
     that have one in common count. Fingerprints that hold many rows are found in a sample and not shuffled.
     """
-    rows = docs.select("d", "t1", "text").where(F.octet_length("text") >= 2 * PASSAGE - 1)
     schema = "f long, t1 long"
-    prints = rows.select("t1", "text").mapInArrow(tidied(_fingerprints), schema)
-    hot = among(hot_keys(sampled(rows).select("t1", "text").mapInArrow(tidied(_fingerprints), schema), "f"), "f")
+    prints = _long(docs, 2 * PASSAGE - 1).select("t1", "text").mapInArrow(tidied(_fingerprints), schema)
+    some = _long(sampled(docs) if sample is None else sample, 2 * PASSAGE - 1)
+    hot = among(hot_keys(some.select("t1", "text").mapInArrow(tidied(_fingerprints), schema), "f"), "f")
     dealt = prints.withColumn("hot", hot).repartition("f", F.when(F.col("hot"), F.pmod("t1", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,16 +329,17 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeated(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
+def remove_repeated(docs: DataFrame, class_rows: int = CLASS, passages: bool = True) -> DataFrame:
     """doc_id, kept (the text's bytes without repeated windows), n_bytes, n_removed, n_spans of every document.
 
-    shared_passage says whether the document also has a passage of ``PASSAGE`` words in common with another one
-    (``shared_passages``), which may have fewer bytes than a window and then stays.
+    With ``passages``, shared_passage says whether the document also has a passage of ``PASSAGE`` words in common with
+    another one (``shared_passages``), which may have fewer bytes than a window and then stays; it is null otherwise.
     """
     named = docs.select("doc_id", "text", F.col("doc_id").alias("d"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t2"), "text").alias("t2"))
-    spans = repeated_spans(named, class_rows)
-    marks = named.select("t1", "t2").distinct().join(shared_passages(named), "t1").withColumn("shared", F.lit(True))
-    found = cut(spans.join(marks, ["t1", "t2"], "full_outer"), "spans")  # written, so that Spark can split a large group of copies
+    sample = sampled(named)
+    spans = repeated_spans(named, class_rows, sample)
+    marks = shared_passages(named, sample).withColumn("shared", F.lit(True)) if passages else spans.select("t1").limit(0).withColumn("shared", F.lit(True))
+    found = cut(spans.join(marks, "t1", "full_outer"), "spans")  # written, so that Spark can split a large group of copies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -353,7 +358,8 @@ def remove_repeated(docs: DataFrame, class_rows: int = CLASS) -> DataFrame:
                     counts.append(len(runs))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), batch.column(3)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "shared_passage"])
 
-    joined = named.join(found, ["t1", "t2"], "left").select(F.col("doc_id").cast("long"), "text", "spans", F.coalesce("shared", F.lit(False)).alias("shared"))
+    match = (named["t1"] == found["t1"]) & (found["t2"].isNull() | (named["t2"] == found["t2"]))  # a text that only shares a passage is known by t1
+    joined = named.join(found, match, "left").select(F.col("doc_id").cast("long"), "text", "spans", F.coalesce("shared", F.lit(False if passages else None)).alias("shared"))
     return joined.mapInArrow(tidied(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, shared_passage boolean")
 
 

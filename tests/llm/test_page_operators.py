@@ -161,3 +161,34 @@ def test_articles_repeat_lines_of_each_other(spark):
     assert all(kind != html.OPEN for some in lines.values() for _, kind in some)
     text = {r.page_id: r.text for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
     assert all(text[k] == "\n".join(t for t, kind in some if kind == html.MAIN) for k, some in lines.items())
+
+
+def test_open_lines_are_judged_and_never_dropped(spark):
+    words = " ".join(["word"] * 30)
+    text = f"<h1>Title</h1><p>intro</p><article>{words}</article><p>end</p>"
+    for body in (text, text.replace(words, "short")):
+        pages = spark.createDataFrame([(1, "http://a.example/x", body)], "page_id long, url string, html string")
+        assert html.extract(pages).first().text.split("\n") == ["Title", "intro", words if words in body else "short", "end"]
+    rows = [(k, f"http://a.example/{k}", f"<p>menu</p><p>own {k}</p><p>mine {k}</p><article>{words} {k}</article>") for k in (1, 2)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"own {k}\nmine {k}\n{words} {k}" for k in (1, 2)}
+
+
+def test_marks_of_elements():
+    kept = lambda text: [t for t, k in html.lines_of(text) if k]
+    assert kept('<article>a</article><article class="comment">b</article><article id="comment-12">c</article>') == ["a"]
+    assert kept('<div class="social-science">a</div><div class="site-footer">b</div><div class="main Sidebar">c</div><div class="x social">d</div>') == ["a"]
+    assert kept('<p>a < b and <b>c</b></p><a href="x>y">d</a>') == ["a < b and c", "d"]
+    assert kept("<p>a<b title='x") == ["a"] and kept('<p>a<i b=">c</p><p>d') == ["a", "d"]
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for part in ("<a ", "<a '", '<a "', "<!", "<div>", "</ul><div>", "<a '\"", "<p><b class='x y", "&amp"):
+        began = time.process_time()
+        html.lines_of(part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 8, part
+    began = time.process_time()
+    html.lines_of("<div class=x>" * 100_000 + "</ul>" * 100_000)
+    assert time.process_time() - began < 8
