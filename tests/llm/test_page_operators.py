@@ -15,7 +15,7 @@ def test_extraction_by_structure():
     assert html.lines_of(None) == [] and html.lines_of("") == []
     assert html.lines_of("just text")[0] == ("just text", html.OPEN)
     assert [t for t, k in html.lines_of("<article><p>a<p>b <!-- c") if k] == ["a", "b"]
-    assert [t for t, k in html.lines_of("<main>a <span class=ad>buy <i>now</i></span> b <span>c</span><div class=x>d</main>e") if k] == ["a b c", "d"]
+    assert [t for t, k in html.lines_of("<main>a <span class=ad>buy <i>now</i></span> b <span>c</span><div class=x>d</main>e") if k] == ["a b c", "d", "e"]
 
 
 def test_extraction_by_differencing(spark):
