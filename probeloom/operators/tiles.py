@@ -163,12 +163,21 @@ def normalise_policy(tiles: DataFrame, bands: Sequence[dict], policy: str = "dat
 
 
 def image_stats(tiles: DataFrame) -> DataFrame:
-    """sample_id, features: for every band the mean, population deviation, largest and least value (four blocks)."""
-    n = lambda b: F.size(b)
-    total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + x)
-    mean = lambda b: total(b) / n(b)
-    deviation = lambda b: F.sqrt(F.aggregate(b, F.lit(0.0), lambda a, x: a + (x - mean(b)) * (x - mean(b))) / n(b))
-    return tiles.select("sample_id", F.concat(F.transform("bands", mean), F.transform("bands", deviation), F.transform("bands", F.array_max), F.transform("bands", F.array_min)).alias("features"))
+    """sample_id, features: for every band the mean, population deviation, largest and least value (four blocks).
+
+    One fold over a band sums its distances from the first pixel and their squares.
+    """
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+
+    def moments(b: Column) -> Column:
+        first = F.get(b, F.lit(0))
+        add = lambda a, x: F.struct((a["s"] + (x - first)).alias("s"), (a["q"] + (x - first) * (x - first)).alias("q"))
+        done = lambda a: F.struct((first + a["s"] / F.size(b)).alias("mean"), F.sqrt(F.greatest(a["q"] / F.size(b) - (a["s"] / F.size(b)) * (a["s"] / F.size(b)), F.lit(0.0))).alias("std"))
+        return F.aggregate(b, zero, add, done)
+
+    found = F.transform("bands", lambda b: F.struct(moments(b).alias("m"), F.array_max(b).alias("high"), F.array_min(b).alias("low")))
+    part = lambda f: F.transform("found", f)
+    return tiles.select("sample_id", found.alias("found")).select("sample_id", F.concat(part(lambda r: r["m"]["mean"]), part(lambda r: r["m"]["std"]), part(lambda r: r["high"]), part(lambda r: r["low"])).alias("features"))
 
 
 def band_statistics(tiles: DataFrame) -> DataFrame:
@@ -238,98 +247,145 @@ def statistics_of(x: np.ndarray) -> np.ndarray:
     return np.concatenate([basic, np.moveaxis(np.percentile(flat, [10, 25, 50, 75, 90], axis=-1), 0, -1)], -1)
 
 
-def _slopes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Differences along columns and rows: central, one-sided at the edges, zero along an axis of one pixel."""
-    across, down = (np.gradient(x, axis=k) if x.shape[k] > 1 else np.zeros_like(x) for k in (-1, -2))
-    return across, down
+# Most features of a map are linear along its axes: a matrix for the rows, one for the columns, and products of both with the
+# pixels give differences, means of cells, boxes and quarters, and moments of weights. Slopes are complex numbers (across
+# + i down), so that a square doubles their angle and directions that differ by half a turn agree.
 
 
-def _entropy(weights: np.ndarray) -> np.ndarray:
-    """Entropy of the last axis as a part of the largest possible one; no weight at all gives 0."""
-    share = weights / np.maximum(weights.sum(-1, keepdims=True), GUARD)
-    return -(share * np.log(np.maximum(share, GUARD))).sum(-1) / np.log(weights.shape[-1])
+def _apply(rows: np.ndarray, x: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """rows (a x H) and columns (b x W) on (..., H, W): (..., a, b)."""
+    return rows @ x @ columns.T
+
+
+def _differences(n: int) -> np.ndarray:
+    """Central differences of n values, one-sided at the ends; of a single one 0."""
+    at = np.arange(n)
+    low, high = np.maximum(at - 1, 0), np.minimum(at + 1, n - 1)
+    out = np.zeros((n, n))
+    np.add.at(out, (at, high), 1.0)
+    np.add.at(out, (at, low), -1.0)
+    return out / np.maximum(high - low, 1)[:, None]
+
+
+def _members(group: np.ndarray, groups: int) -> np.ndarray:
+    """(groups x n): 1 where value j belongs to group i."""
+    return (np.arange(groups)[:, None] == group[None, :]).astype(float)
+
+
+def _means(members: np.ndarray) -> np.ndarray:
+    """The rows of a membership matrix as means; a group without members gives 0."""
+    return members / np.maximum(members.sum(axis=1, keepdims=True), 1)
 
 
 def _cells(x: np.ndarray, k: int) -> np.ndarray:
     """Means over k x k cells; cells at the lower and right edge may be smaller."""
-    for axis in (-2, -1):
-        starts = np.arange(0, x.shape[axis], k)
-        size = np.diff([*starts, x.shape[axis]])
-        x = np.add.reduceat(x, starts, axis=axis) / (size[:, None] if axis == -2 else size)
-    return x
+    rows, columns = (_means(_members(np.arange(n) // k, -(-n // k))) for n in x.shape[-2:])
+    return _apply(rows, x, columns)
+
+
+def _slopes(x: np.ndarray) -> np.ndarray:
+    """Slope of every pixel, across + i down."""
+    h, w = x.shape[-2:]
+    return x @ _differences(w).T + 1j * (_differences(h) @ x)
+
+
+def _entropy(weights: np.ndarray) -> np.ndarray:
+    """Entropy of the last axis as a part of the largest possible one; no weight at all gives 0."""
+    share = weights / np.maximum(weights.sum(axis=-1, keepdims=True), GUARD)
+    return np.where(share > 0, share * -np.log(np.where(share > 0, share, 1)), 0).sum(axis=-1) / np.log(weights.shape[-1])
+
+
+def _counted(code: np.ndarray, bins: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """How often (or with what weight) each code below ``bins`` stands in each of (..., H, W): one count for all maps."""
+    lead = code.shape[:-2]
+    flat = code.reshape(-1, code.shape[-2] * code.shape[-1]) + bins * np.arange(int(np.prod(lead)))[:, None]
+    found = np.bincount(flat.ravel(), None if weights is None else weights.ravel(), bins * len(flat))
+    return found.reshape(*lead, bins)
 
 
 def texture_of(x: np.ndarray) -> np.ndarray:
-    """(..., H, W) -> (..., 12): at cells of 1, 2 and 4 pixels, mean and deviation of the slope, its coherence, and the entropy of its direction in eight sectors of a half turn."""
-    both, out = (-2, -1), []
-    for k in (1, 2, 4):
-        gx, gy = _slopes(_cells(x, k))
-        size = np.hypot(gx, gy)
-        top = np.maximum(size.max(both, keepdims=True), GUARD)
-        gx, gy = gx / top, gy / top
-        a, b, c = (gx * gx).mean(both), (gy * gy).mean(both), (gx * gy).mean(both)
-        sector = np.minimum((np.mod(np.arctan2(gy, gx), np.pi) * (8 / np.pi)).astype(int), 7)
-        shares = np.stack([(np.hypot(gx, gy) * (sector == i)).sum(both) for i in range(8)], -1)
-        out += [size.mean(both), size.std(both), np.hypot(a - b, 2 * c) / np.maximum(a + b, GUARD), _entropy(shares)]
-    return np.stack(out, -1)
+    """(..., H, W) -> (..., 12): at cells of 1, 2 and 4 pixels, mean and deviation of the slope, its coherence, and the entropy of its direction in eight sectors of a half turn.
 
+    Coherence is the length of the mean squared slope as a part of the mean squared length: 1 if all slopes run along one line.
+    """
+    both = (-2, -1)
 
-#: Neighbours of a pixel clockwise from the upper left, as (row, column) in its 3 x 3 window; bit k of a pattern is neighbour k.
-RING = ((0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0))
+    def at(k: int) -> list[np.ndarray]:
+        z = _slopes(_cells(x, k))
+        steep = np.abs(z)
+        least = np.maximum(steep.max(both, keepdims=True), GUARD)
+        square = (z / least) ** 2
+        turn = np.mod(np.angle(square), 2 * np.pi) / (2 * np.pi)
+        sector = np.minimum(np.floor(turn * 8).astype(int), 7)
+        coherence = np.abs(square.mean(both)) / np.maximum(np.abs(square).mean(both), GUARD)
+        return [steep.mean(both), steep.std(both), coherence, _entropy(_counted(sector, 8, steep / least))]
 
+    return np.stack([f for k in (1, 2, 4) for f in at(k)], axis=-1)
 
-def _patterns(x: np.ndarray) -> np.ndarray:
-    """Entropy of the local binary patterns (neighbour above the centre) and the share of those with two turns at most."""
-    h, w = x.shape[-2] - 2, x.shape[-1] - 2
-    if min(h, w) < 1:
-        return np.zeros((*x.shape[:-2], 2))
-    above = np.stack([x[..., i : i + h, j : j + w] > x[..., 1:-1, 1:-1] for i, j in RING], -1).reshape(-1, h * w, 8)
-    code = (above << np.arange(8)).sum(-1) + 256 * np.arange(len(above))[:, None]
-    counts = np.bincount(code.ravel(), minlength=256 * len(above)).reshape(-1, 256)
-    turns = (above != np.roll(above, 1, axis=-1)).sum(-1)
-    return np.stack([_entropy(counts), (turns <= 2).mean(-1)], -1).reshape(*x.shape[:-2], 2)
 
+def _patterns(x: np.ndarray) -> np.ndarray:
+    """Entropy of the local binary patterns (neighbour above the centre) and the share of those with two turns at most.
 
-def _around(x: np.ndarray, fill: float) -> np.ndarray:
-    """The 3 x 3 window of every pixel on two more axes; beyond the edges stands ``fill``."""
-    return np.lib.stride_tricks.sliding_window_view(np.pad(x, [(0, 0)] * (x.ndim - 2) + [(1, 1), (1, 1)], constant_values=fill), (3, 3), axis=(-2, -1))
+    Neighbours go once around in eighths of a turn; a pattern has a turn at every bit that differs from the one before.
+    """
+    h, w = x.shape[-2:]
+    if min(h, w) < 3:
+        return np.zeros((*x.shape[:-2], 2))
+    code = np.zeros((*x.shape[:-2], h - 2, w - 2), np.uint8)
+    for k, angle in enumerate(np.arange(8) * np.pi / 4 - 3 * np.pi / 4):
+        i, j = 1 + round(np.sin(angle)), 1 + round(np.cos(angle))
+        code |= (x[..., i : h - 2 + i, j : w - 2 + j] > x[..., 1 : h - 1, 1 : w - 1]).astype(np.uint8) << np.uint8(k)
+    turns = np.bitwise_count(code ^ ((code << np.uint8(1)) | (code >> np.uint8(7))))
+    return np.stack([_entropy(_counted(code.astype(int), 256)), (turns <= 2).mean(axis=(-2, -1))], axis=-1)
+
+
+def _highest(x: np.ndarray) -> np.ndarray:
+    """Largest value within one pixel of each, along one axis and then the other."""
+    for axis in (-1, -2):
+        y = np.moveaxis(x, axis, -1)
+        out = y.copy()
+        np.maximum(out[..., 1:], y[..., :-1], out=out[..., 1:])
+        np.maximum(out[..., :-1], y[..., 1:], out=out[..., :-1])
+        x = np.moveaxis(out, -1, axis)
+    return x
 
 
 def _corners(unit: np.ndarray) -> np.ndarray:
     """Share of pixels that are peaks of the positive Harris response (over a hundredth of the largest), and its mean."""
-    gx, gy = _slopes(unit)
-    beside = _around(np.ones(unit.shape[-2:]), 0).sum((-2, -1))
-    a, b, c = (_around(v, 0).sum((-2, -1)) / beside for v in (gx * gx, gy * gy, gx * gy))
-    response = np.maximum(a * b - c * c - 0.04 * (a + b) ** 2, 0)
-    peak = (response > 0.01 * response.max((-2, -1), keepdims=True)) & (response == _around(response, -np.inf).max((-2, -1)))
-    return np.stack([peak.mean((-2, -1)), response.mean((-2, -1))], -1)
+    box = [_means((np.abs(np.subtract.outer(np.arange(n), np.arange(n))) <= 1).astype(float)) for n in unit.shape[-2:]]
+    z = _slopes(unit)
+    length = _apply(box[0], np.abs(z) ** 2, box[1])  # the trace of the slopes' second moments, and in the next line twice their deviator
+    square = _apply(box[0], z**2, box[1])
+    response = np.maximum((length**2 - np.abs(square) ** 2) / 4 - 0.04 * length**2, 0)
+    peak = (response > 0.01 * response.max(axis=(-2, -1), keepdims=True)) & (response >= _highest(response))
+    return np.stack([peak.mean(axis=(-2, -1)), response.mean(axis=(-2, -1))], axis=-1)
 
 
 def _quadrants(x: np.ndarray) -> np.ndarray:
     """Mean and deviation of the four quarters; an odd row or column belongs to the upper or left one; an empty quarter gives 0."""
-    h, w = -(-x.shape[-2] // 2), -(-x.shape[-1] // 2)
-    parts = (x[..., :h, :w], x[..., :h, w:], x[..., h:, :w], x[..., h:, w:])
-    return np.stack([f((-2, -1)) if q.size else np.zeros(x.shape[:-2]) for q in parts for f in (q.mean, q.std)], -1)
+    up, left = (_members((np.arange(n) >= (n + 1) // 2).astype(int), 2) for n in x.shape[-2:])
+    mean = _apply(_means(up), x, _means(left))
+    apart = x - _apply(up.T, mean, left.T)
+    return np.stack([mean, np.sqrt(_apply(_means(up), apart**2, _means(left)))], axis=-1).reshape(*x.shape[:-2], 8)
 
 
-def _spread(weights: np.ndarray) -> np.ndarray:
-    """Anisotropy and root mean square radius of weights over a tile whose axes go from -1 to 1."""
-    y, x = (np.linspace(-1, 1, n) if n > 1 else np.zeros(1) for n in weights.shape[-2:])
-    y = y[:, None]
-    share = weights / np.maximum(weights.sum((-2, -1), keepdims=True), GUARD)
-    mean = lambda v: (share * v).sum((-2, -1))
-    a, b, c = np.maximum(mean(x * x) - mean(x) ** 2, 0), np.maximum(mean(y * y) - mean(y) ** 2, 0), mean(x * y) - mean(x) * mean(y)
-    return np.stack([np.clip(np.hypot(a - b, 2 * c) / np.maximum(a + b, GUARD), 0, 1), np.sqrt(a + b)], -1)
+def _spread(weights: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Anisotropy and root mean square radius of weights over a tile whose axes go from -1 to 1; the weights are taken to sum to ``least`` at least."""
+    powers = [np.vander(np.linspace(-1, 1, n) if n > 1 else np.zeros(1), 3, increasing=True).T for n in weights.shape[-2:]]
+    share = weights / np.maximum(weights.sum(axis=(-2, -1), keepdims=True), least)
+    moment = _apply(powers[0], share, powers[1])  # (i, j): the mean of y^i x^j
+    x = np.maximum(moment[..., 0, 2] - moment[..., 0, 1] ** 2, 0)
+    y = np.maximum(moment[..., 2, 0] - moment[..., 1, 0] ** 2, 0)
+    both = moment[..., 1, 1] - moment[..., 0, 1] * moment[..., 1, 0]
+    return np.stack([np.minimum(np.abs(x - y + 2j * both) / np.maximum(x + y, GUARD), 1), np.sqrt(x + y)], axis=-1)
 
 
 def structure_of(x: np.ndarray) -> np.ndarray:
     """(..., H, W) -> (..., 16): patterns, corners, quarters, and where the values under the first and over the third quartile lie."""
-    low, high = x.min((-2, -1), keepdims=True), x.max((-2, -1), keepdims=True)
+    low, first, third, high = np.percentile(x, [0, 25, 75, 100], axis=(-2, -1), keepdims=True)
     span = np.maximum(high - low, GUARD)
-    unit = (x - low) / span
-    first, third = (np.percentile(x, q, axis=(-2, -1), keepdims=True) for q in (25, 75))
-    tails = (np.maximum((first - low) / span - unit, 0), np.maximum(unit - (third - low) / span, 0))
-    return np.concatenate([_patterns(x), _corners(unit), _quadrants(x), *map(_spread, tails)], -1)
+    tails = [_spread(np.maximum(apart, 0), GUARD * span) for apart in (first - x, x - third)]
+    return np.concatenate([_patterns(x), _corners((x - low) / span), _quadrants(x), *tails], axis=-1)
 
 
 def _statistics(m: np.ndarray) -> list[float]:
@@ -463,12 +519,11 @@ def random_filters(bands: int, size: int, n: int, seed: int = 0) -> np.ndarray:
 
 
 def whiten(patches: np.ndarray, least: float = 1e-8, ridge: float = 1e-3) -> np.ndarray:
-    """Patches (rows) centred, scaled to length one, and whitened twice by the inverse root of their second moments plus a ridge."""
-    p = patches - patches.mean(axis=1, keepdims=True)
-    length = np.linalg.norm(p, axis=1, keepdims=True)
-    p = p / np.where(length < least, 1, length)
-    values, axes = np.linalg.eigh(p.T @ p / len(p))
-    return p @ (axes / (values + ridge)) @ axes.T
+    """Patches (rows) centred, scaled to length one, and whitened twice (by the inverse of their second moments plus a ridge)."""
+    apart = patches - patches.mean(axis=1)[:, None]
+    length = np.sqrt((apart**2).sum(axis=1))
+    unit = apart / np.where(length < least, 1.0, length)[:, None]
+    return np.linalg.solve(unit.T @ unit / len(unit) + ridge * np.eye(unit.shape[1]), unit.T).T
 
 
 def whitened_filters(tiles: DataFrame, size: int, n: int, seed: int = 0) -> np.ndarray:

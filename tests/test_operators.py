@@ -377,3 +377,21 @@ def test_knn_cells_prune_and_lose_nothing(spark, monkeypatch):
         near = np.argsort(e, axis=1, kind="stable")[:, :6]
         assert got == {(i, k + 1): near[i, k] for i in range(len(data)) for k in range(6)}
         assert stats["met"] < 0.6 * stats["all"], stats
+
+
+def test_large_tiles(spark):
+    """A tile of 224 x 224: statistics in one fold over its pixels, and features of a corner, an edge and a plane."""
+    import time
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((224, 224)) + 1e6
+    df = spark.createDataFrame([(k, 224, 224, [x.ravel().tolist()]) for k in range(4)], "sample_id long, height int, width int, bands array<array<double>>")
+    began = time.time()
+    got = tiles.image_stats(df).collect()
+    assert time.time() - began < 30
+    assert np.allclose(got[0].features, [x.mean(), x.std(), x.max(), x.min()], rtol=1e-12, atol=1e-9)
+    plane = np.add.outer(np.arange(224.0), 3 * np.arange(224.0))
+    assert np.allclose(tiles.texture_of(plane)[[0, 1, 2, 3]], [np.sqrt(10), 0, 1, 0])
+    square = np.zeros((224, 224))
+    square[60:120, 60:120] = 1
+    assert 4 <= tiles.structure_of(square)[2] * 224 * 224 <= 16  # few peaks, at the four corners
