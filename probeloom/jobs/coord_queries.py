@@ -310,6 +310,13 @@ def polygon_join(spark, sf_dir):
     return _placed(spark, sf_dir).select("row_id", "continent")
 
 
+@register(f"SELECT row_id, {_WHERE} FROM points", "points")
+def polygon_join_by_cell(spark, sf_dir):
+    """J13: the way for more corners than are shipped"""
+    polygons = spark.createDataFrame(_POLYGONS, "name string, ring array<array<double>>")
+    return G.attribute_polygons(view(spark, sf_dir, "points"), polygons, shipped=0).select("row_id", "continent")
+
+
 @register(f"SELECT continent, count(*) AS n, round_even(100 * count(*) / sum(count(*)) OVER (), 2) AS share, CAST(row_number() OVER (ORDER BY count(*) DESC, continent) AS INTEGER) AS place FROM (SELECT {_WHERE} FROM points) GROUP BY 1", "points")
 def continent_shares(spark, sf_dir):
     """AG28"""

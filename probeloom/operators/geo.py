@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probeloom.operators.ranges import placed
+from probeloom.sources.place import written
 
 OCEAN = "Ocean / unmatched"
 
@@ -53,34 +54,104 @@ def inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
 SHIPPED = 1_000_000
 
 
-def _corner_range(ring: str) -> tuple[Column, Column]:
-    return F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
+#: Points and edges of a cell that meet in a task at most (about).
+MET_POINTS, MET_EDGES = 500_000, 50_000
+#: Where the grid of cut polygons begins: off the round coordinates, so that no edge runs through a corner of it by design.
+ORIGIN = (0.0027182818284590452, 0.0031415926535897932)
 
 
 def attribute_polygons(points: DataFrame, polygons: DataFrame, degrees: float = 5.0, shipped: int = SHIPPED) -> DataFrame:
     """points (row_id, lon, lat) with the name of one polygon (name, ring as array of [lon, lat]) that holds each, of several the first by name.
 
-    Polygons with ``shipped`` corners at most travel to the tasks, sorted into grid cells, and points are not
-    shuffled. More polygons meet the points in a join by grid cell, split where a cell is crowded.
+    Polygons with ``shipped`` corners at most travel to the tasks, sorted into grid cells, and points are not shuffled. More
+    polygons are cut into the cells of a grid, so that a point meets the edges of its cell and not whole rings.
     """
     if (polygons.agg(F.sum(F.size("ring"))).first()[0] or 0) <= shipped:
         return _attribute_shipped(points, polygons, degrees)
-    x, y = _corner_range("ring")
-    cells = lambda low, high: F.sequence(F.floor(low / degrees), F.floor(high / degrees))
-    cover = polygons.select("name", "ring", F.explode(cells(F.array_min(x), F.array_max(x))).alias("cx"), cells(F.array_min(y), F.array_max(y)).alias("ys")).select("name", "ring", "cx", F.explode("ys").alias("cy"))
-    placed = points.select("row_id", "lon", "lat", F.floor(F.col("lon") / degrees).alias("cx"), F.floor(F.col("lat") / degrees).alias("cy"))
-    crowd = placed.groupBy("cx", "cy").agg(F.ceil(F.count("*") / 1_000_000).cast("int").alias("salts"))
-    cover = cover.join(crowd, ["cx", "cy"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    placed = placed.join(crowd, ["cx", "cy"]).withColumn("salt", F.pmod(F.xxhash64("row_id"), "salts").cast("int")).drop("salts")
-
-    @F.pandas_udf("boolean")
-    def hit(lon: pd.Series, lat: pd.Series, name: pd.Series, ring: pd.Series) -> pd.Series:
-        out, x, y = np.zeros(len(lon), bool), lon.to_numpy(), lat.to_numpy()
-        for rows in name.groupby(name).indices.values():  # a polygon's rows share its ring
-            out[rows] = inside(x[rows], y[rows], np.array([list(p) for p in ring.iloc[rows[0]]]))
-        return pd.Series(out)
+    return _attribute_cut(points, polygons, degrees)
+
+
+def cut_ring(ring: np.ndarray, degrees: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (cx, cy, flag) of a closed ring's bounding box, and its edges by cell (cx, cy, x1, y1, x2, y2).
 
-    found = placed.join(cover, ["cx", "cy", "salt"]).where(hit("lon", "lat", "name", "ring")).groupBy("row_id").agg(F.min("name").alias("name"))
+    The flag says whether the cell's lower right corner lies in the ring; an edge stands in every cell that it touches. Corners
+    and edges on a grid line count as lying below it or left of it; the way of a point runs just above its height and just
+    right of the grid line, and nearer to its height than to the line.
+    """
+    (x1, y1), (ox, oy) = ring.T, ORIGIN
+    x2, y2 = np.roll(ring, -1, axis=0).T
+    spread = lambda first, last: (np.repeat(np.arange(len(first)), n := np.maximum(last - first + 1, 0)), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n))
+    whole = lambda v: np.floor(v).astype(int)
+    near = 1e-9
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    edge, cy = spread(whole((low - near - oy) / degrees), whole((high + near - oy) / degrees))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = [np.where(y1[edge] == y2[edge], end[edge], x1[edge] + (x2 - x1)[edge] * ((np.clip(oy + cy * degrees + d, low[edge], high[edge]) - y1[edge]) / (y2 - y1)[edge])) for d, end in ((0.0, x1), (degrees, x2))]
+    piece, cx = spread(np.ceil((np.minimum(*at) - near - ox) / degrees).astype(int) - 1, whole((np.maximum(*at) + near - ox) / degrees))
+    edge, cy = edge[piece], cy[piece]
+    edges = np.column_stack([cx, cy, x1[edge], y1[edge], x2[edge], y2[edge]])
+    # along each line between rows of cells: where the ring crosses it, and how many crossings lie right of each corner
+    crossing, line = spread(np.ceil((low - oy) / degrees).astype(int), np.ceil((high - oy) / degrees).astype(int) - 1)
+    place = (x2 - x1)[crossing] * (oy + line * degrees - y1[crossing]) / (y2 - y1)[crossing] + x1[crossing]
+    order = np.lexsort((place, line))
+    lines, places = line[order], place[order]
+    columns = np.arange(cx.min(), cx.max() + 1)
+    cells = []
+    for row in range(whole((y1.min() - oy) / degrees), whole((y1.max() - oy) / degrees) + 1):
+        here = places[np.searchsorted(lines, row) : np.searchsorted(lines, row, "right")]
+        right = len(here) - np.searchsorted(here, ox + (columns + 1) * degrees, "right")
+        cells.append(np.column_stack([columns, np.full(len(columns), row), right % 2]))
+    return np.concatenate(cells), edges
+
+
+def crossings(x: np.ndarray, y: np.ndarray, right: np.ndarray, low: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How often edges (x1, y1, x2, y2) cross the way of each point to the right end of its cell and down to its lower corner."""
+    out = np.zeros(len(x), np.int64)
+    for x1, y1, x2, y2 in edges:
+        if y1 != y2:
+            at = (x2 - x1) * (y - y1) / (y2 - y1) + x1
+            out += ((y1 > y) != (y2 > y)) & (x < at) & (at <= right)
+        if x1 != x2:
+            at = (y2 - y1) * (right - x1) / (x2 - x1) + y1
+            # just right of the line, a rising edge is above the point where it meets the line and a falling one below
+            here = (low <= at) & (at < y) if (y2 > y1) == (x2 > x1) and y1 != y2 else (low < at) & (at <= y)
+            out += ((x1 > right) != (x2 > right)) & here
+    return out
+
+
+def _attribute_cut(points: DataFrame, polygons: DataFrame, degrees: float) -> DataFrame:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for name, ring in zip(df["name"], df["ring"], strict=True):
+                cells, edges = cut_ring(np.array([list(p) for p in ring], float), degrees)
+                yield pd.DataFrame(cells, columns=["cx", "cy", "flag"]).astype({"cx": int, "cy": int, "flag": int}).assign(name=name, x1=np.nan, y1=np.nan, x2=np.nan, y2=np.nan)
+                yield pd.DataFrame(edges, columns=["cx", "cy", "x1", "y1", "x2", "y2"]).astype({"cx": int, "cy": int}).assign(name=name, flag=-1)
+
+    parts = written(polygons.select("name", "ring").mapInPandas(split, "cx long, cy long, flag int, name string, x1 double, y1 double, x2 double, y2 double"), "cells").where("flag <> 0")
+    fine = (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf"))
+    at = points.select("row_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).where(fine)
+    at = at.withColumns({"cx": F.floor((F.col("lon") - ORIGIN[0]) / degrees), "cy": F.floor((F.col("lat") - ORIGIN[1]) / degrees)})
+    rows = lambda df, most, out: df.groupBy("cx", "cy").agg(F.ceil(F.count("*") / most).cast("int").alias(out))
+    # crowded cells are split: every part of their points meets every part of their edges
+    shares = written(rows(at, MET_POINTS, "ps").join(rows(parts, MET_EDGES, "es"), ["cx", "cy"]), "shares")
+    deal = lambda df, own, other, *key: df.join(shares, ["cx", "cy"]).withColumn(own[0], F.pmod(F.xxhash64(*key), F.col(own)).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    key = ("cx", "cy", "p", "e")
+    a = deal(at, "ps", "es", "row_id").select(*key, "row_id", F.col("lon").alias("x1"), F.col("lat").alias("y1"), *null("double", "x2", "y2"), *null("string", "name"), F.lit(0).alias("flag"))
+    b = deal(parts, "es", "ps", "name", "flag", "x1", "y1", "x2", "y2").select(*key, *null("long", "row_id"), "x1", "y1", "x2", "y2", "name", "flag")
+
+    def meet(df: pd.DataFrame) -> pd.DataFrame:
+        here, out = df[df["flag"] == 0], []
+        x, y = here["x1"].to_numpy(float), here["y1"].to_numpy(float)
+        right, low = ORIGIN[0] + (here["cx"].to_numpy(float) + 1) * degrees, ORIGIN[1] + here["cy"].to_numpy(float) * degrees
+        for name, some in df[df["flag"] != 0].groupby("name"):
+            edges = some.loc[some["flag"] < 0, ["x1", "y1", "x2", "y2"]].to_numpy(float)
+            count = crossings(x, y, right, low, edges) + int((some["flag"] == 1).sum())
+            out.append(pd.DataFrame({"row_id": here["row_id"][count % 2 == 1], "name": name}))
+        return pd.concat(out) if out else pd.DataFrame({"row_id": [], "name": []})
+
+    odd = a.unionByName(b).groupBy(*key).applyInPandas(meet, "row_id long, name string")
+    found = odd.groupBy("row_id", "name").agg(F.count("*").alias("n")).where("n % 2 = 1").groupBy("row_id").agg(F.min("name").alias("name"))
     return points.join(found, "row_id", "left").withColumn("continent", F.coalesce("name", F.lit(OCEAN))).drop("name")
 
 

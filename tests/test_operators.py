@@ -395,3 +395,24 @@ def test_large_tiles(spark):
     square = np.zeros((224, 224))
     square[60:120, 60:120] = 1
     assert 4 <= tiles.structure_of(square)[2] * 224 * 224 <= 16  # few peaks, at the four corners
+
+
+def test_polygons_cut_into_cells(spark, monkeypatch):
+    """Rings with corners and edges on grid lines, thin and star-shaped ones, split cells: as the even-odd rule says for whole rings."""
+    rng = np.random.default_rng(14)
+    angle = np.sort(rng.random(400)) * 2 * np.pi
+    star = np.column_stack([np.cos(angle), np.sin(angle)]) * (20 + 15 * rng.random((400, 1))) + [33, -7]
+    bow = [[-60.0, 10.0], [-10.0, 60.0], [-10.0, 10.0], [-60.0, 60.0]]
+    rings = [("star", star.tolist()), ("box", [[-20.0, -30.0], [20.0, -30.0], [20.0, 30.0], [-20.0, 30.0]]), ("bow", bow), ("sliver", [[0.0, 0.0], [170.0, 1.0], [170.0, 1.001]]), ("triangle", [[-170.0, -80.0], [-100.0, -80.0], [-135.0, -5.0]])]
+    lonlat = np.concatenate([rng.uniform((-180, -90), (180, 90), (3000, 2)), rng.uniform((0, -40), (70, 30), (3000, 2)), np.array([[x, y] for x in range(-180, 181, 5) for y in range(-90, 91, 5)], float) + 0.25])
+    rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(lonlat)] + [(10**6, None, 1.0), (10**6 + 1, float("nan"), 1.0)]
+    points, polygons = spark.createDataFrame(rows, "row_id long, lon double, lat double"), spark.createDataFrame(rings, "name string, ring array<array<double>>")
+    want = dict.fromkeys((r[0] for r in rows), geo.OCEAN)
+    for name, ring in sorted(rings, reverse=True):
+        want |= dict.fromkeys(np.flatnonzero(geo.inside(lonlat[:, 0], lonlat[:, 1], np.array(ring))).tolist(), name)
+    for most in (10**6, 60):
+        monkeypatch.setattr(geo, "MET_POINTS", most)
+        monkeypatch.setattr(geo, "MET_EDGES", most)
+        got = {r.row_id: r.continent for r in geo.attribute_polygons(points, polygons, shipped=0).collect()}
+        assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+    assert set(want.values()) == {"star", "box", "bow", "sliver", "triangle", geo.OCEAN} - ({"sliver"} - set(want.values()))
