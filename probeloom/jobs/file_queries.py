@@ -55,7 +55,9 @@ def _curves(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     line = F.format_string("12:00 INFO Epoch %d done, loss: 0.5, val_miou: %s\nother", n, F.round("value", 2).cast("string"))
     logs = rows.select("user_id", "event_id", line.alias("line")).groupBy(F.concat(F.lit("log_"), F.col("user_id").cast("string")).alias("log")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return S.epoch_metrics(logs, "val_miou")
+    root = shared_folder(spark, "logs")
+    S.write_texts(logs.select(F.concat("log", F.lit(".log")).alias("name"), "text"), root).count()
+    return S.epoch_metrics(S.read_logs(spark, root), "val_miou")
 
 
 @register(_LOGS + " SELECT log, CAST(epoch AS INTEGER) AS epoch, value FROM l")
@@ -145,6 +147,17 @@ def select_split(spark, sf_dir):
     return S.select_split(docs, parts, "train", "half").withColumnRenamed("sample_id", "doc_id")
 
 
+@register("SELECT CASE WHEN doc_id % 2 = 0 THEN 'half' ELSE 'default' END AS part, CASE WHEN doc_id % 3 = 1 THEN 'train' ELSE 'test' END AS split, CAST(doc_id AS VARCHAR) AS sample_id FROM documents")
+def partition_files(spark, sf_dir):
+    """IO10: samples by part and split, from one JSON file for each part"""
+    root = shared_folder(spark, "partitions")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    parts = docs.select(F.when(F.col("doc_id") % 2 == 0, "half").otherwise("default").alias("part"), F.when(F.col("doc_id") % 3 == 1, "train").otherwise("test").alias("split"), F.col("doc_id").cast("string").alias("id"))
+    splits = parts.groupBy("part", "split").agg(F.collect_list("id").alias("ids")).groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("split", "ids")))).alias("text"))  # a file holds its part
+    S.write_texts(splits.select(F.concat("part", F.lit("_partition.json")).alias("name"), "text"), root).count()
+    return S.read_partitions(spark, root)
+
+
 @register("SELECT append_seq::VARCHAR AS append_seq, name, CASE WHEN name < 'm3' THEN dataset END AS dataset, CASE WHEN name >= 'm3' THEN method END AS method, seed::VARCHAR AS seed FROM results WHERE name <> 'm6'", "results")
 def load_results(spark, sf_dir):
     """IO1"""
@@ -158,11 +171,11 @@ def load_results(spark, sf_dir):
 def append_with_drift(spark, sf_dir):
     """IO2"""
     path, rows = shared_folder(spark, "appended"), view(spark, sf_dir, "results")
-    S.append_rows(rows.where("seed = 0").select("append_seq", "name", "dataset"), path)
-    S.append_rows(rows.where("seed = 1").select("metric_value", "name", "append_seq", "dataset"), path)
-    S.append_rows(rows.where("seed = 2").select("append_seq", "metric_value", "name"), path)
-    S.append_rows(rows.where("seed = 7").select("append_seq"), path)
-    return spark.read.parquet(path).select("append_seq", "name", "metric_value", "dataset")
+    S.append_version(rows.where("seed = 0").select("append_seq", "name", "dataset"), path)
+    S.append_version(rows.where("seed = 1").select("metric_value", "name", "append_seq", "dataset"), path)
+    S.append_version(rows.where("seed = 2").select("append_seq", "metric_value", "name"), path)
+    S.append_version(rows.where("seed = 7").select("append_seq"), path)
+    return S.read_version(spark, path).select("append_seq", "name", "metric_value", "dataset")
 
 
 @register("SELECT CASE method WHEN 'knn5' THEN 'profiles' ELSE 'models' END AS kind, name || '_' || dataset AS name_safe, count(*) AS n, round(sum(metric_value), 6) AS total FROM results GROUP BY 1, 2", "results")
@@ -181,7 +194,7 @@ def _sharded(spark, sf_dir):
     bands = F.array(*(F.slice("embedding", 16 * k + 1, 16) for k in range(4)))
     meta = F.to_json(F.struct(F.array(F.lit("red"), F.lit("nir")).alias("bands_order"), "label"))
     planned = H.plan_shards(rows, 100).select(F.format_string("s.%06d", "row_id").alias("sample_id"), "shard", F.lit(4).alias("height"), F.lit(4).alias("width"), F.array(*map(F.lit, ("red", "green", "blue", "nir_08"))).alias("names"), bands.alias("bands"), meta.alias("meta"))
-    S.append_rows(H.write_tars(planned, root), f"{root}/_written")
+    S.append_version(H.write_tars(planned, root), f"{root}/_written")
     return root
 
 

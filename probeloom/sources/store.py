@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +47,103 @@ def load_results(spark: SparkSession, root: str, names: Sequence[str] | None = N
     return out if out is not None else spark.createDataFrame([], "source_file string")
 
 
+def _newest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content (schema, parts) of the last manifest of a versioned table; 0 and nothing if there is none."""
+    fs, place = _fs(spark, f"{path}/_manifests")
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+    if not numbers:
+        return 0, {"schema": None, "parts": []}
+    stream = fs.open(_fs(spark, f"{path}/_manifests/{max(numbers):010}.json")[1])
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return max(numbers), json.loads(text)
+
+
+def _publish(spark: SparkSession, path: str, number: int, manifest: dict) -> bool:
+    """Put a manifest in its place by one rename, which fails if there is one already."""
+    jvm = spark.sparkContext._jvm
+    fs, staged = _fs(spark, f"{path}/_manifests/.{uuid.uuid4().hex}")
+    out = fs.create(staged)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    try:
+        context.rename(staged, _fs(spark, f"{path}/_manifests/{number:010}.json")[1], spark.sparkContext._gateway.new_array(kind, 0))
+    except Py4JJavaError as error:
+        fs.delete(staged, False)
+        if "FileAlreadyExists" in str(error.java_exception):
+            return False
+        raise
+    return True
+
+
+def append_version(rows: DataFrame, path: str) -> int:
+    """Append to a versioned table and return its version; new columns are united with the old ones (the new rows' order first).
+
+    Rows are written into a folder of their own, and then a manifest that lists the folders and the schema is put in place by
+    one rename. A reader sees the table before or after it; a writer that fails leaves it as it was, and of two writers at
+    once the later lists the earlier one's rows too. Nothing is copied: older folders lack the new columns, which read as
+    null. A column keeps its first type. No rows: nothing happens.
+    """
+    spark = rows.sparkSession
+    if rows.isEmpty():
+        return _newest(spark, path)[0]
+    part = uuid.uuid4().hex
+    known = _newest(spark, path)[1]["schema"]
+    types = {f.name: f.dataType for f in T.StructType.fromJson(known)} if known else {}
+    rows.select(*(F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in rows.columns)).write.parquet(f"{path}/{part}")
+    written = spark.read.parquet(f"{path}/{part}").schema
+    while True:
+        number, now = _newest(spark, path)
+        old = T.StructType.fromJson(now["schema"]) if now["schema"] else T.StructType()
+        clash = [f.name for f in written if f.name in old.names and old[f.name].dataType != f.dataType]
+        if clash:
+            raise ValueError(f"{path} got other types meanwhile: {', '.join(clash)}")
+        schema = T.StructType([*written, *(f for f in old if f.name not in written.names)])
+        if _publish(spark, path, number + 1, {"schema": json.loads(schema.json()), "parts": [*now["parts"], part]}):
+            return number + 1
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a versioned table as they are now; a table without a version is an error."""
+    number, found = _newest(spark, path)
+    if not number:
+        raise FileNotFoundError(path)
+    return spark.read.schema(T.StructType.fromJson(found["schema"])).parquet(*(f"{path}/{p}" for p in found["parts"]))
+
+
+def write_texts(rows: DataFrame, root: str) -> DataFrame:
+    """name of the files written to ``root`` (a folder that tasks reach by its URI), one with the text of each row (name, text).
+
+    A file is written under a name of its own and then renamed, so a repeated task leaves one whole file.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder)
+        for df in batches:
+            for name, text in zip(df["name"], df["text"], strict=True):
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(text.encode())
+                store.move(part, f"{folder}/{name}")
+            yield df[["name"]]
+
+    return rows.select("name", "text").mapInPandas(write, "name string")
+
+
+def read_logs(spark: SparkSession, root: str) -> DataFrame:
+    """log (name without its ending), text of the files of a folder that end in ``.log``."""
+    text = spark.read.option("wholetext", True).text(root, pathGlobFilter="*.log")
+    return text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.log$", 1).alias("log"), F.col("value").alias("text"))
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
-    """Append to a Parquet table; new columns are united with the old ones (the new rows' order first), in a staged copy that replaces the table.
+    """Append to a plain Parquet folder, for one writer and no readers at the time (else ``append_version``); new columns are united with the old ones (the new rows' order first), in a staged copy that replaces the table.
 
     No rows: nothing happens. A failed write leaves the table as it was.
     """

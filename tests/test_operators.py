@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probeloom.functions import keys
-from probeloom.operators import audit, coords, geo, knn, leaderboard, metrics, probes, results, tiles
+from probeloom.operators import audit, coords, geo, knn, leaderboard, metrics, probes, ranges, results, stacked, tiles
 from probeloom.sources import shards, store
 
 
@@ -416,3 +416,120 @@ def test_polygons_cut_into_cells(spark, monkeypatch):
         got = {r.row_id: r.continent for r in geo.attribute_polygons(points, polygons, shipped=0).collect()}
         assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
     assert set(want.values()) == {"star", "box", "bow", "sliver", "triangle", geo.OCEAN} - ({"sliver"} - set(want.values()))
+
+
+def test_versions_appear_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        store.read_version(spark, path)
+    assert store.append_version(spark.createDataFrame([(1, "a")], "i int, s string"), path) == 1
+    before = store.read_version(spark, path)
+    publish = store._publish
+    monkeypatch.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("the writer ends between the steps")))
+    with pytest.raises(OSError):
+        store.append_version(spark.createDataFrame([(2, 2.5)], "i int, z double"), path)
+    assert store.read_version(spark, path).columns == ["i", "s"] and store.read_version(spark, path).count() == 1
+    other = []
+
+    def late(*a):  # another writer is quicker, once
+        if not other:
+            other.append(1)
+            monkeypatch.setattr(store, "_publish", publish)
+            store.append_version(spark.createDataFrame([("c", 3)], "s string, i long"), path)
+            monkeypatch.setattr(store, "_publish", late)
+        return publish(*a)
+
+    monkeypatch.setattr(store, "_publish", late)
+    assert store.append_version(spark.createDataFrame([(4, 4.5)], "i int, z double"), path) == 3
+    got = store.read_version(spark, path)
+    assert got.columns == ["i", "z", "s"] and dict(got.dtypes)["i"] == "int"
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, None, "a"), (3, None, "c"), (4, 4.5, None)], key=repr)
+    assert before.count() == 1
+    assert store.append_version(spark.createDataFrame([], "i int"), path) == 3
+
+
+def test_running_sums_of_a_hot_group(spark):
+    """A group of most rows lies in many ranges; sums over 2^31; nulls and equal groups."""
+    rows = [("hot", k) for k in range(2000)] + [("a", 1), ("a", 2), (None, 5), (None, 4)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(3)
+    got = ranges.running(df, ("g",), ("k",), parts=8, s=F.lit(2**31), n=F.lit(1)).collect()
+    assert {(r.g, r.k): (r.s, r.n) for r in got} == {(g, k): (2**31 * n, n) for g, k in rows for n in [sum(1 for h, j in rows if h == g and j <= k)]}
+    down = ranges.placed(df, ("g",), (("k", True),), "n", parts=8).where("g = 'hot'").collect()
+    assert {r.k: r.n for r in down} == {k: 2000 - k for k in range(2000)}
+    dealt = df.repartitionByRange(8, "g", "k").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in dealt) < 600  # no task has the group
+    assert [r.place for r in ranges.placed(df.limit(0), ("g",), ("k",)).collect()] == []
+
+
+def test_official_split_is_one_direction(spark):
+    rng = np.random.default_rng(15)
+    n = 200
+    x = rng.standard_normal((n, 4))
+    test = np.arange(n) % 3 == 0
+    y = x @ [1.0, -2.0, 0.5, 0.0] + np.where(test, 3.0, 0.3) * rng.standard_normal(n)
+    rows = spark.createDataFrame([(k, x[k].tolist(), float(y[k]), bool(test[k])) for k in range(n)], "row_id long, features array<double>, y double, is_test boolean")
+    alphas = (0.01, 1.0, 100.0)
+    got = coords.official_score(coords.ridge_r2(coords.nested_folds(rows, 5), alphas), "r2").first()
+
+    def r2(train, held, alpha):
+        m, s = x[train].mean(0), x[train].std(0, ddof=1)
+        z = (x[train] - m) / s
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(4), z.T @ (y[train] - y[train].mean()))
+        e = y[held] - y[train].mean() - (x[held] - m) / s @ w
+        return 1 - (e @ e) / ((y[held] - y[held].mean()) ** 2).sum()
+
+    pool = np.flatnonzero(~test)
+    means = [np.mean([r2(np.setdiff1d(pool, pool[f::5]), pool[f::5], a) for f in range(5)]) for a in alphas]
+    best = alphas[int(np.argmax(means))]
+    assert got.alpha == best and abs(got.score - r2(pool, np.flatnonzero(test), best)) < 1e-9
+
+
+def test_stacked_probes_by_either_way(spark):
+    """Shipped rows and passes over them give the same weights, for classes and labels, and the slope there is zero."""
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((240, 3)) * [1, 5, 0.2] + [0, 10, 0]
+    label, labels = rng.integers(0, 3, 240), rng.integers(0, 2, (240, 2))
+    rows = spark.createDataFrame([(k, ("train", "val", "test")[k % 3], x[k].tolist(), int(label[k]), labels[k].tolist()) for k in range(240)], "sample_id long, split string, features array<double>, label int, labels array<int>").repartition(3)
+    grid = (0.01, 1.0, 50.0)
+    for target, classes in (("label", True), ("labels", False)):
+        blocks = stacked.pack(rows, target)
+        one, two = (stacked.fit(blocks, grid, ("train", "val"), classes, shipped=most) for most in (1 << 20, 0))
+        assert np.allclose(one, two, atol=1e-5)
+        some = np.arange(240) % 3 < 2
+        y = label[:, None].astype(float) if classes else labels.astype(float)
+        _, slope = stacked.loss_and_slope(x[some], y[some], one, classes)
+        slope = slope / some.sum()
+        slope[:, 1:] += one[:, 1:] / (np.array(grid)[:, None, None] * some.sum())
+        assert np.abs(slope).max() < 1e-6
+        found = {(round(r.c, 6), r.split): r.score for r in stacked.scores(blocks, one, grid, classes).collect()}
+        z = stacked.outputs(x, one)
+        if classes:
+            for i, c in enumerate(grid):
+                for k, s in enumerate(("train", "val", "test")):
+                    own = np.arange(240) % 3 == k
+                    assert abs(found[c, s] - (z[own, i].argmax(1) == label[own]).mean()) < 1e-12
+    with pytest.raises(ValueError):
+        stacked.fit(blocks, grid, ("none",), False)
+    out = probes.evaluate_logistic(rows, grid, resamples=20).first()
+    assert out.low <= out.metric <= out.high and out.n == 80
+    cooled = probes.evaluate_logistic(rows.drop("label"), grid, merge_val=False, resamples=20).first()
+    assert cooled.temperature > 0 and 0 <= cooled.ece_ts <= 1
+
+
+def test_report_of_classes(spark):
+    """Shares are parts of the class, not of its errors; the class most often guessed for flagged rows; precision against all others."""
+    rows = spark.createDataFrame([(0, 0, 0, False, 0.9, [0.9, 0.1, 0.0]), (1, 0, 1, True, 0.2, [0.2, 0.7, 0.1]), (2, 0, 2, True, 0.1, [0.1, 0.1, 0.8]), (3, 0, 1, False, 0.4, [0.4, 0.6, 0.0]), (4, 1, 1, False, 0.8, [0.1, 0.8, 0.1])], "sample_id long, label int, guess int, is_issue boolean, quality double, probs array<double>")
+    got = {r.label: r for r in audit.class_report(rows).collect()}
+    assert set(got) == {0, 1} and (got[0].top_confused, got[0].confused_share) == (1, 0.5) and (got[1].top_confused, got[1].confused_share) == (0, 0.0)
+    assert (got[0].top_flagged, got[0].top_flagged_n) == (1, 1) and (got[1].top_flagged, got[1].top_flagged_n) == (-1, 0)
+    assert abs(got[0].ap - (1 + 1 + 1 + 4 / 5) / 4) < 1e-12 and abs(got[1].ap - 1) < 1e-12
+
+
+def test_temperature_of_labels(spark):
+    rng = np.random.default_rng(17)
+    z = rng.standard_normal((2000, 3)) * 2
+    y = (rng.random((2000, 3)) < 1 / (1 + np.exp(-z / 2.5))).astype(int)
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(z, y)], "logits array<double>, labels array<int>")
+    t = metrics.temperature_labels(df)
+    loss = lambda v: (np.logaddexp(0, z / v) - y * z / v).mean()
+    assert abs(t - 2.5) < 0.4 and loss(t) <= min(loss(t * 1.01), loss(t / 1.01))
