@@ -184,6 +184,18 @@ def input_units(spark, sf_dir):
     return X.input_units(_bands(spark, sf_dir)).select("dataset", "sensor", "unit")
 
 
+@register(_BANDS + """, o AS (SELECT *, lower(sensor) NOT IN ('s1', 'sar', 'dem', 'elevation') AND (lower(sensor) IN ('s2', 'landsat', 'aerial', 'planet', 'worldview') OR own IS NOT NULL) AS optical, row_number() OVER (PARTITION BY dataset, sensor, name ORDER BY pos) AS n FROM c),
+r AS (SELECT dataset, sensor, min(pos) FILTER (optical AND canonical = 'nir') AS nir, min(pos) FILTER (optical AND canonical = 'red') AS red, bool_or(optical) AS any_optical FROM o GROUP BY 1, 2),
+i AS (SELECT dataset, sensor, any_optical, unnest(['ndvi', 'ndwi', 'ndbi', 'nbr']) AS n, unnest([nir, NULL, NULL, nir]) AS a, unnest([red, nir, nir, NULL]) AS b, unnest(['nir', 'green', 'swir1', 'nir']) AS ra, unnest(['red', 'nir', 'nir', 'swir2']) AS rb FROM r)
+SELECT dataset, sensor, 'band' AS kind, sensor || '.band.' || replace(name, ' ', '%20') || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS name, true AS available, CAST(pos AS VARCHAR) AS channels, '' AS missing, NULL AS reason FROM o
+UNION ALL SELECT dataset, sensor, 'index', sensor || '.index.' || n, a IS NOT NULL AND b IS NOT NULL, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || ',' || b ELSE '' END, CASE WHEN a IS NULL AND b IS NULL THEN ra || ',' || rb WHEN a IS NULL THEN ra WHEN b IS NULL THEN rb ELSE '' END, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN NULL WHEN any_optical THEN 'missing optical bands' ELSE 'non-optical sensor' END FROM i""")
+def planned_maps(spark, sf_dir):
+    """TF2, TF6: the maps that bands allow, and those that are skipped with the reason"""
+    plan = X.map_plan(_bands(spark, sf_dir).withColumnRenamed("own", "wavelength_um"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return plan.select("dataset", "sensor", "kind", "name", "available", text("channels"), text("missing"), "reason")
+
+
 @register(_UN + "SELECT sample_id, b, p, round(x, 9) + 0.0 AS x FROM u", "tiles")
 def stack_channels(spark, sf_dir):
     """TB10"""
@@ -335,17 +347,37 @@ def shift_classes(spark, sf_dir):
     return rows.select("sample_id", F.posexplode(X.shift_classes("m")).alias("i", "x")).select("sample_id", F.col("i").cast("long").alias("i"), "x")
 
 
-@register(None)
-def feature_spectrum(spark, sf_dir):
-    """PR15"""
-    return P.spectrum(view(spark, sf_dir, "features"))
-
-
 _RATIO = """, u AS (SELECT split, sample_id, unnest(range(0, 64)) AS i, unnest(features::DOUBLE[]) AS x FROM features), m AS (SELECT split, i, avg(x) AS m, count(*) AS n FROM u GROUP BY 1, 2), z AS MATERIALIZED (SELECT u.split, sample_id, u.i, x - m AS x, n FROM u JOIN m ON u.split = m.split AND u.i = m.i),
 c AS (SELECT a.split, a.i, b.i AS j, sum(a.x * b.x) AS v, any_value(a.n) AS n FROM z a JOIN z b ON a.split = b.split AND a.sample_id = b.sample_id GROUP BY ALL),
 r AS (SELECT split, sum(v) FILTER (i = j) ** 2 / sum(v * v) AS ratio, least(64, any_value(n) - 1) AS d FROM c GROUP BY 1), s AS (SELECT split, ratio, least(1, greatest(0, 1 - (ratio - 1) / (d - 1))) AS anisotropy FROM r)"""
 
 
+_TURNS = 504
+#: Eigenvalues (split, v) of the covariances of _RATIO by Jacobi's rotations, 32 disjoint ones in each step, eight rounds of all pairs.
+_EIGEN = f""", cm AS (SELECT split, list(r ORDER BY i) AS m FROM (SELECT split, i, list(v ORDER BY j) AS r FROM c GROUP BY 1, 2) GROUP BY 1),
+jac(k, split, m) AS (SELECT 0, split, m FROM cm UNION ALL
+  SELECT k + 1, split, list_transform(b, lambda r: list_transform(r, lambda x, j: cs[j] * x + sn[j] * r[p[j] + 1])) FROM (
+    SELECT k, split, p, cs, sn, list_transform(m, lambda r, i: list_transform(r, lambda x, j: cs[i] * x + sn[i] * m[p[i] + 1][j])) AS b FROM (
+      SELECT k, split, m, p, list_transform(t, lambda x: 1 / sqrt(1 + x * x)) AS cs, list_transform(t, lambda x, i: x / sqrt(1 + x * x) * CASE WHEN i - 1 < p[i] THEN -1 ELSE 1 END) AS sn FROM (
+        SELECT k, split, m, p, list_transform(tau, lambda x: CASE WHEN x IS NULL THEN 0.0 WHEN x >= 0 THEN 1 / (x + sqrt(1 + x * x)) ELSE -1 / (-x + sqrt(1 + x * x)) END) AS t FROM (
+          SELECT k, split, m, p, list_transform(p, lambda q, i: (m[greatest(i, q + 1)][greatest(i, q + 1)] - m[least(i, q + 1)][least(i, q + 1)]) / nullif(2 * m[least(i, q + 1)][greatest(i, q + 1)], 0)) AS tau FROM (
+            SELECT k, split, m, list_transform(range(0, 64), lambda i: CASE WHEN i = 63 THEN k % 63 WHEN (2 * k - i + 126 * 63) % 63 = i THEN 63 ELSE (2 * k - i + 126 * 63) % 63 END) AS p FROM jac WHERE k < {_TURNS})))))),
+ev AS MATERIALIZED (SELECT split, greatest(v, 0) AS v FROM (SELECT split, unnest(list_transform(m, lambda r, i: r[i])) AS v FROM jac WHERE k = {_TURNS})),
+sp AS (SELECT split, exp(-sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END)) AS effective_rank, max(q) AS pc1, sum(q) FILTER (o <= 10) AS pc10 FROM (SELECT split, v / sum(v) OVER (PARTITION BY split) AS q, row_number() OVER (PARTITION BY split ORDER BY v DESC) AS o FROM ev) GROUP BY 1),
+lp AS (SELECT split, count(*) FILTER (v > 0.05 * top) AS lpca FROM (SELECT split, v, max(v) OVER (PARTITION BY split) AS top FROM ev) GROUP BY 1)"""
+
+
+@register("WITH RECURSIVE x AS (SELECT 1)" + _RATIO + _EIGEN + " SELECT split, round(effective_rank, 6) AS effective_rank, round(ratio, 6) AS participation_ratio, round(pc1, 6) AS pc1, round(pc10, 6) AS pc10, round(anisotropy, 6) AS anisotropy, lpca FROM s JOIN sp USING (split) JOIN lp USING (split)", "features")
+def feature_spectrum(spark, sf_dir):
+    """PR15, PR18"""
+    rows, out = view(spark, sf_dir, "features"), None
+    for s in ("train", "val", "test"):
+        own = rows.where(F.col("split") == s)
+        part = P.spectrum(own).join(P.pca_dimension(own)).select(F.lit(s).alias("split"), *(F.round(m, 6).alias(m) for m in P.SPECTRUM), "lpca")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("WITH x AS (SELECT 1)" + _RATIO + " SELECT split, round(ratio, 6) AS participation_ratio, round(anisotropy, 6) AS anisotropy FROM s", "features")
 def spectrum_ratio(spark, sf_dir):
     """PR15"""
@@ -356,12 +388,6 @@ def spectrum_ratio(spark, sf_dir):
     return out
 
 
-@register(None)
-def intrinsic_dimensions(spark, sf_dir):
-    """PR16, PR17, PR18, PR19"""
-    return P.diagnostic_rows(view(spark, sf_dir, "features"), ("train", "test"))
-
-
 _NEAREST = """, f AS (SELECT split, sample_id, features::DOUBLE[] AS x FROM features), nn AS (SELECT a.split, a.sample_id, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.sample_id ORDER BY list_distance(a.x, b.x), b.sample_id) AS k FROM f a JOIN f b ON a.split = b.split AND a.sample_id <> b.sample_id),
 t AS (SELECT split, sample_id, ln(max(d) / min(d)) AS x FROM nn WHERE k <= 2 GROUP BY 1, 2 HAVING min(d) > 0), o AS (SELECT split, x, row_number() OVER (PARTITION BY split ORDER BY x, sample_id) AS k, count(*) OVER (PARTITION BY split) AS n FROM t),
 two AS (SELECT split, sum(-x * ln(1 - k / n)) / sum(x * x) AS two_nn FROM o WHERE k < n GROUP BY 1),
@@ -384,14 +410,35 @@ def mle_dimension(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("WITH x AS (SELECT 1)" + _RATIO + _NEAREST + """, v AS (SELECT split, 'spectrum_participation_ratio_' AS m, ratio AS v FROM s UNION ALL SELECT split, 'spectrum_anisotropy_', anisotropy FROM s UNION ALL SELECT split, 'id_two_nn_', two_nn FROM two UNION ALL SELECT split, 'id_mle_', mle FROM mle)
-SELECT m || split AS metric_name, round(v, 6) AS metric_value FROM v WHERE split <> 'val' UNION ALL SELECT m || 'none', CAST('nan' AS DOUBLE) FROM v WHERE split = 'val'""", "features")
-def diagnostic_metrics(spark, sf_dir):
-    """PR19"""
+_METRICS = """, v AS (SELECT split, 'spectrum_participation_ratio_' AS m, ratio AS v FROM s UNION ALL SELECT split, 'spectrum_anisotropy_', anisotropy FROM s UNION ALL SELECT split, 'id_two_nn_', two_nn FROM two UNION ALL SELECT split, 'id_mle_', mle FROM mle
+UNION ALL SELECT split, 'spectrum_effective_rank_', effective_rank FROM sp UNION ALL SELECT split, 'spectrum_pc1_', pc1 FROM sp UNION ALL SELECT split, 'spectrum_pc10_', pc10 FROM sp UNION ALL SELECT split, 'id_lpca_', lpca FROM lp),
+every AS (SELECT m || split AS metric_name, round(v, 6) AS metric_value FROM v WHERE split <> 'val' UNION ALL SELECT m || 'none', CAST('nan' AS DOUBLE) FROM v WHERE split = 'val')"""
+_ALL_METRICS = "WITH RECURSIVE x AS (SELECT 1)" + _RATIO + _EIGEN + _NEAREST + _METRICS
+
+
+def _diagnosed(spark, sf_dir):
     flat = view(spark, sf_dir, "features").where("split = 'val'").select("sample_id", F.transform("features", lambda x: x * 0 + 1).alias("features"), "label", F.lit("none").alias("split"))
-    rows = P.diagnostic_rows(view(spark, sf_dir, "features").unionByName(flat), ("train", "test", "none"))
-    kind = F.regexp_extract("metric_name", "^(.*)_[a-z]+$", 1)
-    return rows.where(kind.isin("spectrum_participation_ratio", "spectrum_anisotropy", "id_two_nn", "id_mle")).select("metric_name", F.round("metric_value", 6).alias("metric_value"))
+    return view(spark, sf_dir, "features").unionByName(flat), ("train", "test", "none")
+
+
+@register(_ALL_METRICS + " SELECT * FROM every", "features")
+def diagnostic_metrics(spark, sf_dir):
+    """PR15, PR16, PR17, PR18, PR19"""
+    return P.diagnostic_rows(*_diagnosed(spark, sf_dir)).withColumn("metric_value", F.round("metric_value", 6))
+
+
+@register(_ALL_METRICS + " SELECT * FROM every WHERE metric_name NOT LIKE '%_none'", "features")
+def intrinsic_dimensions(spark, sf_dir):
+    """PR16, PR17, PR18, PR19"""
+    return P.diagnostic_rows(view(spark, sf_dir, "features"), ("train", "test")).withColumn("metric_value", F.round("metric_value", 6))
+
+
+@register(_ALL_METRICS + " SELECT * FROM every WHERE metric_name NOT LIKE '%_train' AND metric_name NOT LIKE 'id_%_test' AND metric_name <> 'spectrum_pc1_test'", "features")
+def missing_diagnostics(spark, sf_dir):
+    """PR19: the metrics that the store lacks"""
+    made = P.diagnostic_rows(*_diagnosed(spark, sf_dir))
+    have = made.select("metric_name").where("metric_name LIKE '%_train' OR metric_name LIKE 'id_%_test' OR metric_name = 'spectrum_pc1_test'")
+    return P.diagnostic_rows(*_diagnosed(spark, sf_dir), stored=have).withColumn("metric_value", F.round("metric_value", 6))
 
 
 @register(None)

@@ -159,15 +159,34 @@ ESTIMATORS = ("two_nn", "mle", "lpca")
 SPECTRUM = ("effective_rank", "participation_ratio", "pc1", "pc10", "anisotropy")
 
 
-def diagnostic_rows(rows: DataFrame, splits: Sequence[str], cap: int = 10_000) -> DataFrame:
-    """metric_name, metric_value: ``spectrum_<m>_<split>`` and ``id_<m>_<split>`` of each split; NaN where a split has no variance."""
-    kinds, out = [("spectrum", m) for m in SPECTRUM] + [("id", m) for m in ESTIMATORS], None
+def diagnostic_rows(rows: DataFrame, splits: Sequence[str], cap: int = 10_000, stored: DataFrame | None = None) -> DataFrame:
+    """metric_name, metric_value: ``spectrum_<m>_<split>`` and ``id_<m>_<split>`` of each split; NaN where a split has no variance.
+
+    Metrics that ``stored`` (metric_name) holds are left out, and what they alone need is not computed.
+    """
+    kinds = [("spectrum", m) for m in SPECTRUM] + [("id", m) for m in ESTIMATORS]
+    spark = rows.sparkSession
+    wanted = {(k, m, s) for k, m in kinds for s in splits}
+    if stored is not None:
+        named = spark.createDataFrame([(f"{k}_{m}_{s}", k, m, s) for k, m, s in sorted(wanted)], "metric_name string, k string, m string, s string")
+        wanted = {(r.k, r.m, r.s) for r in named.join(stored.select("metric_name"), "metric_name", "left_anti").collect()}
+    jobs = {"two_nn": two_nn, "mle": mle_dimension, "lpca": pca_dimension}
+    out = spark.createDataFrame([], "metric_name string, metric_value double")
     for s in splits:
-        part = subsample(rows.where(F.col("split") == s), cap).cache()
+        due = [(k, m) for k, m in kinds if (k, m, s) in wanted]
+        if not due:
+            continue
+        part = written(subsample(rows.where(F.col("split") == s), cap), "capped")
         try:
-            table = spectrum(part).join(two_nn(part)).join(mle_dimension(part)).join(pca_dimension(part))  # one row each
+            if not second_moments(part)[0]:
+                raise ValueError("no rows")
+            tables = [spectrum(part, cap)]  # says whether there is variance
+            tables += [jobs[m](part) for k, m in due if k == "id"]
         except ValueError:
-            table = rows.sparkSession.createDataFrame([(float("nan"),) * len(kinds)], ", ".join(f"{m} double" for _, m in kinds))
-        made = table.select(F.explode(F.array(*(F.struct(F.lit(f"{k}_{m}_{s}").alias("metric_name"), F.col(m).cast("double").alias("metric_value")) for k, m in kinds))).alias("m")).select("m.*")
-        out = made if out is None else out.unionByName(made)
+            tables = [spark.createDataFrame([(float("nan"),) * len(kinds)], ", ".join(f"{m} double" for _, m in kinds))]
+        table = tables[0]
+        for t in tables[1:]:
+            table = table.join(t)  # one row each
+        made = table.select(F.explode(F.array(*(F.struct(F.lit(f"{k}_{m}_{s}").alias("metric_name"), F.col(m).cast("double").alias("metric_value")) for k, m in due))).alias("m")).select("m.*")
+        out = out.unionByName(made)
     return out

@@ -231,6 +231,34 @@ def normalized_difference(a: Column, b: Column) -> Column:
 INDICES = (("ndvi", "nir", "red"), ("ndwi", "green", "nir"), ("ndbi", "swir1", "nir"), ("nbr", "nir", "swir2"))
 
 
+#: Sensors by what they measure; of others, a band with a wavelength counts as optical.
+OPTICAL, OTHER = ("s2", "landsat", "aerial", "planet", "worldview"), ("s1", "sar", "dem", "elevation")
+
+
+def map_plan(bands: DataFrame) -> DataFrame:
+    """dataset, sensor, kind, name, available, channels, missing, reason of every map that hand-made features look for.
+
+    bands are rows (dataset, pos, sensor, name, canonical, wavelength_um). Each band is a map; an index is one where the
+    sensor has its two roles among optical bands (of several the first; nir falls back to the narrow one). Other indices
+    come as skipped, with the roles that are missing and the reason.
+    """
+    sensor = F.lower("sensor")
+    optical = ~sensor.isin(*OTHER) & (sensor.isin(*OPTICAL) | F.col("wavelength_um").isNotNull())
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit(" "), F.lit("%20")), F.lit("."), F.lit("%2E"))
+    nth = F.row_number().over(Window.partitionBy("dataset", "sensor", "name").orderBy("pos"))  # a dataset's bands
+    mark = F.when(F.col("n") > 1, F.concat(F.lit("#"), F.col("n").cast("string"))).otherwise("")
+    none = F.array().cast("array<string>")
+    single = bands.withColumn("n", nth).select("dataset", "sensor", F.lit("band").alias("kind"), F.concat(safe("sensor"), F.lit(".band."), safe("name"), mark).alias("name"), F.lit(True).alias("available"), F.array(F.col("pos").cast("int")).alias("channels"), none.alias("missing"), F.lit(None).cast("string").alias("reason"))
+    roles = bands.groupBy("dataset", "sensor", "canonical").agg(F.min(F.when(optical, F.col("pos"))).cast("int").alias("at"))
+    known = roles.groupBy("dataset", "sensor").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("canonical", "at")), lambda x: x["at"].isNotNull())).alias("at"))
+    asked = known.select("dataset", "sensor", "at", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.array(F.lit(a), F.lit(b)).alias("roles")) for n, a, b in INDICES))).alias("i"))
+    place = lambda r: F.coalesce(F.try_element_at("at", r), F.when(r == "nir", F.try_element_at("at", F.lit("nir_narrow"))))
+    found = asked.withColumns({"channels": F.transform("i.roles", place), "missing": F.filter("i.roles", lambda r: place(r).isNull())})
+    whole = F.size("missing") == 0
+    reason = F.when(whole, None).when(F.size("at") > 0, "missing optical bands").otherwise("non-optical sensor")
+    return single.unionByName(found.select("dataset", "sensor", F.lit("index").alias("kind"), F.concat(safe("sensor"), F.lit(".index."), "i.n").alias("name"), whole.alias("available"), F.when(whole, F.col("channels")).otherwise(F.array().cast("array<int>")).alias("channels"), "missing", reason.alias("reason")))
+
+
 def index_maps(tiles: DataFrame, names: Sequence[str]) -> DataFrame:
     """Tiles with ``maps`` (name, pixels): their bands and the indices that the bands allow; nir falls back to the narrow one."""
     at = {n: i for i, n in enumerate(names)}
