@@ -75,13 +75,19 @@ def principal(vectors: DataFrame) -> np.ndarray:
             for at in range(0, batch.num_rows, 4096):
                 u = _unit(_matrix(batch.column(0).slice(at, 4096), width))
                 total += u.T @ u
-        for i in range(width):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i].tolist()], pa.list_(pa.float64()))], names=["i", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([row.tobytes() for row in total], pa.binary())], names=["i", "row"])
 
-    sums = vectors.select("v").mapInArrow(tidied(run), "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(row.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["i", "row"])
+
+    parts = vectors.select("v").mapInArrow(tidied(run), "i int, row binary").repartition("i").mapInArrow(add, "i int, row binary")
     moments = np.zeros((width, width))
-    for r in sums.collect():  # width squared rows
-        moments[r.i, r.j] = r.x
+    for r in parts.collect():  # width rows of width numbers, as bytes
+        moments[r.i] = np.frombuffer(r.row)
     _, directions = np.linalg.eigh((moments + moments.T) / 2)
     return directions[:, ::-1].copy()
 
