@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from probeloom.llm.slabs import tidied
 
 #: Pieces in a generation of the memo.
-MEMO = 60_000
+MEMO = 120_000
 #: Slots of the table of neighbours, entries of the dictionary that single pieces use.
 SLOTS, FITS = 1 << 18, 50_000
 #: Bytes of a piece up to which it is encoded together with others, and pieces that are so at a time.
