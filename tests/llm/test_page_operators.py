@@ -174,6 +174,75 @@ def test_open_lines_are_judged_and_never_dropped(spark):
     assert got == {k: f"own {k}\nmine {k}\n{words} {k}" for k in (1, 2)}
 
 
+def test_differencing_meets_every_page(spark):
+    """Pages that structure decides are paired and aligned like all others."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.page_id, *r.url.split("://")[1].partition("/")[::2], [t for t, _ in html.lines_of(r.html)]) for r in pages.collect()]
+    rows = sorted((host.lower(), "/" + path.split("?")[0].split("#")[0], k, lines) for k, host, path, lines in rows)
+    want = {}
+    for at, (host, path, k, lines) in enumerate(rows):
+        near = [rows[j] for j in (at - 1, at + 1) if 0 <= j < len(rows) and rows[j][0] == host]
+        near.sort(key=lambda other: -next((i for i, (x, y) in enumerate(zip(path, other[1])) if x != y), min(len(path), len(other[1]))))  # noqa: B023
+        want[k] = len(html.shared_lines(lines, near[0][3])) if near else None
+    got = {r.page_id: r.n_shared for r in html.extract(pages).collect()}
+    assert got == want and sum(n or 0 for n in got.values()) > 0
+
+
+def test_lines_beside_an_article_are_judged(spark):
+    page = lambda k: f"<main><h1>News of the site</h1><p>dateline {k}</p><article><p>text {k}</p><p>said by all</p></article><p>Subscribe to us</p></main>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in (1, 2)] + [(k, f"http://copy.example/{k}", page(3)) for k in (3, 4)] + [(5, "http://alone.example/", page(5))]
+    rows += [(k, f"http://main.example/{k}", f"<main><h1>Title</h1><p>text {k}</p></main>") for k in (6, 7)]
+    got = {r.page_id: (r.text.split("\n"), r.n_shared) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in (1, 2)] == [([f"dateline {k}", f"text {k}", "said by all"], 3) for k in (1, 2)]
+    whole = lambda k: ["News of the site", f"dateline {k}", f"text {k}", "said by all", "Subscribe to us"]
+    assert got[3] == got[4] == (whole(3), 5) and got[5] == (whole(5), None)
+    assert [got[k] for k in (6, 7)] == [(["Title", f"text {k}"], 1) for k in (6, 7)]
+
+
+def test_a_row_repeated_over_and_over_is_dealt(spark):
+    from pyspark.sql import functions as F
+
+    body = lambda k: f"<p>site</p><p>terms</p><p>own {k}</p><article>text {k}</article>"
+    rows = [(k, f"http://a.example/{k:04}", body(k)) for k in range(600) if k != 300] + [(300, "http://a.example/0300", body(300))] * 1600
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = html.extract(df).withColumn("p", F.spark_partition_id()).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = r.page_id
+        assert (r.text, r.n_shared) == ((f"site\nterms\nown {k}\ntext {k}", 4) if k == 300 else (f"own {k}\ntext {k}", 2))
+        assert r.paired in ((300,) if k == 300 else (k - 1, k + 1))
+    assert max(sum(r.p == p for r in got) for p in {r.p for r in got}) < 0.5 * len(rows)
+
+
+def test_alignments_of_many_equal_lines(monkeypatch):
+    import random
+    import time
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
+    rng = random.Random(8)
+    began = time.process_time()
+    a, b = ([rng.randrange(4) for _ in range(n)] for n in (20_000, 21_000))
+    shared = sorted(html.shared_lines(a, b))
+    assert time.process_time() - began < 20
+    rest = iter(b)
+    assert len(shared) > 10_000 and all(any(a[i] == y for y in rest) for i in shared)
+    for most in (html.MATCHES, 0, 5):
+        monkeypatch.setattr(html, "MATCHES", most)
+        for _ in range(300):
+            a, b = ([rng.randrange(rng.choice((2, 3, 9))) for _ in range(rng.randrange(14))] for _ in range(2))
+            shared = sorted(html.shared_lines(a, b))
+            rest = iter(b)
+            assert len(shared) == length(a, b) and all(any(a[i] == y for y in rest) for i in shared)
+
+
 def test_marks_of_elements():
     kept = lambda text: [t for t, k in html.lines_of(text) if k]
     assert kept('<article>a</article><article class="comment">b</article><article id="comment-12">c</article>') == ["a"]
