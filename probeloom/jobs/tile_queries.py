@@ -373,7 +373,7 @@ def feature_spectrum(spark, sf_dir):
     rows, out = view(spark, sf_dir, "features"), None
     for s in ("train", "val", "test"):
         own = rows.where(F.col("split") == s)
-        part = P.spectrum(own).join(P.pca_dimension(own)).select(F.lit(s).alias("split"), *(F.round(m, 6).alias(m) for m in P.SPECTRUM), "lpca")
+        part = P.spectrum(own, cap=None).join(P.pca_dimension(own)).select(F.lit(s).alias("split"), *(F.round(m, 6).alias(m) for m in P.SPECTRUM), "lpca")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -116,9 +116,13 @@ def second_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return int(round(g[0, 0])), g[0, 1:], g[1:, 1:]
 
 
-def spectrum(rows: DataFrame, cap: int = 10_000, seed: int = 0) -> DataFrame:
-    """effective_rank, participation_ratio, pc1, pc10, anisotropy (0 to 1) of the features' covariance; no variance is an error."""
-    rows = subsample(rows, cap, seed)
+def spectrum(rows: DataFrame, cap: int | None = 10_000, seed: int = 0) -> DataFrame:
+    """effective_rank, participation_ratio, pc1, pc10, anisotropy (0 to 1) of the features' covariance; no variance is an error.
+
+    Without ``cap`` all rows count; one pass of partial second moments serves any number of them.
+    """
+    if cap is not None:
+        rows = subsample(rows, cap, seed)
     n, s, q = second_moments(rows)
     values = np.linalg.eigvalsh(q - np.outer(s, s) / max(n, 1))[::-1].clip(min=0) if n else np.zeros(0)
     if not values.sum() > 0:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probeloom.functions import keys
+from probeloom.jobs import tile_queries
 from probeloom.operators import audit, coords, geo, knn, leaderboard, metrics, probes, ranges, results, stacked, tiles
 from probeloom.sources import shards, store
 
@@ -136,6 +137,16 @@ def test_spectrum_and_dimensions(spark):
     assert probes.pca_dimension(make(plane)).first().lpca == 2
 
 
+def test_spectrum_queries_take_all_rows(spark, tmp_path):
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.xxhash64("id", i) % 1000 / 1000).cast("float")).alias("embedding"), F.lit(1).alias("label"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = np.stack([r.embedding for r in rows.where("vec_id % 5 < 3").orderBy("vec_id").collect()]).astype(float)
+    values = np.linalg.eigvalsh(np.cov(x.T))
+    want = values.sum() ** 2 / (values**2).sum()
+    for query in (tile_queries.feature_spectrum,):
+        assert abs(query(spark, str(tmp_path)).where("split = 'train'").first().participation_ratio - want) < 2e-6
+
+
 def test_logistic_gradient_is_zero(spark):
     rng = np.random.default_rng(6)
     x, y = rng.standard_normal((150, 3)), rng.integers(0, 3, 150)
