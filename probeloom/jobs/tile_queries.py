@@ -383,7 +383,7 @@ def spectrum_ratio(spark, sf_dir):
     """PR15"""
     rows, out = view(spark, sf_dir, "features"), None
     for s in ("train", "val", "test"):
-        part = P.spectrum(rows.where(F.col("split") == s)).select(F.lit(s).alias("split"), F.round("participation_ratio", 6).alias("participation_ratio"), F.round("anisotropy", 6).alias("anisotropy"))
+        part = P.spectrum(rows.where(F.col("split") == s), cap=None).select(F.lit(s).alias("split"), F.round("participation_ratio", 6).alias("participation_ratio"), F.round("anisotropy", 6).alias("anisotropy"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -143,7 +143,7 @@ def test_spectrum_queries_take_all_rows(spark, tmp_path):
     x = np.stack([r.embedding for r in rows.where("vec_id % 5 < 3").orderBy("vec_id").collect()]).astype(float)
     values = np.linalg.eigvalsh(np.cov(x.T))
     want = values.sum() ** 2 / (values**2).sum()
-    for query in (tile_queries.feature_spectrum,):
+    for query in (tile_queries.feature_spectrum, tile_queries.spectrum_ratio):
         assert abs(query(spark, str(tmp_path)).where("split = 'train'").first().participation_ratio - want) < 2e-6
 
 
