@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from probeloom.functions.draws import index_draws
 from probeloom.functions.keys import clean, floored
+from probeloom.sources.place import written
 
 
 def average_rank(score: str, *by: str) -> Column:
@@ -173,7 +174,12 @@ def with_costs(rows: DataFrame, costs: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def delta_to(rows: DataFrame, keys: Sequence[str], variant: str, base: str, value: str = "score") -> DataFrame:
-    """Each variant's difference from the base variant of the same key; null where the base is missing."""
+    """Each variant's difference from the base variant of the same key; null where the base is missing.
+
+    The rows are written first, so that both sides read the same values: sums of doubles that are computed twice differ
+    in their last digits, and the base variant would seem better or worse than itself.
+    """
+    rows = written(rows, "variants")
     control = rows.where(F.col(variant) == base).select(*keys, F.col(value).alias("base"))
     return rows.join(control, list(keys), "left").withColumn("delta", F.col(value) - F.col("base"))
 

@@ -147,6 +147,15 @@ def test_spectrum_queries_take_all_rows(spark, tmp_path):
         assert abs(query(spark, str(tmp_path)).where("split = 'train'").first().participation_ratio - want) < 2e-6
 
 
+def test_base_variant_has_no_delta_to_itself(spark):
+    noise = F.udf(lambda: float(np.random.default_rng().random()), "double").asNondeterministic()  # as sums of doubles are, in their last digits
+    rows = spark.range(40).select((F.col("id") % 20).alias("dataset"), F.when(F.col("id") < 20, "all").otherwise("rgb").alias("bands")).withColumn("score", noise())
+    deltas = leaderboard.delta_to(rows, ("dataset",), "bands", "all")
+    got = {r.bands: r for r in leaderboard.variant_summary(deltas, "bands").collect()}
+    assert (got["all"].n, got["all"].improved, got["all"].regressed, got["all"].least, got["all"].most) == (20, 0, 0, 0, 0)
+    assert got["rgb"].n == got["rgb"].improved + got["rgb"].regressed == 20
+
+
 def test_logistic_gradient_is_zero(spark):
     rng = np.random.default_rng(6)
     x, y = rng.standard_normal((150, 3)), rng.integers(0, 3, 150)
