@@ -6,9 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from probeloom.llm import lines, neardup, suffixes, vectors
+from probeloom.llm import lines, neardup, scratch, suffixes, vectors
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n int"
@@ -160,6 +162,38 @@ def test_line_edit_join(spark):
     assert lines.judge(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_gets_texts_in_small_batches(spark, monkeypatch):
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), 125).alias("text"))
+    seen, found = [], lines.occurrences
+
+    def _batch_sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    def spied(named, short=False):
+        seen.extend(named.select("text").mapInArrow(_batch_sizes, "rows long, bytes long").collect())
+        return found(named, short)
+
+    monkeypatch.setattr(lines, "occurrences", spied)
+    before = spark.conf.get(scratch.BATCH, None)
+    lines.removed_lines(docs, short=True)
+    assert sum(r.rows for r in seen) == 1500 and max(r.bytes for r in seen) < 1.1 * scratch.BATCH_BYTES
+    assert spark.conf.get(scratch.BATCH, None) == before
+
+
+def test_pipeline_stages_set_small_batches(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "one line", "en", "a", 8)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {key: spark.conf.get(key, None) for key in (scratch.BATCH, corpus_pipeline.BATCHES)}
+    try:
+        corpus_pipeline.line_dedup(spark, docs, "")
+        assert int(spark.conf.get(scratch.BATCH).rstrip("b")) == scratch.BATCH_BYTES
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_short_lines(spark, tmp_path):
     import corpus_pipeline
     from probeloom.llm.queries import QUERIES
