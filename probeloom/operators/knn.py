@@ -3,8 +3,9 @@
 Training sets of up to ``BLOCK`` rows are shipped to the tasks, and the queries are not shuffled. Larger ones are dealt to
 cells, each row to the nearest of some training rows (pivots), of which the radius is known. A query first meets the
 cell of its nearest pivot; the k-th distance found there bounds what is still to be found, and by the triangle inequality
-it then meets only cells that reach into that distance. Cells meet in blocks (a block of queries and one of training
-rows in a task), and the best of all blocks are merged by query.
+it then meets only cells that reach into that distance. Cells are shipped in rounds of bounded size; a task reads its
+queries with the best found so far, meets the cells of the round block by block, and writes them again. Nothing is shuffled or
+copied by pairs, so the disk holds the queries twice and the training rows once, whatever the number of rounds.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probeloom.operators import metrics as M
-from probeloom.sources.place import written
+from probeloom.sources.place import drop, tables, written
 
-BLOCK, WIDE = 4096, 4
+BLOCK = 4096
 
 
 def _nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
@@ -80,8 +81,10 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, by: str | None = No
     return _by_cells(side(queries), side(train), n, k, exclude_self, stats).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Pivots at most, and bytes of them that are shipped.
-PIVOTS, PIVOT_BYTES = 4096, 32 << 20
+#: Pivots at most, and bytes of them that are shipped; bytes of training rows in a round (about).
+PIVOTS, PIVOT_BYTES, ROUND_BYTES = 4096, 32 << 20, 32 << 20
+#: Pairs whose distances are computed coordinate by coordinate at a time.
+PAIRS = 1 << 16
 
 
 def _spread(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -89,9 +92,40 @@ def _spread(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0))
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in np.ascontiguousarray(x)]
+
+
+def _unpacked(column: pd.Series, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def _better(x: np.ndarray, own: np.ndarray, ids: np.ndarray, far: np.ndarray, y: np.ndarray, names: np.ndarray, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest (ids, distances; ties: smaller id) of those known so far and the rows of y; unused places have no finite distance."""
+    k = ids.shape[1]
+    nx, ny = (x**2).sum(1), (y**2).sum(1)
+    d = np.maximum(nx[:, None] + ny[None, :] - 2 * x @ y.T, 0)
+    if exclude_self:
+        d[own[:, None] == names[None, :]] = np.inf
+    most = far[:, -1] ** 2
+    if k < len(y) and np.isinf(most).any():
+        most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+    most = most * (1 + 1e-9) + 1e-9 + 1e-12 * (nx + ny.max())  # squares by products lose digits
+    row, at = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+    if not len(row):
+        return ids, far
+    away = np.concatenate([np.sqrt(((x[row[i : i + PAIRS]] - y[at[i : i + PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(row), PAIRS)])
+    row = np.concatenate([np.repeat(np.arange(len(x)), k), row])
+    name, away = np.concatenate([ids.ravel(), names[at]]), np.concatenate([far.ravel(), away])
+    order = np.lexsort((name, away, row))
+    first = np.searchsorted(row[order], np.arange(len(x)))
+    best = order[first[:, None] + np.arange(k)]  # every row has its k old places at least
+    return name[best], away[best]
+
+
 def _by_cells(q: DataFrame, t: DataFrame, n: int, k: int, exclude_self: bool, stats: dict | None) -> DataFrame:
-    """sample_id, train_id, distance: k or more candidates of each query, its k nearest among them; q and t have g, id and x."""
-    spark = q.sparkSession
+    """sample_id, train_id, distance of the k nearest of each query; q and t have g, id and x."""
+    spark, before = q.sparkSession, tables()
     width = t.select(F.size("x")).first()[0]
     most = max(1, min(PIVOTS, -(-n // BLOCK), PIVOT_BYTES // (8 * max(width, 1))))
     pivots = np.array([r.x for r in t.orderBy(F.xxhash64("id"), "id").select("x").limit(most).collect()])
@@ -102,55 +136,101 @@ def _by_cells(q: DataFrame, t: DataFrame, n: int, k: int, exclude_self: bool, st
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             if len(df):
-                d = _spread(np.stack(df["x"].to_numpy()), shared.value)
-                yield df.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+                x = np.stack(df["x"].to_numpy()).astype(float)
+                d = _spread(x, shared.value)
+                yield df.assign(x=_packed(x), cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
 
-    schema = "g string, id long, x array<double>, cell int, far double"
-    train, rows = written(t.mapInPandas(deal, schema), "cells"), written(q.mapInPandas(deal, schema), "queries")
+    schema = "g string, id long, x binary, cell int, far double"
+    train, rows = written(t.mapInPandas(deal, schema), "cells"), written(q.mapInPandas(deal, schema).drop("far"), "queries")
     known = {r.cell: r for r in train.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row for each pivot
     radius = np.full(len(pivots), -np.inf)
     for c, r in known.items():
         radius[c] = r.far
-
-    def met(pairs: DataFrame) -> DataFrame:
-        """The k nearest of each query (g, id, x, cell) in its cell, by blocks."""
-        asked = {r.cell: r.n for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
-        parts = [(c, -(-known[c].n // BLOCK), -(-asked[c] // (WIDE * BLOCK))) for c in asked if c in known]
-        if stats is not None:
-            stats["met"] = stats.get("met", 0) + sum(asked[c] * a for c, a, _ in parts)
-            stats["all"] = rows.count() * sum(-(-r.n // BLOCK) for r in known.values())
-        table = F.broadcast(spark.createDataFrame(parts, "cell int, tp int, qp int"))
-        part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        a = pairs.select("g", "id", "x", "cell").join(table, "cell").select("g", "id", "x", "cell", F.lit(0).alias("side"), part("qp").alias("i"), "tp").withColumn("j", every("tp")).drop("tp")
-        b = train.select("g", "id", "x", "cell").join(table, "cell").select("g", "id", "x", "cell", F.lit(1).alias("side"), "qp", part("tp").alias("j")).withColumn("i", every("qp")).drop("qp")
-
-        def best(df: pd.DataFrame) -> pd.DataFrame:
-            a, b = df[df["side"] == 0], df[df["side"] == 1].sort_values("id")
-            if not len(a) or not len(b):
-                return pd.DataFrame({"sample_id": [], "train_id": [], "distance": []})
-            return _nearest(np.stack(a["x"].to_numpy()), a["id"].to_numpy(), np.stack(b["x"].to_numpy()), b["id"].to_numpy(), k, exclude_self)
-
-        return a.unionByName(b).groupBy("g", "cell", "i", "j").applyInPandas(best, "sample_id long, train_id long, distance double")
-
-    near = written(met(rows), "near")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("distance", "train_id"))).where(F.col("rank") == k)
-    limits = ranked.select(F.col("sample_id").alias("id"), F.col("distance").alias("limit"))
-
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    room = max(BLOCK, ROUND_BYTES // (8 * max(width, 1)))
+    rounds, left = [[]], room  # of (cell, part of it), with about ``room`` rows
+    for c, r in sorted(known.items()):
+        parts = -(-r.n // room)
+        for i in range(parts):
+            if rounds[-1] and left < r.n / parts:
+                rounds.append([])
+                left = room
+            rounds[-1].append((c, i, parts))
+            left -= r.n / parts
+    met = spark.sparkContext.accumulator(0) if stats is not None else None
+
+    def ship(which: list[tuple[int, int, int]]):
+        """The training rows of these parts of cells: (cell, part) -> g -> rows and ids in blocks."""
+        table = F.broadcast(spark.createDataFrame(which, "cell int, part int, parts int"))
+        some = train.join(table, "cell").where(F.pmod(F.xxhash64("id"), "parts") == F.col("part")).select("g", "id", "x", "cell", "part").toPandas()  # about ROUND_BYTES
+        sets: dict = {}
+        for (c, i, g), own in some.sort_values("id").groupby(["cell", "part", "g"], dropna=False):
+            y, names = _unpacked(own["x"]), own["id"].to_numpy()
+            sets.setdefault((c, i), {})[g] = [(y[a : a + BLOCK], names[a : a + BLOCK]) for a in range(0, len(y), BLOCK)]
+        return spark.sparkContext.broadcast(sets)
+
+    def meeting(sets, home: bool):
+        """Queries with the best found so far meet what ``sets`` has: the first part of their own cell (``home``), or all else that reaches them."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                if not len(df):
+                    continue
+                df = df.sort_values(["cell", "id"])
+                x, own, cell, g = _unpacked(df["x"]), df["id"].to_numpy(), df["cell"].to_numpy(), df["g"].to_numpy()
+                if "ids" in df.columns:
+                    ids, far = _unpacked(df["ids"], np.int64).copy(), _unpacked(df["fars"]).copy()
+                else:
+                    ids, far = np.full((len(df), k), np.iinfo(np.int64).max), np.full((len(df), k), np.inf)
+                for at in range(0, len(df), 512):
+                    part = slice(at, at + 512)
+                    low = None if home else _spread(x[part], shared.value) - radius[None]
+                    for (c, i), groups in sets.value.items():
+                        due = (cell[part] == c) if home else (low[:, c] <= far[part, -1] * (1 + 1e-9) + slack) & ~((cell[part] == c) & (i == 0))
+                        if not due.any() or (home and i):
+                            continue
+                        for name, blocks in groups.items():
+                            r = at + np.flatnonzero(due & (g[part] == name))
+                            for y, names in blocks:
+                                if len(r):
+                                    ids[r], far[r] = _better(x[r], own[r], ids[r], far[r], y, names, exclude_self)
+                                    if met is not None:
+                                        met.add(len(r))
+                yield df[["g", "id", "x", "cell"]].assign(ids=_packed(ids), fars=_packed(far))
+
+        return run
+
+    state = "g string, id long, x binary, cell int, ids binary, fars binary"
+    held = None
+    for which in rounds:  # first each query meets its own cell, which bounds what is still to be found
+        cells = [c for c, i, _ in which if i == 0]
+        if cells:
+            sets = ship([p for p in which if p[1] == 0])
+            part = written(rows.where(F.col("cell").isin(cells)).mapInPandas(meeting(sets, True), state), "home")
+            sets.destroy()
+            held = part if held is None else held.union(part)
+    homeless = rows.where(~F.col("cell").isin(sorted(known)))
+    none = lambda v: F.lit(np.full(k, v).tobytes())
+    held = held.union(homeless.select("g", "id", "x", "cell", none(np.iinfo(np.int64).max), none(np.inf)))
+    first = tables()
+    for which in rounds:
+        sets, old = ship(which), [x for x in tables() if x not in first]
+        held = written(held.mapInPandas(meeting(sets, False), state), "held")
+        sets.destroy()
+        drop(old)
+    if stats is not None:
+        stats["met"] = met.value
+        stats["all"] = rows.count() * sum(-(-r.n // BLOCK) for r in known.values())
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            for at in range(0, len(df), 1024):
-                some = df.iloc[at : at + 1024]
-                if len(some):
-                    low = _spread(np.stack(some["x"].to_numpy()), shared.value) - radius[None]
-                    due = low <= some["limit"].to_numpy()[:, None] * (1 + 1e-9) + slack
-                    due[np.arange(len(some)), some["cell"]] = False  # met already
-                    row, cell = np.nonzero(due & np.isfinite(low))
-                    yield some.iloc[row][["g", "id", "x"]].assign(cell=cell.astype(np.int32))
-
-    wide = rows.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).select("g", "id", "x", "cell", "limit")
-    more = written(wide.mapInPandas(reach, "g string, id long, x array<double>, cell int"), "reach")
-    return near.union(met(more))
+            if len(df):
+                far = _unpacked(df["fars"]).ravel()
+                out = pd.DataFrame({"sample_id": np.repeat(df["id"].to_numpy(), k), "train_id": _unpacked(df["ids"], np.int64).ravel(), "distance": far})
+                yield out[np.isfinite(far)]
+
+    near = written(held.mapInPandas(told, "sample_id long, train_id long, distance double"), "near")
+    drop([x for x in tables() if x not in before][:-1])
+    return near
 
 
 def vote(near: DataFrame, train: DataFrame) -> DataFrame:

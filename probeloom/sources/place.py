@@ -32,6 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[tuple[SparkSession, str]]:
+    """The folders that are still there."""
+    return list(_made)
+
+
+def drop(some: list[tuple[SparkSession, str]]) -> None:
+    """Delete folders of ``tables()``; call it when no result that reads them is needed any more."""
+    for spark, path in some:
+        if (spark, path) in _made:
+            _made.remove((spark, path))
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def release() -> None:
     """Delete all these folders; at the program's end at the latest, if the session still lives."""

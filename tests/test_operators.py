@@ -399,6 +399,31 @@ def test_knn_cells_prune_and_lose_nothing(spark, monkeypatch):
         assert stats["met"] < 0.6 * stats["all"], stats
 
 
+@pytest.mark.parametrize("room", [1 << 25, 1])
+def test_knn_writes_no_pairs(spark, monkeypatch, room):
+    """Rows that reach into every cell, copies beyond a round, folds: equal to brute force, and no table holds queries once for each cell."""
+    rng = np.random.default_rng(12)
+    data = np.concatenate([rng.standard_normal((300, 16)), np.zeros((60, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(data)], "sample_id long, features array<double>, fold int")
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    monkeypatch.setattr(knn, "ROUND_BYTES", room, raising=False)
+    sizes, write = [], knn.written
+
+    def spied(table, name):
+        out = write(table, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(knn, "written", spied)
+    got = {(r.sample_id, r["rank"]): r.train_id for r in knn.neighbours(df, df, 3, "fold", True).collect()}
+    d = np.sqrt(((data[:, None] - data[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    d[(np.arange(360)[:, None] - np.arange(360)) % 2 == 1] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert got == {(i, k + 1): near[i, k] for i in range(360) for k in range(3)}
+    assert max(n for name, n in sizes if name != "near") <= 360, sizes
+
+
 def test_large_tiles(spark):
     """A tile of 224 x 224: statistics in one fold over its pixels, and features of a corner, an edge and a plane."""
     import time
