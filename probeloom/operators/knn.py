@@ -82,7 +82,7 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, by: str | None = No
 
 
 #: Pivots at most, and bytes of them that are shipped; bytes of training rows in a round (about).
-PIVOTS, PIVOT_BYTES, ROUND_BYTES = 4096, 32 << 20, 32 << 20
+PIVOTS, PIVOT_BYTES, ROUND_BYTES = 4096, 32 << 20, 8 << 20
 #: Pairs whose distances are computed coordinate by coordinate at a time.
 PAIRS = 1 << 16
 
